@@ -2,9 +2,7 @@
 
 Everything here is a projection: one pass over the text column, no shuffle. The columns are
 built in steps (facts, matches, checks) so that each search runs once per row however many
-results are derived from it. Do not filter on a result in the same query that also returns
-it: the optimizer would push the filter below the projection and run the searches twice.
-Aggregate, explode or write first.
+results are derived from it, and later filters on the results do not run the searches again.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import jsoncheck, pii, rules as R, wording
+from ..functions.barrier import settled
 
 
 @dataclass(frozen=True)
@@ -75,9 +74,9 @@ def pii_hits_long(
 ) -> DataFrame:
     """One row per match: the keys, position in the list, type, match, start, end, mask."""
     listed = pii_hits(df.select(*keys, text), text, settings)
-    return listed.select(*keys, F.posexplode("hits").alias("pos", "hit")).select(
-        *keys, "pos", "hit.*"
-    )
+    return settled(listed.drop(text), ["hits"]).select(
+        *keys, F.posexplode("hits").alias("pos", "hit")
+    ).select(*keys, "pos", "hit.*")
 
 
 def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
@@ -103,7 +102,7 @@ def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings(
         total.alias("total_instances"),
         pii.mask_text(scan, present, settings.pii_rules, settings.bsn_rule).alias("masked_text"),
     )
-    return without_scan(df.withColumn("pii", result)).drop("__grouped", *names)
+    return settled(without_scan(df.withColumn("pii", result)).drop("__grouped", *names), ["pii"])
 
 
 def check_nogo(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
@@ -115,7 +114,7 @@ def check_nogo(df: DataFrame, text: str, settings: CheckSettings = CheckSettings
         wording.nogo_violations(F.col("__nogo")).alias("violations"),
         F.col("__nogo").alias("found"),
     )
-    return without_scan(df.withColumn("nogo", result)).drop("__nogo")
+    return settled(without_scan(df.withColumn("nogo", result)).drop("__nogo"), ["nogo"])
 
 
 def check_cta(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
@@ -130,7 +129,7 @@ def check_cta(df: DataFrame, text: str, settings: CheckSettings = CheckSettings(
         .alias("violations"),
         F.col("__cta").alias("matched_patterns"),
     )
-    return without_scan(df.withColumn("cta", result)).drop("__cta")
+    return settled(without_scan(df.withColumn("cta", result)).drop("__cta"), ["cta"])
 
 
 def _limit(settings: CheckSettings) -> Column:
@@ -222,13 +221,15 @@ def check_cases(
         F.col("__cta").alias("cta_present"),
         F.col("__policy").alias("policy_claims"),
     )
-    return df.select(
+    df = df.select(
         "case_id",
         "phase",
         F.lit(settings.output_mode).alias("output_mode"),
         F.col("__words").alias("word_count"),
         checks.alias("checks"),
-    ).withColumn("severity", severity(F.col("checks")))
+    )
+    df = df.withColumn("severity", severity(F.col("checks")))
+    return settled(df, ["word_count", "checks", "severity"])
 
 
 def severity(checks: Column) -> Column:
@@ -315,10 +316,9 @@ def case_summary(
         | ~F.col("length_ok")
     )
     verdict = F.when(failed, "fail").when(F.col("nogo_hits_total") > 0, "warn").otherwise("pass")
-    return df.select(
-        "case_id", "phase", verdict.alias("severity"), "word_count", "pii_hits_total",
-        "nogo_hits_total", "cta_present", "json_valid", "length_ok", *extra,
-    )
+    flat = ["word_count", "pii_hits_total", "nogo_hits_total", "cta_present", "json_valid", "length_ok"]
+    rows = df.select("case_id", "phase", verdict.alias("severity"), *flat, *extra)
+    return settled(rows, ["severity", *flat])
 
 
 def mask_frame(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.barrier import settled
 from ..functions.jsoncheck import kind, parse_json
 from ..functions.numbers import at_least, float_of
 from ..functions.rules import any_of
@@ -152,7 +153,7 @@ def score_answers(
     raw = F.when(
         own_error, F.coalesce(F.try_variant_get(parsed, "$.raw_response", "string"), F.lit(""))
     ).otherwise(F.col(answer))
-    return steps.select(
+    rows = steps.select(
         *df.columns,
         F.when(failed, F.array().cast(SCORES_TYPE)).otherwise(scores).alias("criterion_scores"),
         final.alias("weighted_final_score"),
@@ -160,6 +161,7 @@ def score_answers(
         failed.alias("failed_judge_parse"),
         F.when(failed, raw).otherwise(F.lit("")).alias("raw_response"),
     )
+    return settled(rows, rows.columns[len(df.columns) :])
 
 
 def scores_long(judged: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -77,9 +77,10 @@ def percentiles(
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here a
     sketch with a guaranteed rank error first brackets each wanted rank; only rows inside a
-    bracket, about ``4 / accuracy`` of a group, are counted per value and ranked, and the rows
+    bracket, about ``8 / accuracy`` of a group, are counted per value and ranked, and the rows
     below a bracket are merely counted. The two ranks next to each point are then read off
-    exactly. NULL and NaN values are left out.
+    exactly. In groups of up to ``accuracy`` rows every row lies in the bracket. NULL and NaN
+    values are left out.
     """
     keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
     number = F.col(value).cast("double")
@@ -87,14 +88,19 @@ def percentiles(
     data = df.select(*group_keys, number.alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
     lows = [max(0.0, p - slack) for p in points]
     highs = [min(1.0, p + slack) for p in points]
     sketch = F.percentile_approx("__v", [*lows, *highs], accuracy)
-    k = len(points)
+    k, small = len(points), F.col("__n") <= accuracy
     brackets = (
         data.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__s"))
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            sketch.alias("__s"),
+            F.min("__v").alias("__min"),
+            F.max("__v").alias("__max"),
+        )
         .select(
             *keys,
             "__n",
@@ -103,8 +109,8 @@ def percentiles(
                     *[
                         F.struct(
                             F.lit(float(p)).alias("point"),
-                            F.col("__s")[i].alias("low"),
-                            F.col("__s")[k + i].alias("high"),
+                            F.when(small, F.col("__min")).otherwise(F.col("__s")[i]).alias("low"),
+                            F.when(small, F.col("__max")).otherwise(F.col("__s")[k + i]).alias("high"),
                         )
                         for i, p in enumerate(points)
                     ]
@@ -115,18 +121,18 @@ def percentiles(
     )
     # a row below the bracket adds to one count per point; a row inside keeps its value
     slot = F.when(F.col("__v") >= F.col("low"), F.col("__v"))
-    same = [data[c].eqNullSafe(brackets[c]) for c in keys]
-    cond = same[0]
-    for extra in same[1:]:
-        cond = cond & extra
+    sides = brackets.withColumnsRenamed({c: f"{c}_b" for c in keys})
+    if not by:
+        sides = F.broadcast(sides)  # one row per point
+    cond = F.col("__v") <= F.col("high")
+    for c in keys:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_b"))
     counted = (
-        data.join(brackets, cond & (data["__v"] <= brackets["high"]))
-        .select(*[brackets[c] for c in keys], "point", "__n", slot.alias("__slot"))
+        data.join(sides, cond)
+        .select(*keys, "point", "__n", slot.alias("__slot"))
         .groupBy(*keys, "point", "__n", "__slot")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    from pyspark.sql import Window
-
     upto = Window.partitionBy(*keys, "point").orderBy(F.col("__slot").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(upto))
     target = (F.col("__n") - 1) * F.col("point")

@@ -29,7 +29,7 @@ RANK = {t: i for i, t in enumerate(TYPES)}
 def _found(t: str, text: str) -> str:
     pattern, _, flag = PATTERNS[t]
     found = f"regexp_extract_all({text}, {q(pattern)}, 0, '{flag}')"
-    return f"list_filter({found}, x -> {_bsn('x')})" if t == "bsn" else found
+    return f"list_filter({found}, lambda x: {_bsn('x')})" if t == "bsn" else found
 
 
 def _counts(source: str, key: str, text: str) -> str:
@@ -58,7 +58,7 @@ def _hits(source: str, key: str, text: str) -> str:
         split = f"string_split_regex({text}, {q(('(?i)' if flag == 'i' else '') + pattern)})"
         parts.append(
             f"SELECT {key}, {q(t)} AS type, {RANK[t]} AS rank, m[k] AS match,"
-            f" CAST(list_sum(list_transform(g[1:k], x -> length(x))) + coalesce(list_sum(list_transform(m[1:k-1], x -> length(x))), 0) AS BIGINT) AS start"
+            f" CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS start"
             f" FROM (SELECT {key}, m, g, unnest(range(1, len(m) + 1)) AS k FROM"
             f" (SELECT {key}, regexp_extract_all({text}, {q(pattern)}, 0, '{flag}') AS m, {split} AS g FROM ({source})) WHERE len(m) > 0)"
             + (f" WHERE {_bsn('m[k]')}" if t == "bsn" else "")
@@ -310,7 +310,7 @@ _REPLY_ERRORS = """SELECT c_custkey, list_sort(list_filter([
     CASE WHEN obj AND NOT list_contains(json_keys(j), 'message') THEN '$:required:message' END,
     CASE WHEN obj AND NOT list_contains(json_keys(j), 'cta') THEN '$:required:cta' END,
     CASE WHEN obj AND NOT list_contains(json_keys(j), 'next_step') THEN '$:required:next_step' END,
-    CASE WHEN obj AND len(list_filter(json_keys(j), x -> x NOT IN ('message', 'cta', 'next_step', 'tone'))) > 0 THEN '$:additionalProperties' END,
+    CASE WHEN obj AND len(list_filter(json_keys(j), lambda x: x NOT IN ('message', 'cta', 'next_step', 'tone'))) > 0 THEN '$:additionalProperties' END,
     CASE WHEN json_type(j, '$.message') <> 'VARCHAR' THEN '$.message:type' END,
     CASE WHEN json_type(j, '$.message') = 'VARCHAR' AND length(json_extract_string(j, '$.message')) < 10 THEN '$.message:minLength' END,
     CASE WHEN json_type(j, '$.message') = 'VARCHAR' AND length(json_extract_string(j, '$.message')) > 150 THEN '$.message:maxLength' END,
@@ -320,7 +320,7 @@ _REPLY_ERRORS = """SELECT c_custkey, list_sort(list_filter([
     CASE WHEN NOT (json_type(j, '$.next_step') = 'VARCHAR' AND json_extract_string(j, '$.next_step') IN ('propose_times', 'await_reply', 'handover')) THEN '$.next_step:enum' END,
     CASE WHEN json_type(j, '$.tone') <> 'VARCHAR' THEN '$.tone:type' END,
     CASE WHEN NOT (json_type(j, '$.tone') = 'VARCHAR' AND json_extract_string(j, '$.tone') IN ('formal', 'professional', 'friendly')) THEN '$.tone:enum' END
-  ], x -> x IS NOT NULL)) AS errors FROM (SELECT *, json_type(j) = 'OBJECT' AS obj FROM
+  ], lambda x: x IS NOT NULL)) AS errors FROM (SELECT *, json_type(j) = 'OBJECT' AS obj FROM
     (SELECT *, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM (""" + I.REPLIES.sql + ")))"
 _CUT = "CASE WHEN length({t}) > 100 THEN substr({t}, 1, 100) || '...' ELSE {t} END"
 
@@ -370,7 +370,7 @@ SQL: dict[str, str] = {
     "word_limit": f"""SELECT doc_id, n <= 300 AS passed, CASE WHEN n > 300 THEN 'Tekst heeft ' || n || ' woorden, max 300' ELSE '' END AS violations,
       CAST(n AS BIGINT) AS word_count, CAST(greatest(0, n - 300) AS BIGINT) AS over_by FROM (SELECT doc_id, {_WORDS.format(t='text')} AS n FROM documents)""",
     "own_limits": f"""SELECT doc_id, CAST(greatest(0, {_WORDS.format(t='text')} - max_words) AS BIGINT) AS over_by,
-      array_to_string(list_filter(list_filter(list_transform(string_split(no_go_terms, ','), t -> lower(trim(t))), t -> t <> ''), t -> contains(lower(text), t)), ',') AS terms
+      array_to_string(list_filter(list_filter(list_transform(string_split(no_go_terms, ','), lambda t: lower(trim(t))), lambda t: t <> ''), lambda t: contains(lower(text), t)), ',') AS terms
       FROM ({I.OWN_LIMITS.sql})""",
     "style_rates": """SELECT lang, count(*) AS n, round(avg(CAST(regexp_matches(text, '```') AS INT)), 6) AS code_fence,
       round(avg(CAST(regexp_matches(text, '[!?]{2,}') AS INT)), 6) AS doubled_mark,
