@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .regex import java_body
-from .rules import PII_RULES, Rule, Scan, any_of
+from .rules import PII_RULES, Rule, Scan, any_of, maybe_pii, odd_words
 
 HIT_TYPE = "array<struct<type:string,match:string,start:int,end:int,mask:string>>"
 GROUPED_TYPE = "array<struct<type:string,matches:array<string>>>"
@@ -124,13 +124,16 @@ def _running_starts(gaps: Column, matches: Column) -> Column:
     return F.flatten(done["blocks"])
 
 
-def _type_hits(scan: Scan, rule: Rule, rank: int, bsn_rule: str) -> Column:
+def type_gaps(scan: Scan, rule: Rule, found: Column) -> Column:
+    """Pieces between the candidates of one type, where there are any."""
+    return F.when(F.size(found) > 0, scan.gaps(rule))
+
+
+def _type_hits(rule: Rule, rank: int, found: Column, gaps: Column, bsn_rule: str) -> Column:
     """Matches of one type with their offsets in characters."""
-    matches = F.regexp_extract_all(scan.text, F.lit(rule.java), F.lit(0))
-    gaps = F.split(scan.text, rule.java, -1)
     hits = F.zip_with(
-        matches,
-        _running_starts(gaps, matches),
+        found,
+        _running_starts(gaps, found),
         lambda m, at: F.struct(
             at.alias("start"),
             F.lit(rank).alias("rank"),
@@ -146,30 +149,35 @@ def _type_hits(scan: Scan, rule: Rule, rank: int, bsn_rule: str) -> Column:
         "array<struct<start:int,rank:int,type:string,match:string,end:int,mask:string>>"
     )
     # sequence() counts down on an empty list, so presence is settled first
-    return F.when(type_present(scan, rule, bsn_rule), hits).otherwise(empty)
+    return F.when(F.size(found) > 0, hits).otherwise(empty)
 
 
-def hit_list(scan: Scan, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference") -> Column:
-    """Every match with offsets, ordered by start and then by type order."""
-    every = F.concat(*[_type_hits(scan, r, k, bsn_rule) for k, r in enumerate(rules)])
-    ordered = F.sort_array(every)
+def hit_list(
+    found: dict[str, Column], gaps: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES,
+    bsn_rule: str = "reference",
+) -> Column:
+    """Every match with offsets, ordered by start and then by type order.
+
+    ``found`` holds the candidates per type (``Scan.matches``) and ``gaps`` the pieces between
+    them (:func:`type_gaps`), both already computed.
+    """
+    every = F.concat(
+        *[_type_hits(r, k, found[r.label], gaps[r.label], bsn_rule) for k, r in enumerate(rules)]
+    )
     return F.transform(
-        ordered,
+        F.sort_array(every),
         lambda h: F.struct(h["type"], h["match"], h["start"], h["end"], h["mask"]),
     )
 
 
-def _first_start(scan: Scan, rule: Rule, found: Column, bsn_rule: str) -> Column:
+def _first_start(scan: Scan, rule: Rule, bsn_rule: str) -> Column:
     if not _is_bsn(rule):
-        return F.length(F.split(scan.text, rule.java, 2)[0])
+        return F.length(scan.gaps(rule, 2)[0])
     # skip the candidates that fail the checksum before the first valid one
-    every = F.regexp_extract_all(scan.text, F.lit(rule.java), F.lit(0))
-    gaps = F.split(scan.text, rule.java, -1)
-    first = F.array_position(F.transform(every, lambda m: bsn_valid(m, bsn_rule)), True)
-    before = F.slice(gaps, F.lit(1), first.cast("int"))
-    return F.aggregate(before, F.lit(0), lambda s, g: s + F.length(g)) + 9 * (
-        first.cast("int") - 1
-    )
+    valid = F.transform(scan.matches(rule), lambda m: bsn_valid(m, bsn_rule))
+    skipped = F.array_position(valid, True).cast("int") - 1
+    before = F.slice(scan.gaps(rule), F.lit(1), skipped + 1)
+    return F.aggregate(before, 9 * skipped, lambda s, g: s + F.length(g))
 
 
 def grouped_hits(
@@ -184,7 +192,7 @@ def grouped_hits(
         F.when(
             F.size(found[r.label]) > 0,
             F.struct(
-                _first_start(scan, r, found[r.label], bsn_rule).alias("at"),
+                _first_start(scan, r, bsn_rule).alias("at"),
                 F.lit(k).alias("rank"),
                 F.lit(r.label).alias("type"),
                 found[r.label].alias("matches"),
@@ -217,11 +225,12 @@ def violations(grouped: Column) -> Column:
 
 def _mask_one(scan: Scan, rule: Rule, bsn_rule: str) -> Column:
     if not _is_bsn(rule):
-        return F.regexp_replace(scan.text, rule.java, rule.mask)
-    return _weave(
-        scan.text, rule.java,
-        lambda m: F.when(bsn_valid(m, bsn_rule), F.lit(rule.mask)).otherwise(m),
-    )
+        return scan.replaced(rule, rule.mask)
+
+    def token(m: Column) -> Column:
+        return F.when(bsn_valid(m, bsn_rule), F.lit(rule.mask)).otherwise(m)
+
+    return scan.pick(rule, lambda exact: _weave(scan.text, rule.java(exact), token))
 
 
 def _weave(text: Column, pattern: str, token) -> Column:
@@ -233,13 +242,16 @@ def _weave(text: Column, pattern: str, token) -> Column:
     )
 
 
-def _mask_mixed(scan: Scan, rules: tuple[Rule, ...], bsn_rule: str) -> Column:
-    """Masking of texts with several types, in one pass over an alternation of all of them.
+def _any_type(rules: tuple[Rule, ...], exact: bool) -> str:
+    return "(?Ud)" + "|".join(rule.body(exact) for rule in rules)
+
+
+def _token_of(rules: tuple[Rule, ...], bsn_rule: str):
+    """The token for a match of the alternation of all types.
 
     Which type a match has follows from the match alone: the patterns are tried in type order
     against the whole match, without the boundaries, as the alternation tried them in place.
     """
-    pattern = "(?Ud)" + "|".join(rule.body for rule in rules)
 
     def token(m: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -252,7 +264,15 @@ def _mask_mixed(scan: Scan, rules: tuple[Rule, ...], bsn_rule: str) -> Column:
             out = F.when(m.rlike(whole), mask).otherwise(out)
         return F.coalesce(out, m)
 
-    return _weave(scan.text, pattern, token)
+    return token
+
+
+def _mask_mixed(scan: Scan, rules: tuple[Rule, ...], bsn_rule: str) -> Column:
+    """Masking of texts with several types, over an alternation of all of them."""
+    token = _token_of(rules, bsn_rule)
+    return F.when(scan.odd, _weave(scan.text, _any_type(rules, True), token)).otherwise(
+        _weave(scan.text, _any_type(rules, False), token)
+    )
 
 
 def mask_text(
@@ -292,8 +312,10 @@ def mask_by_splicing(text: Column, hits: Column) -> Column:
 
 
 def mask_column(text: Column, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference") -> Column:
-    """Masking as a single expression, for short texts such as metadata fields."""
-    from .rules import inline_scan
-
-    scan = inline_scan(text)
-    return mask_text(scan, {r.label: type_present(scan, r, bsn_rule) for r in rules}, rules, bsn_rule)
+    """:func:`mask_text` as a single expression, for short texts such as metadata fields."""
+    token = _token_of(rules, bsn_rule)
+    return (
+        F.when(~maybe_pii(text, rules), text)
+        .when(odd_words(text), _weave(text, _any_type(rules, True), token))
+        .otherwise(_weave(text, _any_type(rules, False), token))
+    )

@@ -4,10 +4,15 @@ A rule may carry ``literals`` (lower-case strings of which a text must hold one)
 ``probe`` (a short pattern a text must match). Both are necessary conditions of the rule's
 pattern, so they never change a result: they let a byte search or one short scan decide for
 most texts that the costly pattern cannot match. Rules without them are simply always run.
+
+``equivalent`` holds a pattern with the same matches and ``predicate`` one found in the same
+texts, where a plainly written pattern would search in a costlier way.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -16,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .regex import SPACE_MEMBERS, java_body, to_java
+from .regex import ODD_WORD_CHARS, SPACE_MEMBERS, java_body, to_java
 
 
 @dataclass(frozen=True)
@@ -29,21 +34,24 @@ class Rule:
     literals: tuple[str | bytes, ...] = ()
     probe: str | None = None
     digits: bool = False
+    equivalent: str | None = None
     predicate: str | None = None
 
-    @property
-    def java(self) -> str:
-        return to_java(self.pattern, self.ignore_case)
+    def java(self, exact: bool) -> str:
+        return to_java(self.equivalent or self.pattern, self.ignore_case, exact)
 
-    @property
-    def java_predicate(self) -> str:
+    def java_predicate(self, exact: bool) -> str:
         """Pattern found in the same texts as ``java``, though not at the same places."""
-        return to_java(self.predicate or self.pattern, self.ignore_case)
+        return to_java(self.predicate or self.equivalent or self.pattern, self.ignore_case, exact)
 
-    @property
-    def body(self) -> str:
+    def body(self, exact: bool) -> str:
         """Pattern for the inside of an alternation, with its own case flag."""
-        return f"(?{'i' if self.ignore_case else '-i'}:{java_body(self.pattern)})"
+        inner = java_body(self.equivalent or self.pattern, exact)
+        return f"(?{'i' if self.ignore_case else '-i'}:{inner})"
+
+    @property
+    def bounded(self) -> bool:
+        return r"\b" in self.pattern
 
 
 # Any text that holds a match of a digit-bearing personal-data rule matches this one.
@@ -60,7 +68,8 @@ DIGIT_PROBE = (
 )
 
 _PII_HINTS = {
-    "email": {"literals": ("@",)},
+    # the part before "@" holds no "@", so nothing is gained by giving characters back
+    "email": {"literals": ("@",), "equivalent": fixed.PII_PATTERNS[0][1].replace("]+@", "]++@")},
     "phone": {"digits": True, "probe": "[0-9]{6}"},
     "iban": {"digits": True, "probe": f"[0-9]{{2}}{_ALNUM}{{11}}"},
     "linkedin": {"literals": ("linkedin.com/",)},
@@ -129,6 +138,13 @@ class Scan:
     lower: Column
     folds: Column
     digits: Column
+    odd: Column
+
+    def pick(self, rule: Rule, make: Callable[[bool], Column]) -> Column:
+        """``make(exact)`` with the fast boundaries where the text allows them."""
+        if not rule.bounded:
+            return make(False)
+        return F.when(self.odd, make(True)).otherwise(make(False))
 
     def candidate(self, rule: Rule) -> Column | None:
         """Condition without which ``rule`` cannot match, or None when there is none."""
@@ -152,17 +168,26 @@ class Scan:
 
     def matches(self, rule: Rule, group: int | None = None) -> Column:
         """All matches of the rule, as an array; empty when there are none."""
-        found = F.regexp_extract_all(
-            self.text, F.lit(rule.java), F.lit(rule.group if group is None else group)
+        at = F.lit(rule.group if group is None else group)
+        found = self.pick(
+            rule, lambda exact: F.regexp_extract_all(self.text, F.lit(rule.java(exact)), at)
         )
         return self._when_candidate(rule, found, F.lit([]).cast("array<string>"))
 
+    def gaps(self, rule: Rule, limit: int = -1) -> Column:
+        """The pieces of the text between the matches, up to ``limit`` of them."""
+        return self.pick(rule, lambda exact: F.split(self.text, rule.java(exact), limit))
+
+    def replaced(self, rule: Rule, token: str) -> Column:
+        return self.pick(rule, lambda exact: F.regexp_replace(self.text, rule.java(exact), token))
+
     def count(self, rule: Rule) -> Column:
-        return self._when_candidate(rule, F.regexp_count(self.text, F.lit(rule.java)), F.lit(0))
+        n = self.pick(rule, lambda exact: F.regexp_count(self.text, F.lit(rule.java(exact))))
+        return self._when_candidate(rule, n, F.lit(0))
 
     def exists(self, rule: Rule) -> Column:
         cond = self.candidate(rule)
-        hit = self.text.rlike(rule.java_predicate)
+        hit = self.pick(rule, lambda exact: self.text.rlike(rule.java_predicate(exact)))
         return F.coalesce(hit if cond is None else cond & hit, F.lit(False))
 
     def _when_candidate(self, rule: Rule, value: Column, empty: Column) -> Column:
@@ -173,7 +198,20 @@ class Scan:
 
 # Characters beyond ASCII that a case-insensitive match folds to i, s or k.
 _FOLDING = ("ı", "ſ", "\u212a", "İ")
-SCAN_COLUMNS = ("__lower", "__folds", "__digits")
+SCAN_COLUMNS = ("__lower", "__folds", "__digits", "__odd")
+
+
+def odd_words(text: Column) -> Column:
+    """Whether the text needs the exact word boundaries."""
+    return (F.length(text) < F.octet_length(text)) & text.rlike(ODD_WORD_CHARS)
+
+
+def maybe_pii(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """A condition every text with personal data meets, without helper columns."""
+    if any(not r.digits and not r.literals for r in rules):
+        return F.lit(True)
+    words = sorted({lit for r in rules if not r.digits for lit in r.literals})
+    return text.rlike(DIGIT_PROBE) | text.rlike("(?iU)" + "|".join(re.escape(w) for w in words))
 
 
 def scan_facts(text: Column) -> dict[str, Column]:
@@ -182,6 +220,7 @@ def scan_facts(text: Column) -> dict[str, Column]:
         "__lower": F.lower(text),
         "__folds": any_of([text.contains(c) for c in _FOLDING]),
         "__digits": text.rlike(DIGIT_PROBE),
+        "__odd": odd_words(text),
     }
 
 
@@ -190,8 +229,3 @@ def scan_of(text: str | Column) -> Scan:
     text = F.col(text) if isinstance(text, str) else text
     return Scan(text, *(F.col(c) for c in SCAN_COLUMNS))
 
-
-def inline_scan(text: Column) -> Scan:
-    """A scan that computes its facts in place; for short texts and single rules."""
-    facts = scan_facts(text)
-    return Scan(text, *(facts[c] for c in SCAN_COLUMNS))

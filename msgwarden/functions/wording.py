@@ -20,10 +20,10 @@ def nogo_hits(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> Column:
     empty = F.array().cast(NOGO_TYPE)
     per_rule = []
     for rule in rules:
-        found = F.regexp_extract_all(scan.text, F.lit(rule.java), F.lit(rule.group))
+        found = scan.matches(rule)
         hits = F.transform(found, _labelled(rule.label))
         cond = scan.candidate(rule)
-        per_rule.append(F.when(scan.text.isNotNull() if cond is None else cond, hits).otherwise(empty))
+        per_rule.append(hits if cond is None else F.when(cond, hits).otherwise(empty))
     return F.concat(*per_rule)
 
 

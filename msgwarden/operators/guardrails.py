@@ -65,8 +65,16 @@ def pii_summary(df: DataFrame, text: str, settings: CheckSettings = CheckSetting
 def pii_hits(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``hits``: every match with its offsets, ordered."""
     df, scan = with_scan(df, text)
-    hits = pii.hit_list(scan, settings.pii_rules, settings.bsn_rule)
-    return without_scan(df.withColumn("hits", hits))
+    labels = [r.label for r in settings.pii_rules]
+    found = {t: F.col(f"__pii_{t}") for t in labels}
+    gaps = {t: F.col(f"__gap_{t}") for t in labels}
+    df = df.withColumns({f"__pii_{r.label}": scan.matches(r) for r in settings.pii_rules})
+    df = df.withColumns(
+        {f"__gap_{r.label}": pii.type_gaps(scan, r, found[r.label]) for r in settings.pii_rules}
+    )
+    hits = pii.hit_list(found, gaps, settings.pii_rules, settings.bsn_rule)
+    helpers = [f"__{kind}_{t}" for kind in ("pii", "gap") for t in labels]
+    return settled(without_scan(df.withColumn("hits", hits)).drop(*helpers), ["hits"])
 
 
 def pii_hits_long(
@@ -74,9 +82,8 @@ def pii_hits_long(
 ) -> DataFrame:
     """One row per match: the keys, position in the list, type, match, start, end, mask."""
     listed = pii_hits(df.select(*keys, text), text, settings)
-    return settled(listed.drop(text), ["hits"]).select(
-        *keys, F.posexplode("hits").alias("pos", "hit")
-    ).select(*keys, "pos", "hit.*")
+    exploded = listed.select(*keys, F.posexplode("hits").alias("pos", "hit"))
+    return exploded.select(*keys, "pos", "hit.*")
 
 
 def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:

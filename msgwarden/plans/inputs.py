@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import read_table
+
 
 @dataclass(frozen=True)
 class Derived:
@@ -27,7 +29,7 @@ class Derived:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 # A document followed by a Dutch sentence that exercises the wording rules.

@@ -22,6 +22,18 @@ ANNOTATIONS = f"items array<{_ITEM}>"
 PAIRS = "pairs array<struct<case_id:string,llm_score:double,human_score:double>>"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table whose texts are to be searched.
+
+    Searching costs far more per byte than reading. A table of so few splits that most cores
+    would idle is spread over them; it is then at most a few dozen splits large. Larger tables
+    are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(path)
+    cores = min(spark.sparkContext.defaultParallelism, 32)
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV table: reads a header line, not the data."""
     return spark.read.option("header", True).option("escape", '"').csv(path).columns
