@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .regex import java_body
-from .rules import PII_RULES, Rule, Scan, any_of, maybe_pii, odd_words
+from .regex import EXACT_BOUNDARY, java_body
+from .rules import PII_RULES, Rule, Scan, any_of, maybe_pii, odd_words, pieces
 
 HIT_TYPE = "array<struct<type:string,match:string,start:int,end:int,mask:string>>"
 GROUPED_TYPE = "array<struct<type:string,matches:array<string>>>"
@@ -170,20 +170,15 @@ def hit_list(
     )
 
 
-def _first_start(scan: Scan, rule: Rule, bsn_rule: str) -> Column:
+def _first_start(scan: Scan, rule: Rule, found: Column) -> Column:
     if not _is_bsn(rule):
-        return F.length(scan.gaps(rule, 2)[0])
-    # skip the candidates that fail the checksum before the first valid one
-    valid = F.transform(scan.matches(rule), lambda m: bsn_valid(m, bsn_rule))
-    skipped = F.array_position(valid, True).cast("int") - 1
-    before = F.slice(scan.gaps(rule), F.lit(1), skipped + 1)
-    return F.aggregate(before, 9 * skipped, lambda s, g: s + F.length(g))
+        return scan.first(rule)
+    # candidates that fail the checksum may come before: look for the first valid number
+    word = F.concat(F.lit("(?U)" + EXACT_BOUNDARY), F.get(found, F.lit(0)), F.lit(EXACT_BOUNDARY))
+    return F.when(F.size(found) > 0, F.regexp_instr(scan.text, word))
 
 
-def grouped_hits(
-    scan: Scan, found: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES,
-    bsn_rule: str = "reference",
-) -> Column:
+def grouped_hits(scan: Scan, found: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES) -> Column:
     """``[{type, matches}]`` for the types that occur, in order of first occurrence.
 
     ``found`` holds the per-type match arrays (:func:`type_matches`), already computed.
@@ -192,7 +187,7 @@ def grouped_hits(
         F.when(
             F.size(found[r.label]) > 0,
             F.struct(
-                _first_start(scan, r, bsn_rule).alias("at"),
+                _first_start(scan, r, found[r.label]).alias("at"),
                 F.lit(k).alias("rank"),
                 F.lit(r.label).alias("type"),
                 found[r.label].alias("matches"),
@@ -236,9 +231,8 @@ def _mask_one(scan: Scan, rule: Rule, bsn_rule: str) -> Column:
 def _weave(text: Column, pattern: str, token) -> Column:
     """The text with every match of ``pattern`` replaced by ``token(match)``."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), token)
-    gaps = F.split(text, pattern, -1)
     return F.array_join(
-        F.zip_with(gaps, tokens, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), ""
+        F.zip_with(pieces(text, pattern), tokens, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), ""
     )
 
 

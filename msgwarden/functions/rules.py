@@ -67,30 +67,71 @@ DIGIT_PROBE = (
     rf"|[0-9]{_ALNUM}{{11}})"
 )
 
+# Equivalent patterns test the first character before anything else and name a boundary that
+# all alternatives share only once. The part of an address before "@" holds no "@", so
+# nothing is gained there by giving characters back.
 _PII_HINTS = {
-    # the part before "@" holds no "@", so nothing is gained by giving characters back
-    "email": {"literals": ("@",), "equivalent": fixed.PII_PATTERNS[0][1].replace("]+@", "]++@")},
-    "phone": {"digits": True, "probe": "[0-9]{6}"},
+    "email": {
+        "literals": ("@",),
+        "equivalent": r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    },
+    "phone": {
+        "digits": True,
+        "probe": "[0-9]{6}",
+        "equivalent": r"(?=[0+])\b(?:06[-\s]?[0-9]{8}|\+31[-\s]?6[-\s]?[0-9]{8}"
+        r"|0031[-\s]?6[-\s]?[0-9]{8}|0[0-9]{2,3}[-\s]?[0-9]{6,7}"
+        r"|\+31[-\s]?[0-9]{2,3}[-\s]?[0-9]{6,7})\b",
+    },
     "iban": {"digits": True, "probe": f"[0-9]{{2}}{_ALNUM}{{11}}"},
     "linkedin": {"literals": ("linkedin.com/",)},
-    "bsn": {"digits": True, "probe": "[0-9]{9}"},
+    "bsn": {"digits": True, "probe": "[0-9]{9}", "equivalent": r"(?=[0-9])\b[0-9]{9}\b"},
     "rijbewijs": {"digits": True, "probe": f"[0-9]{{3}}-?{_LETTER}"},
-    "credit_card": {"digits": True, "probe": f"(?U)[0-9]{{4}}{_SEP}[0-9]{{4}}"},
-    "ip_address": {"digits": True, "probe": r"[0-9]\.[0-9]{1,3}\.[0-9]"},
-    "api_key": {"literals": ("sk-", "pk-", "api")},
+    "credit_card": {
+        "digits": True,
+        "probe": f"(?U)[0-9]{{4}}{_SEP}[0-9]{{4}}",
+        "equivalent": r"(?=[0-9])\b(?:[0-9]{4}[-\s]?){3}[0-9]{4}\b",
+    },
+    "ip_address": {
+        "digits": True,
+        "probe": r"[0-9]\.[0-9]{1,3}\.[0-9]",
+        "equivalent": r"(?=[0-9])\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    },
+    "api_key": {
+        "literals": ("sk-", "pk-", "api"),
+        "equivalent": r"(?=[spa])\b(?:sk-|pk-|api[_-]?key)[A-Za-z0-9_-]{20,}\b",
+    },
 }
 # UTF-8 lead bytes shared by every pictograph above U+1F000; searched for as bytes.
 EMOJI_BYTES = b"\xf0\x9f"
 _NOGO_HINTS = {
-    "garantie": ("garantie", "gegarandeerd"),
-    "garanderen": ("garandeer",),
-    "risicoloos": ("risicoloos", "risk"),
-    "zeker_weten": ("zeker", "100"),
-    "we_beloven": ("beloof", "beloven"),
-    "geld_terug": ("geld", "money"),
-    "hey": ("hey", "hoi", "yo"),
-    "emoji": ("✨", "❤", "\ufe0f", EMOJI_BYTES),
-    "excess_exclam": ("!!",),
+    "garantie": {
+        "literals": ("garantie", "gegarandeerd"),
+        "equivalent": r"(?=g)\b(?:garantie(s|vrij)?|gegarandeerd)\b",
+    },
+    "garanderen": {"literals": ("garandeer",), "equivalent": r"(?=g)\bgarandeer(t|en|de|den)?\b"},
+    "risicoloos": {
+        "literals": ("risicoloos", "risk"),
+        "equivalent": r"(?=r)\b(?:risicoloos|risk[-\s]?free)\b",
+    },
+    "zeker_weten": {
+        "literals": ("zeker", "100"),
+        "equivalent": r"(?=[z1])\b(?:zeker\s+weten\b|100%|100\s?procent\b)",
+    },
+    "we_beloven": {
+        "literals": ("beloof", "beloven"),
+        "equivalent": r"(?=[wib])\b(?:(we|wij|ik)\s+beloof|beloofd|we\s+beloven)\b",
+    },
+    "geld_terug": {
+        "literals": ("geld", "money"),
+        "equivalent": r"(?=[gm])\b(?:geld[-\s]?terug|money[-\s]?back)\b",
+    },
+    "hey": {"literals": ("hey", "hoi", "yo"), "equivalent": r"(?=[hy])\b(?:hey|hoi|yo)\b"},
+    # every character of the class lies behind U+2727
+    "emoji": {
+        "literals": ("✨", "❤", "\ufe0f", EMOJI_BYTES),
+        "equivalent": r"(?=[^\x00-✧])" + fixed.NOGO_PATTERNS[7][1],
+    },
+    "excess_exclam": {"literals": ("!!",)},
 }
 _CTA_HINTS = (
     ("plan", "spreken", "afspraak", "bellen", "call", "overleg"),
@@ -107,21 +148,22 @@ _CTA_HINTS = (
 # "A, anything, B" on one line holds exactly when a B follows the line's first A. Committing
 # to that first A keeps the search linear where a line repeats A many times without any B.
 _CTA_PREDICATES = {
-    6: r"(?m)^(?>.*?\b(?:dinsdag|woensdag|donderdag|vrijdag|maandag)\b).*\b(?:om|tussen|van)\b",
-    7: r"(?m)\b(?:stuurt? u|laat (?:u|het) weten)\b|^(?>.*?\bgeef).*door\b",
-    9: r"(?m)\b(?:bevestig|bevestigt u)\b|^(?>.*?\bplan).*in\b|^(?>.*?\bstel).*voor\b",
+    6: r"(?m)^(?>.*?[mdwv](?<=\b.)(?:(?<=m)aandag|(?<=d)insdag|(?<=w)oensdag|(?<=d)onderdag|(?<=v)rijdag)\b).*\b(?:om|tussen|van)\b",
+    7: r"(?m)\b(?:stuurt? u|laat (?:u|het) weten)\b|^(?>.*?g(?<=\bg)eef).*door\b",
+    9: r"(?m)\bbevestig(?:t u)?\b|^(?>.*?p(?<=\bp)lan).*in\b|^(?>.*?s(?<=\bs)tel).*voor\b",
 }
+_CTA_PROBES = {9: r"(?=[psb])\b(?:plan|stel|bevestig)", 7: r"(?=[slg])\b(?:stuur|laat|geef)"}
 
 PII_RULES = tuple(
     Rule(label, pattern, mask=mask, ignore_case=ci, **_PII_HINTS[label])
     for label, pattern, mask, ci in fixed.PII_PATTERNS
 )
 NOGO_RULES = tuple(
-    Rule(label, pattern, group=group, ignore_case=ci, literals=_NOGO_HINTS[label])
+    Rule(label, pattern, group=group, ignore_case=ci, **_NOGO_HINTS[label])
     for label, pattern, group, ci in fixed.NOGO_PATTERNS
 )
 CTA_RULES = tuple(
-    Rule(str(i), pattern, literals=hints, predicate=_CTA_PREDICATES.get(i))
+    Rule(str(i), pattern, literals=hints, probe=_CTA_PROBES.get(i), predicate=_CTA_PREDICATES.get(i))
     for i, (pattern, hints) in enumerate(zip(fixed.CTA_PATTERNS, _CTA_HINTS), start=1)
 )
 
@@ -130,6 +172,18 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(or_, conditions) if conditions else F.lit(False)
 
 
+def pieces(text: Column, pattern: str) -> Column:
+    """The text split at the matches of a pattern.
+
+    Splitting at a pattern compiles it anew for every row, replacing does not. So matches are
+    replaced by one NUL each and the text is split there, unless it holds a NUL itself.
+    """
+    nul = "\0"
+    return F.when(text.contains(nul), F.split(text, pattern, -1)).otherwise(
+        F.split(F.regexp_replace(text, pattern, nul), nul, -1)
+    )
+
+
 @dataclass(frozen=True)
 class Scan:
     """A text column together with the per-row facts the cheap tests need."""
@@ -161,6 +215,8 @@ class Scan:
             cond = any_of(found)
         if rule.probe:
             probe = self.text.rlike(rule.probe)
+            if r"\b" in rule.probe:  # boundaries in probes are the fast ones
+                probe = self.odd | self.text.rlike("(?iU)" + rule.probe)
             cond = probe if cond is None else cond & probe
         if rule.digits:
             cond = self.digits if cond is None else self.digits & cond
@@ -174,9 +230,13 @@ class Scan:
         )
         return self._when_candidate(rule, found, F.lit([]).cast("array<string>"))
 
-    def gaps(self, rule: Rule, limit: int = -1) -> Column:
-        """The pieces of the text between the matches, up to ``limit`` of them."""
-        return self.pick(rule, lambda exact: F.split(self.text, rule.java(exact), limit))
+    def gaps(self, rule: Rule) -> Column:
+        """The pieces of the text between the matches."""
+        return self.pick(rule, lambda exact: pieces(self.text, rule.java(exact)))
+
+    def first(self, rule: Rule) -> Column:
+        """Place of the first match, for comparison with those of other rules in the text."""
+        return self.pick(rule, lambda exact: F.regexp_instr(self.text, F.lit(rule.java(exact))))
 
     def replaced(self, rule: Rule, token: str) -> Column:
         return self.pick(rule, lambda exact: F.regexp_replace(self.text, rule.java(exact), token))
@@ -211,14 +271,15 @@ def maybe_pii(text: Column, rules: tuple[Rule, ...]) -> Column:
     if any(not r.digits and not r.literals for r in rules):
         return F.lit(True)
     words = sorted({lit for r in rules if not r.digits for lit in r.literals})
-    return text.rlike(DIGIT_PROBE) | text.rlike("(?iU)" + "|".join(re.escape(w) for w in words))
+    return text.rlike(DIGIT_PROBE) | text.rlike("(?iU)(?=[" + "".join(sorted({re.escape(w[0]) for w in words})) + "])(?:" + "|".join(re.escape(w) for w in words) + ")")
 
 
 def scan_facts(text: Column) -> dict[str, Column]:
     """The helper columns of :class:`Scan`, each computed once per row."""
     return {
         "__lower": F.lower(text),
-        "__folds": any_of([text.contains(c) for c in _FOLDING]),
+        "__folds": (F.length(text) < F.octet_length(text))
+        & any_of([text.contains(c) for c in _FOLDING]),
         "__digits": text.rlike(DIGIT_PROBE),
         "__odd": odd_words(text),
     }

@@ -98,7 +98,7 @@ def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings(
         }
     )
     df = df.withColumn(
-        "__grouped", pii.grouped_hits(scan, found, settings.pii_rules, settings.bsn_rule)
+        "__grouped", pii.grouped_hits(scan, found, settings.pii_rules)
     )
     present = {label: F.size(col) > 0 for label, col in found.items()}
     total = reduce(lambda a, b: a + b, [F.size(c) for c in found.values()])
@@ -212,7 +212,7 @@ def check_cases(
         policy = F.filter(policy, lambda h: h["key"].isin(list(settings.policy_labels)))
     df = df.withColumns(
         {
-            "__grouped": pii.grouped_hits(scan, found, settings.pii_rules, settings.bsn_rule),
+            "__grouped": pii.grouped_hits(scan, found, settings.pii_rules),
             "__errors": errors,
             "__over": wording.over_by(F.col("__words"), _limit(settings)),
             "__policy": policy,
