@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import any_of
+from .sqltext import any_of, quoted
 
 # Session setting under which a repeated key keeps its last value instead of failing.
 DUPLICATE_KEYS_CONF = "spark.sql.variant.allowDuplicateKeys"
@@ -35,20 +35,22 @@ def parse_json(text: Column) -> Column:
     return F.coalesce(_parse_whole(text), F.when(odd, _parse_whole(quoted)))
 
 
-def kind(value: Column) -> Column:
-    """object, array, string, boolean, number or null; NULL where there is no value."""
-    schema = F.schema_of_variant(value)
+def kind(value: str) -> str:
+    """SQL for object, array, string, boolean, number or null; NULL where there is no value."""
+    schema = f"schema_of_variant({value})"
     return (
-        F.when(value.isNull(), F.lit(None))
-        .when(schema == "VOID", "null")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .otherwise("number")
+        f"CASE WHEN {value} IS NULL THEN NULL WHEN {schema} LIKE 'OBJECT%' THEN 'object'"
+        f" WHEN {schema} = 'STRING' THEN 'string' WHEN {schema} LIKE 'ARRAY%' THEN 'array'"
+        f" WHEN {schema} = 'BOOLEAN' THEN 'boolean' WHEN {schema} = 'VOID' THEN 'null' ELSE 'number' END"
     )
 
 
+def at(value: str, keys: tuple[str, ...], kind_: str = "variant") -> str:
+    """SQL for the value under the keys, NULL where it is absent or of another kind."""
+    path = "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in keys)
+    return f"try_variant_get({value}, {quoted(path)}, '{kind_}')"
+
+
 _KEYWORDS = {
     "type", "properties", "required", "additionalProperties", "minLength", "maxLength", "enum",
 }
@@ -63,57 +65,52 @@ def _check_keywords(schema: dict, where: str) -> None:
         raise ValueError(f"additionalProperties at {where} must be true or false")
 
 
-def _path(keys: tuple[str, ...]) -> str:
-    return "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in keys)
-
-
-def schema_errors(value: Column, text: Column, schema: dict) -> Column:
-    """Codes of the schema rules that the parsed text breaks, as ``array<string>``.
+def schema_errors(parsed: str, schema: dict) -> Column:
+    """Codes of the schema rules that a parsed text breaks, as ``array<string>``.
 
-    ``value`` is the parsed text (:func:`parse_json`). Codes read ``path:keyword``, with
+    ``parsed`` names a column made by :func:`parse_json`. Codes read ``path:keyword``, with
     ``$:json`` alone for a text that is not JSON. The schema is read on the driver while the
     query is built; a keyword outside the supported ones is refused there.
     """
-    codes = [F.when(value.isNull(), F.lit("$:json"))]
+    codes = [f"CASE WHEN {parsed} IS NULL THEN '$:json' END"]
 
     def visit(node: dict, keys: tuple[str, ...]) -> None:
         where = ".".join(("$",) + keys)
         _check_keywords(node, where)
-        at = value if not keys else F.try_variant_get(value, _path(keys), "variant")
-        as_text = F.try_variant_get(value, _path(keys), "string")
-        what = kind(at)
+        value = at(parsed, keys) if keys else parsed
+        text, what = at(parsed, keys, "string"), kind(value)
 
-        def broken(keyword: str, cond: Column) -> None:
-            codes.append(F.when(value.isNotNull() & F.coalesce(cond, F.lit(False)), F.lit(f"{where}:{keyword}")))
+        def broken(keyword: str, cond: str) -> None:
+            codes.append(f"CASE WHEN {parsed} IS NOT NULL AND {cond} THEN {quoted(f'{where}:{keyword}')} END")
 
         if "type" in node:
-            wanted = node["type"] if isinstance(node["type"], list) else [node["type"]]
             fits = []
-            for name in wanted:
-                if name == "integer":
-                    number = F.try_variant_get(value, _path(keys), "double")
-                    fits.append((what == "number") & (number == F.floor(number)))
+            for wanted in node["type"] if isinstance(node["type"], list) else [node["type"]]:
+                if wanted == "integer":
+                    number = at(parsed, keys, "double")
+                    fits.append(f"({what} = 'number' AND {number} = floor({number}))")
                 else:
-                    fits.append(what == name)
-            broken("type", ~any_of(fits))
-        if "minLength" in node:
-            broken("minLength", (what == "string") & (F.length(as_text) < node["minLength"]))
-        if "maxLength" in node:
-            broken("maxLength", (what == "string") & (F.length(as_text) > node["maxLength"]))
+                    fits.append(f"{what} = {quoted(wanted)}")
+            broken("type", f"NOT {any_of(fits)}")
+        for keyword, sign in (("minLength", "<"), ("maxLength", ">")):
+            if keyword in node:
+                broken(keyword, f"{what} = 'string' AND length({text}) {sign} {int(node[keyword])}")
         if "enum" in node:
             if not all(isinstance(v, str) for v in node["enum"]):
                 raise ValueError(f"enum at {where} must list strings")
-            broken("enum", ~((what == "string") & as_text.isin(list(node["enum"]))))
-        if not {"properties", "required", "additionalProperties"} & set(node):
-            return
-        present = F.json_object_keys(F.to_json(F.when(what == "object", at)))
-        for name in node.get("required", ()):
-            broken(f"required:{name}", ~F.array_contains(present, name))
+            listed = ", ".join(quoted(v) for v in node["enum"])
+            broken("enum", f"NOT ({what} = 'string' AND {text} IN ({listed}))")
+        present = f"json_object_keys(to_json(CASE WHEN {what} = 'object' THEN {value} END))"
+        for required in node.get("required", ()):
+            broken(f"required:{required}", f"NOT array_contains({present}, {quoted(required)})")
         if node.get("additionalProperties", True) is False:
-            known = F.array(*[F.lit(k) for k in node.get("properties", {})]).cast("array<string>")
-            broken("additionalProperties", F.size(F.array_except(present, known)) > 0)
-        for name, child in node.get("properties", {}).items():
-            visit(child, keys + (name,))
+            known = ", ".join(quoted(k) for k in node.get("properties", {}))
+            broken(
+                "additionalProperties",
+                f"size(array_except({present}, CAST(array({known}) AS array<string>))) > 0",
+            )
+        for key, child in node.get("properties", {}).items():
+            visit(child, keys + (key,))
 
     visit(schema, ())
-    return F.array_compact(F.array(*codes))
+    return F.expr(f"array_compact(array({', '.join(codes)}))")

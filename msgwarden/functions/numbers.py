@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqltext import quoted
+
 # digits with single underscores between them, an optional fraction and exponent
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _FLOAT = (
@@ -13,14 +15,19 @@ _FLOAT = (
 )
 
 
-def float_of(text: Column) -> Column:
-    """The text as a double where it is written as one, else NULL.
+def float_sql(text: str) -> str:
+    """SQL for the text as a double where it is written as one, else NULL.
 
     Narrower than a cast, which also takes hexadecimal numbers and type suffixes, and wider
     in allowing underscores between digits.
     """
-    plain = F.regexp_replace(text, r"(?iU)[_\s\x1c-\x1f]|[+-](?=nan)", "")
-    return F.when(text.rlike(_FLOAT), plain.try_cast("double"))
+    noise = quoted(r"(?iU)[_\s\x1c-\x1f]|[+-](?=nan)")
+    return f"CASE WHEN {text} RLIKE {quoted(_FLOAT)} THEN try_cast(regexp_replace({text}, {noise}, '') AS DOUBLE) END"
+
+
+def float_of(column: str) -> Column:
+    """:func:`float_sql` for a column or field by name."""
+    return F.expr(float_sql(column))
 
 
 def at_least(value: Column, limit) -> Column:

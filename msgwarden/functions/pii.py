@@ -1,290 +1,224 @@
-"""Personal data in a text: matches, offsets, counts and masking as column expressions."""
+"""Personal data in a text: matches, offsets, counts and masking.
 
-from __future__ import annotations
+Functions that take a :class:`Scan` return SQL text for the columns they name; those that
+take and return columns are meant for use on their own.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .regex import EXACT_BOUNDARY, java_body
-from .rules import PII_RULES, Rule, Scan, any_of, maybe_pii, odd_words, pieces
+from .rules import PII_RULES, Rule, Scan, maybe_pii, odd_words, pieces
+from .sqltext import any_of, quoted, total
 
-HIT_TYPE = "array<struct<type:string,match:string,start:int,end:int,mask:string>>"
 GROUPED_TYPE = "array<struct<type:string,matches:array<string>>>"
+_HITS_TYPE = "array<struct<start:int,rank:int,type:string,match:string,end:int,mask:string>>"
 
 
-def bsn_valid(value: Column, rule: str = "reference") -> Column:
+def bsn_rule_sql(value: str, rule: str = "reference") -> str:
     """Checksum of a nine-digit number.
 
     With r = (sum of digit_i * (9 - i) over the first eight digits) mod 11, the last digit
     must equal r when r < 2 and 11 - r otherwise; ``rule='standard'`` asks for r itself.
     """
-    total = reduce(
-        lambda a, b: a + b,
-        [F.substring(value, i + 1, 1).try_cast("int") * (9 - i) for i in range(8)],
-    )
-    r = total % 11
-    last = F.substring(value, 9, 1).try_cast("int")
-    if rule == "standard":
-        return F.coalesce(last == r, F.lit(False))
-    if rule != "reference":
+    if rule not in ("reference", "standard"):
         raise ValueError(f"unknown BSN rule {rule!r}")
-    return F.coalesce(last == F.when(r < 2, r).otherwise(11 - r), F.lit(False))
+    digit = "try_cast(substring({v}, {i}, 1) AS INT)"
+    r = "(" + total([f"{digit.format(v=value, i=i + 1)} * {9 - i}" for i in range(8)]) + " % 11)"
+    wanted = r if rule == "standard" else f"IF({r} < 2, {r}, 11 - {r})"
+    return f"coalesce({digit.format(v=value, i=9)} = {wanted}, false)"
+
+
+def with_bsn_valid(df, number: str, out: str = "valid", rule: str = "reference"):
+    """The frame with the checksum of a column of nine-digit numbers."""
+    return df.withColumn(out, F.expr(bsn_rule_sql(f"`{number}`", rule)))
 
 
 def _is_bsn(rule: Rule) -> bool:
     return rule.label == "bsn"
 
 
-def type_matches(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> Column:
+def type_matches(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> str:
     """Matches of one type, as ``array<string>`` in text order."""
     found = scan.matches(rule)
-    if not _is_bsn(rule):
-        return found
-    return F.when(
-        scan.candidate(rule), F.filter(found, lambda m: bsn_valid(m, bsn_rule))
-    ).otherwise(F.lit([]).cast("array<string>"))
+    return f"filter({found}, m -> {bsn_rule_sql('m', bsn_rule)})" if _is_bsn(rule) else found
 
 
-def type_count(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> Column:
-    """Number of matches of one type; no array is built except for checksummed numbers."""
-    if _is_bsn(rule):
-        return F.size(type_matches(scan, rule, bsn_rule))
-    return scan.count(rule)
+def type_count(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> str:
+    """Number of matches of one type; no array is kept except for checksummed numbers."""
+    return f"size({type_matches(scan, rule, bsn_rule)})" if _is_bsn(rule) else scan.count(rule)
 
 
-def type_present(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> Column:
+def type_present(scan: Scan, rule: Rule, bsn_rule: str = "reference") -> str:
     if _is_bsn(rule):
-        return F.size(type_matches(scan, rule, bsn_rule)) > 0
+        return f"(size({type_matches(scan, rule, bsn_rule)}) > 0)"
     return scan.exists(rule)
 
 
-def has_pii(scan: Scan, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference") -> Column:
-    return any_of([type_present(scan, r, bsn_rule) for r in rules])
-
-
-def count_columns(scan: Scan, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference"):
-    """One count column per type, named after the type."""
-    return [type_count(scan, r, bsn_rule).alias(r.label) for r in rules]
+def count_map(labels: list[str]) -> Column:
+    """``map<type, n>`` of the types that occur, from one count column per type."""
+    entries = ", ".join(f"struct({quoted(t)} AS key, `{t}` AS value)" for t in labels)
+    return F.expr(f"map_from_entries(filter(array({entries}), e -> e.value > 0))")
 
 
-def count_map(counts: dict[str, Column]) -> Column:
-    """``map<type, n>`` of the types that occur, from per-type counts."""
-    entries = F.array(
-        *[F.struct(F.lit(t).alias("key"), n.alias("value")) for t, n in counts.items()]
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
-
-
-def _running_starts(gaps: Column, matches: Column) -> Column:
+def _running_starts(found: str, gaps: str) -> str:
     """Start of each match from the gaps before it and the matches before it.
 
     A running total over an array costs a copy per step. Working in blocks of 256 bounds the
     copies, so texts with very many matches stay affordable within one row.
     """
-    block = 256
-    steps = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)),
-        matches,
-        lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")),
+    steps = (
+        f"zip_with(slice({gaps}, 1, size({found})), {found},"
+        " (g, m) -> struct(length(g) AS gap, length(m) AS len))"
     )
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.size(matches), F.lit(block)),
-        lambda at: F.slice(steps, at, F.lit(block)),
+    blocks = f"transform(sequence(1, size({found}), 256), at -> slice({steps}, at, 256))"
+    inner = (
+        "aggregate(b, struct(s.pos AS pos, CAST(array() AS array<int>) AS starts),"
+        " (t, x) -> struct(t.pos + x.gap + x.len AS pos, concat(t.starts, array(t.pos + x.gap)) AS starts))"
     )
-
-    def extend(state: Column, step: Column) -> Column:
-        start = state["pos"] + step["gap"]
-        return F.struct(
-            (start + step["len"]).alias("pos"),
-            F.concat(state["starts"], F.array(start)).alias("starts"),
-        )
-
-    def total(steps_: Column) -> Column:
-        return F.aggregate(steps_, F.lit(0), lambda s, x: s + x["gap"] + x["len"])
-
-    def place(state: Column, steps_: Column) -> Column:
-        inner = F.aggregate(
-            steps_,
-            F.struct(state["pos"].alias("pos"), F.array().cast("array<int>").alias("starts")),
-            extend,
-        )
-        return F.struct(
-            (state["pos"] + total(steps_)).alias("pos"),
-            F.concat(state["blocks"], F.array(inner["starts"])).alias("blocks"),
-        )
-
-    done = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<array<int>>").alias("blocks")),
-        place,
+    done = (
+        f"aggregate({blocks}, struct(0 AS pos, CAST(array() AS array<array<int>>) AS blocks),"
+        " (s, b) -> struct(s.pos + aggregate(b, 0, (n, x) -> n + x.gap + x.len) AS pos,"
+        f" concat(s.blocks, array({inner}.starts)) AS blocks))"
     )
-    return F.flatten(done["blocks"])
+    return f"flatten({done}.blocks)"
 
 
-def type_gaps(scan: Scan, rule: Rule, found: Column) -> Column:
+def type_gaps(scan: Scan, rule: Rule, found: str) -> str:
     """Pieces between the candidates of one type, where there are any."""
-    return F.when(F.size(found) > 0, scan.gaps(rule))
+    return f"CASE WHEN size({found}) > 0 THEN {scan.gaps(rule)} END"
 
 
-def _type_hits(rule: Rule, rank: int, found: Column, gaps: Column, bsn_rule: str) -> Column:
+def _type_hits(rule: Rule, rank: int, found: str, gaps: str, bsn_rule: str) -> str:
     """Matches of one type with their offsets in characters."""
-    hits = F.zip_with(
-        found,
-        _running_starts(gaps, found),
-        lambda m, at: F.struct(
-            at.alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(rule.label).alias("type"),
-            m.alias("match"),
-            (at + F.length(m)).alias("end"),
-            F.lit(rule.mask).alias("mask"),
-        ),
+    hits = (
+        f"zip_with({found}, {_running_starts(found, gaps)}, (m, at) -> struct(at AS start, {rank} AS rank,"
+        f" {quoted(rule.label)} AS type, m AS match, at + length(m) AS end, {quoted(rule.mask)} AS mask))"
     )
     if _is_bsn(rule):
-        hits = F.filter(hits, lambda h: bsn_valid(h["match"], bsn_rule))
-    empty = F.array().cast(
-        "array<struct<start:int,rank:int,type:string,match:string,end:int,mask:string>>"
-    )
+        hits = f"filter({hits}, h -> {bsn_rule_sql('h.match', bsn_rule)})"
     # sequence() counts down on an empty list, so presence is settled first
-    return F.when(F.size(found) > 0, hits).otherwise(empty)
+    return f"CASE WHEN size({found}) > 0 THEN {hits} ELSE CAST(array() AS {_HITS_TYPE}) END"
 
 
 def hit_list(
-    found: dict[str, Column], gaps: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES,
+    found: dict[str, str], gaps: dict[str, str], rules: tuple[Rule, ...] = PII_RULES,
     bsn_rule: str = "reference",
-) -> Column:
+) -> str:
     """Every match with offsets, ordered by start and then by type order.
 
-    ``found`` holds the candidates per type (``Scan.matches``) and ``gaps`` the pieces between
-    them (:func:`type_gaps`), both already computed.
+    ``found`` names the columns of candidates per type (``Scan.matches``) and ``gaps`` those
+    of the pieces between them (:func:`type_gaps`).
     """
-    every = F.concat(
-        *[_type_hits(r, k, found[r.label], gaps[r.label], bsn_rule) for k, r in enumerate(rules)]
+    every = ", ".join(
+        _type_hits(r, k, found[r.label], gaps[r.label], bsn_rule) for k, r in enumerate(rules)
     )
-    return F.transform(
-        F.sort_array(every),
-        lambda h: F.struct(h["type"], h["match"], h["start"], h["end"], h["mask"]),
+    return (
+        f"transform(sort_array(concat({every})), h -> struct(h.type AS type, h.match AS match,"
+        " h.start AS start, h.end AS end, h.mask AS mask))"
     )
 
 
-def _first_start(scan: Scan, rule: Rule, found: Column) -> Column:
+def _first_start(scan: Scan, rule: Rule, found: str) -> str:
     if not _is_bsn(rule):
         return scan.first(rule)
     # candidates that fail the checksum may come before: look for the first valid number
-    word = F.concat(F.lit("(?U)" + EXACT_BOUNDARY), F.get(found, F.lit(0)), F.lit(EXACT_BOUNDARY))
-    return F.when(F.size(found) > 0, F.regexp_instr(scan.text, word))
+    edge = quoted(EXACT_BOUNDARY)
+    return f"regexp_instr({scan.text}, concat('(?U)', {edge}, get({found}, 0), {edge}))"
 
 
-def grouped_hits(scan: Scan, found: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES) -> Column:
+def grouped_hits(scan: Scan, found: dict[str, str], rules: tuple[Rule, ...] = PII_RULES) -> str:
     """``[{type, matches}]`` for the types that occur, in order of first occurrence.
 
-    ``found`` holds the per-type match arrays (:func:`type_matches`), already computed.
+    ``found`` names the columns of matches per type (:func:`type_matches`).
     """
-    entries = [
-        F.when(
-            F.size(found[r.label]) > 0,
-            F.struct(
-                _first_start(scan, r, found[r.label]).alias("at"),
-                F.lit(k).alias("rank"),
-                F.lit(r.label).alias("type"),
-                found[r.label].alias("matches"),
-            ),
-        )
+    entries = ", ".join(
+        f"CASE WHEN size({found[r.label]}) > 0 THEN struct({_first_start(scan, r, found[r.label])} AS at,"
+        f" {k} AS rank, {quoted(r.label)} AS type, {found[r.label]} AS matches) END"
         for k, r in enumerate(rules)
-    ]
-    ordered = F.sort_array(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-    grouped = F.transform(ordered, lambda e: F.struct(e["type"], e["matches"]))
-    present = any_of([F.size(found[r.label]) > 0 for r in rules])
-    return F.when(present, grouped).otherwise(F.array().cast(GROUPED_TYPE))
-
-
-def matches_map(grouped: Column) -> Column:
-    """``map<type, matches>`` from :func:`grouped_hits`."""
-    return F.map_from_entries(grouped)
+    )
+    present = any_of([f"size({found[r.label]}) > 0" for r in rules])
+    return (
+        f"CASE WHEN {present} THEN transform(sort_array(filter(array({entries}), e -> e IS NOT NULL)),"
+        f" e -> struct(e.type AS type, e.matches AS matches)) ELSE CAST(array() AS {GROUPED_TYPE}) END"
+    )
 
 
-def violations(grouped: Column) -> Column:
+def violations(grouped: str) -> str:
     """One reported text per type that occurs."""
     before, after = fixed.PII_VIOLATION.split("{type}")
     middle, end = after.split("{count}")
-    return F.transform(
-        grouped,
-        lambda g: F.concat(
-            F.lit(before), g["type"], F.lit(middle), F.size(g["matches"]).cast("string"), F.lit(end)
-        ),
+    return (
+        f"transform({grouped}, g -> concat({quoted(before)}, g.type, {quoted(middle)},"
+        f" CAST(size(g.matches) AS STRING), {quoted(end)}))"
     )
 
 
-def _mask_one(scan: Scan, rule: Rule, bsn_rule: str) -> Column:
-    if not _is_bsn(rule):
-        return scan.replaced(rule, rule.mask)
+def _weave(text: str, pattern: str, token: str) -> str:
+    """The text with every match ``m`` of ``pattern`` replaced by ``token``."""
+    tokens = f"transform(regexp_extract_all({text}, {quoted(pattern)}, 0), m -> {token})"
+    return (
+        f"array_join(zip_with({pieces(text, pattern)}, {tokens}, (g, t) -> concat(g, coalesce(t, ''))), '')"
+    )
 
-    def token(m: Column) -> Column:
-        return F.when(bsn_valid(m, bsn_rule), F.lit(rule.mask)).otherwise(m)
 
+def _mask_one(scan: Scan, rule: Rule, bsn_rule: str) -> str:
+    if not _is_bsn(rule):
+        return scan.replaced(rule, rule.mask)
+    token = f"IF({bsn_rule_sql('m', bsn_rule)}, {quoted(rule.mask)}, m)"
     return scan.pick(rule, lambda exact: _weave(scan.text, rule.java(exact), token))
 
 
-def _weave(text: Column, pattern: str, token) -> Column:
-    """The text with every match of ``pattern`` replaced by ``token(match)``."""
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), token)
-    return F.array_join(
-        F.zip_with(pieces(text, pattern), tokens, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), ""
-    )
-
-
-def _any_type(rules: tuple[Rule, ...], exact: bool) -> str:
+def any_type(rules: tuple[Rule, ...], exact: bool) -> str:
+    """Alternation of all types, in type order."""
     return "(?Ud)" + "|".join(rule.body(exact) for rule in rules)
 
 
-def _token_of(rules: tuple[Rule, ...], bsn_rule: str):
-    """The token for a match of the alternation of all types.
+def _token_of(rules: tuple[Rule, ...], bsn_rule: str) -> str:
+    """The token for a match ``m`` of the alternation of all types.
 
     Which type a match has follows from the match alone: the patterns are tried in type order
     against the whole match, without the boundaries, as the alternation tried them in place.
     """
-
-    def token(m: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for rule in reversed(rules):
-            inside = java_body(rule.pattern.replace(r"\b", ""))
-            whole = f"(?{'i' if rule.ignore_case else ''}Ud)\\A(?:{inside})\\z"
-            mask = F.lit(rule.mask)
-            if _is_bsn(rule):
-                mask = F.when(bsn_valid(m, bsn_rule), mask).otherwise(m)
-            out = F.when(m.rlike(whole), mask).otherwise(out)
-        return F.coalesce(out, m)
-
-    return token
+    cases = []
+    for rule in rules:
+        inside = java_body(rule.pattern.replace(r"\b", ""))
+        whole = f"(?{'i' if rule.ignore_case else ''}Ud)\\A(?:{inside})\\z"
+        mask = quoted(rule.mask)
+        if _is_bsn(rule):
+            mask = f"IF({bsn_rule_sql('m', bsn_rule)}, {mask}, m)"
+        cases.append(f"WHEN m RLIKE {quoted(whole)} THEN {mask}")
+    return f"CASE {' '.join(cases)} ELSE m END"
 
 
-def _mask_mixed(scan: Scan, rules: tuple[Rule, ...], bsn_rule: str) -> Column:
-    """Masking of texts with several types, over an alternation of all of them."""
+def _mask_any(text: str, odd: str, rules: tuple[Rule, ...], bsn_rule: str) -> str:
     token = _token_of(rules, bsn_rule)
-    return F.when(scan.odd, _weave(scan.text, _any_type(rules, True), token)).otherwise(
-        _weave(scan.text, _any_type(rules, False), token)
+    return (
+        f"CASE WHEN {odd} THEN {_weave(text, any_type(rules, True), token)}"
+        f" ELSE {_weave(text, any_type(rules, False), token)} END"
     )
 
 
 def mask_text(
-    scan: Scan, present: dict[str, Column], rules: tuple[Rule, ...] = PII_RULES,
+    scan: Scan, present: dict[str, str], rules: tuple[Rule, ...] = PII_RULES,
     bsn_rule: str = "reference",
-) -> Column:
+) -> str:
     """The text with every match replaced by its type's token.
 
-    ``present`` holds a boolean per type. Most texts hold no type or one, and are returned as
-    they are or pass through one replacement. Where matches of different types overlap, the
+    ``present`` holds a condition per type. Most texts hold no type or one, and are returned
+    as they are or pass through one replacement. Where matches of different types overlap, the
     one that starts first is masked, the earlier type on a tie, and the search goes on
     behind it; :func:`mask_by_splicing` gives the other known behaviour for that case.
     """
-    kinds = reduce(lambda a, b: a + b, [present[r.label].cast("int") for r in rules])
-    out = F.when(kinds > 1, _mask_mixed(scan, rules, bsn_rule))
-    for rule in rules:
-        out = out.when(present[rule.label], _mask_one(scan, rule, bsn_rule))
-    return out.otherwise(scan.text)
+    kinds = total([f"CAST({present[r.label]} AS INT)" for r in rules])
+    ones = " ".join(
+        f"WHEN {present[r.label]} THEN {_mask_one(scan, r, bsn_rule)}" for r in rules
+    )
+    mixed = _mask_any(scan.text, "__odd", rules, bsn_rule)
+    return f"CASE WHEN {kinds} > 1 THEN {mixed} {ones} ELSE {scan.text} END"
 
 
 def mask_by_splicing(text: Column, hits: Column) -> Column:
@@ -305,11 +239,7 @@ def mask_by_splicing(text: Column, hits: Column) -> Column:
     )
 
 
-def mask_column(text: Column, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference") -> Column:
-    """:func:`mask_text` as a single expression, for short texts such as metadata fields."""
-    token = _token_of(rules, bsn_rule)
-    return (
-        F.when(~maybe_pii(text, rules), text)
-        .when(odd_words(text), _weave(text, _any_type(rules, True), token))
-        .otherwise(_weave(text, _any_type(rules, False), token))
-    )
+def mask_value(value: str, rules: tuple[Rule, ...] = PII_RULES, bsn_rule: str = "reference") -> str:
+    """:func:`mask_text` for any SQL value, for short texts such as metadata fields."""
+    mixed = _mask_any(value, odd_words(value), rules, bsn_rule)
+    return f"CASE WHEN {maybe_pii(value, rules)} THEN {mixed} ELSE {value} END"

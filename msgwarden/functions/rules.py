@@ -14,14 +14,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .regex import ODD_WORD_CHARS, SPACE_MEMBERS, java_body, to_java
+from .sqltext import NO_STRINGS, any_of, name, quoted
 
 
 @dataclass(frozen=True)
@@ -168,125 +167,118 @@ CTA_RULES = tuple(
 )
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions) if conditions else F.lit(False)
+# Characters beyond ASCII that a case-insensitive match folds to i, s or k.
+_FOLDING = ("ı", "ſ", "\u212a", "İ")
+SCAN_COLUMNS = ("__lower", "__folds", "__digits", "__odd")
+
+
+def odd_words(text: str) -> str:
+    """Whether the text needs the exact word boundaries."""
+    return f"(length({text}) < octet_length({text}) AND {text} RLIKE {quoted(ODD_WORD_CHARS)})"
+
+
+def maybe_pii(text: str, rules: tuple[Rule, ...]) -> str:
+    """A condition every text with personal data meets, without helper columns."""
+    if any(not r.digits and not r.literals for r in rules):
+        return "true"
+    words = sorted({lit for r in rules if not r.digits for lit in r.literals})
+    starts = "".join(sorted({re.escape(w[0]) for w in words}))
+    found = f"(?iU)(?=[{starts}])(?:" + "|".join(re.escape(w) for w in words) + ")"
+    return f"({text} RLIKE {quoted(DIGIT_PROBE)} OR {text} RLIKE {quoted(found)})"
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def scan_facts(text: str) -> dict[str, Column]:
+    """The helper columns of :class:`Scan`, each computed once per row."""
+    t = name(text)
+    folds = any_of([f"contains({t}, {quoted(c)})" for c in _FOLDING])
+    facts = {
+        "__lower": f"lower({t})",
+        "__folds": f"length({t}) < octet_length({t}) AND {folds}",
+        "__digits": f"{t} RLIKE {quoted(DIGIT_PROBE)}",
+        "__odd": odd_words(t),
+    }
+    return {column: F.expr(e) for column, e in facts.items()}
+
+
+def pieces(text: str, pattern: str) -> str:
     """The text split at the matches of a pattern.
 
     Splitting at a pattern compiles it anew for every row, replacing does not. So matches are
     replaced by one NUL each and the text is split there, unless it holds a NUL itself.
     """
-    nul = "\0"
-    return F.when(text.contains(nul), F.split(text, pattern, -1)).otherwise(
-        F.split(F.regexp_replace(text, pattern, nul), nul, -1)
+    nul, p = quoted("\0"), quoted(pattern)
+    return (
+        f"CASE WHEN contains({text}, {nul}) THEN split({text}, {p}, -1)"
+        f" ELSE split(regexp_replace({text}, {p}, {nul}), {nul}, -1) END"
     )
 
 
 @dataclass(frozen=True)
 class Scan:
-    """A text column together with the per-row facts the cheap tests need."""
+    """Searches in a text column next to which the :func:`scan_facts` columns exist.
+
+    All methods return SQL text.
+    """
+
+    column: str
 
-    text: Column
-    lower: Column
-    folds: Column
-    digits: Column
-    odd: Column
+    @property
+    def text(self) -> str:
+        return name(self.column)
 
-    def pick(self, rule: Rule, make: Callable[[bool], Column]) -> Column:
+    def pick(self, rule: Rule, make: Callable[[bool], str]) -> str:
         """``make(exact)`` with the fast boundaries where the text allows them."""
         if not rule.bounded:
             return make(False)
-        return F.when(self.odd, make(True)).otherwise(make(False))
+        return f"CASE WHEN __odd THEN {make(True)} ELSE {make(False)} END"
 
-    def candidate(self, rule: Rule) -> Column | None:
-        """Condition without which ``rule`` cannot match, or None when there is none."""
-        cond = None
+    def candidate(self, rule: Rule) -> str:
+        """Condition without which ``rule`` cannot match."""
+        need = ["__digits"] if rule.digits else []
         if rule.literals:
             found = [
-                F.contains(self.text.cast("binary"), F.lit(bytes(lit)))
+                f"contains(CAST({self.text} AS BINARY), X'{lit.hex()}')"
                 if isinstance(lit, bytes)
-                else self.lower.contains(lit)
+                else f"contains(__lower, {quoted(lit)})"
                 for lit in rule.literals
             ]
             if any(isinstance(lit, str) and lit.isascii() and lit.upper() != lit for lit in rule.literals):
-                found.append(self.folds)
-            cond = any_of(found)
-        if rule.probe:
-            probe = self.text.rlike(rule.probe)
-            if r"\b" in rule.probe:  # boundaries in probes are the fast ones
-                probe = self.odd | self.text.rlike("(?iU)" + rule.probe)
-            cond = probe if cond is None else cond & probe
-        if rule.digits:
-            cond = self.digits if cond is None else self.digits & cond
-        return cond
-
-    def matches(self, rule: Rule, group: int | None = None) -> Column:
+                found.append("__folds")
+            need.append(any_of(found))
+        if rule.probe and r"\b" in rule.probe:  # boundaries in probes are the fast ones
+            need.append(f"(__odd OR {self.text} RLIKE {quoted('(?iU)' + rule.probe)})")
+        elif rule.probe:
+            need.append(f"{self.text} RLIKE {quoted(rule.probe)}")
+        return "(" + " AND ".join(need or [f"{self.text} IS NOT NULL"]) + ")"
+
+    def matches(self, rule: Rule) -> str:
         """All matches of the rule, as an array; empty when there are none."""
-        at = F.lit(rule.group if group is None else group)
         found = self.pick(
-            rule, lambda exact: F.regexp_extract_all(self.text, F.lit(rule.java(exact)), at)
+            rule,
+            lambda exact: f"regexp_extract_all({self.text}, {quoted(rule.java(exact))}, {rule.group})",
         )
-        return self._when_candidate(rule, found, F.lit([]).cast("array<string>"))
+        return f"CASE WHEN {self.candidate(rule)} THEN {found} ELSE {NO_STRINGS} END"
 
-    def gaps(self, rule: Rule) -> Column:
+    def gaps(self, rule: Rule) -> str:
         """The pieces of the text between the matches."""
         return self.pick(rule, lambda exact: pieces(self.text, rule.java(exact)))
 
-    def first(self, rule: Rule) -> Column:
+    def first(self, rule: Rule) -> str:
         """Place of the first match, for comparison with those of other rules in the text."""
-        return self.pick(rule, lambda exact: F.regexp_instr(self.text, F.lit(rule.java(exact))))
-
-    def replaced(self, rule: Rule, token: str) -> Column:
-        return self.pick(rule, lambda exact: F.regexp_replace(self.text, rule.java(exact), token))
-
-    def count(self, rule: Rule) -> Column:
-        n = self.pick(rule, lambda exact: F.regexp_count(self.text, F.lit(rule.java(exact))))
-        return self._when_candidate(rule, n, F.lit(0))
-
-    def exists(self, rule: Rule) -> Column:
-        cond = self.candidate(rule)
-        hit = self.pick(rule, lambda exact: self.text.rlike(rule.java_predicate(exact)))
-        return F.coalesce(hit if cond is None else cond & hit, F.lit(False))
-
-    def _when_candidate(self, rule: Rule, value: Column, empty: Column) -> Column:
-        cond = self.candidate(rule)
-        cond = self.text.isNotNull() if cond is None else cond
-        return F.when(cond, value).otherwise(empty)
-
-
-# Characters beyond ASCII that a case-insensitive match folds to i, s or k.
-_FOLDING = ("ı", "ſ", "\u212a", "İ")
-SCAN_COLUMNS = ("__lower", "__folds", "__digits", "__odd")
-
-
-def odd_words(text: Column) -> Column:
-    """Whether the text needs the exact word boundaries."""
-    return (F.length(text) < F.octet_length(text)) & text.rlike(ODD_WORD_CHARS)
-
-
-def maybe_pii(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """A condition every text with personal data meets, without helper columns."""
-    if any(not r.digits and not r.literals for r in rules):
-        return F.lit(True)
-    words = sorted({lit for r in rules if not r.digits for lit in r.literals})
-    return text.rlike(DIGIT_PROBE) | text.rlike("(?iU)(?=[" + "".join(sorted({re.escape(w[0]) for w in words})) + "])(?:" + "|".join(re.escape(w) for w in words) + ")")
-
-
-def scan_facts(text: Column) -> dict[str, Column]:
-    """The helper columns of :class:`Scan`, each computed once per row."""
-    return {
-        "__lower": F.lower(text),
-        "__folds": (F.length(text) < F.octet_length(text))
-        & any_of([text.contains(c) for c in _FOLDING]),
-        "__digits": text.rlike(DIGIT_PROBE),
-        "__odd": odd_words(text),
-    }
+        return self.pick(rule, lambda exact: f"regexp_instr({self.text}, {quoted(rule.java(exact))})")
 
+    def replaced(self, rule: Rule, token: str) -> str:
+        return self.pick(
+            rule,
+            lambda exact: f"regexp_replace({self.text}, {quoted(rule.java(exact))}, {quoted(token)})",
+        )
 
-def scan_of(text: str | Column) -> Scan:
-    """A scan over a text column next to which :func:`scan_facts` columns exist."""
-    text = F.col(text) if isinstance(text, str) else text
-    return Scan(text, *(F.col(c) for c in SCAN_COLUMNS))
+    def count(self, rule: Rule) -> str:
+        n = self.pick(rule, lambda exact: f"regexp_count({self.text}, {quoted(rule.java(exact))})")
+        return f"CASE WHEN {self.candidate(rule)} THEN {n} ELSE 0 END"
 
+    def exists(self, rule: Rule) -> str:
+        hit = self.pick(
+            rule, lambda exact: f"{self.text} RLIKE {quoted(rule.java_predicate(exact))}"
+        )
+        return f"coalesce({self.candidate(rule)} AND {hit}, false)"

@@ -7,52 +7,42 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .regex import SPACE_MEMBERS
-from .rules import CTA_RULES, NOGO_RULES, Rule, Scan, any_of
+from .rules import CTA_RULES, NOGO_RULES, Rule, Scan
+from .sqltext import any_of, quoted, total
 
 NOGO_TYPE = "array<struct<key:string,match:string>>"
 
 
-def nogo_hits(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> Column:
+def nogo_hits(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> str:
     """``[{key, match}]`` by rule order and then text order.
 
     The match is the rule's group where it has one ('' when that group took no part).
     """
-    empty = F.array().cast(NOGO_TYPE)
-    per_rule = []
-    for rule in rules:
-        found = scan.matches(rule)
-        hits = F.transform(found, _labelled(rule.label))
-        cond = scan.candidate(rule)
-        per_rule.append(hits if cond is None else F.when(cond, hits).otherwise(empty))
-    return F.concat(*per_rule)
+    per_rule = [
+        f"transform({scan.matches(r)}, m -> struct({quoted(r.label)} AS key, m AS match))" for r in rules
+    ]
+    maybe = any_of([scan.candidate(r) for r in rules])
+    return f"CASE WHEN {maybe} THEN concat({', '.join(per_rule)}) ELSE CAST(array() AS {NOGO_TYPE}) END"
 
 
-def _labelled(key: str):
-    return lambda m: F.struct(F.lit(key).alias("key"), m.alias("match"))
+def nogo_count(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> str:
+    return total([scan.count(r) for r in rules])
 
 
-def nogo_count(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> Column:
-    total = F.lit(0)
-    for rule in rules:
-        total = total + scan.count(rule)
-    return total
-
-
-def nogo_violations(hits: Column) -> Column:
+def nogo_violations(hits: str) -> str:
     before, after = fixed.NOGO_VIOLATION.split("{key}")
     middle, end = after.split("{match}")
-    return F.transform(
-        hits, lambda h: F.concat(F.lit(before), h["key"], F.lit(middle), h["match"], F.lit(end))
-    )
+    return f"transform({hits}, h -> concat({quoted(before)}, h.key, {quoted(middle)}, h.match, {quoted(end)}))"
 
 
-def cta_present(scan: Scan, rules: tuple[Rule, ...] = CTA_RULES) -> Column:
+def cta_present(scan: Scan, rules: tuple[Rule, ...] = CTA_RULES) -> str:
     return any_of([scan.exists(r) for r in rules])
 
 
-def cta_matched(scan: Scan, rules: tuple[Rule, ...] = CTA_RULES) -> Column:
+def cta_matched(scan: Scan, rules: tuple[Rule, ...] = CTA_RULES) -> str:
     """The patterns that were found, in rule order."""
-    return F.array_compact(F.array(*[F.when(scan.exists(r), F.lit(r.pattern)) for r in rules]))
+    found = ", ".join(f"CASE WHEN {scan.exists(r)} THEN {quoted(r.pattern)} END" for r in rules)
+    return f"array_compact(array({found}))"
 
 
 def word_count(text: Column) -> Column:

@@ -8,7 +8,6 @@ results are derived from it, and later filters on the results do not run the sea
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import jsoncheck, pii, rules as R, wording
 from ..functions.barrier import settled
+from ..functions.sqltext import total
 
 
 @dataclass(frozen=True)
@@ -40,41 +40,42 @@ class CheckSettings:
 
 def with_scan(df: DataFrame, text: str) -> tuple[DataFrame, R.Scan]:
     """The frame with the helper columns the searches share, and the scan over them."""
-    return df.withColumns(R.scan_facts(F.col(text))), R.scan_of(text)
+    return df.withColumns(R.scan_facts(text)), R.Scan(text)
 
 
 def without_scan(df: DataFrame) -> DataFrame:
     return df.drop(*R.SCAN_COLUMNS)
 
 
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({column: F.expr(e) for column, e in columns.items()})
+
+
 def pii_counts(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with one integer column per personal-data type."""
     df, scan = with_scan(df, text)
-    counts = pii.count_columns(scan, settings.pii_rules, settings.bsn_rule)
-    return without_scan(df.select("*", *counts))
+    counts = {r.label: F.expr(pii.type_count(scan, r, settings.bsn_rule)) for r in settings.pii_rules}
+    return without_scan(df.withColumns(counts))
 
 
 def pii_summary(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``pii_summary``, the ``map<type, n>`` of the types that occur."""
     labels = [r.label for r in settings.pii_rules]
     counted = pii_counts(df, text, settings)
-    found = pii.count_map({name: F.col(name) for name in labels})
-    return counted.withColumn("pii_summary", found).drop(*labels)
+    return counted.withColumn("pii_summary", pii.count_map(labels)).drop(*labels)
 
 
 def pii_hits(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``hits``: every match with its offsets, ordered."""
     df, scan = with_scan(df, text)
     labels = [r.label for r in settings.pii_rules]
-    found = {t: F.col(f"__pii_{t}") for t in labels}
-    gaps = {t: F.col(f"__gap_{t}") for t in labels}
-    df = df.withColumns({f"__pii_{r.label}": scan.matches(r) for r in settings.pii_rules})
-    df = df.withColumns(
-        {f"__gap_{r.label}": pii.type_gaps(scan, r, found[r.label]) for r in settings.pii_rules}
-    )
+    found = {t: f"__pii_{t}" for t in labels}
+    gaps = {t: f"__gap_{t}" for t in labels}
+    df = _with(df, {found[r.label]: scan.matches(r) for r in settings.pii_rules})
+    df = _with(df, {gaps[r.label]: pii.type_gaps(scan, r, found[r.label]) for r in settings.pii_rules})
     hits = pii.hit_list(found, gaps, settings.pii_rules, settings.bsn_rule)
-    helpers = [f"__{kind}_{t}" for kind in ("pii", "gap") for t in labels]
-    return settled(without_scan(df.withColumn("hits", hits)).drop(*helpers), ["hits"])
+    df = without_scan(_with(df, {"hits": hits})).drop(*found.values(), *gaps.values())
+    return settled(df, ["hits"])
 
 
 def pii_hits_long(
@@ -89,45 +90,35 @@ def pii_hits_long(
 def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``pii``: passed, violations, found, total_instances, masked_text."""
     df, scan = with_scan(df, text)
-    names = [f"__pii_{r.label}" for r in settings.pii_rules]
-    found = {r.label: F.col(n) for r, n in zip(settings.pii_rules, names)}
-    df = df.withColumns(
-        {
-            n: pii.type_matches(scan, r, settings.bsn_rule)
-            for r, n in zip(settings.pii_rules, names)
-        }
+    found = {r.label: f"__pii_{r.label}" for r in settings.pii_rules}
+    df = _with(
+        df, {found[r.label]: pii.type_matches(scan, r, settings.bsn_rule) for r in settings.pii_rules}
     )
-    df = df.withColumn(
-        "__grouped", pii.grouped_hits(scan, found, settings.pii_rules)
-    )
-    present = {label: F.size(col) > 0 for label, col in found.items()}
-    total = reduce(lambda a, b: a + b, [F.size(c) for c in found.values()])
-    result = F.struct(
-        (F.size("__grouped") == 0).alias("passed"),
-        pii.violations(F.col("__grouped")).alias("violations"),
-        F.col("__grouped").alias("found"),
-        total.alias("total_instances"),
-        pii.mask_text(scan, present, settings.pii_rules, settings.bsn_rule).alias("masked_text"),
+    df = _with(df, {"__grouped": pii.grouped_hits(scan, found, settings.pii_rules)})
+    present = {t: f"(size({c}) > 0)" for t, c in found.items()}
+    masked = pii.mask_text(scan, present, settings.pii_rules, settings.bsn_rule)
+    result = (
+        f"struct(size(__grouped) = 0 AS passed, {pii.violations('__grouped')} AS violations, __grouped AS found,"
+        f" {total([f'size({c})' for c in found.values()])} AS total_instances, {masked} AS masked_text)"
     )
-    return settled(without_scan(df.withColumn("pii", result)).drop("__grouped", *names), ["pii"])
+    df = without_scan(_with(df, {"pii": result})).drop("__grouped", *found.values())
+    return settled(df, ["pii"])
 
 
 def check_nogo(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``nogo``: passed, violations, found."""
     df, scan = with_scan(df, text)
-    df = df.withColumn("__nogo", wording.nogo_hits(scan, settings.nogo_rules))
-    result = F.struct(
-        (F.size("__nogo") == 0).alias("passed"),
-        wording.nogo_violations(F.col("__nogo")).alias("violations"),
-        F.col("__nogo").alias("found"),
+    df = _with(df, {"__nogo": wording.nogo_hits(scan, settings.nogo_rules)})
+    result = (
+        f"struct(size(__nogo) = 0 AS passed, {wording.nogo_violations('__nogo')} AS violations, __nogo AS found)"
     )
-    return settled(without_scan(df.withColumn("nogo", result)).drop("__nogo"), ["nogo"])
+    return settled(without_scan(_with(df, {"nogo": result})).drop("__nogo"), ["nogo"])
 
 
 def check_cta(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``cta``: passed, violations, matched_patterns."""
     df, scan = with_scan(df, text)
-    df = df.withColumn("__cta", wording.cta_matched(scan, settings.cta_rules))
+    df = _with(df, {"__cta": wording.cta_matched(scan, settings.cta_rules)})
     missing = F.size("__cta") == 0
     result = F.struct(
         (~missing).alias("passed"),
@@ -167,7 +158,7 @@ def check_length(df: DataFrame, text: str, settings: CheckSettings) -> DataFrame
 def check_json(df: DataFrame, text: str, schema: dict) -> DataFrame:
     """The frame with ``json``: passed, errors (rule codes)."""
     df = df.withColumn("__json", jsoncheck.parse_json(F.col(text)))
-    df = df.withColumn("__errors", jsoncheck.schema_errors(F.col("__json"), F.col(text), schema))
+    df = df.withColumn("__errors", jsoncheck.schema_errors("__json", schema))
     result = F.struct((F.size("__errors") == 0).alias("passed"), F.col("__errors").alias("errors"))
     return df.withColumn("json", result).drop("__json", "__errors")
 
@@ -191,28 +182,25 @@ def check_cases(
         *([F.col(settings.max_words)] if isinstance(settings.max_words, str) else []),
     )
     df, scan = with_scan(source, "__text")
-    names = {r.label: f"__pii_{r.label}" for r in settings.pii_rules}
+    found = {r.label: f"__pii_{r.label}" for r in settings.pii_rules}
     step = {
-        names[r.label]: pii.type_matches(scan, r, settings.bsn_rule) for r in settings.pii_rules
+        found[r.label]: pii.type_matches(scan, r, settings.bsn_rule) for r in settings.pii_rules
     }
     step["__nogo"] = wording.nogo_hits(scan, settings.nogo_rules)
-    step["__words"] = wording.word_count(F.col("__text"))
     step["__cta"] = (
-        wording.cta_present(scan, settings.cta_rules) if settings.cta_required else F.lit(True)
+        wording.cta_present(scan, settings.cta_rules) if settings.cta_required else "true"
     )
-    if settings.json_schema is not None:
-        step["__json"] = jsoncheck.parse_json(F.col("__text"))
-    df = df.withColumns(step)
-    found = {label: F.col(name) for label, name in names.items()}
+    df = _with(df, step).withColumn("__words", wording.word_count(F.col("__text")))
     errors = F.array().cast("array<string>")
     if settings.json_schema is not None:
-        errors = jsoncheck.schema_errors(F.col("__json"), F.col("__text"), settings.json_schema)
+        df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
+        errors = jsoncheck.schema_errors("__json", settings.json_schema)
     policy = F.col("__nogo")
     if settings.policy_labels is not None:
         policy = F.filter(policy, lambda h: h["key"].isin(list(settings.policy_labels)))
     df = df.withColumns(
         {
-            "__grouped": pii.grouped_hits(scan, found, settings.pii_rules),
+            "__grouped": F.expr(pii.grouped_hits(scan, found, settings.pii_rules)),
             "__errors": errors,
             "__over": wording.over_by(F.col("__words"), _limit(settings)),
             "__policy": policy,
@@ -287,30 +275,27 @@ def case_summary(
         df.select(F.col(case_id).alias("case_id"), phase_col, F.col(text).alias("__text"), *limit_col, *extra),
         "__text",
     )
-    types = [pii.type_present(scan, r, settings.bsn_rule).cast("int") for r in settings.pii_rules]
+    types = [
+        f"CAST({pii.type_present(scan, r, settings.bsn_rule)} AS INT)" for r in settings.pii_rules
+    ]
     policy_rules = tuple(
         r for r in settings.nogo_rules
         if settings.policy_labels is None or r.label in settings.policy_labels
     )
     step = {
-        "pii_hits_total": reduce(lambda a, b: a + b, types, F.lit(0)),
+        "pii_hits_total": total(types),
         "nogo_hits_total": wording.nogo_count(scan, settings.nogo_rules),
-        "word_count": wording.word_count(F.col("__text")),
         "cta_present": wording.cta_present(scan, settings.cta_rules)
         if settings.cta_required
-        else F.lit(True),
+        else "true",
     }
     if len(policy_rules) < len(settings.nogo_rules):
         step["__policy"] = wording.nogo_count(scan, policy_rules)
-    if settings.json_schema is not None:
-        step["__json"] = jsoncheck.parse_json(F.col("__text"))
-    df = df.withColumns(step)
+    df = _with(df, step).withColumn("word_count", wording.word_count(F.col("__text")))
     valid = F.lit(True)
     if settings.json_schema is not None:
-        valid = (
-            F.size(jsoncheck.schema_errors(F.col("__json"), F.col("__text"), settings.json_schema))
-            == 0
-        )
+        df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
+        valid = F.size(jsoncheck.schema_errors("__json", settings.json_schema)) == 0
     df = df.withColumns(
         {"json_valid": valid, "length_ok": wording.over_by(F.col("word_count"), _limit(settings)) == 0}
     )
@@ -333,10 +318,9 @@ def mask_frame(
 ) -> DataFrame:
     """The frame with the masked text in column ``out``."""
     df, scan = with_scan(df, text)
-    names = {r.label: f"__has_{r.label}" for r in settings.pii_rules}
-    df = df.withColumns(
-        {names[r.label]: pii.type_present(scan, r, settings.bsn_rule) for r in settings.pii_rules}
+    present = {r.label: f"__has_{r.label}" for r in settings.pii_rules}
+    df = _with(
+        df, {present[r.label]: pii.type_present(scan, r, settings.bsn_rule) for r in settings.pii_rules}
     )
-    present = {label: F.col(name) for label, name in names.items()}
     masked = pii.mask_text(scan, present, settings.pii_rules, settings.bsn_rule)
-    return without_scan(df.withColumn(out, masked)).drop(*names.values())
+    return without_scan(_with(df, {out: masked})).drop(*present.values())

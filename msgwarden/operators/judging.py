@@ -7,20 +7,19 @@ depend on partitioning. Only the run aggregate shuffles, and only partial sums.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.barrier import settled
-from ..functions.jsoncheck import kind, parse_json
-from ..functions.numbers import at_least, float_of
-from ..functions.rules import any_of
+from ..functions.jsoncheck import at, kind, parse_json
+from ..functions.numbers import at_least, float_sql
+from ..functions.sqltext import any_of, name, quoted
 
 Rubric = tuple[tuple[str, float], ...]
 SCORES_TYPE = "array<struct<criterion:string,score:double,reason:string,weight:double>>"
 MAX_CRITERIA = 200
+_WRITTEN = r"(?U)[^\s\x1c-\x1f]"
 
 
 def rubric_of(table: DataFrame) -> Rubric:
@@ -40,39 +39,25 @@ def prompt_column(template: str, input_text: Column, output_text: Column) -> Col
     return F.replace(filled, F.lit("{model_output}"), F.coalesce(output_text, F.lit("")))
 
 
-def _key(*names: str) -> str:
-    return "$" + "".join("['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']" for n in names)
-
-
-def _score(parsed: Column, name: str) -> Column:
+def _score(criterion: str) -> str:
     """Score of one criterion: 0 when left out, NULL when it is no number."""
-    path = _key(name, "score")
-    value = F.try_variant_get(parsed, path, "variant")
-    what = kind(value)
+    keys = (criterion, "score")
+    what = kind(at("__v", keys))
+    text = float_sql(at("__v", keys, "string"))
     return (
-        F.when(value.isNull(), F.lit(0.0))
-        .when(what == "string", float_of(F.try_variant_get(parsed, path, "string")))
-        .when(what.isin("number", "boolean"), F.try_variant_get(parsed, path, "double"))
+        f"CASE WHEN {what} IS NULL THEN 0.0D WHEN {what} = 'string' THEN {text}"
+        f" WHEN {what} IN ('number', 'boolean') THEN {at('__v', keys, 'double')} END"
     )
 
 
-def _refused(parsed: Column) -> Column:
-    """Answers that are no scores at all, whatever the rubric."""
-    what = kind(parsed)
-    both_keys = (
-        F.try_variant_get(parsed, "$.error", "variant").isNotNull()
-        & F.try_variant_get(parsed, "$.parse_error", "variant").isNotNull()
-    )
-    items = F.try_variant_get(parsed, "$", "array<string>")
-    both_items = F.array_contains(items, "error") & F.array_contains(items, "parse_error")
-    named = F.try_variant_get(parsed, "$", "string").contains("parse_error")
-    return (
-        F.when(parsed.isNull(), True)
-        .when(what == "object", both_keys)
-        .when(what == "array", F.coalesce(both_items, F.lit(False)))
-        .when(what == "string", named)
-        .otherwise(True)
-    )
+# Answers that are no scores at all, whatever the rubric.
+_OWN_ERROR = f"({at('__v', ('error',))} IS NOT NULL AND {at('__v', ('parse_error',))} IS NOT NULL)"
+_ITEMS = "try_variant_get(__v, '$', 'array<string>')"
+_REFUSED = (
+    f"CASE __kind WHEN 'object' THEN {_OWN_ERROR}"
+    f" WHEN 'array' THEN coalesce(array_contains({_ITEMS}, 'error') AND array_contains({_ITEMS}, 'parse_error'), false)"
+    " WHEN 'string' THEN contains(try_variant_get(__v, '$', 'string'), 'parse_error') ELSE true END"
+)
 
 
 def score_answers(
@@ -86,82 +71,55 @@ def score_answers(
 
     Criteria are read in rubric order up to the first one that is no object with a numeric
     score. Absent criteria are skipped and the weights of the others renormalised; an answer
-    without any scores 0. A scored criterion without a written reason fails the whole answer.
+    without any scores gets 0. A scored criterion without a written reason fails the whole
+    answer.
     """
-    n = range(len(rubric))
-    steps = df.withColumn("__v", parse_json(F.col(answer)))
-    parsed = F.col("__v")
-    read = {"__refused": _refused(parsed), "__isobj": F.coalesce(kind(parsed) == "object", F.lit(False))}
-    for i, (name, _) in enumerate(rubric):
-        at = F.try_variant_get(parsed, _key(name), "variant")
-        reason = F.try_variant_get(parsed, _key(name, "reason"), "variant")
-        read[f"__there{i}"] = at.isNotNull()
-        read[f"__score{i}"] = F.when(kind(at) == "object", _score(parsed, name))
-        read[f"__reason{i}"] = F.when(
-            kind(reason) == "string", F.try_variant_get(parsed, _key(name, "reason"), "string")
+    steps = df.withColumn("__v", parse_json(F.col(answer))).withColumn("__kind", F.expr(kind("__v")))
+    read = {"__refused": _REFUSED}
+    for i, (criterion, _) in enumerate(rubric):
+        reason = at("__v", (criterion, "reason"))
+        read[f"__there{i}"] = f"{at('__v', (criterion,))} IS NOT NULL"
+        read[f"__score{i}"] = (
+            f"CASE WHEN {kind(at('__v', (criterion,)))} = 'object' THEN {_score(criterion)} END"
         )
-    steps = steps.withColumns(read)
-    # a criterion counts when it is present and nothing up to it was unreadable
-    bad = [F.col(f"__there{i}") & F.col(f"__score{i}").isNull() for i in n]
-    steps = steps.withColumns(
-        {f"__kept{i}": F.col("__isobj") & F.col(f"__there{i}") & ~any_of(bad[: i + 1]) for i in n}
-    )
-    kept = [F.coalesce(F.col(f"__kept{i}"), F.lit(False)) for i in n]
-    unexplained = [
-        kept[i]
-        & ~F.coalesce(
-            F.col(f"__reason{i}").rlike(r"(?U)[^\s\x1c-\x1f]")
-            & (F.col(f"__reason{i}") != fixed.DEFAULT_REASON),
-            F.lit(False),
+        read[f"__reason{i}"] = (
+            f"CASE WHEN {kind(reason)} = 'string' THEN {at('__v', (criterion, 'reason'), 'string')} END"
         )
-        for i in n
-    ]
-    zero = F.lit(0.0)
-    total = reduce(
-        lambda a, b: a + b,
-        [F.when(kept[i], F.col(f"__score{i}") * float(rubric[i][1])).otherwise(zero) for i in n],
-        zero,
-    )
-    weight = reduce(
-        lambda a, b: a + b, [F.when(kept[i], float(rubric[i][1])).otherwise(zero) for i in n], zero
-    )
-    steps = steps.withColumns(
-        {"__failed": F.col("__refused") | any_of(unexplained), "__total": total, "__weight": weight}
-    )
-    failed = F.col("__failed")
-    final = F.when(~failed, F.when(F.col("__weight") > 0, F.col("__total") / F.col("__weight")).otherwise(zero))
-    scores = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    kept[i],
-                    F.struct(
-                        F.lit(rubric[i][0]).alias("criterion"),
-                        F.col(f"__score{i}").alias("score"),
-                        F.col(f"__reason{i}").alias("reason"),
-                        F.lit(float(rubric[i][1])).alias("weight"),
-                    ),
-                )
-                for i in n
-            ]
-        )
-    )
-    own_error = (
-        F.coalesce(F.try_variant_get(parsed, "$.error", "variant").isNotNull(), F.lit(False))
-        & F.coalesce(F.try_variant_get(parsed, "$.parse_error", "variant").isNotNull(), F.lit(False))
-    )
-    raw = F.when(
-        own_error, F.coalesce(F.try_variant_get(parsed, "$.raw_response", "string"), F.lit(""))
-    ).otherwise(F.col(answer))
-    rows = steps.select(
-        *df.columns,
-        F.when(failed, F.array().cast(SCORES_TYPE)).otherwise(scores).alias("criterion_scores"),
-        final.alias("weighted_final_score"),
-        at_least(final, pass_score).alias("passed"),
-        failed.alias("failed_judge_parse"),
-        F.when(failed, raw).otherwise(F.lit("")).alias("raw_response"),
-    )
-    return settled(rows, rows.columns[len(df.columns) :])
+    steps = _with(steps, read)
+    # a criterion counts when it is present and nothing up to it was unreadable
+    kept, explained = {}, []
+    for i in range(len(rubric)):
+        bad = any_of([f"(__there{k} AND __score{k} IS NULL)" for k in range(i + 1)])
+        kept[f"__kept{i}"] = f"coalesce(__kind = 'object' AND __there{i} AND NOT {bad}, false)"
+        written = f"__reason{i} RLIKE {quoted(_WRITTEN)} AND __reason{i} <> {quoted(fixed.DEFAULT_REASON)}"
+        explained.append(f"(NOT __kept{i} OR coalesce({written}, false))")
+    weights = [f"{float(w)!r}D" for _, w in rubric]
+    points = " + ".join(["0.0D", *[f"IF(__kept{i}, __score{i} * {w}, 0.0D)" for i, w in enumerate(weights)]])
+    weight = " + ".join(["0.0D", *[f"IF(__kept{i}, {w}, 0.0D)" for i, w in enumerate(weights)]])
+    steps = _with(_with(steps, kept), {
+        "__failed": f"__refused OR NOT ({' AND '.join(explained)})", "__total": points, "__weight": weight,
+    })
+    scores = ", ".join(
+        f"IF(__kept{i}, struct({quoted(c)} AS criterion, __score{i} AS score, __reason{i} AS reason,"
+        f" {w} AS weight), NULL)"
+        for i, ((c, _), w) in enumerate(zip(rubric, weights))
+    )
+    raw = f"IF({_OWN_ERROR}, coalesce({at('__v', ('raw_response',), 'string')}, ''), {name(answer)})"
+    made = {
+        "criterion_scores": f"IF(__failed, CAST(array() AS {SCORES_TYPE}), array_compact(array({scores})))",
+        "weighted_final_score": "CASE WHEN NOT __failed THEN IF(__weight > 0, __total / __weight, 0.0D) END",
+        "failed_judge_parse": "__failed",
+        "raw_response": f"IF(__failed, {raw}, '')",
+    }
+    rows = _with(steps, made).withColumn(
+        "passed", at_least(F.col("weighted_final_score"), pass_score)
+    )
+    out = ["criterion_scores", "weighted_final_score", "passed", "failed_judge_parse", "raw_response"]
+    return settled(rows.select(*df.columns, *out), out)
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({column: F.expr(e) for column, e in columns.items()})
 
 
 def scores_long(judged: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,9 +132,10 @@ def scores_wide(
 ) -> DataFrame:
     """One row per case: final_score, flags, cut raw text and two columns per criterion."""
     columns = []
-    for name, _ in rubric:
-        own = F.get(F.filter("criterion_scores", _is_criterion(name)), F.lit(0))
-        columns += [own["score"].alias(f"{name}_score"), own["reason"].alias(f"{name}_reason")]
+    for criterion, _ in rubric:
+        own = f"get(filter(criterion_scores, c -> c.criterion = {quoted(criterion)}), 0)"
+        columns.append(F.expr(f"{own}.score AS {name(criterion + '_score')}"))
+        columns.append(F.expr(f"{own}.reason AS {name(criterion + '_reason')}"))
     raw = F.when(
         F.col("failed_judge_parse"), F.substring("raw_response", 1, fixed.RAW_RESPONSE_LIMIT)
     )
@@ -190,10 +149,6 @@ def scores_wide(
     )
 
 
-def _is_criterion(name: str):
-    return lambda c: c["criterion"] == name
-
-
 def score_file_columns(wide: DataFrame) -> DataFrame:
     """The wide rows with ``final_score`` as written to score files: text on failure."""
     text = F.when(F.col("failed_judge_parse"), F.lit(fixed.PARSE_FAILED)).otherwise(

@@ -7,33 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
-from ..functions.pii import mask_column
+from ..functions.pii import mask_value
+from ..functions.sqltext import name
 
 
-def _masked(value: Column, kind: T.DataType, in_lists: bool) -> Column | None:
-    """Masked form of a value, or None when its type holds no text to mask."""
+def _masked(value: str, kind: T.DataType, in_lists: bool, depth: int = 0) -> str | None:
+    """SQL for the masked value, or None when its type holds no text to mask."""
     if isinstance(kind, T.StringType):
-        return mask_column(value)
+        return mask_value(value)
+    x = f"x{depth}"
     if isinstance(kind, T.StructType):
-        parts = {f.name: _masked(value[f.name], f.dataType, in_lists) for f in kind.fields}
-        if not any(p is not None for p in parts.values()):
+        parts = {
+            f.name: _masked(f"{value}.{name(f.name)}", f.dataType, in_lists, depth + 1)
+            for f in kind.fields
+        }
+        if not any(parts.values()):
             return None
-        rebuilt = F.struct(
-            *[(value[n] if p is None else p).alias(n) for n, p in parts.items()]
-        )
-        return F.when(value.isNotNull(), rebuilt)
+        fields = ", ".join(f"{p or f'{value}.{name(n)}'} AS {name(n)}" for n, p in parts.items())
+        return f"CASE WHEN {value} IS NOT NULL THEN struct({fields}) END"
     if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, T.StringType) and not in_lists:
+        if isinstance(kind.elementType, T.StringType) and not in_lists:
             return None
-        if _masked(F.lit(None).cast(inner), inner, in_lists) is None:
-            return None
-        return F.transform(value, lambda x: _masked(x, inner, in_lists))
+        inner = _masked(x, kind.elementType, in_lists, depth + 1)
+        return inner and f"transform({value}, {x} -> {inner})"
     if isinstance(kind, T.MapType):
-        inner = kind.valueType
-        if _masked(F.lit(None).cast(inner), inner, in_lists) is None:
-            return None
-        return F.transform_values(value, lambda _, v: _masked(v, inner, in_lists))
+        inner = _masked(x, kind.valueType, in_lists, depth + 1)
+        return inner and f"transform_values({value}, (k{depth}, {x}) -> {inner})"
     return None
 
 
@@ -46,9 +45,9 @@ def mask_record(df: DataFrame, columns: list[str] | None = None, in_lists: bool
     out = {}
     for f in df.schema.fields:
         if columns is None or f.name in columns:
-            masked = _masked(F.col(f"`{f.name}`"), f.dataType, in_lists)
-            if masked is not None:
-                out[f.name] = masked
+            masked = _masked(name(f.name), f.dataType, in_lists)
+            if masked:
+                out[f.name] = F.expr(masked)
     return df.withColumns(out) if out else df
 
 

@@ -16,7 +16,7 @@ A, B = "A", "B"
 def usable_score(df: DataFrame, score: str = "final_score") -> Column:
     """The score as a number, NULL where it is missing or no number. NaN stays NaN."""
     if dict(df.dtypes)[score] == "string":
-        return float_of(F.col(score))
+        return float_of(f"`{score}`")
     return F.col(score).cast("double")
 
 

@@ -131,12 +131,8 @@ def bsn_checksum(spark, d):
     numbers = I.table(spark, d, "orders").selectExpr(
         "o_orderkey", "lpad(CAST(o_orderkey * 7919 % 1000000000 AS STRING), 9, '0') AS number"
     )
-    return numbers.select(
-        "o_orderkey",
-        "number",
-        pii.bsn_valid(F.col("number")).alias("valid"),
-        pii.bsn_valid(F.col("number"), "standard").alias("valid_standard"),
-    )
+    checked = pii.with_bsn_valid(numbers, "number")
+    return pii.with_bsn_valid(checked, "number", "valid_standard", "standard")
 
 
 @query
@@ -194,7 +190,7 @@ def nogo_hits(spark, d):
 def nogo_documents(spark, d):
     docs = I.table(spark, d, "documents").select("doc_id", "lang", "text")
     df, scan = guardrails.with_scan(docs, "text")
-    counted = df.select("lang", wording.nogo_count(scan).alias("n"))
+    counted = df.select("lang", F.expr(wording.nogo_count(scan)).alias("n"))
     return counted.groupBy("lang").agg(
         F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").cast(LONG).alias("hits")
     )
@@ -210,7 +206,7 @@ def nogo_violations(spark, d):
 @query
 def cta_rate(spark, d):
     df, scan = guardrails.with_scan(I.MESSAGES.frame(spark, d), "expected_output")
-    return df.select("phase", wording.cta_present(scan).alias("cta")).groupBy("phase").agg(
+    return df.select("phase", F.expr(wording.cta_present(scan)).alias("cta")).groupBy("phase").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("cta").alias("with_cta")
     )
 
@@ -226,7 +222,7 @@ def cta_matched(spark, d):
 def cta_conversations(spark, d):
     talk = I.table(spark, d, "conversations")
     df, scan = guardrails.with_scan(talk, "text")
-    return df.select("role", wording.cta_present(scan).alias("cta")).groupBy("role").agg(
+    return df.select("role", F.expr(wording.cta_present(scan)).alias("cta")).groupBy("role").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("cta").alias("with_cta")
     )
 

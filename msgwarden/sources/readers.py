@@ -73,7 +73,7 @@ def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     if path.rstrip("/").endswith((".json", ".jsonl")):
         text = ", ".join(c.split()[0] + " string" for c in RUBRIC.split(", "))
         table = spark.read.schema(text).json(path)
-        return table.withColumn("weight", float_of(F.col("weight")))
+        return table.withColumn("weight", float_of("weight"))
     return read_csv(spark, path, RUBRIC)
 
 
@@ -107,8 +107,8 @@ def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
 def annotator_scores(items: DataFrame) -> DataFrame:
     return items.select(
         "*",
-        float_of(F.col("human_scores")["annotator_a"]).alias("annotator_a"),
-        float_of(F.col("human_scores")["annotator_b"]).alias("annotator_b"),
+        float_of("human_scores['annotator_a']").alias("annotator_a"),
+        float_of("human_scores['annotator_b']").alias("annotator_b"),
     )
 
 
