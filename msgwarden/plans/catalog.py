@@ -35,7 +35,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -440,7 +440,7 @@ def case_run_records(spark, d):
 def run_log(spark, d):
     parsed = runs.parse_run_log(I.LOG_LINES.frame(spark, d))
     return parsed.select(
-        "run_id", "variant", "parse_failed", F.round("avg_score", 6).alias("avg_score"),
+        "run_id", "variant", "parse_failed", F.round("avg_score", 9).alias("avg_score"),
         F.col("fields")["dataset"].alias("dataset"),
     )
 

@@ -151,7 +151,7 @@ def _report(cases: str, by: str = "") -> str:
       CAST(sum(pii_hits_total) AS BIGINT) AS pii_hits_total, CAST(sum(nogo_hits_total) AS BIGINT) AS nogo_hits_total,
       count(*) FILTER (NOT cta_present) AS cta_missing, count(*) FILTER (NOT length_ok) AS length_violations,
       count(*) FILTER (pii_hits_total > 0) AS high_risk_leaks,
-      round((count(*) - sum(pii_hits_total)) / count(*) * 100, 6) AS pii_clean_rate,
+      round((count(*) - sum(pii_hits_total)) / count(*) * 100, 9) AS pii_clean_rate,
       (count(*) - sum(pii_hits_total)) / count(*) * 100 >= 95 AND count(*) FILTER (pii_hits_total > 0) = 0 AS accepted
       FROM ({cases}){group}"""
 
@@ -159,7 +159,7 @@ def _report(cases: str, by: str = "") -> str:
 def _percentiles(source: str, value: str, by: str = "", points=(0.5, 0.95, 0.99)) -> str:
     head, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return " UNION ALL ".join(
-        f"SELECT {head}CAST({p} AS DOUBLE) AS point, round(quantile_cont({value}, {p}), 6) AS percentile FROM ({source}){group}"
+        f"SELECT {head}CAST({p} AS DOUBLE) AS point, round(quantile_cont({value}, {p}), 9) AS percentile FROM ({source}){group}"
         for p in points
     )
 
@@ -224,8 +224,8 @@ def _long(shift: str = "0") -> str:
 
 def _run_summary(by: str = "") -> str:
     return f"""SELECT {by + ',' if by else ''} count(*) AS total_cases, count(*) FILTER (final >= 3.5) AS passed_cases,
-      count(*) FILTER (failed) AS parse_failed_cases, round(coalesce(avg(final), 0), 6) AS average_score,
-      round(count(*) FILTER (final >= 3.5) / count(*), 6) AS pass_rate, count(*) < 100 AS below_min_batch,
+      count(*) FILTER (failed) AS parse_failed_cases, round(coalesce(avg(final), 0), 9) AS average_score,
+      round(count(*) FILTER (final >= 3.5) / count(*), 9) AS pass_rate, count(*) < 100 AS below_min_batch,
       count(*) >= 100 AND avg(final) >= 3.5 AS accepted FROM ({_judged()}){' GROUP BY ' + by if by else ''}"""
 
 
@@ -251,7 +251,7 @@ def _compared(fails: str) -> str:
 
 
 def _rounded(sql: str, *cols: str) -> str:
-    return f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in cols)}) FROM ({sql})"
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in cols)}) FROM ({sql})"
 
 
 _BY_CASE = f"""SELECT case_id, score_a, score_b, score_b - score_a AS delta,
@@ -264,7 +264,7 @@ def _bootstrap(replicates: int, seed: int = 7) -> str:
     limits = poisson_limits()
     weight = " ".join(f"WHEN u < {x} THEN {k}" for k, x in enumerate(limits))
     part = "CAST('0x' || substr(m, {at}, 8) AS BIGINT) % 2147483647"
-    return f"""SELECT replicate, CAST(sum(w) AS BIGINT) AS weight, round(sum(delta * w) / sum(w), 6) AS mean_delta FROM (
+    return f"""SELECT replicate, CAST(sum(w) AS BIGINT) AS weight, round(sum(delta * w) / sum(w), 9) AS mean_delta FROM (
       SELECT replicate, delta, CASE {weight} ELSE {len(limits)} END AS w FROM (
         SELECT delta, r AS replicate, (h1 + r * h2) % 2147483647 AS u FROM (
           SELECT delta, {part.format(at=1)} AS h1, {part.format(at=9)} AS h2, unnest(range(1, {replicates + 1})) AS r FROM (
@@ -277,8 +277,8 @@ def _kappa(pairs: str) -> str:
       e AS (SELECT sum(x.n * y.n) / (SELECT n * n FROM t) AS pe FROM (SELECT a, count(*) AS n FROM p GROUP BY a) x
         JOIN (SELECT b, count(*) AS n FROM p GROUP BY b) y ON x.a = y.b),
       l AS (SELECT string_agg(v, ',' ORDER BY CAST(v AS INT)) AS labels FROM (SELECT CAST(a AS STRING) AS v FROM p UNION SELECT CAST(b AS STRING) FROM p))
-      SELECT 'ok' AS status, n AS n_pairs, labels, round(po, 6) AS observed_agreement, round(coalesce(pe, 0), 6) AS expected_agreement,
-        round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - coalesce(pe, 0)) / (1 - coalesce(pe, 0)) END, 6) AS cohens_kappa FROM t, e, l"""
+      SELECT 'ok' AS status, n AS n_pairs, labels, round(po, 9) AS observed_agreement, round(coalesce(pe, 0), 9) AS expected_agreement,
+        round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - coalesce(pe, 0)) / (1 - coalesce(pe, 0)) END, 9) AS cohens_kappa FROM t, e, l"""
 
 
 _TWO_SCORES = """SELECT doc_id, lang, (doc_id * 7 + n_chars) % 11 * 5e-1 AS a,
@@ -349,7 +349,7 @@ SQL: dict[str, str] = {
     "bsn_checksum": f"""SELECT o_orderkey, number, {_bsn('number')} AS valid, {_bsn('number', True)} AS valid_standard
       FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 % 1000000000 AS STRING), 9, '0') AS number FROM orders)""",
     "pii_hit_rate": f"""SELECT pii_type, count(*) AS n, count(*) FILTER (masked_text = expected_mask) AS exact,
-      round(count(*) FILTER (masked_text = expected_mask) / count(*), 6) AS rate FROM ({_mask_steps(_HIT_LINE, 'line')}) GROUP BY pii_type""",
+      round(count(*) FILTER (masked_text = expected_mask) / count(*), 9) AS rate FROM ({_mask_steps(_HIT_LINE, 'line')}) GROUP BY pii_type""",
     "deep_mask": f"""SELECT o_orderkey, masked_text AS note, o_custkey AS customer, masked_text AS "inner",
       line = masked_text AS plain_masked FROM ({_mask_steps(CONTACTS, 'line')})""",
     "preview": f"SELECT doc_id, {_CUT.format(t='masked_text')} AS preview FROM ({_mask_steps('SELECT doc_id, text FROM documents', 'text')})",
@@ -372,9 +372,9 @@ SQL: dict[str, str] = {
     "own_limits": f"""SELECT doc_id, CAST(greatest(0, {_WORDS.format(t='text')} - max_words) AS BIGINT) AS over_by,
       array_to_string(list_filter(list_filter(list_transform(string_split(no_go_terms, ','), lambda t: lower(trim(t))), lambda t: t <> ''), lambda t: contains(lower(text), t)), ',') AS terms
       FROM ({I.OWN_LIMITS.sql})""",
-    "style_rates": """SELECT lang, count(*) AS n, round(avg(CAST(regexp_matches(text, '```') AS INT)), 6) AS code_fence,
-      round(avg(CAST(regexp_matches(text, '[!?]{2,}') AS INT)), 6) AS doubled_mark,
-      round(avg(CAST(regexp_matches(text, '[0-9]{3}') AS INT)), 6) AS digits FROM documents GROUP BY lang""",
+    "style_rates": """SELECT lang, count(*) AS n, round(avg(CAST(regexp_matches(text, '```') AS INT)), 9) AS code_fence,
+      round(avg(CAST(regexp_matches(text, '[!?]{2,}') AS INT)), 9) AS doubled_mark,
+      round(avg(CAST(regexp_matches(text, '[0-9]{3}') AS INT)), 9) AS digits FROM documents GROUP BY lang""",
     "json_props": """SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props) AND json_type(props) = 'OBJECT'
       AND json_keys(props) = ['k'] AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) AS valid FROM events GROUP BY event_type""",
     "json_schema": f"SELECT c_custkey, len(errors) = 0 AS passed, array_to_string(errors, '; ') AS errors FROM ({_REPLY_ERRORS})",
@@ -399,9 +399,9 @@ SQL: dict[str, str] = {
       (SELECT cause FROM ({_CAUSES}) GROUP BY cause ORDER BY count(*) DESC, cause LIMIT 5) GROUP BY ALL""",
     "prompt_column": "SELECT doc_id, 'INPUT:' || chr(10) || text || ' ' || lang || chr(10) || 'OUTPUT:' || chr(10) || text || chr(10) || 'JSON: {\"a\": {}}' AS prompt FROM documents",
     "judge_scores": _long(),
-    "judge_results": f"""SELECT doc_id, round(final, 6) AS weighted_final_score, coalesce(final >= 3.5, false) AS passed,
+    "judge_results": f"""SELECT doc_id, round(final, 9) AS weighted_final_score, coalesce(final >= 3.5, false) AS passed,
       failed AS failed_judge_parse, raw AS raw_response FROM ({_judged()})""",
-    "judge_report": "SELECT doc_id, round(final, 6) AS final_score, coalesce(final >= 3.5, false) AS passed, failed AS failed_judge_parse, CASE WHEN failed THEN substr(raw, 1, 500) END AS raw_response, "
+    "judge_report": "SELECT doc_id, round(final, 9) AS final_score, coalesce(final >= 3.5, false) AS passed, failed AS failed_judge_parse, CASE WHEN failed THEN substr(raw, 1, 500) END AS raw_response, "
     + ", ".join(f"CASE WHEN k{i} AND NOT failed THEN s{i} END AS {c}_score, CASE WHEN k{i} AND NOT failed THEN r{i} END AS {c}_reason" for i, (c, _) in enumerate(CRITERIA))
     + f" FROM ({_judged()})",
     "judge_summary": _run_summary("lang"),
@@ -413,7 +413,7 @@ SQL: dict[str, str] = {
       {_CUT.format(t='masked_text')} AS output_preview, coalesce(final >= 3.5, false) AS passed
       FROM ({_mask_steps(MESSAGES, 'expected_output')}) m JOIN ({_judged()}) j ON m.doc_id = j.doc_id""",
     "run_log": """SELECT 'run_' || o_orderkey AS run_id, 'V' || (o_orderkey % 3) AS variant, o_custkey % 20 AS parse_failed,
-      round((o_orderkey % 50) / 10, 6) AS avg_score, 'cases_' || o_custkey AS dataset FROM orders""",
+      round((o_orderkey % 50) / 10, 9) AS avg_score, 'cases_' || o_custkey AS dataset FROM orders""",
     "gate_passed": f"SELECT case_id, phase FROM ({_USABLE_CASES}) WHERE pii_hits_total = 0",
     "gate_skipped": f"SELECT case_id, phase, 'PII' AS reason FROM ({_USABLE_CASES}) WHERE pii_hits_total > 0",
     "gate_json_mode": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
@@ -426,12 +426,12 @@ SQL: dict[str, str] = {
       parse_failure_delta, meets_promotion_threshold FROM ({_compared('')})""",
     "regression_by_case": _rounded(_BY_CASE, "score_a", "score_b", "delta"),
     "regression_scores": f"SELECT variant, case_id, score, passed FROM ({BOTH}) WHERE score IS NOT NULL",
-    "regression_by_criterion": f"""SELECT criterion, round(avg(score) FILTER (v = 'A'), 6) AS avg_a, round(avg(score) FILTER (v = 'B'), 6) AS avg_b,
-      round(avg(score) FILTER (v = 'B') - avg(score) FILTER (v = 'A'), 6) AS delta FROM
+    "regression_by_criterion": f"""SELECT criterion, round(avg(score) FILTER (v = 'A'), 9) AS avg_a, round(avg(score) FILTER (v = 'B'), 9) AS avg_b,
+      round(avg(score) FILTER (v = 'B') - avg(score) FILTER (v = 'A'), 9) AS delta FROM
       (SELECT 'A' AS v, * FROM ({_long('0')}) UNION ALL SELECT 'B', * FROM ({_long('1')})) GROUP BY criterion""",
     "regression_medians": _percentiles(f"SELECT variant, score FROM ({BOTH}) WHERE score IS NOT NULL", "score", "variant", (0.5,)),
     "regression_bootstrap": _bootstrap(50),
-    "run_deltas": f"""SELECT round((b.p - a.p), 6) AS pass_rate_delta, round(b.s - a.s, 6) AS average_score_delta, b.f - a.f AS parse_failed_cases_delta FROM
+    "run_deltas": f"""SELECT round((b.p - a.p), 9) AS pass_rate_delta, round(b.s - a.s, 9) AS average_score_delta, b.f - a.f AS parse_failed_cases_delta FROM
       (SELECT count(*) FILTER (passed) / count(*) AS p, avg(score) AS s, count(*) FILTER (failed) AS f FROM ({BOTH}) WHERE variant = 'A') a,
       (SELECT count(*) FILTER (passed) / count(*) AS p, avg(score) AS s, count(*) FILTER (failed) AS f FROM ({BOTH}) WHERE variant = 'B') b""",
     "policy_not_worse": f"""SELECT b.l - a.l AS high_risk_leaks_delta, b.n - a.n AS nogo_hits_total_delta, b.l <= a.l AND b.n <= a.n AS not_worse FROM
@@ -443,10 +443,10 @@ SQL: dict[str, str] = {
     "kappa_scores": _kappa(_TWO_SCORES),
     "confusion_counts": f"SELECT CAST(round_even(a, 0) AS BIGINT) AS label_a, CAST(round_even(b, 0) AS BIGINT) AS label_b, count(*) AS n FROM ({_TWO_SCORES}) GROUP BY ALL",
     "label_space": f"SELECT CAST(round_even(a, 0) AS BIGINT) AS label FROM ({_TWO_SCORES}) UNION SELECT CAST(round_even(b, 0) AS BIGINT) FROM ({_TWO_SCORES})",
-    "within_one": f"""SELECT lang, count(*) AS n_pairs, round(avg(CAST(abs(a - b) <= 1 AS INT)), 6) AS within_one,
-      round(avg(abs(a - b)), 6) AS mae FROM ({_TWO_SCORES}) GROUP BY lang""",
-    "calibration": f"""SELECT criterion, count(*) AS n_pairs, round(avg(CAST(abs(a.score - b.score) <= 1 AS INT)), 6) AS within_one,
-      round(avg(abs(a.score - b.score)), 6) AS mae FROM ({_long('0')}) a JOIN ({_long('2')}) b USING (doc_id, criterion) GROUP BY criterion""",
+    "within_one": f"""SELECT lang, count(*) AS n_pairs, round(avg(CAST(abs(a - b) <= 1 AS INT)), 9) AS within_one,
+      round(avg(abs(a - b)), 9) AS mae FROM ({_TWO_SCORES}) GROUP BY lang""",
+    "calibration": f"""SELECT criterion, count(*) AS n_pairs, round(avg(CAST(abs(a.score - b.score) <= 1 AS INT)), 9) AS within_one,
+      round(avg(abs(a.score - b.score)), 9) AS mae FROM ({_long('0')}) a JOIN ({_long('2')}) b USING (doc_id, criterion) GROUP BY criterion""",
     "review_sample": f"""SELECT a.case_id, a.final_score AS score_a, b.final_score AS score_b, a.passed AS passed_a, b.failed_judge_parse AS failed_b
       FROM ({I.SCORES_A.sql}) a JOIN ({I.SCORES_B.sql}) b USING (case_id) ORDER BY md5('7|' || a.case_id), a.case_id LIMIT 30""",
     "row_fingerprint": _fingerprint(("doc_id", "text", "lang")),
