@@ -24,7 +24,7 @@ PIECES = [
 GLUE = [" ", " ", " ", "", "", "\n", "\r", "\t", "\x85", "\xa0", "\x1f", " ", " x "]
 
 
-def texts(n=4000, seed=5):
+def texts(n=2000, seed=5):
     rnd = random.Random(seed)
     out = ["", " ", "\x1c", "plan", None]
     for _ in range(n):
@@ -94,15 +94,14 @@ def test_mask_equals_splicing_without_overlaps(corpus):
         if all(a[4] <= b[0] for a, b in zip(want, want[1:])):
             compared += len(want) > 1
             assert row.masked_text == (spliced(row.text, want) if want else row.text), repr(row.text)
-    assert compared > 300
+    assert compared > 150
 
 
 def test_masking_twice_changes_nothing(corpus):
     _, df = corpus
     twice = guardrails.mask_frame(guardrails.mask_frame(df, "text", "once"), "once", "twice")
-    clean = twice.where("NOT contains(text, '_') AND once <> twice").count()
-    # masking can free a boundary next to a profile address, nowhere else
-    assert clean <= twice.where("contains(text, 'linkedin')").count()
+    # masking an address that touches a word frees a boundary; nothing else may change
+    assert twice.where("NOT contains(text, 'linkedin') AND once <> twice").count() == 0
 
 
 def test_check_pii(corpus):
