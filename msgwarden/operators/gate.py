@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -18,25 +18,20 @@ def first_cases(df: DataFrame, order: str, k: int = 5) -> DataFrame:
     return df.orderBy(order).limit(k)
 
 
-def _reason(checked_output_mode: Column, checks: Column) -> Column:
-    invalid = ~checks["json_valid"] & (checked_output_mode == "json")
-    return F.when(F.size(checks["pii_hits"]) > 0, "PII").when(invalid, "JSON-invalid")
-
-
 def hard_fails(checked: DataFrame, order: str | None = None) -> DataFrame:
     """case_id and reason of the cases that must not be scored, personal data first.
 
     Where a case was checked more than once the last check by ``order`` decides. Without an
     order there is no last one, and a hard failure in any of them counts. Either way each
-    case is reduced to one row before it is joined.
+    case is reduced to one row before it is joined, by a hash aggregate over a number.
     """
-    reason = _reason(F.col("output_mode"), F.col("checks"))
-    rows = checked.select("case_id", reason.alias("reason"), *([order] if order else []))
-    if order:
-        # a struct, since max_by alone would pass over a NULL reason's row value
-        last = F.max_by(F.struct("reason"), F.col(order))["reason"]
-        return rows.groupBy("case_id").agg(last.alias("reason")).where("reason IS NOT NULL")
-    return rows.groupBy("case_id").agg(F.max("reason").alias("reason")).where("reason IS NOT NULL")
+    checks = F.col("checks")
+    invalid = ~checks["json_valid"] & (F.col("output_mode") == "json")
+    code = F.when(F.size(checks["pii_hits"]) > 0, 2).when(invalid, 1).otherwise(0)
+    rows = checked.select("case_id", code.alias("code"), *([order] if order else []))
+    last = F.max_by("code", order) if order else F.max("code")
+    reason = F.when(F.col("code") == 2, "PII").otherwise("JSON-invalid").alias("reason")
+    return rows.groupBy("case_id").agg(last.alias("code")).where("code > 0").select("case_id", reason)
 
 
 def gate(cases: DataFrame, checked: DataFrame, text: str, order: str | None = None) -> DataFrame:

@@ -152,7 +152,7 @@ def check_length(df: DataFrame, text: str, settings: CheckSettings) -> DataFrame
         over.alias("over_by"),
     )
     df = df.withColumn("__words", wording.word_count(F.col(text)))
-    return df.withColumn("length", result).drop("__words")
+    return settled(df.withColumn("length", result).drop("__words"), ["length"])
 
 
 def check_json(df: DataFrame, text: str, schema: dict) -> DataFrame:
@@ -160,7 +160,7 @@ def check_json(df: DataFrame, text: str, schema: dict) -> DataFrame:
     df = df.withColumn("__json", jsoncheck.parse_json(F.col(text)))
     df = df.withColumn("__errors", jsoncheck.schema_errors("__json", schema))
     result = F.struct((F.size("__errors") == 0).alias("passed"), F.col("__errors").alias("errors"))
-    return df.withColumn("json", result).drop("__json", "__errors")
+    return settled(df.withColumn("json", result).drop("__json", "__errors"), ["json"])
 
 
 def check_cases(
@@ -323,4 +323,4 @@ def mask_frame(
         df, {present[r.label]: pii.type_present(scan, r, settings.bsn_rule) for r in settings.pii_rules}
     )
     masked = pii.mask_text(scan, present, settings.pii_rules, settings.bsn_rule)
-    return without_scan(_with(df, {out: masked})).drop(*present.values())
+    return settled(without_scan(_with(df, {out: masked})).drop(*present.values()), [out])
