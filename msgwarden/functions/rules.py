@@ -104,10 +104,10 @@ _PII_HINTS = {
 EMOJI_BYTES = b"\xf0\x9f"
 _NOGO_HINTS = {
     "garantie": {
-        "literals": ("garantie", "gegarandeerd"),
+        "literals": ("garan",),
         "equivalent": r"(?=g)\b(?:garantie(s|vrij)?|gegarandeerd)\b",
     },
-    "garanderen": {"literals": ("garandeer",), "equivalent": r"(?=g)\bgarandeer(t|en|de|den)?\b"},
+    "garanderen": {"literals": ("garan",), "equivalent": r"(?=g)\bgarandeer(t|en|de|den)?\b"},
     "risicoloos": {
         "literals": ("risicoloos", "risk"),
         "equivalent": r"(?=r)\b(?:risicoloos|risk[-\s]?free)\b",
@@ -117,7 +117,7 @@ _NOGO_HINTS = {
         "equivalent": r"(?=[z1])\b(?:zeker\s+weten\b|100%|100\s?procent\b)",
     },
     "we_beloven": {
-        "literals": ("beloof", "beloven"),
+        "literals": ("belo",),
         "equivalent": r"(?=[wib])\b(?:(we|wij|ik)\s+beloof|beloofd|we\s+beloven)\b",
     },
     "geld_terug": {

@@ -13,16 +13,18 @@ from .sqltext import any_of, quoted, total
 NOGO_TYPE = "array<struct<key:string,match:string>>"
 
 
-def nogo_hits(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> str:
+def nogo_hits(found: dict[str, str]) -> str:
     """``[{key, match}]`` by rule order and then text order.
 
-    The match is the rule's group where it has one ('' when that group took no part).
+    ``found`` names the columns of matches per rule (``Scan.matches``). The match is the
+    rule's group where it has one ('' when that group took no part).
     """
-    per_rule = [
-        f"transform({scan.matches(r)}, m -> struct({quoted(r.label)} AS key, m AS match))" for r in rules
-    ]
-    maybe = any_of([scan.candidate(r) for r in rules])
-    return f"CASE WHEN {maybe} THEN concat({', '.join(per_rule)}) ELSE CAST(array() AS {NOGO_TYPE}) END"
+    per_rule = ", ".join(
+        f"transform({column}, m -> struct({quoted(label)} AS key, m AS match))"
+        for label, column in found.items()
+    )
+    hit = any_of([f"size({column}) > 0" for column in found.values()])
+    return f"CASE WHEN {hit} THEN concat({per_rule}) ELSE CAST(array() AS {NOGO_TYPE}) END"
 
 
 def nogo_count(scan: Scan, rules: tuple[Rule, ...] = NOGO_RULES) -> str:

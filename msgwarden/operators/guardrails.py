@@ -108,7 +108,9 @@ def check_pii(df: DataFrame, text: str, settings: CheckSettings = CheckSettings(
 def check_nogo(df: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
     """The frame with ``nogo``: passed, violations, found."""
     df, scan = with_scan(df, text)
-    df = _with(df, {"__nogo": wording.nogo_hits(scan, settings.nogo_rules)})
+    terms = {r.label: f"__nogo_{r.label}" for r in settings.nogo_rules}
+    df = _with(df, {terms[r.label]: scan.matches(r) for r in settings.nogo_rules})
+    df = _with(df, {"__nogo": wording.nogo_hits(terms)}).drop(*terms.values())
     result = (
         f"struct(size(__nogo) = 0 AS passed, {wording.nogo_violations('__nogo')} AS violations, __nogo AS found)"
     )
@@ -186,11 +188,13 @@ def check_cases(
     step = {
         found[r.label]: pii.type_matches(scan, r, settings.bsn_rule) for r in settings.pii_rules
     }
-    step["__nogo"] = wording.nogo_hits(scan, settings.nogo_rules)
+    terms = {r.label: f"__nogo_{r.label}" for r in settings.nogo_rules}
+    step |= {terms[r.label]: scan.matches(r) for r in settings.nogo_rules}
     step["__cta"] = (
         wording.cta_present(scan, settings.cta_rules) if settings.cta_required else "true"
     )
     df = _with(df, step).withColumn("__words", wording.word_count(F.col("__text")))
+    df = _with(df, {"__nogo": wording.nogo_hits(terms)})
     errors = F.array().cast("array<string>")
     if settings.json_schema is not None:
         df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
