@@ -9,6 +9,7 @@ from .chat import format_conversations, read_back
 from .packing import pack
 from .quality import quality
 from .sharding import shard_documents
+from .simhash import simhash_groups
 from .tokens import WordTokens
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids.
@@ -35,6 +36,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def bpe_encoder():
     """Token ids of a text, as bytes; made in the task."""
     return WordTokens(public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN).ids
@@ -45,6 +50,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op9_packing)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op9_packing)
 }
 SQL: dict[str, str] = {}
