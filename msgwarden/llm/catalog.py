@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_conversations, read_back
+from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import quality
 from .sharding import shard_documents
@@ -40,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def bpe_encoder():
     """Token ids of a text, as bytes; made in the task."""
     return WordTokens(public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN).ids
@@ -50,6 +55,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op9_packing)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op9_packing, op10_license_scan)
 }
-SQL: dict[str, str] = {}
+SQL = {"op10_license_scan": scan_sql()}
