@@ -9,6 +9,7 @@ from .chat import format_conversations, read_back
 from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import quality
+from .repeats import repeats
 from .sharding import shard_documents
 from .simhash import simhash_groups
 from .tokens import WordTokens
@@ -41,6 +42,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op9_packing, op10_license_scan)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op7_suffix_dedup, op9_packing, op10_license_scan)
 }
 SQL = {"op10_license_scan": scan_sql()}
