@@ -13,6 +13,7 @@ from .repeats import repeats
 from .sharding import shard_documents
 from .simhash import simhash_groups
 from .tokens import WordTokens
+from .vectors import near_vectors
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -46,6 +47,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op7_suffix_dedup, op9_packing, op10_license_scan)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
 }
 SQL = {"op10_license_scan": scan_sql()}
