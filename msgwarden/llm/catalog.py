@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_conversations, read_back
 from .licenses import scan, scan_sql
 from .packing import pack
+from .pieces import sample_pieces
 from .quality import quality
 from .repeats import repeats
 from .sharding import shard_documents
@@ -43,6 +44,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op6_sentencepiece_sampling, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
 }
 SQL = {"op10_license_scan": scan_sql()}
