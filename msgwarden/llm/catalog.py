@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_conversations, read_back
+from .html import extract
 from .licenses import scan, scan_sql
 from .packing import pack
 from .pieces import sample_pieces
@@ -36,6 +37,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -70,6 +75,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_sharding, op5_simhash, op6_sentencepiece_sampling, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_html_extraction, op4_sharding, op5_simhash, op6_sentencepiece_sampling, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
 }
 SQL = {"op10_license_scan": scan_sql()}
