@@ -54,25 +54,36 @@ def reply_chain(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, te
     return nodes.join(former, "node", "left").select("tree", "node", F.when(same, F.col("parent")).alias("parent"), "role", "text")
 
 
-def climbs(nodes: DataFrame) -> list[DataFrame]:
-    """Tables of ever longer climbs: in table k, `up` is the 2^k-th ancestor of `node` (null above the root).
+def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of ever longer climbs, and the (node, score, turns) of whole climbs to a root.
 
-    `score` and `turns` add up over the nodes climbed, `node` included and `up` not. Each table is the former one joined
-    with itself, so a path of n turns takes log2(n) joins. Nodes that lead into a circle never reach a root.
+    In table k, `up` is the 2^k-th ancestor of `node`; nodes without one are not in it. `score` and `turns` add up over
+    the nodes climbed, `node` included and `up` not. Each table is made by joining the open climbs with the climbs of
+    where they ended, so a path of n turns takes log2(n) joins, and a tree drops out once its nodes are done. Nodes that
+    lead into a circle never reach a root.
     """
+    columns = ["node", "up", F.col("score").cast("double").alias("score"), F.lit(1).cast("long").alias("turns")]
     ids = nodes.select(F.col("node").alias("known"))
-    first = nodes.join(ids, nodes["parent"] == ids["known"], "left")
-    tables = [kept(first.select("node", F.col("known").alias("up"), F.col("score").cast("double").alias("score"), F.lit(1).cast("long").alias("turns")))]
-    total, open_rows = tables[0].agg(F.count(F.lit(1)), F.count("up")).first()
+    answers = nodes.where("parent is not null")
+    first = answers.join(ids, answers["parent"] == ids["known"], "left").withColumn("up", F.col("known"))
+    roots = nodes.where("parent is null").withColumn("up", F.lit(None).cast("long"))
+    latest = kept(first.select(*columns).union(roots.select(*columns)))
+    tables, done = [], latest.where("up is null")
+    total, open_rows = latest.agg(F.count(F.lit(1)), F.count("up")).first()
     while open_rows and len(tables) <= math.log2(total) + 1:
-        a, b = tables[-1], tables[-1].select(F.col("node").alias("mid"), F.col("up").alias("top"), F.col("score").alias("more"), F.col("turns").alias("longer"))
-        longer = a.join(b, a["up"] == b["mid"], "left").select(
-            "node", F.col("top").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("turns") + F.coalesce("longer", F.lit(0))).alias("turns"),
-        )
-        tables.append(kept(longer))
-        open_rows = tables[-1].agg(F.count("up")).first()[0]
-    return tables
+        climbing = latest.where("up is not null")
+        tables.append(climbing)
+        ends = climbing.union(done).select(
+            F.col("node").alias("mid"), F.col("up").alias("top"), F.col("score").alias("more"), F.col("turns").alias("longer")
+        )
+        latest = kept(
+            climbing.join(ends, F.col("up") == F.col("mid")).select(
+                "node", F.col("top").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("turns") + F.col("longer")).alias("turns")
+            )
+        )
+        done = done.union(latest.where("up is null"))
+        open_rows = latest.agg(F.count("up")).first()[0]
+    return tables, done.select("node", "score", "turns")
 
 
 def best_paths(nodes: DataFrame, paths: int | None = 1) -> DataFrame:
@@ -81,16 +92,16 @@ def best_paths(nodes: DataFrame, paths: int | None = 1) -> DataFrame:
     One row per node of each of the `paths` best (None: all); `above` counts the steps from the leaf up to the node.
     Ties: the longer path, then the smaller leaf.
     """
-    tables = climbs(nodes)
+    tables, whole = climbs(nodes)
     answered = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = nodes.select("tree", "node").join(answered, "node", "left_anti").join(tables[-1].where("up is null"), "node")
+    leaves = nodes.select("tree", "node").join(answered, "node", "left_anti").join(whole, "node")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("turns")).alias("path_score"), "turns")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("turns"), "leaf"))
     ranked = leaves.withColumn("path_rank", rank)
     chosen = ranked if paths is None else ranked.where(F.col("path_rank") <= paths)
     found = kept(chosen.select("tree", "leaf", "path_rank", "path_score", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above")))
     for k in reversed(range(len(tables))):  # every distance is one sum of powers of two, so no node comes twice
-        up = tables[k].where("up is not null").select("node", "up")
+        up = tables[k].select("node", "up")
         step = found.join(up, "node").select("tree", "leaf", "path_rank", "path_score", F.col("up").alias("node"), F.col("above") + (1 << k))
         found = kept(found.union(step))
     return found
