@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .sqltext import any_of, quoted
@@ -28,8 +28,13 @@ def parse_json(text: Column) -> Column:
     """The text as VARIANT, or NULL unless the whole text is one JSON value.
 
     ``NaN``, ``Infinity`` and ``-Infinity`` are accepted as values and kept as strings, which
-    cast to the same doubles.
+    cast to the same doubles. A key that is repeated keeps its last value, which takes a session
+    setting (:func:`msgwarden.session.prepare`); without it the query is refused, as its verdicts
+    would differ.
     """
+    session = SparkSession.getActiveSession()
+    if session is None or session.conf.get(DUPLICATE_KEYS_CONF, "false").lower() != "true":
+        raise ValueError(f"set {DUPLICATE_KEYS_CONF} to true, or pass the session through prepare")
     quoted = F.regexp_replace(text, _NON_FINITE, '$1"$2"')
     odd = text.contains("NaN") | text.contains("Infinity")
     return F.coalesce(_parse_whole(text), F.when(odd, _parse_whole(quoted)))

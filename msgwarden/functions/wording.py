@@ -65,10 +65,14 @@ def over_by(words: Column, limit: Column) -> Column:
     return F.when(F.coalesce(limit, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(0), words - limit))
 
 
-def term_hits(text: Column, terms: Column) -> Column:
-    """The row's own forbidden terms (comma list) that occur in the text, any case."""
+def term_hits(text: Column, terms: Column, lowered: bool = False) -> Column:
+    """The row's own forbidden terms (comma list) that occur in the text, any case.
+
+    ``lowered``: the text is a column in lower case already, which saves lowering it per term.
+    """
+    plain = text if lowered else F.lower(text)
     listed = F.filter(
         F.transform(F.split(F.coalesce(terms, F.lit("")), ","), lambda t: F.lower(F.trim(t))),
         lambda t: t != "",
     )
-    return F.filter(listed, lambda t: F.coalesce(F.lower(text).contains(t), F.lit(False)))
+    return F.filter(listed, lambda t: F.coalesce(plain.contains(t), F.lit(False)))

@@ -106,36 +106,41 @@ def within_one(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Da
 def calibration(judge_scores: DataFrame, human_scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean absolute error and share within one point per criterion, judge against people.
 
-    Both tables are long (case_id, criterion, score).
+    Both tables are long (case_id, criterion, score). Repeated scores of one side are averaged first, so that a case
+    counts once. One shuffle: both sides meet in one aggregate.
     """
-    j = judge_scores.select("case_id", "criterion", F.col("score").alias("judge_score"))
-    h = human_scores.select("case_id", "criterion", F.col("score").alias("human_score"))
-    return within_one(j.join(h, ["case_id", "criterion"]), "judge_score", "human_score", by or ["criterion"])
+    def side(df: DataFrame, judge: bool) -> DataFrame:
+        own, other = ("judge_score", "human_score") if judge else ("human_score", "judge_score")
+        return df.select("case_id", "criterion", F.col("score").cast("double").alias(own), F.lit(None).cast("double").alias(other))
+
+    both = side(judge_scores, True).unionByName(side(human_scores, False)).where("case_id IS NOT NULL AND criterion IS NOT NULL")
+    pairs = both.groupBy("case_id", "criterion").agg(F.avg("judge_score").alias("judge_score"), F.avg("human_score").alias("human_score"))
+    return within_one(pairs, "judge_score", "human_score", by or ["criterion"])
 
 
 def review_sample(a: DataFrame, b: DataFrame, n: int = 30, seed: int = 7) -> DataFrame:
     """``n`` cases for review with both variants' scores and room for two annotators.
 
-    The choice follows a hash of case id and seed, so it is the same on every run. Each task
-    keeps its ``n`` smallest; ids are chosen before the join so that it moves few rows.
+    The choice follows a hash of case id and seed, so it is the same on every run. Both tables are read once and meet in
+    one aggregate, which holds the smallest row per case and variant; then each task keeps its ``n`` smallest hashes.
     """
-    cols = ["case_id", "final_score", "passed", "failed_judge_parse"]
-    left = a.select(*cols).where(F.col("case_id").isNotNull())
-    shared = left.select("case_id").distinct().join(b.select("case_id").distinct(), "case_id", "left_semi")
-    chosen = shared.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("case_id"))), "case_id").limit(n)
-    chosen = F.broadcast(chosen)
-
-    def one(df: DataFrame, v: str) -> DataFrame:
-        picked = df.select(*cols).join(chosen, "case_id", "left_semi")
-        return picked.groupBy("case_id").agg(
-            *[F.min(F.struct(*cols[1:]))[c].alias(f"{c}_{v}") for c in cols[1:]]
-        )
-
-    return one(a, "a").join(one(b, "b"), "case_id").select(
+    cols = ["final_score", "passed", "failed_judge_parse"]
+
+    def side(df: DataFrame, variant: str) -> DataFrame:
+        return df.where(F.col("case_id").isNotNull()).select("case_id", F.lit(variant).alias("variant"), F.struct(*cols).alias("row"))
+
+    least = [F.min(F.when(F.col("variant") == v, F.col("row"))).alias(v) for v in "AB"]
+    cases = side(a, "A").unionByName(side(b, "B")).groupBy("case_id").agg(*least).where("A IS NOT NULL AND B IS NOT NULL")
+    chosen = cases.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("case_id").cast("string"))), "case_id").limit(n)
+
+    def both(field: str) -> Column:
+        return F.create_map(F.lit("A"), F.col("A")[field], F.lit("B"), F.col("B")[field])
+
+    return chosen.select(
         "case_id",
-        F.create_map(F.lit("A"), F.col("final_score_a"), F.lit("B"), F.col("final_score_b")).alias("model_scores"),
-        F.create_map(F.lit("A"), F.col("passed_a"), F.lit("B"), F.col("passed_b")).alias("model_passed"),
-        F.create_map(F.lit("A"), F.col("failed_judge_parse_a"), F.lit("B"), F.col("failed_judge_parse_b")).alias("parse_failed"),
+        both("final_score").alias("model_scores"),
+        both("passed").alias("model_passed"),
+        both("failed_judge_parse").alias("parse_failed"),
         F.create_map().cast("map<string,double>").alias("human_scores"),
         F.lit("").alias("notes"),
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The file source holds a file's bytes in one value, which has this upper limit.
-MAX_FILE_BYTES = 2_147_483_647
+#: The file source holds a file's bytes in one value; larger files are read in parts.
+ONE_VALUE, PART = 2_147_483_647, 1 << 23
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -16,25 +21,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of every file under a path; NULL where a file is missing or
-    larger than one value can be. Use :func:`row_fingerprint` for tables of that size.
+def _hash_in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of each listed file, read through its file system a part at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            system, place = pyarrow.fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while part := stream.read(PART):
+                    digest.update(part)
+            digests.append(digest.hexdigest())
+        yield batch.assign(sha256=digests)
+
 
-    Files are spread over tasks; each is hashed where it is read.
+def file_hashes(spark: SparkSession, path: str, one_value: int = ONE_VALUE) -> DataFrame:
+    """path, length and SHA-256 of every file under a path; NULL where a file is missing.
+
+    Files are spread over tasks and each is hashed where it is read. A file of more than ``one_value`` bytes is read in
+    parts of 8 MB, whatever its size; that needs a file system which Arrow can open. For a table of many files
+    :func:`row_fingerprint` costs one pass and does not depend on how the rows are stored.
     """
-    empty = spark.createDataFrame([(path,)], "path string").select(
-        "path", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("string").alias("sha256")
-    )
     if not _exists(spark, path):
-        return empty
+        return spark.createDataFrame([(path,)], "path string").select(
+            "path", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("string").alias("sha256")
+        )
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    hashed = files.where(F.col("length") <= MAX_FILE_BYTES).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > MAX_FILE_BYTES).select(
-        "path", "length", F.lit(None).cast("string").alias("sha256")
-    )
-    return hashed.unionByName(large)
+    hashed = files.where(F.col("length") <= one_value).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > one_value).select("path", "length").repartition("path")
+    return hashed.unionByName(large.mapInPandas(_hash_in_parts, "path string, length bigint, sha256 string"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,9 @@ class CheckSettings:
 
     ``max_words`` is a number for the whole run, or a column name for a limit per row.
     ``policy_labels`` names the forbidden-wording rules that count as policy claims; None
-    means all of them, which makes every such hit a failure.
+    means all of them, which makes every such hit a failure. ``terms`` names a column with a
+    row's own forbidden terms (comma list); each that occurs is a hit with the key ``own_term``,
+    and a policy claim when ``own_term`` is among the policy labels or these are None.
     """
 
     max_words: int | str | None = None
@@ -32,6 +34,7 @@ class CheckSettings:
     cta_required: bool = True
     output_mode: str = "text"
     policy_labels: tuple[str, ...] | None = None
+    terms: str | None = None
     bsn_rule: str = "reference"
     pii_rules: tuple[R.Rule, ...] = field(default=R.PII_RULES)
     nogo_rules: tuple[R.Rule, ...] = field(default=R.NOGO_RULES)
@@ -43,6 +46,21 @@ def with_scan(df: DataFrame, text: str) -> tuple[DataFrame, R.Scan]:
     return df.withColumns(R.scan_facts(text)), R.Scan(text)
 
 
+#: Key of a hit of a row's own forbidden terms.
+OWN_TERM = "own_term"
+
+
+def _row_columns(settings: CheckSettings) -> list[Column]:
+    """Columns that hold a limit or terms per row."""
+    named = (settings.max_words if isinstance(settings.max_words, str) else None, settings.terms)
+    return [F.col(c) for c in dict.fromkeys(c for c in named if c is not None)]
+
+
+def _with_own_terms(df: DataFrame, terms: str) -> DataFrame:
+    lowered = df.withColumn("__lower", F.lower("__text"))
+    return lowered.withColumn("__own", wording.term_hits(F.col("__lower"), F.col(terms), lowered=True)).drop("__lower")
+
+
 def without_scan(df: DataFrame) -> DataFrame:
     return df.drop(*R.SCAN_COLUMNS)
 
@@ -181,7 +199,7 @@ def check_cases(
         F.col(case_id).alias("case_id"),
         F.col(phase).alias("phase") if phase in df.columns else F.lit("unknown").alias("phase"),
         F.col(text).alias("__text"),
-        *([F.col(settings.max_words)] if isinstance(settings.max_words, str) else []),
+        *_row_columns(settings),
     )
     df, scan = with_scan(source, "__text")
     found = {r.label: f"__pii_{r.label}" for r in settings.pii_rules}
@@ -195,6 +213,9 @@ def check_cases(
     )
     df = _with(df, step).withColumn("__words", wording.word_count(F.col("__text")))
     df = _with(df, {"__nogo": wording.nogo_hits(terms)})
+    if settings.terms is not None:
+        own = F.transform("__own", lambda t: F.struct(F.lit(OWN_TERM).alias("key"), t.alias("match")))
+        df = _with_own_terms(df, settings.terms).withColumn("__nogo", F.concat("__nogo", own))
     errors = F.array().cast("array<string>")
     if settings.json_schema is not None:
         df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
@@ -274,9 +295,8 @@ def case_summary(
     nothing is collected, so the projection is cheaper than the full record.
     """
     phase_col = F.col(phase).alias("phase") if phase in df.columns else F.lit("unknown").alias("phase")
-    limit_col = [F.col(settings.max_words)] if isinstance(settings.max_words, str) else []
     df, scan = with_scan(
-        df.select(F.col(case_id).alias("case_id"), phase_col, F.col(text).alias("__text"), *limit_col, *extra),
+        df.select(F.col(case_id).alias("case_id"), phase_col, F.col(text).alias("__text"), *_row_columns(settings), *extra),
         "__text",
     )
     types = [
@@ -296,6 +316,15 @@ def case_summary(
     if len(policy_rules) < len(settings.nogo_rules):
         step["__policy"] = wording.nogo_count(scan, policy_rules)
     df = _with(df, step).withColumn("word_count", wording.word_count(F.col("__text")))
+    if settings.terms is not None:
+        df = _with_own_terms(df, settings.terms)
+        counted = ["nogo_hits_total"]
+        if "__policy" in step and OWN_TERM in settings.policy_labels:
+            counted.append("__policy")
+        elif "__policy" not in step and settings.policy_labels is not None and OWN_TERM not in settings.policy_labels:
+            step["__policy"] = ""
+            df = df.withColumn("__policy", F.col("nogo_hits_total"))
+        df = df.withColumns({c: F.col(c) + F.size("__own") for c in counted})
     valid = F.lit(True)
     if settings.json_schema is not None:
         df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
@@ -317,6 +346,20 @@ def case_summary(
     return settled(rows, ["severity", *flat])
 
 
+def with_hard_fail(df: DataFrame, text: str, settings: CheckSettings = CheckSettings(), out: str = "hard_fail") -> DataFrame:
+    """The frame with ``out``: 2 where the text holds personal data, else 1 where it should be JSON of the schema and is
+    not, else 0. Only presence is tested; the search of a row ends with the first type that is found."""
+    df, scan = with_scan(df, text)
+    present = " OR ".join(pii.type_present(scan, r, settings.bsn_rule) for r in settings.pii_rules) or "false"
+    df = _with(df, {"__pii": f"coalesce({present}, false)"})
+    invalid = F.lit(False)
+    if settings.json_schema is not None and settings.output_mode == "json":
+        df = df.withColumn("__json", jsoncheck.parse_json(F.col(text)))
+        invalid = F.size(jsoncheck.schema_errors("__json", settings.json_schema)) > 0
+    code = F.when(F.col("__pii"), 2).when(invalid, 1).otherwise(0)
+    return settled(without_scan(df.withColumn(out, code)).drop("__pii", "__json"), [out])
+
+
 def mask_frame(
     df: DataFrame, text: str, out: str = "masked_text", settings: CheckSettings = CheckSettings()
 ) -> DataFrame:

@@ -18,16 +18,18 @@ from ..functions.sqltext import any_of, name, quoted
 
 Rubric = tuple[tuple[str, float], ...]
 SCORES_TYPE = "array<struct<criterion:string,score:double,reason:string,weight:double>>"
-MAX_CRITERIA = 200
 _WRITTEN = r"(?U)[^\s\x1c-\x1f]"
 
 
 def rubric_of(table: DataFrame) -> Rubric:
-    """Criteria and weights of a rubric table, in row order. The table must be small."""
-    rows = table.select("criterion", F.col("weight").cast("double")).limit(MAX_CRITERIA + 1).collect()
-    if len(rows) > MAX_CRITERIA:
-        raise ValueError(f"a rubric holds at most {MAX_CRITERIA} criteria")
-    return tuple((r[0], r[1]) for r in rows)
+    """Criteria and weights of a rubric table. They become expressions of a query.
+
+    The known criteria come first, in their known order, others follow by name: the order, which
+    decides what an unreadable criterion hides, does not depend on how the table was read.
+    """
+    rows = [(r[0], r[1]) for r in table.select("criterion", F.col("weight").cast("double")).collect()]
+    known = [c for c, _ in fixed.RUBRIC_WEIGHTS]
+    return tuple(sorted(rows, key=lambda r: (known.index(r[0]) if r[0] in known else len(known), r[0])))
 
 
 def prompt_column(template: str, input_text: Column, output_text: Column) -> Column:

@@ -91,9 +91,23 @@ def compare(
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Rounds the double's shortest decimal form, ties to even; NaN and infinities stay."""
+    """Rounds the double to the nearest decimal, exact ties to even; NaN and infinities stay.
+
+    What looks like a tie in the shortest decimal form, such as 4.4145 at three digits, mostly is none in binary. The
+    double times ten to the digits is therefore taken exactly, as the rounded product and its rounding error (found by
+    splitting both factors), and compared with the half between the decimals below and above.
+    """
     finite = ~F.isnan(value) & (F.abs(value) < 1e15)
-    return F.when(finite, F.bround(F.when(finite, value), digits)).otherwise(value)
+    x, scale, splitter = F.when(finite, value), 10.0**digits, 134217729.0
+    scaled = x * scale
+    high = x * splitter - (x * splitter - x)
+    scale_high = scale * splitter - (scale * splitter - scale)
+    low, scale_low = x - high, scale - scale_high
+    error = ((high * scale_high - scaled) + high * scale_low + low * scale_high) + low * scale_low
+    below = F.floor(scaled).cast("double")
+    over = (scaled - (below + 0.5)) + error
+    nearest = F.when(over > 0, (below + 1) / scale).when(over < 0, below / scale).otherwise(F.bround(x, digits))
+    return F.when(finite, nearest).otherwise(value)
 
 
 def summary_record(compared: DataFrame, dataset_path: str, sha256: Column | None = None) -> DataFrame:
@@ -119,6 +133,13 @@ def summary_record(compared: DataFrame, dataset_path: str, sha256: Column | None
     )
 
 
+def promotion(compared: DataFrame, report_a: DataFrame, report_b: DataFrame) -> DataFrame:
+    """The comparison with ``not_worse`` (personal data and policy, from both batch reports) and ``promote``: the score
+    rule and that one together. All three are tables of one row."""
+    guarded = policy_not_worse(report_a, report_b).select("not_worse")
+    return compared.crossJoin(guarded).withColumn("promote", F.col("meets_promotion_threshold") & F.col("not_worse"))
+
+
 def variant_name(path: str, fallback: str) -> str:
     """Text behind the last ``_`` of the file's stem, or the fallback."""
     stem = path.rstrip("/").rsplit("/", 1)[-1]

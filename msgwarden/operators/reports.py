@@ -75,12 +75,12 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group and point.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here a
-    sketch with a guaranteed rank error first brackets each wanted rank; only rows inside a
-    bracket, about ``8 / accuracy`` of a group, are counted per value and ranked, and the rows
-    below a bracket are merely counted. The two ranks next to each point are then read off
-    exactly. In groups of up to ``accuracy`` rows every row lies in the bracket. NULL and NaN
-    values are left out.
+    The built-in exact percentile keeps every distinct value of a group in one task. Here rows
+    are counted per group and value first, combined before the shuffle, which deals by both: a
+    group with most of the rows is spread like any other. A sketch with a guaranteed rank error
+    brackets each wanted rank; values inside a bracket, about ``8 / accuracy`` of a group's rows,
+    are ranked, and what lies below is merely counted. The two ranks next to each point are then
+    read off exactly. NULL and NaN values are left out.
     """
     keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
     number = F.col(value).cast("double")
@@ -92,14 +92,12 @@ def percentiles(
     lows = [max(0.0, p - slack) for p in points]
     highs = [min(1.0, p + slack) for p in points]
     sketch = F.percentile_approx("__v", [*lows, *highs], accuracy)
-    k, small = len(points), F.col("__n") <= accuracy
+    k = len(points)
     brackets = (
         data.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("__n"),
             sketch.alias("__s"),
-            F.min("__v").alias("__min"),
-            F.max("__v").alias("__max"),
         )
         .select(
             *keys,
@@ -109,8 +107,8 @@ def percentiles(
                     *[
                         F.struct(
                             F.lit(float(p)).alias("point"),
-                            F.when(small, F.col("__min")).otherwise(F.col("__s")[i]).alias("low"),
-                            F.when(small, F.col("__max")).otherwise(F.col("__s")[k + i]).alias("high"),
+                            F.col("__s")[i].alias("low"),
+                            F.col("__s")[k + i].alias("high"),
                         )
                         for i, p in enumerate(points)
                     ]
@@ -119,31 +117,36 @@ def percentiles(
         )
         .select(*keys, "__n", "__b.*")
     )
-    # a row below the bracket adds to one count per point; a row inside keeps its value
-    slot = F.when(F.col("__v") >= F.col("low"), F.col("__v"))
+    values = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__rows"))
     sides = brackets.withColumnsRenamed({c: f"{c}_b" for c in keys})
     if not by:
         sides = F.broadcast(sides)  # one row per point
-    cond = F.col("__v") <= F.col("high")
+    cond = F.lit(True)
     for c in keys:
         cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    # values inside a bracket are kept; of those below and above it, their count and the one next to it
+    place = F.when(F.col("__v") < F.col("low"), -1).when(F.col("__v") > F.col("high"), 1).otherwise(0)
+    slot = F.when(place == 0, F.col("__v"))
     counted = (
-        data.join(sides, cond)
-        .select(*keys, "point", "__n", slot.alias("__slot"))
-        .groupBy(*keys, "point", "__n", "__slot")
-        .agg(F.count(F.lit(1)).alias("__c"))
+        values.join(sides, cond)
+        .select(*keys, "point", "__n", place.alias("__place"), slot.alias("__slot"), "__v", "__rows")
+        .groupBy(*keys, "point", "__n", "__place", "__slot")
+        .agg(F.sum("__rows").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
     )
-    upto = Window.partitionBy(*keys, "point").orderBy(F.col("__slot").asc_nulls_first())
+    upto = Window.partitionBy(*keys, "point").orderBy("__place", F.col("__slot").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(upto))
     target = (F.col("__n") - 1) * F.col("point")
     lower, upper = F.floor(target), F.ceil(target)
     first, last = F.col("__upto") - F.col("__c"), F.col("__upto") - 1
-    at = lambda rank: F.max(
-        F.when((first <= rank) & (rank <= last), F.col("__slot"))
+    known = lambda rank: (
+        F.when((F.col("__place") == 0) & (first <= rank) & (rank <= last), F.col("__slot"))
+        .when((F.col("__place") < 0) & (rank == last), F.col("__most"))
+        .when((F.col("__place") > 0) & (rank == first), F.col("__least"))
     )
+    at = lambda rank: F.max(known(rank))
     picked = ranked.groupBy(*keys, "point", "__n").agg(at(lower).alias("__lo"), at(upper).alias("__hi"))
     share = target - F.floor(target)
-    # the sketch guarantees both ranks lie in the bracket; a breach must not pass as a result
+    # the sketch guarantees both ranks lie in the bracket or next to it; a breach must not pass as a result
     exact = F.when(
         F.col("__lo").isNull() | F.col("__hi").isNull(),
         F.raise_error(F.lit("percentile rank outside its bracket")).cast("double"),

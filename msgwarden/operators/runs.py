@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .judging import run_summary
 from .metadata import mask_record, with_preview
 
 
-def batch_record(judged: DataFrame, run_id: str, variant: str, tags: list[str] | None = None) -> DataFrame:
-    """One row for a scored run. The means and counts are those of ``run_summary``."""
-    tag_list = F.array(*[F.lit(t) for t in (tags or [])]).cast("array<string>")
+def batch_record(
+    judged: DataFrame,
+    run_id: str,
+    variant: str,
+    tags: list[str] | None = None,
+    dataset_sha256: str | None = None,
+    started_at: Column | None = None,
+    duration_ms: int | None = None,
+) -> DataFrame:
+    """One row for a scored run. The means and counts are those of ``run_summary``.
+
+    Without ``tags`` a batch carries ``batch_evaluation`` and those of its variant and run.
+    """
+    tags = ["batch_evaluation", f"variant_{variant}", f"run_{run_id}"] if tags is None else tags
+    tag_list = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
     rate_tag = F.concat(
         F.lit("pass_rate_"), F.col("passed_cases").cast("string"), F.lit("/"), F.col("total_cases").cast("string")
     )
@@ -23,6 +35,9 @@ def batch_record(judged: DataFrame, run_id: str, variant: str, tags: list[str] |
         "parse_failed_cases",
         "average_score",
         F.concat(tag_list, F.array(F.lit("completed"), rate_tag)).alias("tags"),
+        F.lit(dataset_sha256).cast("string").alias("dataset_sha256"),
+        (F.lit(None) if started_at is None else started_at).cast("timestamp").alias("started_at"),
+        F.lit(duration_ms).cast("bigint").alias("duration_ms"),
     )
 
 
@@ -32,7 +47,9 @@ def case_records(
     """One row per scored case with masked previews of both texts."""
     shown = with_preview(judged, input_text, "input_preview")
     shown = with_preview(shown, output_text, "output_preview")
-    score = F.coalesce(F.col("weighted_final_score").cast("string"), F.lit("failed"))
+    # as in the source of these records, a score of zero is tagged like no score at all
+    own = F.col("weighted_final_score")
+    score = F.when(own != 0, own.cast("string")).otherwise(F.lit("failed"))
     return shown.select(
         F.lit(run_id).alias("run_id"),
         F.col(case_id).cast("string").alias("case_id"),
@@ -45,8 +62,13 @@ def case_records(
 
 
 def append_records(records: DataFrame, path: str) -> None:
-    """Appends to a run table, masking every text first."""
-    mask_record(records).write.mode("append").parquet(path)
+    """Adds a run to a run table, masking every text first.
+
+    The table is partitioned by ``run_id``; a run that is there already is replaced, so a job
+    that is repeated leaves one copy.
+    """
+    rows = mask_record(records).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("run_id").parquet(path)
 
 
 def parse_run_log(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -137,10 +137,7 @@ def bsn_checksum(spark, d):
 
 @query
 def pii_hit_rate(spark, d):
-    lines = I.table(spark, d, "orders").selectExpr(
-        "o_orderpriority AS pii_type", "'bel 06-' || lpad(CAST(o_orderkey AS STRING), 8, '0') || CASE WHEN o_custkey % 3 = 0 THEN ' of +316' || lpad(CAST(o_custkey AS STRING), 8, '0') ELSE '' END AS line",
-        "'bel [PHONE_MASKED]' || CASE WHEN o_custkey % 3 = 0 THEN ' of [PHONE_MASKED]' ELSE '' END AS expected_mask",
-    )
+    lines = I.LABELLED_LINES.frame(spark, d)
     return _round(agreement.pii_hit_rate(guardrails.mask_frame(lines, "line")), "rate")
 
 
@@ -306,6 +303,26 @@ def case_check(spark, d):
     )
 
 
+@query
+def case_check_own_terms(spark, d):
+    c = F.col("checks")
+    settings = CheckSettings(max_words="max_words", terms="no_go_terms", cta_required=False)
+    return guardrails.check_cases(I.OWN_LIMITS.frame(spark, d), "text", "doc_id", "lang", settings).select(
+        "case_id",
+        c["length_over_by"].cast(LONG).alias("length_over_by"),
+        F.array_join(F.transform(F.filter(c["nogo_hits"], lambda h: h["key"] == guardrails.OWN_TERM), lambda h: h["match"]), ",").alias("terms"),
+        F.size(c["policy_claims"]).cast(LONG).alias("policy_claims"),
+        "severity",
+    )
+
+
+@query
+def case_summary_own_terms(spark, d):
+    settings = CheckSettings(max_words="max_words", terms="no_go_terms", cta_required=False)
+    rows = guardrails.case_summary(I.OWN_LIMITS.frame(spark, d), "text", "doc_id", "lang", settings)
+    return _ints(rows, "nogo_hits_total").select("case_id", "nogo_hits_total", "severity")
+
+
 @query
 def case_summary(spark, d):
     return _ints(_summary(spark, d), "word_count", "pii_hits_total", "nogo_hits_total")
@@ -352,6 +369,13 @@ def percentiles_by_type(spark, d):
     return _round(reports.percentiles(events, "value", by=("event_type",)), "percentile")
 
 
+@query
+def percentiles_from_brackets(spark, d):
+    """A coarse sketch, so that most values lie outside the brackets."""
+    events = I.table(spark, d, "events").select("event_type", "value")
+    return _round(reports.percentiles(events, "value", by=("event_type",), accuracy=200), "percentile")
+
+
 @query
 def word_count_percentiles(spark, d):
     docs = I.table(spark, d, "documents").select("lang", wording.word_count(F.col("text")).alias("words"))
@@ -425,15 +449,21 @@ def score_histogram(spark, d):
 
 @query
 def run_records(spark, d):
-    record = runs.batch_record(_judged(spark, d), "run_1", "V1", ["batch", "variant_V1"])
-    return _round(record.withColumn("tags", F.array_join("tags", ",")), "average_score")
+    record = runs.batch_record(_judged(spark, d), "1", "V1", dataset_sha256="abc", duration_ms=5)
+    return _round(record.withColumn("tags", F.array_join("tags", ",")), "average_score").drop("started_at")
 
 
 @query
 def case_run_records(spark, d):
     judged = _judged(spark, d).join(I.MESSAGES.frame(spark, d).select("doc_id", "expected_output"), "doc_id")
-    rows = runs.case_records(judged, "run_1", "lang", "expected_output", "doc_id")
-    return rows.select("run_id", "case_id", "input_preview", "output_preview", "passed")
+    docs = I.table(spark, d, "documents").select("doc_id", "text")
+    rows = runs.case_records(judged.join(docs, "doc_id"), "run_1", "text", "expected_output", "doc_id")
+    # the score's text form in the tag is Spark's; the tag of a score that is not zero is compared without it
+    tags = F.transform("tags", lambda t: F.when(t.rlike("^score_[0-9]"), "score").otherwise(t))
+    return _round(
+        rows.select("run_id", "case_id", "input_preview", "output_preview", "final_score", "passed", F.array_join(tags, ",").alias("tags")),
+        "final_score",
+    )
 
 
 @query
@@ -469,6 +499,29 @@ def gate_skipped(spark, d):
     return held.select("case_id", "phase", "reason")
 
 
+@query
+def gate_in_one_pass(spark, d):
+    rows = gate.gate_rows(_generated(spark, d), "expected_output")
+    return rows.select("case_id", "phase", "reason")
+
+
+@query
+def gate_json_in_one_pass(spark, d):
+    settings = CheckSettings(json_schema=I.REPLY_SCHEMA, output_mode="json")
+    rows = gate.gate_rows(I.REPLIES.frame(spark, d), "reply", settings)
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def gate_of_repeated_checks(spark, d):
+    """Checks of conversations: every case has one per turn; the last turn decides, or any."""
+    talk = I.TURNS.frame(spark, d)
+    checked = guardrails.check_cases(talk, "line", "conv_id", "role", CheckSettings(cta_required=False))
+    ordered = checked.withColumn("turn", F.col("phase").cast("bigint"))
+    last, any_ = gate.hard_fails(ordered, "turn"), gate.hard_fails(checked)
+    return last.select(F.lit("last").alias("rule"), "case_id", "reason").union(any_.select(F.lit("any"), "case_id", "reason"))
+
+
 @query
 def gate_json_mode(spark, d):
     replies = I.REPLIES.frame(spark, d)
@@ -560,6 +613,26 @@ def policy_not_worse(spark, d):
     return regression.policy_not_worse(a, b)
 
 
+@query
+def promotion_verdict(spark, d):
+    docs = I.table(spark, d, "documents")
+    plain = CheckSettings(cta_required=False)
+    a = reports.batch_report(_summary(spark, d, plain))
+    b = reports.batch_report(guardrails.case_summary(docs, "text", "doc_id", "lang", plain))
+    compared = regression.compare(I.SCORES_A.frame(spark, d), I.SCORES_B.frame(spark, d).where("lang <> 'fr'"), ("V1", "V2"))
+    return regression.promotion(compared, a, b).select(
+        "rows_a", "rows_b", "rows_differ", "parse_failure_delta", "meets_promotion_threshold", "not_worse", "promote"
+    )
+
+
+@query
+def regression_of_unequal_sides(spark, d):
+    """B lacks a language and holds every tenth case twice."""
+    b = I.SCORES_B.frame(spark, d).where("lang <> 'fr'")
+    b = b.union(b.where("CAST(case_id AS BIGINT) % 10 = 0"))
+    return _round(regression.by_case(I.SCORES_A.frame(spark, d), b), "score_a", "score_b", "delta")
+
+
 @query
 def variant_names(spark, d):
     paths = I.table(spark, d, "orders").selectExpr(
@@ -580,7 +653,7 @@ def _rated(spark, d):
 def _flat_kappa(report):
     shown = report.select(
         "status", "n_pairs", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"),
-        "observed_agreement", "expected_agreement", "cohens_kappa",
+        "observed_agreement", "expected_agreement", "cohens_kappa", F.col("targets.kappa").alias("target_kappa"),
     )
     return _round(shown, "observed_agreement", "expected_agreement", "cohens_kappa")
 
@@ -607,6 +680,20 @@ def kappa_scores(spark, d):
     return _flat_kappa(agreement.kappa_report(_two_scores(spark, d), "a", "b"))
 
 
+@query
+def kappa_with_gaps(spark, d):
+    """Many scores are missing on either side."""
+    pairs = _two_scores(spark, d).selectExpr("CASE WHEN doc_id % 5 > 0 THEN a END AS a", "CASE WHEN doc_id % 7 > 1 THEN b END AS b")
+    return _flat_kappa(agreement.kappa_report(pairs, "a", "b"))
+
+
+@query
+def kappa_of_too_few(spark, d):
+    """Nearly all pairs lack a score, and more are asked for than there are."""
+    pairs = _two_scores(spark, d).selectExpr("a", "CASE WHEN doc_id % 50 = 3 THEN b END AS b")
+    return _flat_kappa(agreement.kappa_report(pairs, "a", "b", min_pairs=1_000_000_000))
+
+
 @query
 def confusion_counts(spark, d):
     return agreement.confusion(agreement.complete_pairs(_two_scores(spark, d), "a", "b"))
@@ -626,7 +713,8 @@ def within_one(spark, d):
 def calibration(spark, d):
     judge = judging.scores_long(_judged(spark, d, "0").withColumnRenamed("doc_id", "case_id"), ["case_id"])
     human = judging.scores_long(_judged(spark, d, "2").withColumnRenamed("doc_id", "case_id"), ["case_id"])
-    return _round(agreement.calibration(judge, human), "within_one", "mae")
+    repeated = judge.union(judge.where("CAST(case_id AS BIGINT) % 3 = 0"))
+    return _round(agreement.calibration(repeated, human), "within_one", "mae")
 
 
 @query

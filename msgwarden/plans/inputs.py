@@ -66,6 +66,34 @@ CONTACT = """'Bel 06-' || lpad(CAST(o_orderkey AS STRING), 8, '0')
   || '/ en key sk-' || lpad(CAST(o_orderkey AS STRING), 24, 'a') || '.'"""
 CONTACTS = Derived("orders", ("o_orderkey", "o_custkey", "o_orderpriority", f"{CONTACT} AS line"))
 
+# A labelled sentence per order, one kind of personal data each; every eleventh label is wrong.
+_KINDS = (
+    ("phone", "'06-' || lpad(CAST(o_orderkey % 100000000 AS STRING), 8, '0')", "[PHONE_MASKED]"),
+    ("iban", "'NL91ABNA' || lpad(CAST(o_orderkey AS STRING), 10, '0')", "[IBAN_MASKED]"),
+    ("email", "'c' || CAST(o_custkey AS STRING) || '@mail.voorbeeld.nl'", "[EMAIL_MASKED]"),
+    ("credit_card", "'4111-1111-1111-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')", "[CC_MASKED]"),
+    ("ip_address", "'10.0.' || CAST(o_orderkey % 256 AS STRING) || '.' || CAST(o_custkey % 256 AS STRING)", "[IP_MASKED]"),
+    ("api_key", "'sk-' || lpad(CAST(o_orderkey AS STRING), 24, 'a')", "[API_KEY_MASKED]"),
+    ("licence", "'AB-' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '-CD'", "[ID_MASKED]"),
+    ("none", "'niets'", "niets"),
+)
+_KIND = f"(o_orderkey + o_custkey) % {len(_KINDS)}"
+
+
+def _by_kind(values: tuple[str, ...]) -> str:
+    return f"CASE {_KIND} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+LABELLED_LINES = Derived(
+    "orders",
+    (
+        _by_kind(tuple(f"'{k}'" for k, _, _ in _KINDS)) + " AS pii_type",
+        "'gegeven: ' || " + _by_kind(tuple(v for _, v, _ in _KINDS)) + " || ' !' AS line",
+        "CASE WHEN o_orderkey % 11 = 0 THEN 'gegeven: ?' ELSE 'gegeven: ' || "
+        + _by_kind(tuple(f"'{m}'" for _, _, m in _KINDS)) + " || ' !' END AS expected_mask",
+    ),
+)
+
 
 def _part(name: str, score: str, reason: str = "r") -> str:
     return f"""'"{name}":{{"score":' || {score} || ',"reason":"{reason}"}}'"""
@@ -156,6 +184,8 @@ REPLY_SCHEMA = {
     },
     "required": ["message", "cta", "next_step"],
 }
+
+#: Our own schema of the events' properties.
 PROPS_SCHEMA = {
     "type": "object",
     "additionalProperties": False,
@@ -170,11 +200,22 @@ LOG_LINE = """CAST(o_orderdate AS STRING) || ' | run_id=run_' || CAST(o_orderkey
 
 LOG_LINES = Derived("orders", (f"{LOG_LINE} AS value",))
 
+# Turns of conversations, of which some hold a phone number; the turn stands in for the phase.
+TURNS = Derived(
+    "conversations",
+    (
+        "conv_id",
+        "CAST(turn AS STRING) AS role",
+        "'beurt ' || CAST(turn AS STRING) || CASE WHEN (conv_id + turn) % 3 = 0 THEN ' bel 06-12345678' ELSE '' END AS line",
+    ),
+)
+
 # Forbidden terms and a word limit per document.
 OWN_LIMITS = Derived(
     "documents",
     (
         "doc_id",
+        "lang",
         "text",
         "50 + doc_id % 200 AS max_words",
         "CASE doc_id % 4 WHEN 0 THEN 'the, OUE ,zz' WHEN 1 THEN '' WHEN 2 THEN 'der,que' ELSE 'ng' END"

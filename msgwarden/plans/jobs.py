@@ -6,6 +6,7 @@ outputs need are written first and read back, so that no text is searched twice.
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,11 @@ def run_guardrails(
     out: str,
     schema_path: str | None = None,
     settings: CheckSettings = CheckSettings(),
+    multi_line: bool = True,
 ) -> DataFrame:
     """Checks every case, writes the nested and the flat report, returns the batch report."""
     prepare(spark)
-    cases = readers.read_cases(spark, dataset) if isinstance(dataset, str) else dataset
+    cases = readers.read_cases(spark, dataset, multi_line) if isinstance(dataset, str) else dataset
     if schema_path is not None:
         settings = replace(settings, json_schema=readers.read_json_document(spark, schema_path))
     checked = guardrails.check_cases(readers.check_input(cases), text="text", settings=settings)
@@ -48,10 +50,15 @@ def score_judge_answers(
     variant: str,
     rubric_path: str | None = None,
     runs_path: str | None = None,
+    cases_path: str | None = None,
+    multi_line: bool = True,
+    dataset_sha256: str | None = None,
 ) -> DataFrame:
     """Scores the judge's answers (id, answer) to the cases, writes the score table and, when
-    asked, the run record; returns the run summary. Cases without an answer count as failed."""
+    asked, the run record and the record of every case (partitioned by run, a repeated run replaces
+    itself); returns the run summary. Cases without an answer count as failed."""
     prepare(spark)
+    started = time.time()
     rubric = fixed.RUBRIC_WEIGHTS
     if rubric_path is not None:
         rubric = judging.rubric_of(readers.read_rubric(spark, rubric_path))
@@ -61,7 +68,7 @@ def score_judge_answers(
         judged.withColumnRenamed("id", "case_id"), ["case_id"], rubric
     )
     writers.write_scores(wide, out)
-    stored = readers.read_scores(spark, out)
+    stored = readers.read_scores(spark, out, multi_line)
     scored = stored.select(
         "case_id",
         regression.usable_score(stored).alias("weighted_final_score"),
@@ -69,7 +76,13 @@ def score_judge_answers(
         (F.lower("failed_judge_parse") == "true").alias("failed_judge_parse"),
     )
     if runs_path is not None:
-        runs.append_records(runs.batch_record(scored, run_id, variant), runs_path)
+        took = int(1000 * (time.time() - started))
+        record = runs.batch_record(
+            scored, run_id, variant, dataset_sha256=dataset_sha256, started_at=F.timestamp_seconds(F.lit(started)), duration_ms=took
+        )
+        runs.append_records(record, runs_path)
+    if cases_path is not None:
+        runs.append_records(runs.case_records(judged, run_id, "input", "output", "id"), cases_path)
     return judging.run_summary(scored)
 
 
@@ -88,10 +101,16 @@ def run_regression(
     scores_b: str,
     out: str,
     count_failures_in: str = "all",
+    multi_line: bool = True,
+    reports_ab: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Compares two score tables of one frozen dataset, writes and returns the record."""
+    """Compares two score tables of one frozen dataset, writes and returns the record.
+
+    With the batch reports of both variants the record also says whether B is no worse on personal data and policy, and
+    whether it is promoted, which takes both that and the score.
+    """
     prepare(spark)
-    a, b = readers.read_scores(spark, scores_a), readers.read_scores(spark, scores_b)
+    a, b = readers.read_scores(spark, scores_a, multi_line), readers.read_scores(spark, scores_b, multi_line)
     names = regression.variant_name(scores_a, "A"), regression.variant_name(scores_b, "B")
     compared = regression.compare(a, b, names, count_failures_in=count_failures_in)
     row = compared.first()
@@ -102,6 +121,9 @@ def run_regression(
     record = regression.summary_record(
         joined, frozen, F.lit(digest.first()["digest"]).cast("string")
     )
+    if reports_ab is not None:
+        verdict = regression.promotion(joined, *reports_ab).select("not_worse", "promote").first()
+        record = record.select("*", F.lit(verdict["not_worse"]).alias("not_worse"), F.lit(verdict["promote"]).alias("promote"))
     writers.write_json(record, out)
     return record
 

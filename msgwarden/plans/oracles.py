@@ -278,7 +278,8 @@ def _kappa(pairs: str) -> str:
         JOIN (SELECT b, count(*) AS n FROM p GROUP BY b) y ON x.a = y.b),
       l AS (SELECT string_agg(v, ',' ORDER BY CAST(v AS INT)) AS labels FROM (SELECT CAST(a AS STRING) AS v FROM p UNION SELECT CAST(b AS STRING) FROM p))
       SELECT 'ok' AS status, n AS n_pairs, labels, round(po, 9) AS observed_agreement, round(coalesce(pe, 0), 9) AS expected_agreement,
-        round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - coalesce(pe, 0)) / (1 - coalesce(pe, 0)) END, 9) AS cohens_kappa FROM t, e, l"""
+        round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - coalesce(pe, 0)) / (1 - coalesce(pe, 0)) END, 9) AS cohens_kappa,
+        '>=0.60' AS target_kappa FROM t, e, l"""
 
 
 _TWO_SCORES = """SELECT doc_id, lang, (doc_id * 7 + n_chars) % 11 * 5e-1 AS a,
@@ -301,9 +302,14 @@ def _generated() -> str:
 
 _USABLE = f"SELECT * FROM ({_generated()}) WHERE NOT starts_with(expected_output, 'ERROR:')"
 _USABLE_CASES = _cases(_USABLE, "case_id", "phase", "expected_output", 120)
-_HIT_LINE = """SELECT o_orderpriority AS pii_type, 'bel 06-' || lpad(CAST(o_orderkey AS STRING), 8, '0')
-  || CASE WHEN o_custkey % 3 = 0 THEN ' of +316' || lpad(CAST(o_custkey AS STRING), 8, '0') ELSE '' END AS line,
-  'bel [PHONE_MASKED]' || CASE WHEN o_custkey % 3 = 0 THEN ' of [PHONE_MASKED]' ELSE '' END AS expected_mask FROM orders"""
+_HIT_LINE = I.LABELLED_LINES.sql
+_OWN_TERMS = """list_filter(list_filter(list_transform(string_split(no_go_terms, ','), lambda t: lower(trim(t))), lambda t: t <> ''),
+  lambda t: contains(lower(text), t))"""
+_OWN = f"""SELECT c.*, o.terms FROM ({_cases(I.OWN_LIMITS.sql, 'doc_id', 'lang', 'text', None, cta=False)}) c
+  JOIN (SELECT doc_id, {_OWN_TERMS} AS terms, greatest(0, {_WORDS.format(t='text')} - max_words) AS beyond FROM ({I.OWN_LIMITS.sql})) o
+  ON c.case_id = o.doc_id"""
+_OWN_SEVERITY = "CASE WHEN pii_hits_total > 0 OR nogo_hits_total + len(terms) > 0 OR beyond > 0 THEN 'fail' ELSE 'pass' END"
+_B_UNEQUAL = f"SELECT * FROM ({I.SCORES_B.sql}) WHERE lang <> 'fr'"
 _REPLY_ERRORS = """SELECT c_custkey, list_sort(list_filter([
     CASE WHEN j IS NULL THEN '$:json' END,
     CASE WHEN json_type(j) <> 'OBJECT' THEN '$:type' END,
@@ -382,6 +388,10 @@ SQL: dict[str, str] = {
       nogo_hits_total AS nogo_hits, coalesce(h.pii_hits, '') AS pii_hits, cta_present, policy AS policy_claims, severity FROM ({CASES}) c
       LEFT JOIN (SELECT id, string_agg(type || '=' || matches, '; ' ORDER BY first, rank) AS pii_hits
         FROM ({_grouped(MESSAGES, 'id', 'expected_output')}) GROUP BY id) h ON h.id = c.case_id""",
+    "case_check_own_terms": f"""SELECT case_id, CAST(beyond AS BIGINT) AS length_over_by, array_to_string(terms, ',') AS terms,
+      CAST(nogo_hits_total + len(terms) AS BIGINT) AS policy_claims, {_OWN_SEVERITY} AS severity FROM ({_OWN.replace("o.terms", "o.terms, o.beyond")})""",
+    "case_summary_own_terms": f"""SELECT case_id, CAST(nogo_hits_total + len(terms) AS BIGINT) AS nogo_hits_total, {_OWN_SEVERITY} AS severity
+      FROM ({_OWN.replace("o.terms", "o.terms, o.beyond")})""",
     "case_summary": f"SELECT {_FLAT} FROM ({CASES})",
     "case_summary_from_record": f"SELECT {_FLAT} FROM ({CASES})",
     "severity_with_policy_labels": "SELECT severity, count(*) AS n FROM ("
@@ -392,6 +402,7 @@ SQL: dict[str, str] = {
     "batch_report_by_phase": _report(CASES, "phase"),
     "percentiles_overall": _percentiles("SELECT value FROM events", "value"),
     "percentiles_by_type": _percentiles("SELECT event_type, value FROM events", "value", "event_type"),
+    "percentiles_from_brackets": _percentiles("SELECT event_type, value FROM events", "value", "event_type"),
     "word_count_percentiles": _percentiles(f"SELECT lang, {_WORDS.format(t='text')} AS words FROM documents", "words", "lang"),
     "split_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "top_causes": f"SELECT cause, count(*) AS n FROM ({_CAUSES}) GROUP BY cause ORDER BY n DESC, cause LIMIT 8",
@@ -407,15 +418,24 @@ SQL: dict[str, str] = {
     "judge_summary": _run_summary("lang"),
     "judge_acceptance": _run_summary(),
     "score_histogram": f"SELECT criterion, CAST(floor(score) AS BIGINT) AS bucket, count(*) AS n FROM ({_long()}) GROUP BY ALL",
-    "run_records": f"""SELECT 'run_1' AS run_id, 'V1' AS variant, total_cases, passed_cases, parse_failed_cases, average_score,
-      'batch,variant_V1,completed,pass_rate_' || passed_cases || '/' || total_cases AS tags FROM ({_run_summary()})""",
-    "case_run_records": f"""SELECT 'run_1' AS run_id, CAST(m.doc_id AS STRING) AS case_id, {_CUT.format(t='lang')} AS input_preview,
-      {_CUT.format(t='masked_text')} AS output_preview, coalesce(final >= 3.5, false) AS passed
-      FROM ({_mask_steps(MESSAGES, 'expected_output')}) m JOIN ({_judged()}) j ON m.doc_id = j.doc_id""",
+    "run_records": f"""SELECT '1' AS run_id, 'V1' AS variant, total_cases, passed_cases, parse_failed_cases, average_score,
+      'batch_evaluation,variant_V1,run_1,completed,pass_rate_' || passed_cases || '/' || total_cases AS tags,
+      'abc' AS dataset_sha256, CAST(5 AS BIGINT) AS duration_ms FROM ({_run_summary()})""",
+    "case_run_records": f"""SELECT 'run_1' AS run_id, CAST(m.doc_id AS STRING) AS case_id, {_CUT.format(t='d.masked_text')} AS input_preview,
+      {_CUT.format(t='m.masked_text')} AS output_preview, round(final, 9) AS final_score, coalesce(final >= 3.5, false) AS passed,
+      CASE WHEN final <> 0 THEN 'completed,score' ELSE 'completed,score_failed' END AS tags
+      FROM ({_mask_steps(MESSAGES, 'expected_output')}) m JOIN ({_judged()}) j ON m.doc_id = j.doc_id
+      JOIN ({_mask_steps('SELECT doc_id, text FROM documents', 'text')}) d ON m.doc_id = d.doc_id""",
     "run_log": """SELECT 'run_' || o_orderkey AS run_id, 'V' || (o_orderkey % 3) AS variant, o_custkey % 20 AS parse_failed,
       round((o_orderkey % 50) / 10, 9) AS avg_score, 'cases_' || o_custkey AS dataset FROM orders""",
     "gate_passed": f"SELECT case_id, phase FROM ({_USABLE_CASES}) WHERE pii_hits_total = 0",
     "gate_skipped": f"SELECT case_id, phase, 'PII' AS reason FROM ({_USABLE_CASES}) WHERE pii_hits_total > 0",
+    "gate_in_one_pass": f"SELECT case_id, phase, CASE WHEN pii_hits_total > 0 THEN 'PII' END AS reason FROM ({_USABLE_CASES})",
+    "gate_json_in_one_pass": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
+      WHEN len(errors) > 0 THEN 'JSON-invalid' END AS reason FROM ({I.REPLIES.sql}) r JOIN ({_REPLY_ERRORS}) e USING (c_custkey)) GROUP BY reason""",
+    "gate_of_repeated_checks": """SELECT rule, case_id, 'PII' AS reason FROM (
+      SELECT 'last' AS rule, conv_id AS case_id, max_by((conv_id + turn) % 3 = 0, turn) AS fails FROM conversations GROUP BY conv_id
+      UNION ALL SELECT 'any', conv_id, max((conv_id + turn) % 3 = 0) FROM conversations GROUP BY conv_id) WHERE fails""",
     "gate_json_mode": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
       WHEN len(errors) > 0 THEN 'JSON-invalid' END AS reason FROM ({I.REPLIES.sql}) r JOIN ({_REPLY_ERRORS}) e USING (c_custkey)) WHERE reason IS NOT NULL GROUP BY reason""",
     "first_cases": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 5",
@@ -425,6 +445,10 @@ SQL: dict[str, str] = {
       round_even(score_improvement, 3) AS score_improvement, round_even(improvement_percentage, 2) AS improvement_percentage,
       parse_failure_delta, meets_promotion_threshold FROM ({_compared('')})""",
     "regression_by_case": _rounded(_BY_CASE, "score_a", "score_b", "delta"),
+    "regression_of_unequal_sides": _rounded(
+        _BY_CASE.replace(f"FROM ({_side(I.SCORES_B, 'B')})", f"FROM ({_side(I.SCORES_B, 'B')}) WHERE case_id IN (SELECT case_id FROM ({_B_UNEQUAL}))"),
+        "score_a", "score_b", "delta",
+    ),
     "regression_scores": f"SELECT variant, case_id, score, passed FROM ({BOTH}) WHERE score IS NOT NULL",
     "regression_by_criterion": f"""SELECT criterion, round(avg(score) FILTER (v = 'A'), 9) AS avg_a, round(avg(score) FILTER (v = 'B'), 9) AS avg_b,
       round(avg(score) FILTER (v = 'B') - avg(score) FILTER (v = 'A'), 9) AS delta FROM
@@ -437,10 +461,21 @@ SQL: dict[str, str] = {
     "policy_not_worse": f"""SELECT b.l - a.l AS high_risk_leaks_delta, b.n - a.n AS nogo_hits_total_delta, b.l <= a.l AND b.n <= a.n AS not_worse FROM
       (SELECT count(*) FILTER (pii_hits_total > 0) AS l, CAST(sum(nogo_hits_total) AS BIGINT) AS n FROM ({_cases('SELECT doc_id, lang, text FROM documents', 'doc_id', 'lang', 'text', None, cta=False)})) a,
       (SELECT count(*) FILTER (pii_hits_total > 0) AS l, CAST(sum(nogo_hits_total) AS BIGINT) AS n FROM ({CASES})) b""",
+    "promotion_verdict": f"""SELECT rows_a, rows_b, rows_a <> rows_b AS rows_differ, fa - fb AS parse_failure_delta,
+      avg_b - avg_a >= 0.25 AND fb <= fa AS meets_promotion_threshold, not_worse, avg_b - avg_a >= 0.25 AND fb <= fa AND not_worse AS promote FROM
+      (SELECT count(*) FILTER (variant = 'A') AS rows_a, count(*) FILTER (variant = 'B') AS rows_b, avg(score) FILTER (variant = 'A') AS avg_a,
+        avg(score) FILTER (variant = 'B') AS avg_b, count(*) FILTER (variant = 'A' AND failed) AS fa, count(*) FILTER (variant = 'B' AND failed) AS fb
+        FROM ({BOTH}) WHERE variant = 'A' OR case_id IN (SELECT case_id FROM ({_B_UNEQUAL}))),
+      (SELECT b.l <= a.l AND b.n <= a.n AS not_worse FROM
+        (SELECT count(*) FILTER (pii_hits_total > 0) AS l, sum(nogo_hits_total) AS n FROM ({_cases(MESSAGES, 'id', 'phase', 'expected_output', None, cta=False)})) a,
+        (SELECT count(*) FILTER (pii_hits_total > 0) AS l, sum(nogo_hits_total) AS n FROM ({_cases('SELECT doc_id, lang, text FROM documents', 'doc_id', 'lang', 'text', None, cta=False)})) b)""",
     "variant_names": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'V' || (o_orderkey % 7) ELSE 'A' END AS variant FROM orders",
     "kappa": _kappa("SELECT quality AS a, toxic AS b FROM labels"),
     "kappa_against_rule": _kappa("SELECT toxic AS a, CAST(contains(text, '!!') AS INT) AS b FROM labels JOIN documents USING (doc_id)"),
     "kappa_scores": _kappa(_TWO_SCORES),
+    "kappa_with_gaps": _kappa(f"SELECT CASE WHEN doc_id % 5 > 0 THEN a END AS a, CASE WHEN doc_id % 7 > 1 THEN b END AS b FROM ({_TWO_SCORES})"),
+    "kappa_of_too_few": f"""SELECT 'insufficient' AS status, count(*) AS n_pairs, CAST(NULL AS STRING) AS labels, CAST(NULL AS DOUBLE) AS observed_agreement,
+      CAST(NULL AS DOUBLE) AS expected_agreement, CAST(NULL AS DOUBLE) AS cohens_kappa, '>=0.60' AS target_kappa FROM ({_TWO_SCORES}) WHERE doc_id % 50 = 3""",
     "confusion_counts": f"SELECT CAST(round_even(a, 0) AS BIGINT) AS label_a, CAST(round_even(b, 0) AS BIGINT) AS label_b, count(*) AS n FROM ({_TWO_SCORES}) GROUP BY ALL",
     "label_space": f"SELECT CAST(round_even(a, 0) AS BIGINT) AS label FROM ({_TWO_SCORES}) UNION SELECT CAST(round_even(b, 0) AS BIGINT) FROM ({_TWO_SCORES})",
     "within_one": f"""SELECT lang, count(*) AS n_pairs, round(avg(CAST(abs(a - b) <= 1 AS INT)), 9) AS within_one,

@@ -10,10 +10,9 @@ from .functions.jsoncheck import DUPLICATE_KEYS_CONF
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings for a session made elsewhere.
 
-    A JSON object that repeats a key keeps the last value, and times are in UTC.
+    A JSON object that repeats a key keeps the last value. The checks of JSON texts refuse a session without it.
     """
     spark.conf.set(DUPLICATE_KEYS_CONF, "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -25,6 +24,7 @@ def local_session(name: str, cores: str = "*", memory: str = "8g") -> SparkSessi
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.maxPartitionBytes", "16m")

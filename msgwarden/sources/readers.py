@@ -22,16 +22,15 @@ ANNOTATIONS = f"items array<{_ITEM}>"
 PAIRS = "pairs array<struct<case_id:string,llm_score:double,human_score:double>>"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table whose texts are to be searched.
+def read_table(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+    """A parquet table, read in the splits it has.
 
-    Searching costs far more per byte than reading. A table of so few splits that most cores
-    would idle is spread over them; it is then at most a few dozen splits large. Larger tables
-    are read as they are, without a shuffle.
+    ``spread`` deals the rows to that many tasks instead, at the price of a shuffle. That may pay
+    for a table of very few row groups whose texts are searched, since searching costs far more
+    per byte than reading; the caller decides.
     """
     df = spark.read.parquet(path)
-    cores = min(spark.sparkContext.defaultParallelism, 32)
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df if spread is None else df.repartition(spread)
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:

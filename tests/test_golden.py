@@ -10,19 +10,20 @@ from msgwarden.operators import agreement, gate, guardrails, judging, metadata,
 from msgwarden.operators.guardrails import CheckSettings
 from msgwarden.plans.inputs import REPLY_SCHEMA
 
-SENTENCES = [
-    ("Mijn email is john.doe@company.com voor contact", "Mijn email is [EMAIL_MASKED] voor contact"),
-    ("Je kunt me bellen op 06-12345678 of +31612345678", "Je kunt me bellen op [PHONE_MASKED] of +31612345678"),
-    ("Mijn IBAN is NL91ABNA0417164300 voor de betaling", "Mijn IBAN is [IBAN_MASKED] voor de betaling"),
-    ("Kijk op mijn profiel: https://linkedin.com/in/johndoe", "Kijk op mijn profiel: [LINKEDIN_MASKED]"),
-    ("Contact via maria@example.org of bel 020-1234567", "Contact via [EMAIL_MASKED] of bel [PHONE_MASKED]"),
-    ("Mijn BSN is 123456789 en rijbewijs AB-123-CD", "Mijn BSN is [BSN_MASKED] en rijbewijs [ID_MASKED]"),
-    ("IP adres 192.168.1.1 en MAC AA:BB:CC:DD:EE:FF", "IP adres [IP_MASKED] en MAC AA:BB:CC:DD:EE:FF"),
-    ("API key sk-1234567890abcdef of token abc123xyz789", "API key sk-1234567890abcdef of token abc123xyz789"),
-    ("Creditcard 4111 1111 1111 1111 vervalt 12/25", "Creditcard [CC_MASKED] vervalt 12/25"),
-    ("Profiel www.linkedin.com/company/bedrijf-bv", "Profiel www.[LINKEDIN_MASKED]"),
-    ("Mobiel 0031612345678 of vast 0031201234567", "Mobiel [PHONE_MASKED] of vast 0031201234567"),
-    ("Dit is een schone tekst", "Dit is een schone tekst"),
+#: One text or more for each rule, with what masking makes of it.
+MASKED = [
+    ("t.o.n+x@a-b.c.io, Q_9%z@HOST.Museum; not@host, @x.nl", "[EMAIL_MASKED], [EMAIL_MASKED]; not@host, @x.nl"),
+    ("0687654321/06 87654321", "[PHONE_MASKED]/[PHONE_MASKED]"),
+    ("tel:+31687654321 tel +31687654321 x+31 6 87654321", "tel:+31687654321 tel +31687654321 x[PHONE_MASKED]"),
+    ("030 7654321; 0316-765432; 0031-6-87654321", "[PHONE_MASKED]; [PHONE_MASKED]; [PHONE_MASKED]"),
+    ("BE71096123456769 but not GB29NWBK60161", "[IBAN_MASKED] but not GB29NWBK60161"),
+    ("see LinkedIn.com/in/a-b_c/ and http://www.linkedin.com/company/x9", "see [LINKEDIN_MASKED] and [LINKEDIN_MASKED]"),
+    ("200000004 or 200000003", "[BSN_MASKED] or 200000003"),
+    ("plates ZX987yw, Q1-234-AB", "plates [ID_MASKED], Q1-234-AB"),
+    ("5500-0000 0000-0004 and 5500 0000 0000 000", "[CC_MASKED] and 5500 0000 0000 000"),
+    ("hosts 8.8.4.4:53, 1.2.3, 999.1.1.1", "hosts [IP_MASKED]:53, 1.2.3, [IP_MASKED]"),
+    ("pk-ABCDEFGHIJKLMNOPQRST apikey0123456789abcdefghij sk-tooshort", "[API_KEY_MASKED] [API_KEY_MASKED] sk-tooshort"),
+    ("nothing of the kind: 12-34, a@b, c.d", "nothing of the kind: 12-34, a@b, c.d"),
 ]
 
 
@@ -30,8 +31,8 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def test_labelled_sentences(spark):
-    df = frame(spark, SENTENCES, "text string, want string")
+def test_masks_of_every_rule(spark):
+    df = frame(spark, MASKED, "text string, want string")
     for row in guardrails.mask_frame(df, "text").collect():
         assert row.masked_text == row.want
 
@@ -313,3 +314,57 @@ def test_own_terms(spark):
     df = frame(spark, [("Een Garantie", " garantie ,x,"), ("niets", None)], "t string, terms string")
     got = [r[0] for r in df.select(wording.term_hits(F.col("t"), F.col("terms"))).collect()]
     assert got == [["garantie"], []]
+
+
+def test_rounding_agrees_with_exact_values(spark):
+    values = [4.4145, 2.2825, 0.5555, 0.0005, 0.0015, 2.5, 1.0005, -4.4145, -0.0625, 0.0625, 3.1415926, 0.0, 123456.7895, 1e-9, 2.675]
+    values += [k / 2000 for k in range(1, 4000, 7)] + [-k / 400 for k in range(1, 4000, 13)]
+    df = frame(spark, [(v,) for v in values], "v double")
+    for digits in (2, 3):
+        got = df.select("v", regression.round_half_even(F.col("v"), digits).alias("r")).collect()
+        assert [(r.v, r.r) for r in got] == [(r.v, round(r.v, digits)) for r in got]
+    odd = frame(spark, [(float("nan"),), (float("inf"),), (None,)], "v double").select(regression.round_half_even(F.col("v"), 3).alias("r")).collect()
+    assert str(odd[0].r) == "nan" and odd[1].r == float("inf") and odd[2].r is None
+
+
+def test_json_checks_refuse_a_session_without_its_setting(spark):
+    spark.conf.set(jsoncheck.DUPLICATE_KEYS_CONF, "false")
+    try:
+        with pytest.raises(ValueError):
+            jsoncheck.parse_json(F.col("x"))
+    finally:
+        spark.conf.set(jsoncheck.DUPLICATE_KEYS_CONF, "true")
+
+
+def test_gate_in_one_pass(spark, tmp_path):
+    rows = [("1", "Plan: mail x@y.nl"), ("2", "Plan"), ("3", "ERROR: none"), ("4", None)]
+    path = str(tmp_path / "cases")
+    frame(spark, rows, "case_id string, text string").write.parquet(path)
+    cases = spark.read.parquet(path)
+    got = gate.gate_rows(cases, "text")
+    assert sorted((r.case_id, r.reason) for r in got.collect()) == [("1", "PII"), ("2", None), ("4", None)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+    assert "StringStartsWith(text,ERROR:)" in gate.without_errors(cases, "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_read_in_their_splits(spark, tmp_path):
+    from msgwarden.sources.readers import read_table
+
+    path = str(tmp_path / "t")
+    spark.range(10).coalesce(1).write.parquet(path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(read_table(spark, path)) and "RoundRobin" in plan(read_table(spark, path, spread=4))
+
+
+def test_rubric_order_does_not_follow_the_rows(spark):
+    rows = [("zeal", 0.1), ("pii_free", 0.2), ("style_match", 0.3), ("care", 0.4)]
+    df = frame(spark, rows, "criterion string, weight double")
+    assert [c for c, _ in judging.rubric_of(df)] == [c for c, _ in judging.rubric_of(df.orderBy("weight"))] == ["style_match", "pii_free", "care", "zeal"]
+
+
+def test_repeated_scores_count_once(spark):
+    judge = frame(spark, [("1", "c", 4.0)] * 3 + [("2", "c", 1.0), (None, "c", 1.0)], "case_id string, criterion string, score double")
+    human = frame(spark, [("1", "c", 3.0)] * 3 + [("2", "c", 4.0), ("3", "c", 1.0)], "case_id string, criterion string, score double")
+    row = agreement.calibration(judge, human).first()
+    assert (row.n_pairs, row.within_one, row.mae) == (2, 0.5, 2.0)

@@ -170,6 +170,7 @@ def test_rules_from_table(spark):
 def test_hashes_inventory_and_manifest(spark, cases, tmp_path):
     digest = hashlib.sha256(open(cases, "rb").read()).hexdigest()
     assert freeze.file_hashes(spark, cases).first().sha256 == digest
+    assert freeze.file_hashes(spark, cases, one_value=10).first().sha256 == digest
     missing = freeze.file_hashes(spark, str(tmp_path / "none")).first()
     assert missing.sha256 is None and missing.length is None
     assert freeze.inventory(spark, cases).first().bytes == os.path.getsize(cases)
@@ -188,8 +189,10 @@ def test_row_fingerprint(spark):
 def test_run_table_masks_texts(spark, tmp_path):
     df = spark.createDataFrame([("r", "mail a@b.nl")], "run_id string, note string")
     runs.append_records(df, str(tmp_path / "t"))
+    runs.append_records(df.withColumn("run_id", F.lit("s")), str(tmp_path / "t"))
     runs.append_records(df, str(tmp_path / "t"))
-    assert [r.note for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["mail [EMAIL_MASKED]"] * 2
+    rows = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert sorted((r.run_id, r.note) for r in rows) == [("r", "mail [EMAIL_MASKED]"), ("s", "mail [EMAIL_MASKED]")]
 
 
 def test_stream(spark, cases, tmp_path):
@@ -205,3 +208,18 @@ def test_csv_keeps_quotes_and_breaks(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "b", c\nd')], "id string, output string")
     writers.write_csv(df, str(tmp_path / "x"))
     assert readers.read_csv(spark, str(tmp_path / "x"), "id string").first().output == 'a "b", c\nd'
+
+
+def test_a_repeated_job_leaves_one_run(spark, tmp_path):
+    cases = spark.createDataFrame([("1", "in", "mail a@b.nl"), ("2", "in", "x")], "id string, input string, output string")
+    answers = spark.createDataFrame([("1", '{"style_match":{"score":0,"reason":"r"}}'), ("2", "no json")], "id string, answer string")
+    for _ in range(2):
+        jobs.score_judge_answers(
+            spark, cases, answers, str(tmp_path / "s"), "r1", "V1", runs_path=str(tmp_path / "runs"), cases_path=str(tmp_path / "cases"),
+            multi_line=False, dataset_sha256="d",
+        )
+    run = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert [(r.run_id, r.total_cases, r.dataset_sha256) for r in run] == [("r1", 2, "d")]
+    assert run[0].tags[:3] == ["batch_evaluation", "variant_V1", "run_r1"] and run[0].duration_ms > 0 and run[0].started_at
+    records = spark.read.parquet(str(tmp_path / "cases")).orderBy("case_id").collect()
+    assert [(r.case_id, r.output_preview, r.tags[1]) for r in records] == [("1", "mail [EMAIL_MASKED]", "score_failed"), ("2", "x", "score_failed")]
