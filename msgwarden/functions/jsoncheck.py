@@ -42,12 +42,10 @@ def parse_json(text: Column) -> Column:
 
 def kind(value: str) -> str:
     """SQL for object, array, string, boolean, number or null; NULL where there is no value."""
-    schema = f"schema_of_variant({value})"
-    return (
-        f"CASE WHEN {value} IS NULL THEN NULL WHEN {schema} LIKE 'OBJECT%' THEN 'object'"
-        f" WHEN {schema} = 'STRING' THEN 'string' WHEN {schema} LIKE 'ARRAY%' THEN 'array'"
-        f" WHEN {schema} = 'BOOLEAN' THEN 'boolean' WHEN {schema} = 'VOID' THEN 'null' ELSE 'number' END"
-    )
+    # the schema is worked out once and looked up; all that is not listed is some kind of number
+    names = "map('OBJECT', 'object', 'STRING', 'string', 'ARRAY', 'array', 'BOOLEAN', 'boolean', 'VOID', 'null')"
+    word = f"split_part(schema_of_variant({value}), '<', 1)"
+    return f"IF({value} IS NULL, NULL, coalesce(try_element_at({names}, {word}), 'number'))"
 
 
 def at(value: str, keys: tuple[str, ...], kind_: str = "variant") -> str:

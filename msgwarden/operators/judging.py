@@ -41,14 +41,12 @@ def prompt_column(template: str, input_text: Column, output_text: Column) -> Col
     return F.replace(filled, F.lit("{model_output}"), F.coalesce(output_text, F.lit("")))
 
 
-def _score(criterion: str) -> str:
-    """Score of one criterion: 0 when left out, NULL when it is no number."""
-    keys = (criterion, "score")
-    what = kind(at("__v", keys))
-    text = float_sql(at("__v", keys, "string"))
+def _score(value: str, what: str) -> str:
+    """Score from the columns of its value and kind: 0 when left out, NULL when it is no number."""
+    text = float_sql(f"try_variant_get({value}, '$', 'string')")
     return (
         f"CASE WHEN {what} IS NULL THEN 0.0D WHEN {what} = 'string' THEN {text}"
-        f" WHEN {what} IN ('number', 'boolean') THEN {at('__v', keys, 'double')} END"
+        f" WHEN {what} IN ('number', 'boolean') THEN try_variant_get({value}, '$', 'double') END"
     )
 
 
@@ -77,16 +75,19 @@ def score_answers(
     answer.
     """
     steps = df.withColumn("__v", parse_json(F.col(answer))).withColumn("__kind", F.expr(kind("__v")))
+    # each step works on the columns of the former: every value is taken out and classified once
+    every = range(len(rubric))
+    steps = _with(steps, {f"__c{i}": at("__v", (criterion,)) for i, (criterion, _) in enumerate(rubric)})
+    fields = {f"__ck{i}": kind(f"__c{i}") for i in every}
+    for field, short in (("score", "s"), ("reason", "r")):
+        fields |= {f"__{short}{i}": at(f"__c{i}", (field,)) for i in every}
+    steps = _with(steps, fields)
+    steps = _with(steps, {f"__{x}k{i}": kind(f"__{x}{i}") for x in "sr" for i in every})
     read = {"__refused": _REFUSED}
-    for i, (criterion, _) in enumerate(rubric):
-        reason = at("__v", (criterion, "reason"))
-        read[f"__there{i}"] = f"{at('__v', (criterion,))} IS NOT NULL"
-        read[f"__score{i}"] = (
-            f"CASE WHEN {kind(at('__v', (criterion,)))} = 'object' THEN {_score(criterion)} END"
-        )
-        read[f"__reason{i}"] = (
-            f"CASE WHEN {kind(reason)} = 'string' THEN {at('__v', (criterion, 'reason'), 'string')} END"
-        )
+    for i in every:
+        read[f"__there{i}"] = f"__c{i} IS NOT NULL"
+        read[f"__score{i}"] = f"CASE WHEN __ck{i} = 'object' THEN {_score(f'__s{i}', f'__sk{i}')} END"
+        read[f"__reason{i}"] = f"CASE WHEN __rk{i} = 'string' THEN try_variant_get(__r{i}, '$', 'string') END"
     steps = _with(steps, read)
     # a criterion counts when it is present and nothing up to it was unreadable
     kept, explained = {}, []

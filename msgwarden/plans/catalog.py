@@ -760,6 +760,72 @@ def freeze_manifest(spark, d):
     return made.select("name", "sha256", "frozen_at", "n_rows", split.alias("split"))
 
 
+# --- what readers make of lines, and what writers make of rows -----------------------------
+@query
+def lines_of_cases(spark, d):
+    return readers.case_lines(I.CASE_LINES.frame(spark, d), "line")
+
+
+@query
+def lines_of_frozen_cases(spark, d):
+    return readers.frozen_lines(I.FROZEN_LINES.frame(spark, d), "line")
+
+
+@query
+def lines_of_annotations(spark, d):
+    return readers.annotation_lines(I.ANNOTATION_LINES.frame(spark, d), "line").select("case_id", "annotator_a", "annotator_b", "notes")
+
+
+@query
+def lines_of_scores(spark, d):
+    rows = readers.score_lines(I.SCORE_LINES.frame(spark, d), "line")
+    return rows.select("case_id", "final_score", regression.usable_score(rows).alias("score"), "passed")
+
+
+@query
+def rows_of_score_files(spark, d):
+    """The score file's columns, of which the score is text."""
+    wide = judging.scores_wide(_judged(spark, d), ["doc_id"])
+    rows = judging.score_file_columns(wide)
+    shown = F.when(F.col("failed_judge_parse"), F.col("final_score")).otherwise("number")
+    return rows.select("doc_id", shown.alias("final_score"), F.round(F.col("final_score").try_cast("double"), 9).alias("score"), "passed")
+
+
+@query
+def rows_of_summary_files(spark, d):
+    """The flat summary as CSV records."""
+    rows = _summary(spark, d)
+    return rows.select(F.to_csv(F.struct("case_id", "severity", "word_count", "pii_hits_total", "cta_present", "length_ok")).alias("record"))
+
+
+@query
+def rows_of_nested_files(spark, d):
+    """The nested record as JSON, read back."""
+    text = _checked(spark, d).select(F.to_json(F.struct("case_id", "checks", "severity")).alias("record"))
+    parsed = text.select(F.try_parse_json("record").alias("r"))
+    get = lambda path, kind: F.try_variant_get("r", path, kind)
+    return parsed.select(
+        get("$.case_id", "string").alias("case_id"),
+        get("$.checks.cta_present", "boolean").alias("cta_present"),
+        get("$.checks.length_over_by", "bigint").alias("length_over_by"),
+        get("$.severity", "string").alias("severity"),
+    )
+
+
+@query
+def rows_of_regression_files(spark, d):
+    compared = regression.compare(I.SCORES_A.frame(spark, d), I.SCORES_B.frame(spark, d), ("V1", "V2"))
+    record = regression.summary_record(compared, "documents")
+    text = record.select(F.to_json(F.struct(*record.columns)).alias("record"))
+    get = lambda path, kind: F.try_variant_get(F.try_parse_json("record"), path, kind)
+    return text.select(
+        get("$.variant_a.name", "string").alias("name_a"),
+        get("$.variant_b.avg_score", "double").alias("avg_b"),
+        get("$.parse_failure_delta", "bigint").alias("parse_failure_delta"),
+        get("$.meets_promotion_threshold", "boolean").alias("meets_promotion_threshold"),
+    )
+
+
 @query
 def judge_inputs(spark, d):
     docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message"))

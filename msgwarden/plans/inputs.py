@@ -200,6 +200,35 @@ LOG_LINE = """CAST(o_orderdate AS STRING) || ' | run_id=run_' || CAST(o_orderkey
 
 LOG_LINES = Derived("orders", (f"{LOG_LINE} AS value",))
 
+# Records as files hold them: CSV with quoted commas and quotes, JSON lines whose values are all text.
+_QUOTED = "'\"' || replace(lang || ', \"' || source || '\"', '\"', '\"\"') || '\"'"
+CASE_LINES = Derived(
+    "documents",
+    (f"CAST(doc_id AS STRING) || ',' || lang || ',' || {_QUOTED} || ',out ' || source || ',' || CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 90 AS STRING) ELSE '' END || ',\"a,b\"' AS line",),
+)
+FROZEN_LINES = Derived(
+    "documents",
+    (
+        "'{\"id\":\"' || CAST(doc_id AS STRING) || '\",\"phase\":\"' || lang || '\",\"max_words\":\"' || CASE doc_id % 4 WHEN 0 THEN 'veel' ELSE CAST(doc_id % 90 AS STRING) END"
+        " || '\",\"input\":null,\"no_go_terms\":\"x,y\"}' AS line",
+    ),
+)
+ANNOTATION_LINES = Derived(
+    "documents",
+    (
+        "'{\"case_id\":\"' || CAST(doc_id AS STRING) || '\",\"human_scores\":{\"annotator_a\":' || CAST(n_chars % 6 AS STRING)"
+        " || CASE doc_id % 3 WHEN 0 THEN ',\"annotator_b\":null' WHEN 1 THEN '' ELSE ',\"annotator_b\":\"' || CAST(doc_id % 6 AS STRING) || '\"' END"
+        " || '},\"notes\":\"' || source || '\"}' AS line",
+    ),
+)
+SCORE_LINES = Derived(
+    "documents",
+    (
+        "CAST(doc_id AS STRING) || ',' || CASE doc_id % 6 WHEN 0 THEN 'PARSE_FAILED' WHEN 1 THEN '' ELSE CAST(n_chars % 6 AS STRING) || '.5' END"
+        " || ',' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || ',False' AS line",
+    ),
+)
+
 # Turns of conversations, of which some hold a phone number; the turn stands in for the phase.
 TURNS = Derived(
     "conversations",

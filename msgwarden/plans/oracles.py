@@ -486,5 +486,19 @@ SQL: dict[str, str] = {
       FROM ({I.SCORES_A.sql}) a JOIN ({I.SCORES_B.sql}) b USING (case_id) ORDER BY md5('7|' || a.case_id), a.case_id LIMIT 30""",
     "row_fingerprint": _fingerprint(("doc_id", "text", "lang")),
     "row_fingerprint_by_lang": _fingerprint(("doc_id", "text"), "lang"),
+    "lines_of_cases": """SELECT CAST(doc_id AS STRING) AS id, lang AS phase, lang || ', "' || source || '"' AS input, 'out ' || source AS expected_output,
+      CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 90 AS INT) END AS max_words, 'a,b' AS no_go_terms FROM documents""",
+    "lines_of_frozen_cases": """SELECT CAST(doc_id AS STRING) AS id, lang AS phase, CAST(NULL AS STRING) AS input, CAST(NULL AS STRING) AS expected_output,
+      CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 90 AS INT) END AS max_words, 'x,y' AS no_go_terms FROM documents""",
+    "lines_of_annotations": """SELECT CAST(doc_id AS STRING) AS case_id, CAST(n_chars % 6 AS DOUBLE) AS annotator_a,
+      CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id % 6 AS DOUBLE) END AS annotator_b, source AS notes FROM documents""",
+    "lines_of_scores": """SELECT CAST(doc_id AS STRING) AS case_id, CASE doc_id % 6 WHEN 0 THEN 'PARSE_FAILED' WHEN 1 THEN NULL ELSE (n_chars % 6) || '.5' END AS final_score,
+      CASE WHEN doc_id % 6 > 1 THEN n_chars % 6 + 0.5e0 END AS score, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS passed FROM documents""",
+    "rows_of_score_files": f"""SELECT doc_id, CASE WHEN failed THEN 'PARSE_FAILED' ELSE 'number' END AS final_score, CASE WHEN NOT failed THEN round(final, 9) END AS score,
+      coalesce(final >= 3.5, false) AS passed FROM ({_judged()})""",
+    "rows_of_summary_files": f"""SELECT case_id || ',' || severity || ',' || word_count || ',' || pii_hits_total || ',' || cta_present || ',' || length_ok AS record
+      FROM ({CASES})""",
+    "rows_of_nested_files": f"SELECT case_id, cta_present, CAST(over_by AS BIGINT) AS length_over_by, severity FROM ({CASES})",
+    "rows_of_regression_files": f"""SELECT name_a, round_even(avg_b, 3) AS avg_b, parse_failure_delta, meets_promotion_threshold FROM ({_compared('')})""",
     "judge_inputs": "SELECT CAST(doc_id AS STRING) AS id, '' AS input, length(text) AS output_length FROM documents",
 }

@@ -63,10 +63,34 @@ def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 def read_frozen_cases(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines in which every value is a text; numbers are cast where they are numbers."""
-    frozen = spark.read.schema(CASES_FROZEN).json(path)
+    return typed_frozen(spark.read.schema(CASES_FROZEN).json(path))
+
+
+def typed_frozen(frozen: DataFrame) -> DataFrame:
     return frozen.withColumn("max_words", F.col("max_words").try_cast("int"))
 
 
+def frozen_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """:func:`read_frozen_cases` for lines that are already in a table."""
+    return typed_frozen(lines.select(F.from_json(line, CASES_FROZEN).alias("c")).select("c.*"))
+
+
+def case_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """:func:`read_cases` for CSV records that are already in a table, columns in the declared order."""
+    return lines.select(F.from_csv(F.col(line), F.lit(CASES), {"escape": '"'}).alias("c")).select("c.*")
+
+
+def score_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Records of a score file that are already in a table: case_id, final_score, passed, failed_judge_parse."""
+    schema = "case_id string, final_score string, passed string, failed_judge_parse string"
+    return lines.select(F.from_csv(F.col(line), F.lit(schema), {"escape": '"'}).alias("s")).select("s.*")
+
+
+def annotation_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """:func:`read_annotation_lines` for lines that are already in a table."""
+    return annotator_scores(lines.select(F.from_json(line, _ITEM).alias("item")).select("item.*"))
+
+
 def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     """Criteria and weights, from CSV or JSON lines."""
     if path.rstrip("/").endswith((".json", ".jsonl")):
