@@ -1,7 +1,7 @@
 """Patterns, word lists, weights, thresholds and message formats.
 
-Results have to agree with these to the letter, so they are written out here once, in the
-order in which they are evaluated. Patterns use Python notation (``\\b``, ``\\s``); they become
+Results have to agree with these, so they are written out here once, in the order in which
+they are evaluated. One pattern has a filter folded in, where a note says so. Patterns use Python notation (``\\b``, ``\\s``); they become
 Java patterns in :mod:`msgwarden.functions.regex`.
 """
 
