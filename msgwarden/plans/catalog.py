@@ -108,6 +108,12 @@ def pii_check_contacts(spark, d):
     )
 
 
+@query
+def pii_check_masks(spark, d):
+    docs = guardrails.check_pii(I.table(spark, d, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", F.col("pii.passed").alias("passed"), F.col("pii.masked_text").alias("masked_text"))
+
+
 @query
 def pii_mask(spark, d):
     docs = I.table(spark, d, "documents").select("doc_id", "text")
@@ -761,6 +767,14 @@ def freeze_manifest(spark, d):
 
 
 # --- what readers make of lines, and what writers make of rows -----------------------------
+@query
+def freeze_manifest_counts(spark, d):
+    docs = I.table(spark, d, "documents")
+    made = freeze.manifest(spark, {"documents": (f"{d}/documents.parquet", docs)}, "2025-01-01T00:00:00Z", "lang")
+    split = _texts(F.map_entries("split"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return made.select("name", "frozen_at", "n_rows", split.alias("split"))
+
+
 @query
 def lines_of_cases(spark, d):
     return readers.case_lines(I.CASE_LINES.frame(spark, d), "line")
@@ -830,4 +844,4 @@ def rows_of_regression_files(spark, d):
 def judge_inputs(spark, d):
     docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message"))
     rows = readers.judge_input(docs)
-    return rows.select("id", "input", F.length("output").cast(LONG).alias("output_length"))
+    return rows.select("id", "input", F.md5("output").alias("output_md5"))

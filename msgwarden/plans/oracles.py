@@ -349,6 +349,8 @@ SQL: dict[str, str] = {
       string_agg('PII ' || type || ' gevonden: ' || n || ' instances', '; ' ORDER BY first, rank) AS violations,
       string_agg(type || '=' || matches, '; ' ORDER BY first, rank) AS found, CAST(sum(n) AS BIGINT) AS total_instances
       FROM ({_grouped(CONTACTS, 'o_orderkey', 'line')}) GROUP BY o_orderkey""",
+    "pii_check_masks": f"""SELECT doc_id, masked_text = text AS passed, masked_text
+      FROM ({_mask_steps('SELECT doc_id, text FROM documents', 'text')})""",
     "pii_mask": f"SELECT doc_id, masked_text FROM ({_mask_steps('SELECT doc_id, text FROM documents', 'text')})",
     "pii_mask_contacts": f"SELECT o_orderkey, masked_text FROM ({_mask_steps(CONTACTS, 'line')})",
     "pii_mask_spliced": f"SELECT doc_id, masked_text FROM ({_mask_steps('SELECT doc_id, text FROM documents', 'text')})",
@@ -486,6 +488,8 @@ SQL: dict[str, str] = {
       FROM ({I.SCORES_A.sql}) a JOIN ({I.SCORES_B.sql}) b USING (case_id) ORDER BY md5('7|' || a.case_id), a.case_id LIMIT 30""",
     "row_fingerprint": _fingerprint(("doc_id", "text", "lang")),
     "row_fingerprint_by_lang": _fingerprint(("doc_id", "text"), "lang"),
+    "freeze_manifest_counts": """SELECT 'documents' AS name, '2025-01-01T00:00:00Z' AS frozen_at, CAST(sum(n) AS BIGINT) AS n_rows,
+      string_agg(lang || '=' || n, '; ' ORDER BY lang) AS split FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""",
     "lines_of_cases": """SELECT CAST(doc_id AS STRING) AS id, lang AS phase, lang || ', "' || source || '"' AS input, 'out ' || source AS expected_output,
       CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 90 AS INT) END AS max_words, 'a,b' AS no_go_terms FROM documents""",
     "lines_of_frozen_cases": """SELECT CAST(doc_id AS STRING) AS id, lang AS phase, CAST(NULL AS STRING) AS input, CAST(NULL AS STRING) AS expected_output,
@@ -500,5 +504,5 @@ SQL: dict[str, str] = {
       FROM ({CASES})""",
     "rows_of_nested_files": f"SELECT case_id, cta_present, CAST(over_by AS BIGINT) AS length_over_by, severity FROM ({CASES})",
     "rows_of_regression_files": f"""SELECT name_a, round_even(avg_b, 3) AS avg_b, parse_failure_delta, meets_promotion_threshold FROM ({_compared('')})""",
-    "judge_inputs": "SELECT CAST(doc_id AS STRING) AS id, '' AS input, length(text) AS output_length FROM documents",
+    "judge_inputs": "SELECT CAST(doc_id AS STRING) AS id, '' AS input, md5(text) AS output_md5 FROM documents",
 }
