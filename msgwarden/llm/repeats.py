@@ -23,7 +23,7 @@ from .common import col, shared_folder, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at a time, windows of a segment at most, bytes indexed at a time, bytes of one hash indexed together.
-BLOCK, LONGEST, INDEXED, CROWDED = 1 << 21, 4096, 1 << 20, 1 << 21
+BLOCK, LONGEST, INDEXED, CROWDED = 1 << 21, 4096, 1 << 20, 900_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -121,11 +121,23 @@ def segments_of(block: list[tuple], length: int, gram: int, longest: int) -> dic
     return {"h": h.view(np.int64), "part": part, "start": first - starts[part], "windows": count, "many": met > 1}
 
 
+def _sorted(first: np.ndarray, second: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """`places` by `first` there (if any), `second` there, and place; packed into one number where they fit."""
+    bits = n.bit_length()
+    if (2 + bool(len(first))) * bits <= 63 and (len(first) or bits <= 27):
+        keys = second[places] << bits | places
+        if len(first):
+            keys |= first[places] << 2 * bits
+        keys.sort()
+        return keys & (1 << bits) - 1
+    return places[np.lexsort((places, second[places], *([first[places]] if len(first) else [])))]
+
+
 class RunIndex:
     """Suffix order of distinct segments, with the text places at the ends of the runs of its transform."""
 
     def __init__(self, segments: list[bytes]):
-        step = 7  # symbols of nine bits in a first key
+        step = 4  # symbols of nine bits in a first key
         sizes = np.array([len(s) for s in segments])
         self.starts = np.cumsum(sizes + step) - sizes - step
         n = int(sizes.sum()) + step * len(segments)
@@ -137,25 +149,32 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for i in range(step):
             key = (key << 9) | symbols[i : i + n]
-        places = np.flatnonzero(inside)
+        # a name is one more than the number of suffixes before its group; 0 stands at or after a segment's end
+        places, name = _sorted(np.zeros(0, np.int64), key, np.flatnonzero(inside), n), np.zeros(n, np.int64)
+        name[places] = 1
+        sorted_key, span, longest = key[places], step, int(sizes.max())
         self.names, self.spans = [], []
-        span, longest = step, int(sizes.max())
         while True:
-            order = np.argsort(key[places])
-            sorted_key = key[places[order]]
-            fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-            name = np.zeros(n, np.int32)  # 0: at or after the segment's end
-            name[places[order]] = np.cumsum(fresh)
-            self.names.append(name)
+            fresh = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+            count = np.diff(np.append(fresh, len(places)))
+            group = name[places[fresh]]  # all groups that were one so far have the same name
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            begin = np.repeat(fresh[first], np.diff(np.append(first, len(fresh))))
+            name = name.copy()
+            name[places] = np.repeat(group + fresh - begin, count)
+            self.names.append(name.astype(np.int32))
             self.spans.append(span)
-            if fresh.all() or span >= longest:
+            places = places[np.repeat(count > 1, count)]  # only suffixes that share a name are sorted on
+            if not len(places) or span >= longest:
                 break
-            after = np.arange(n) + span
-            follow = np.where(after < self.end, name[np.minimum(after, n - 1)], 0)
-            key = name.astype(np.int64) * (n + 1) + follow
+            after = places + span
+            follow = np.zeros(n, np.int64)
+            follow[places] = np.where(after < self.end[places], name[np.minimum(after, n - 1)], 0)
+            places = _sorted(name, follow, places, n)
+            sorted_key = name[places] * (n + 1) + follow[places]
             span *= 2
         # equal suffixes end with their segments and stand in the segments' order
-        self.order = places[np.argsort(name[places].astype(np.int64) * n + places)]
+        self.order = _sorted(np.zeros(0, np.int64), name, np.flatnonzero(inside), n)
         before = np.where(np.isin(self.order, self.starts), 0, symbols[self.order - 1])
         same = (before[1:] == before[:-1]) & (before[1:] > 0)
         self.heads, self.tails = np.flatnonzero(~same) + 1, np.flatnonzero(~same)
@@ -300,24 +319,37 @@ class Repeats:
         length = self.length
 
         def spans(held: list[tuple]) -> pa.RecordBatch:
-            index = RunIndex([segment for _, segment, _ in held])
-            hit = index.matching() >= length
+            """`held`: lists of (h, segment, n), one for each hash."""
             rows = []
-            for (h, segment, n), start in zip(held, index.starts):
-                windows = len(segment) - length + 1
-                begins, ends = ([0], [windows]) if n > 1 else (x.tolist() for x in _intervals(hit[start : start + windows]))
-                if len(begins):
-                    rows.append({"s1": (key := _segment_key(h, segment))[0], "s2": key[1], "spans": [{"start": a, "end": b} for a, b in zip(begins, ends)]})
+
+            def add(h, segment, begins, ends):
+                s1, s2 = _segment_key(h, segment)
+                rows.append({"s1": s1, "s2": s2, "spans": [{"start": a, "end": b} for a, b in zip(begins, ends)]})
+
+            known = [m for members in held for m in members if m[2] > 1]
+            for h, segment, _ in known:  # met twice as a whole
+                add(h, segment, [0], [len(segment) - length + 1])
+            open_ = [m for members in held if any(n == 1 for _, _, n in members) for m in members]
+            if open_:
+                index = RunIndex([segment for _, segment, _ in open_])
+                hit = index.matching() >= length
+                for (h, segment, n), start in zip(open_, index.starts):
+                    if n == 1:
+                        begins, ends = _intervals(hit[start : start + len(segment) - length + 1])
+                        if len(begins):
+                            add(h, segment, begins.tolist(), ends.tolist())
             return pa.RecordBatch.from_pylist(rows, schema=_SPANS_ARROW)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, total, last = [], 0, None
             for batch in batches:
                 for h, segment, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    if total >= INDEXED and h != last:
-                        yield spans(held)
-                        held, total = [], 0
-                    held.append((h, segment, n))
+                    if h != last:
+                        if total >= INDEXED:
+                            yield spans(held)
+                            held, total = [], 0
+                        held.append([])
+                    held[-1].append((h, segment, n))
                     total, last = total + len(segment), h
             if held:
                 yield spans(held)
