@@ -59,7 +59,7 @@ def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
     In table k, `up` is the 2^k-th ancestor of `node`; nodes without one are not in it. `score` and `turns` add up over
     the nodes climbed, `node` included and `up` not. Each table is made by joining the open climbs with the climbs of
-    where they ended, so a path of n turns takes log2(n) joins, and a tree drops out once its nodes are done. Nodes that
+    where they ended, so a path of n turns takes log2(n) joins, and a climb that is done is joined no more. Nodes that
     lead into a circle never reach a root.
     """
     columns = ["node", "up", F.col("score").cast("double").alias("score"), F.lit(1).cast("long").alias("turns")]
@@ -67,23 +67,19 @@ def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     answers = nodes.where("parent is not null")
     first = answers.join(ids, answers["parent"] == ids["known"], "left").withColumn("up", F.col("known"))
     roots = nodes.where("parent is null").withColumn("up", F.lit(None).cast("long"))
-    latest = kept(first.select(*columns).union(roots.select(*columns)))
-    tables, done = [], latest.where("up is null")
-    total, open_rows = latest.agg(F.count(F.lit(1)), F.count("up")).first()
+    state = kept(first.select(*columns).union(roots.select(*columns)))
+    total, open_rows = state.agg(F.count(F.lit(1)), F.count("up")).first()
+    tables = []
     while open_rows and len(tables) <= math.log2(total) + 1:
-        climbing = latest.where("up is not null")
+        climbing = state.where("up is not null")
         tables.append(climbing)
-        ends = climbing.union(done).select(
-            F.col("node").alias("mid"), F.col("up").alias("top"), F.col("score").alias("more"), F.col("turns").alias("longer")
+        ends = state.select(F.col("node").alias("mid"), F.col("up").alias("top"), F.col("score").alias("more"), F.col("turns").alias("longer"))
+        longer = climbing.join(ends, F.col("up") == F.col("mid")).select(
+            "node", F.col("top").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("turns") + F.col("longer")).alias("turns")
         )
-        latest = kept(
-            climbing.join(ends, F.col("up") == F.col("mid")).select(
-                "node", F.col("top").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("turns") + F.col("longer")).alias("turns")
-            )
-        )
-        done = done.union(latest.where("up is null"))
-        open_rows = latest.agg(F.count("up")).first()[0]
-    return tables, done.select("node", "score", "turns")
+        state = kept(longer.union(state.where("up is null")))
+        open_rows = state.agg(F.count("up")).first()[0]
+    return tables, state.where("up is null").select("node", "score", "turns")
 
 
 def best_paths(nodes: DataFrame, paths: int | None = 1) -> DataFrame:
