@@ -19,8 +19,8 @@ from .common import id_and_text, texts
 SHARPNESS = 1.0
 #: Characters of a run without a space that share a lattice; longer runs are cut there.
 RUN = 4096
-#: Lattice nodes remembered between texts, and the longest chunk remembered.
-NODES, REMEMBERED = 1_000_000, 40
+#: Characters whose lattices are held at once.
+BLOCK = 400_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -37,9 +37,10 @@ class PieceSampler:
     """Samples segmentations of texts by forward filtering and backward sampling.
 
     A text is read with a space before it. Pieces hold spaces at their start only, so its lattice falls apart into chunks,
-    a run of spaces with the word after it: the forward sums of a chunk are computed once and remembered, and the
-    backward steps of all chunks of a batch of texts are drawn together. Characters that are no piece are spelled in byte
-    pieces; that includes the model's own mark for a space, so decoding gives back every text as it was.
+    a run of spaces with the word after it. All chunks of a block of texts are worked on together: pieces are found by
+    walking their trie from every character at once, forward sums go from character to character, and backward steps
+    are drawn for all chunks that are not yet done. Characters that are no piece are spelled in byte pieces; that
+    includes the model's own mark for a space, so decoding gives back every text as it was.
     """
 
     def __init__(self, model_path: str, sharpness: float = SHARPNESS):
@@ -63,102 +64,147 @@ class PieceSampler:
         weight = lambda rank: -sharpness * math.log(rank + 2)
         self.pieces = {p: (ids[p], weight(r)) for r, p in enumerate(ranks)}
         self.byte_weight = weight(len(ranks))
-        self.longest = max(map(len, ids))
-        self.chunk = re.compile(rf" *[^ ]{{1,{RUN}}}| {{1,{RUN}}}")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-        self.nodes = 0
-        self.cum: list[float] = []  # node number plus the cumulative probability of its edges, ascending
-        self.prev: list[int] = []
-        self.piece: list[int] = []  # piece number, or -1 - code point of a spelled character
-        self.edges = 0
-        self.stored = [np.zeros(1 << 16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)]
-
-    def _lattice(self, text: str) -> tuple[int, int]:
-        """First and last node of a chunk's lattice; forward sums give each node's distribution over the edges into it."""
-        base, total, n = self.nodes, [0.0], len(text)
-        for end in range(1, n + 1):
-            edges = []
-            for start in range(max(0, end - self.longest), end):
-                found = self.pieces.get(text[start:end])
-                if found is not None:
-                    edges.append((total[start] + found[1], start, found[0]))
-            if not edges or edges[-1][1] != end - 1:
-                c = text[end - 1]
-                edges.append((total[end - 1] + self.byte_weight * len(c.encode()), end - 1, -1 - ord(c)))
-            top = max(edges)[0]
-            shares = [math.exp(w - top) for w, _, _ in edges]
-            whole, run = sum(shares), 0.0
-            for share, (_, start, piece) in zip(shares, edges):
-                run += share / whole
-                self.cum.append(base + end + min(run, 1.0))
-                self.prev.append(base + start)
-                self.piece.append(piece)
-            self.cum[-1] = base + end + 1.0
-            total.append(top + math.log(whole))
-        self.nodes += n + 1
-        return base, base + n
-
-    def _arrays(self) -> list[np.ndarray]:
-        """The edges as arrays, to which those made since the last call are added."""
-        new = (self.cum, self.prev, self.piece)
-        size = self.edges + len(self.cum)
-        if size > len(self.stored[0]):
-            self.stored = [np.concatenate([a, np.zeros(size, a.dtype)]) for a in self.stored]
-        for array, values in zip(self.stored, new):
-            array[self.edges : size] = values
-        self.edges, self.cum, self.prev, self.piece = size, [], [], []
-        return [a[:size] for a in self.stored]
-
-    def sample(self, batch: list[str], seeds: list[int]) -> list[np.ndarray]:
-        """Piece ids of every text; a text's depend on it and its seed only."""
-        if self.nodes > NODES:
-            self._forget()
-        ends, firsts, owner, place = [], [], [], []
-        passing: list[str] = []
-        for t, text in enumerate(batch):
-            chunks = self.chunk.findall(" " + text) if text else []
-            for c in chunks:
-                found = self.known.get(c)
-                if found is None:
-                    found = self.known[c] = self._lattice(c)
-                    if len(c) > REMEMBERED:
-                        passing.append(c)
-                firsts.append(found[0])
-                ends.append(found[1])
-            owner += [t] * len(chunks)
-            place += range(len(chunks))
-        cum, prev, piece = self._arrays()
-        at, first, owner = np.array(ends, np.int64), np.array(firsts, np.int64), np.array(owner, np.int64)
-        place, seeds = np.array(place, np.uint64), np.array(seeds, np.uint64)
-        open_, step, drawn = np.arange(len(at)), 0, []
+        self.weights = np.zeros(len(self.bytes_of))
+        for i, w in self.pieces.values():
+            self.weights[i] = w
+        self._trie()
+
+    def _trie(self) -> None:
+        """Tables by code point for the first character, and from node and character class to node for the others."""
+        top = 0x110000
+        self.single, self.first = np.full(top, -1, np.int32), np.zeros(top, np.int32)
+        self.classes = np.zeros(top, np.int32)
+        nodes: dict[str, int] = {}
+        longer = [p for p in self.pieces if len(p) > 1]
+        for number, c in enumerate(sorted({c for p in longer for c in p[1:]}), 1):
+            self.classes[ord(c)] = number
+        for p in longer:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes) + 1)
+        self.next = np.zeros((len(nodes) + 1, int(self.classes.max()) + 1), np.int32)
+        self.ends = np.full(len(nodes) + 1, -1, np.int32)
+        for prefix, node in nodes.items():
+            if len(prefix) == 1:
+                self.first[ord(prefix)] = node
+            else:
+                self.next[nodes[prefix[:-1]], self.classes[ord(prefix[-1])]] = node
+            if prefix in self.pieces:
+                self.ends[node] = self.pieces[prefix][0]
+        for p, (i, _) in self.pieces.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+
+    def _edges(self, chars: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of every piece in the chunks; -1 less the code point for a spelled character.
+        `stop`: for every character the end of its chunk."""
+        at = np.arange(len(chars))
+        one = self.single[chars].astype(np.int64)
+        found = [(at, np.ones(len(at), np.int64), np.where(one < 0, -1 - chars.astype(np.int64), one))]
+        node, length = self.first[chars], 1
+        while True:
+            going = (node > 0) & (at + length < stop[at])
+            at, node = at[going], node[going]
+            if not len(at):
+                break
+            node = self.next[node, self.classes[chars[at + length]]]
+            length += 1
+            hit = np.flatnonzero(self.ends[node] >= 0)
+            found.append((at[hit], np.full(len(hit), length), self.ends[node[hit]].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*reversed(found)))  # a stable sort by end keeps long pieces first
+
+    def _draw(self, chars: np.ndarray, begin: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, piece) in reading order for chunks that begin at `begin` in `chars`."""
+        n = len(chars)
+        size = np.diff(np.append(begin, n))
+        origin, stop = np.repeat(begin, size), np.repeat(begin + size, size)
+        start, length, piece = self._edges(chars, stop)
+        depth = start - origin[start] + length
+        order = np.argsort(depth * (n + 1) + start + length, kind="stable")
+        start, end, piece, depth = start[order], (start + length)[order], piece[order], depth[order]
+        weight = np.where(piece >= 0, self.weights[np.maximum(piece, 0)], 0.0)
+        spelled = np.flatnonzero(piece < 0)
+        code = -1 - piece[spelled]
+        weight[spelled] = self.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        opening = start == origin[start]
+        # nodes are places between characters, in the order in which their sums can be taken
+        node_first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        node_of = np.zeros(n + 1, np.int64)
+        node_of[end[node_first]] = np.arange(len(node_first))
+        total = np.zeros(len(node_first))
+        value = np.where(opening, weight, 0.0)
+        cut = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
+        node_cut = np.searchsorted(node_first, cut)
+        inner = ~opening
+        for low, high, a, b in zip(cut[:-1], cut[1:], node_cut[:-1], node_cut[1:]):
+            own = np.flatnonzero(inner[low:high]) + low
+            value[own] = weight[own] + total[node_of[start[own]]]
+            total[a:b] = np.logaddexp.reduceat(value[low:high], node_first[a:b] - low)
+        share = np.exp(value - np.repeat(total, np.diff(np.append(node_first, len(end)))))
+        rank = np.arange(len(end)) - np.repeat(node_first, np.diff(np.append(node_first, len(end))))
+        for k in range(1, int(rank.max()) + 1):
+            later = np.flatnonzero(rank == k)
+            share[later] += share[later - 1]
+        last = np.append(node_first[1:], len(end)) - 1
+        share[last] = 1.0
+        node, open_, step, drawn = node_of[begin + size], np.arange(len(begin)), 0, []
         while len(open_):
-            u = _uniform(seeds[owner[open_]], place[open_], step)
-            edge = np.searchsorted(cum, at[open_] + u, side="right")
+            u = _uniform(seeds[open_], places[open_], step)
+            edge = node_first[node]
+            short = np.flatnonzero(share[edge] <= u)
+            while len(short):
+                edge[short] += 1
+                short = short[share[edge[short]] <= u[short]]
             drawn.append((open_, piece[edge], np.full(len(open_), -step)))
-            at[open_] = prev[edge]
-            open_, step = open_[at[open_] != first[open_]], step + 1
-        for c in passing:  # their edges stay until all is forgotten, their names go now
-            del self.known[c]
-        if not drawn:
-            return [np.zeros(0, np.int32) for _ in batch]
+            going = ~opening[edge]
+            node, open_, step = node_of[start[edge[going]]], open_[going], step + 1
         chunk, ids, steps = (np.concatenate(x) for x in zip(*drawn))
         order = np.lexsort((steps, chunk))
-        chunk, ids = chunk[order], ids[order]
-        spelled = np.flatnonzero(ids < 0)
-        if len(spelled):
-            raw = [chr(-1 - c).encode() for c in ids[spelled].tolist()]
-            counts = np.ones(len(ids), np.int64)
-            counts[spelled] = [len(b) for b in raw]
-            starts = np.cumsum(counts) - counts
-            out = np.repeat(ids, counts)
-            for s, b in zip(starts[spelled].tolist(), raw):
-                out[s : s + len(b)] = [self.byte_ids[x] for x in b]
-            chunk, ids = np.repeat(chunk, counts), out
-        cuts = np.searchsorted(owner[chunk], np.arange(1, len(batch)))
-        return np.split(ids.astype(np.int32), cuts)
+        return chunk[order], ids[order]
+
+    def _spelled(self, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with byte pieces in place of spelled characters."""
+        at = np.flatnonzero(ids < 0)
+        if not len(at):
+            return owner, ids
+        raw = [chr(-1 - c).encode() for c in ids[at].tolist()]
+        counts = np.ones(len(ids), np.int64)
+        counts[at] = [len(b) for b in raw]
+        out = np.repeat(ids, counts)
+        for s, b in zip((np.cumsum(counts) - counts)[at].tolist(), raw):
+            out[s : s + len(b)] = [self.byte_ids[x] for x in b]
+        return np.repeat(owner, counts), out
+
+    def sample(self, batch: list[str], seeds: list[int]) -> list[np.ndarray]:
+        """Piece ids of every text; a text's depend on it and its seed only."""
+        chars = np.frombuffer("".join(" " + t if t else "" for t in batch).encode("utf-32-le"), np.uint32)
+        if not len(chars):
+            return [np.zeros(0, np.int32) for _ in batch]
+        sizes = np.array([len(t) + 1 if t else 0 for t in batch])
+        texts_at = np.cumsum(sizes) - sizes
+        space = chars == 32
+        starts = np.concatenate([[True], space[1:] & ~space[:-1]])
+        starts[texts_at[sizes > 0]] = True
+        begin = np.flatnonzero(starts)
+        length = np.diff(np.append(begin, len(chars)))
+        parts = -(-length // RUN)
+        if (parts > 1).any():
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = np.repeat(begin, parts) + nth * RUN
+        filled = np.flatnonzero(sizes > 0)
+        owner = filled[np.searchsorted(texts_at[filled], begin, side="right") - 1]
+        place = np.arange(len(begin)) - np.searchsorted(begin, texts_at)[owner]
+        seed = np.array(seeds, np.uint64)[owner]
+        owners, found, low = [], [], 0
+        while low < len(begin):
+            high = max(low + 1, int(np.searchsorted(begin, begin[low] + BLOCK)))
+            stop = begin[high] if high < len(begin) else len(chars)
+            chunk, ids = self._draw(chars[begin[low] : stop], begin[low:high] - begin[low], seed[low:high], place[low:high].astype(np.uint64))
+            own, ids = self._spelled(owner[low:high][chunk], ids)
+            owners.append(own)
+            found.append(ids.astype(np.int32))
+            low = high
+        cuts = np.searchsorted(np.concatenate(owners), np.arange(1, len(batch)))
+        return np.split(np.concatenate(found), cuts)
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]

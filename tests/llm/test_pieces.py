@@ -33,7 +33,7 @@ def test_round_trips(sampler, monkeypatch):
     assert [sampler.decode(f.tolist()) for f in found] == batch
     alone = [sampler.sample([t], [s])[0].tolist() for t, s in zip(batch[::7], seeds[::7])]
     assert alone == [f.tolist() for f in found[::7]]
-    monkeypatch.setattr(p, "NODES", 10)
+    monkeypatch.setattr(p, "BLOCK", 50)
     assert [f.tolist() for f in sampler.sample(batch, seeds)] == [f.tolist() for f in found]
 
 
