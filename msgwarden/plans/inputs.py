@@ -29,7 +29,9 @@ class Derived:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    """A given table, dealt to as many tasks as the setting `msgwarden.spread` asks for, if it is set."""
+    spread = spark.conf.get("msgwarden.spread", None)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", int(spread) if spread else None)
 
 
 # A document followed by a Dutch sentence that exercises the wording rules.
