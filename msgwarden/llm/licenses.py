@@ -16,8 +16,10 @@ from .license_texts import NOTICES, PHRASES
 GRAM = 3
 #: Diagonals up to so many words apart belong to one copy (words put in or left out between them).
 GAP = 8
-#: A span is a copy of a template when it holds this share of its grams and is at most this many times as long.
+#: A stretch of a span is a copy of a template when it holds this share of its grams and is at most this many times as long.
 COVERAGE, STRETCH = 0.7, 1.5
+#: Places are scaled per template, so that the longest stretch of any template is just below this.
+SCALE = 1 << 31
 #: Everything but digits, small letters and what is not ASCII.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,9 +53,10 @@ def scan(
     """One row per document: places of the phrases, labels of phrases and verified templates, and the best coverage.
 
     Every gram of every text is looked up in the table of template grams, whose size is fixed. Hits are counted per
-    template and diagonal (place in the text minus place in the template); diagonals up to `GAP` apart are merged; a
-    merged span counts when it holds `COVERAGE` of the template's grams, word for word, in at most `STRETCH` times its
-    length. `score` is the best coverage of such spans, 0 without one.
+    template and diagonal (place in the text minus place in the template); diagonals up to `GAP` apart are merged. A
+    merged span may hold several copies that stand close together, so every stretch of it that is at most `STRETCH` times
+    as long as the template is looked at; one counts when it holds `COVERAGE` of the template's grams, word for word.
+    `score` is the best coverage of such stretches, 0 without one.
 
     A null or empty text has no words. Repeated rows are scanned each for itself, a null id stays null, other columns are
     ignored, an empty table gives no rows. One shuffle, of the hits and one row per text.
@@ -91,24 +94,27 @@ def scan(
         "row", "doc_id", "n_words", F.col("hit.template").alias("template"), F.col("hit.label").alias("label"), F.col("hit.grams").alias("grams"),
         F.when(F.col("hit.template").isNotNull(), F.col("at") - F.col("hit.place")).alias("diagonal"),
     ).agg(
-        F.collect_set("hit.place").alias("places"), F.min("at").alias("start"), F.max("at").alias("end"),
+        F.collect_set("hit.place").alias("places"),
         F.count(base_at).alias("n_base"), F.min(base_at).alias("first"), F.max(base_at).alias("last"),
         F.collect_set(F.when(base_at.isNotNull(), F.col("base"))).alias("bases"),
     )
     along = W.partitionBy("row", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int")
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum(F.coalesce("apart", F.lit(0))).over(along))
-    spans = merged.groupBy("row", "doc_id", "n_words", "template", "label", "grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
-        (F.max("end") - F.min("start") + gram).alias("length"),
-        F.sum("n_base").alias("n_base"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.flatten(F.collect_list("bases")).alias("bases"),
+    # a stretch ends at each hit and goes back as far as a copy may reach; the scale makes that the same range for all templates
+    reach = F.floor(STRETCH * (F.col("grams") + gram - 1)).cast("long") - gram
+    scale = F.when(reach > 0, F.floor(F.lit(SCALE) / reach)).otherwise(SCALE + 1).cast("long")
+    stretch = W.partitionBy("row", "template", "span").orderBy("scaled").rangeBetween(-SCALE, W.currentRow)
+    held = (
+        merged.withColumn("place", F.explode_outer("places"))
+        .withColumn("scaled", (F.col("diagonal") + F.col("place")).cast("long") * scale)
+        .withColumn("held", F.size(F.collect_set("place").over(stretch)))
     )
     coverage = F.col("held") / F.col("grams")
-    copy = (coverage >= COVERAGE) & (F.col("length") <= STRETCH * (F.col("grams") + gram - 1))
-    result = spans.groupBy("row", "doc_id", "n_words").agg(
+    copy = coverage >= COVERAGE
+    result = held.groupBy("row", "doc_id", "n_words").agg(
         F.sum("n_base").alias("n_base"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("bases")))).alias("bases"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("template").isNull(), F.col("bases")))))).alias("bases"),
         F.collect_set(F.when(copy, F.col("label"))).alias("copies"),
         F.coalesce(F.max(F.when(copy, coverage)), F.lit(0.0)).alias("score"),
     )

@@ -36,3 +36,22 @@ def test_copies_and_edges(spark):
     five = next(r for r in got if r.doc_id == 5)
     assert (five.n_words, five.n_base, five.first_word, five.last_word, five.base_labels) == (12, 3, 0, 8, "gpl,mit")
     assert lic.scan(df.limit(0)).collect() == []
+
+
+def test_copies_close_together(spark):
+    """Each notice twice, three and forty times, next to one another and with words between."""
+    docs = []
+    for label, text in NOTICES:
+        for between in (" ", " one two ", " 2025 a b c d e f g h i "):
+            docs += [(label, 1.0, between.join([text] * n)) for n in (2, 3, 40)]
+    docs += [
+        ("all-rights-reserved", 1.0, "Copyright 2024 Foo. All rights reserved. Copyright 2025 Bar. All rights reserved."),
+        ("cc-by-nc-4.0", 1.0, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0, Licensed under"),
+        # no stretch of the span is a copy: the grams it needs are too far apart
+        ("", 0.0, " ".join("reserved rights all" for _ in range(30))),
+        ("mit", 0.0, "Released under the x x x x x x x x MIT License under the x x x x x x x x license"),
+    ]
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert len(got) == len(docs)
+    for i, (label, score, text) in enumerate(docs):
+        assert label in got[i].labels.split(",") and got[i].score == score, (label, text[:80], got[i])
