@@ -16,7 +16,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Never shown, nor what is in them.
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object video audio canvas svg math area base col colgroup embed input link meta param source track".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist object video audio canvas area base col colgroup embed input link meta param source track".split())
+#: What a head holds; anything else opens the body.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+#: Not shown within svg and math, besides HIDDEN.
+HIDDEN_IN = {
+    "svg": frozenset("defs symbol desc metadata clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Their elements whose content is HTML again, those on lines of their own, and those whose parts stand apart.
+HTML_IN = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+LINES_IN = {"svg": frozenset({"text"}), "math": frozenset({"mtr", "mlabeledtr"})}
+APART = frozenset({"mfrac", "mtr", "mlabeledtr"})
 #: Blocks with a blank line around them, and blocks without.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu pre figure fieldset table hr details xmp".split())
 PLAIN_BLOCKS = frozenset(
@@ -24,6 +35,8 @@ PLAIN_BLOCKS = frozenset(
     " optgroup option tr td th thead tbody tfoot caption search hgroup".split()
 )
 BLOCKS = SPACED | PLAIN_BLOCKS
+#: These end an svg or math that was left open.
+ENDS_FOREIGN = BLOCKS | frozenset("b big br code em embed head i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: Opening the key ends an open element of the value, unless one of SCOPE[key] lies between.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
@@ -39,46 +52,60 @@ CELL, OF_TABLE = frozenset({"td", "th", "table"}), frozenset("table tr tbody the
 #: Widest column that cells are padded to; wider cells push their row's remainder to the right.
 PADDED = 80
 
+# a quote opens a value right after `=` only
+_NAME = r"""(?:=[^\s/>=]*+|[^\s/>=]++)"""
+_VALUE = r""""[^"]*"|'[^']*'|[^\s"'>][^\s>]*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S
+    rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_NAME}(?:\s*=\s*(?:{_VALUE}|(?=>)))?+)*+)>|<[!?/][^>]*>?|[^<]+|<""", re.S
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:\s*=\s*({_VALUE}))?+""")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = ""):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
+    def within(self) -> str:
+        """What its content is of: svg, math, or "" for HTML."""
+        if not self.foreign or self.tag in HTML_IN[self.foreign]:
+            return ""
+        return "" if self.tag == "annotation-xml" and "html" in self.attrs.get("encoding", "").lower() else self.foreign
 
-def _attributes(source: str) -> dict[str, str]:
-    found = {}
-    for name, value in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(value.strip("\"'") if value[:1] in ("'", '"') else value))
-    return found
+
+def _attributes(source: str) -> tuple[dict[str, str], bool]:
+    """The attributes, and whether a slash that is not part of a value ends the tag."""
+    found, end = {}, 0
+    for match in _ATTRIBUTE.finditer(source):
+        name, value = match.groups("")
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+        end = match.end()
+    return found, end < len(source) and source[-1] == "/"
 
 
 def tree(page: str) -> Node:
     """The page's elements, with the tags that may be left out put in.
 
-    Unknown end tags are ignored; the end tag of an inline element never ends a block.
+    Unknown end tags are ignored; the end tag of an inline element never ends a block. Text and what is not `IN_HEAD` end
+    the head; an HTML element ends an svg or math that was left open.
     """
     root = Node("html", {})
-    open_, count = [root], Counter()
+    open_, within, count = [root], [""], Counter()
 
     def begin(node: Node, stays: bool = True) -> None:
         open_[-1].children.append(node)
         if stays:
             open_.append(node)
+            within.append(node.within())
             count[node.tag] += 1
 
     def cut(i: int) -> None:
         count.subtract(n.tag for n in open_[i:])
-        del open_[i:]
+        del open_[i:], within[i:]
 
     def end(tags, barrier) -> None:
         if any(count[t] for t in tags):
@@ -90,11 +117,18 @@ def tree(page: str) -> Node:
 
     at = 0
     while match := _TOKEN.match(page, at):
+        if within[-1] and page.startswith("<![CDATA[", at):
+            close = page.find("]]>", at)
+            open_[-1].children.append(page[at + 9 : close if close >= 0 else len(page)])
+            at = close + 3 if close >= 0 else len(page)
+            continue
         at = match.end()
         slash, name, attributes = match.groups()
         if name is None:
             text = match[0]
             if text[0] != "<" or text == "<":
+                if open_[-1].tag == "head" and text.strip():
+                    cut(len(open_) - 1)
                 open_[-1].children.append(unescape(text) if "&" in text else text)
             continue
         tag = name.lower()
@@ -108,21 +142,29 @@ def tree(page: str) -> Node:
                 if open_[i].tag in (CELL if tag in BLOCKS else BLOCKS) and tag not in OF_TABLE:
                     break
             continue
-        if tag == "html":
+        # a head that comes after other content is ignored, as is a second one
+        if tag == "html" or tag == "head" and (len(open_) > 1 or any(isinstance(c, Node) or c.strip() for c in root.children)):
             continue
+        if within[-1] and tag in ENDS_FOREIGN:
+            i = len(open_)
+            while within[i - 1]:
+                i -= 1
+            cut(i)
         if tag in ENDS_P:
             end({"p"}, HOLDS_P)
         if tag in ENDS:
             end(ENDS[tag], SCOPE[tag])
-        elif open_[-1].tag == "head" and tag not in HIDDEN:
+        if open_[-1].tag == "head" and tag not in IN_HEAD:
             cut(len(open_) - 1)
         if tag in ("tr", "td", "th") and open_[-1].tag == "table":
             begin(Node("tbody", {}))
         if tag in ("td", "th") and open_[-1].tag in ("tbody", "thead", "tfoot"):
             begin(Node("tr", {}))
-        node = Node(tag, _attributes(attributes) if attributes else {})
-        begin(node, tag not in RAW and tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "math", "path")))
-        if tag in RAW:
+        attrs, closed = _attributes(attributes) if attributes else ({}, False)
+        node = Node(tag, attrs, tag if tag in HTML_IN else within[-1])
+        closed = closed and bool(node.foreign)
+        begin(node, tag not in RAW and tag not in VOID and not closed)
+        if tag in RAW and not closed:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             body = page[at : close.start() if close else len(page)]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
@@ -256,6 +298,12 @@ def render(root: Node) -> str:
         tag, attrs = node.tag, node.attrs
         if tag in HIDDEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs:
             continue
+        foreign = node.foreign
+        if foreign:
+            if tag in HIDDEN_IN[foreign] or foreign == "svg" and attrs.get("display", "").strip().lower() == "none":
+                continue
+            if foreign == "svg" and "visibility" in attrs:
+                shown = attrs["visibility"].strip().lower() not in ("hidden", "collapse")
         style = attrs.get("style")
         if style:
             if _NO_DISPLAY.search(style):
@@ -269,9 +317,17 @@ def render(root: Node) -> str:
         if tag == "details" and "open" not in attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         elif tag == "select":
-            options = [c for c in children if isinstance(c, Node) and c.tag == "option"]
+            options, below = [], children[::-1]
+            while below:
+                c = below.pop()
+                if isinstance(c, Node) and c.tag == "option":
+                    options.append(c)
+                elif isinstance(c, Node) and c.tag not in HIDDEN:
+                    below += reversed(c.children)
             children = [c for c in options if "selected" in c.attrs][:1] or options[:1]
             children = children[0].children if children else []
+        elif tag in APART and foreign:
+            children = [x for c in children for x in (c, " ")]
         as_is = as_is or tag in ("pre", "textarea", "xmp")
         if tag == "table":
             w.block(1)
@@ -303,7 +359,7 @@ def render(root: Node) -> str:
                     tables[-1].cell(lines, _number(attrs.get("colspan"), 1), _number(attrs.get("rowspan"), 1))
 
             leave(cell)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or foreign and (tag in LINES_IN[foreign] or tag == "math" and attrs.get("display", "").lower() == "block"):
             blank = int(tag in SPACED and not (tag in LISTS and counters))
             w.block(blank)
             extra = ""
@@ -341,7 +397,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     Left out are scripts, styles, the head and other elements that show no text, elements with `hidden`, with
     display:none or visibility:hidden in their style (a visible descendant of the latter shows), closed details but for
-    their summary, closed dialogs, and options not selected. White space collapses except in preformatted text.
+    their summary, closed dialogs, options not selected, and what svg and math only define or describe. White space collapses except in preformatted text.
 
     A null or empty page gives empty text; broken markup is read as far as it goes. Repeated rows are read each for
     itself, a null id stays null, other columns are ignored, an empty table gives no rows. One narrow pass, a page at a

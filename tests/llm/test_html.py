@@ -1,6 +1,7 @@
 """Rendered pages against what a reader sees, and all visible words against the standard parser."""
 
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -36,6 +37,48 @@ def test_cases(page, text):
     assert h.render(h.tree(page)) == text
 
 
+MORE = [
+    # math and svg
+    ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> holds", "so x=1 2 holds"),
+    ("<math><semantics><mi>a</mi><annotation-xml encoding='MathML-Content'><ci>no</ci></annotation-xml></semantics></math>", "a"),
+    ("<svg><title>no</title><defs><text>no</text></defs><g><text x=1>a<tspan>b</tspan></text><circle r='1'/><text>c</text></g></svg>d", "ab\nc\nd"),
+    ("<svg><title/><text>a &amp; <![CDATA[<b>]]></text><text display=none>no</text></svg>z", "a & <b>\nz"),
+    ("<svg><foreignObject><p>in<p>side</foreignObject></svg>", "in\n\nside"),
+    ("<div><svg><path d='M0'><defs><p>after</div>end", "after\n\nend"),
+    ("<a href=x><svg><use href='#i'></a> Home", "Home"),
+    ("<math><mi>x<div>after</div>", "x\nafter"),
+    ("<defs>shown</defs> <text>inline</text> here", "shown inline here"),
+    # options in groups
+    ("<select><optgroup label=l><option>a<option selected>b<optgroup><option>c</select>", "b"),
+    ("<select><optgroup label=l><option>a<option>b</optgroup></select>", "a"),
+    # a head left open
+    ("<head><title>t</title> Hello world <p>x", "Hello world\n\nx"),
+    ("<head><meta charset=utf-8>\n <!-- c -->\n<title>t</title>\n<li>item", "- item"),
+    ("<head><title>t</title><svg><text>a</text></svg>b", "a\nb"),
+    ("<body>a<head><title>t</title></head>b", "ab"),
+    # quotes
+    ("<a href=/it's>Bob's page</a>", "Bob's page"),
+    ('<p class=x"y>one <b a"b>two</b> "three"', 'one two "three"'),
+    ("<p title = 'a>b' data-x=\"c>d\" hidden2>y</p>", "y"),
+    ("<p a==' b>y</p><p ='>z</p>", "y\n\nz"),
+    ("<p title=\"never closed>y</p>", "y"),
+    ("<p style=display:none>no</p><p a=b/ hidden>no</p><p x= >yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("page,text", MORE)
+def test_more_visible_text(page, text):
+    assert h.render(h.tree(page)) == text
+
+
+def test_time_follows_the_page():
+    """Nested, unclosed and badly quoted markup takes no time that grows with the square of its length."""
+    for page in ("<svg>" + "<g>" * 200_000 + "<p>x", "<svg><p>" * 50_000 + "x", "<p a=' b=\" c>" * 50_000 + "x", "<a" + " b=c'" * 200_000 + ">x", "<head>" * 50_000 + "x"):
+        start = time.time()
+        h.render(h.tree(page))
+        assert time.time() - start < 20
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__()
