@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, kept
 from .components import components
@@ -20,6 +21,8 @@ MISSED = 1e-4
 BUCKET, BLOCK = 64, 2048
 #: Width of the confidence bounds in standard deviations of the estimate.
 WIDTH = 5.0
+#: Vectors whose largest component lies outside are divided by it, since their squares could leave the range of doubles.
+RANGE = 1e-100, 1e100
 
 
 @cache
@@ -99,8 +102,9 @@ def _coded(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             extra = [pa.array(signs, pa.binary()), pa.array(factors), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["cid", "label", "copies", "vector", "signs", "factor", "keys"])
 
-    columns = "cid long, label int, copies long, vector array<float>, signs binary, factor double, keys array<int>"
-    return classes.select("cid", "label", "copies", "vector").mapInArrow(run, columns)
+    given = classes.select("cid", "label", "copies", "vector")
+    added = (("signs", T.BinaryType()), ("factor", T.DoubleType()), ("keys", T.ArrayType(T.IntegerType())))
+    return given.mapInArrow(run, T.StructType([*given.schema.fields, *(T.StructField(*x) for x in added)]))
 
 
 def _bucket_links(classes: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -135,10 +139,17 @@ def _bucket_links(classes: DataFrame, threshold: float, block: int) -> DataFrame
                 i, j = linked(vectors, signs, factors, threshold, left, left if low == high else np.flatnonzero(own == high))
                 new = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
                 i, j = i[new], j[new]
-                links, least = np.zeros(n, np.int64), ids.copy()
+                links, least, part = np.zeros(n, np.int64), ids.copy(), np.arange(n)
                 for a, b in ((i, j), (j, i)):
                     np.add.at(links, a, copies[b])
-                    np.minimum.at(least, a, ids[b])
+                before = None
+                while not np.array_equal(part, before):  # what is linked here, by however many links, leads to one class
+                    before = part.copy()
+                    for a, b in ((i, j), (j, i)):
+                        np.minimum.at(part, a, part[b])
+                    part = part[part]
+                np.minimum.at(least, part, ids)
+                least = least[part]
                 met = np.flatnonzero(links)
                 for column, values in zip(out, (ids, links, least)):
                     column.append(values[met])
@@ -157,21 +168,24 @@ def near_vectors(
 
     A vector that is null, zero, or holds null or non-finite components, or whose label is null, links with nothing, nor
     do vectors of different lengths. Equal vectors of a label are one class that counts its copies. A null id takes part;
-    it is a component's id only when all are null. Other columns are ignored; an empty table gives no rows.
+    it is a component's id only when all are null. Components other than floats are taken as doubles, labels of any type
+    that can be grouped as they are. Other columns are ignored; an empty table gives no rows.
 
     Links are found by tables keyed with code bits; each is counted in the first table that holds both vectors. The
     tables' width follows the number of vectors, so buckets stay small; a bucket that is nevertheless large, because its
     vectors are alike, is compared in blocks, all of it. No pairs are written, only counts and links that connect.
     """
-    vector = col(vector_col).cast("array<float>")
-    wide = lambda x: x.cast("double")
+    vector = col(vector_col)
+    floats = vectors.select(vector).dtypes[0][1] == "array<float>"
+    if not floats:
+        vector = vector.cast("array<double>")
     sound = F.coalesce(
         col(label_col).isNotNull() & (F.size(vector) > 0)
         & F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-        & (F.aggregate(vector, F.lit(0.0), lambda a, x: a + wide(x) * wide(x)) > 0),
+        & F.exists(vector, lambda x: x != 0),
         F.lit(False),
     )
-    rows = vectors.select(col(id_col).cast("long").alias("vec_id"), F.when(sound, vector).alias("vector"), col(label_col).cast("int").alias("label"))
+    rows = vectors.select(col(id_col).cast("long").alias("vec_id"), F.when(sound, vector).alias("vector"), col(label_col).alias("label"))
     key = ["label", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2")]
     valid = rows.where("vector is not null")
     classes = kept(
@@ -179,7 +193,12 @@ def near_vectors(
         .agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    found = kept(_bucket_links(classes, threshold, block))
+    scaled = classes
+    if not floats:
+        most = F.array_max(F.transform("vector", F.abs))
+        unit = F.transform("vector", lambda x: x / most)
+        scaled = classes.withColumn("vector", F.when(most.between(*RANGE), F.col("vector")).otherwise(unit))
+    found = kept(_bucket_links(scaled, threshold, block))
     groups = components(found.select(F.col("cid").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = (

@@ -68,3 +68,24 @@ def test_estimates(spark):
     assert abs(error[off].mean()) < 0.005 and (np.abs(error) <= spread)[off].mean() > 0.9999
     bits, tables = v.table_sizes(10**9, 0.98)
     assert bits == 24 and tables < 60
+
+
+def test_doubles_and_labels_keep_their_type(spark):
+    rng = np.random.default_rng(5)
+    center = rng.standard_normal(32)
+    center /= np.linalg.norm(center)
+    rows = [(0, center, "a")]
+    for i in range(1, 41):  # cosines closer to the threshold than floats can tell
+        off = rng.standard_normal(32)
+        off -= (off @ center) * center
+        cosine = 0.98 + (1e-9 if i % 2 else -1e-9)
+        rows.append((i, cosine * center + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off), "a"))
+    for k, scale in enumerate((1e300, 1e-200, 5e-324)):  # outside the range of floats, and of their squares that of doubles
+        rows += [(100 + 2 * k, np.array([scale, scale]), str(k)), (101 + 2 * k, 2 * np.array([scale, scale]), str(k))]
+    rows.append((200, np.array([1.0, 1.0]), "no number"))
+    data = [(i, [float(y) for y in x], label) for i, x, label in rows]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.near_vectors(df).collect()}
+    assert got == plain(data[:41]) | {100 + i: (1, 100 + i // 2 * 2) for i in range(6)} | {200: (0, 200)}
+    wide = spark.createDataFrame([(1, [1.0, 0.0], 2**40), (2, [1.0, 0.0], 2**40), (3, [1.0, 0.0], 2**40 + 2**32)], "vec_id long, embedding array<float>, label long")
+    assert sorted((r.vec_id, r.n_links) for r in v.near_vectors(wide).collect()) == [(1, 1), (2, 1), (3, 0)]
