@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_conversations, read_back
 from .html import extract
 from .licenses import scan, scan_sql
+from .mixing import Mix
+from .oracles import mixing_sql, repair_sql, spelling_sql
 from .packing import pack
 from .pieces import sample_pieces
 from .quality import quality
+from .repair import damage_report
 from .repeats import repeats
 from .sharding import shard_documents
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .tokens import WordTokens
 from .vectors import near_vectors
 
@@ -74,7 +78,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), bpe_encoder)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(table(spark, sf_dir, "documents")).report()
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_html_extraction, op4_sharding, op5_simhash, op6_sentencepiece_sampling, op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_quality_rules, op3_html_extraction, op4_sharding, op5_simhash, op6_sentencepiece_sampling,
+        op7_suffix_dedup, op8_embedding_near_dedup, op9_packing, op10_license_scan, op11_spelling_variants,
+        op12_conversation_repair, op13_source_mixing,
+    )
+}
+SQL = {
+    "op10_license_scan": scan_sql(),
+    "op11_spelling_variants": spelling_sql(),
+    "op12_conversation_repair": repair_sql(),
+    "op13_source_mixing": mixing_sql(),
 }
-SQL = {"op10_license_scan": scan_sql()}
