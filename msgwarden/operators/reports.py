@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -66,94 +66,65 @@ def pii_totals_map(counted: DataFrame, labels: list[str]) -> DataFrame:
     return sums.select("total_rows", found.alias("pii_matches"))
 
 
+def order_key(number: Column) -> Column:
+    """A long that sorts as the double does: its bits, those of negative numbers turned round."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), number).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFF_FFFF_FFFF_FFFF))).otherwise(bits)
+
+
 def percentiles(
     df: DataFrame,
     value: str,
     points: tuple[float, ...] = (0.5, 0.95, 0.99),
     by: tuple[str, ...] = (),
-    accuracy: int = 100_000,
+    accuracy: int = 1 << 16,
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group and point.
-
-    The built-in exact percentile keeps every distinct value of a group in one task. Here rows
-    are counted per group and value first, combined before the shuffle, which deals by both: a
-    group with most of the rows is spread like any other. A sketch with a guaranteed rank error
-    brackets each wanted rank; values inside a bracket, about ``8 / accuracy`` of a group's rows,
-    are ranked, and what lies below is merely counted. The two ranks next to each point are then
-    read off exactly. NULL and NaN values are left out.
+    """Exact percentiles with linear interpolation, one row per group and point. NULL and NaN values are left out.
+
+    The built-in exact percentile keeps every distinct value of a group in one task. Here rows are counted per group and
+    value, combined before the shuffle, which deals by both. The counts are added up over ever wider brackets of values,
+    each of at most ``accuracy`` brackets of the level below. Then the two ranks next to each point are followed down:
+    the group's widest brackets say which of them holds the rank, that one's own brackets which of those does, and so on
+    to the value. A window sees at most ``accuracy`` rows, whatever the group holds, and a level is joined by group and
+    bracket, of which one is asked for per group and rank. Brackets are leading bits of the number, so nothing is guessed.
     """
     keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
-    number = F.col(value).cast("double")
     group_keys = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("__all")]
-    data = df.select(*group_keys, number.alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v")
-    )
-    slack = 4.0 / accuracy
-    lows = [max(0.0, p - slack) for p in points]
-    highs = [min(1.0, p + slack) for p in points]
-    sketch = F.percentile_approx("__v", [*lows, *highs], accuracy)
-    k = len(points)
-    brackets = (
-        data.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            sketch.alias("__s"),
-        )
-        .select(
-            *keys,
-            "__n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("point"),
-                            F.col("__s")[i].alias("low"),
-                            F.col("__s")[k + i].alias("high"),
-                        )
-                        for i, p in enumerate(points)
-                    ]
-                )
-            ).alias("__b"),
-        )
-        .select(*keys, "__n", "__b.*")
-    )
-    values = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__rows"))
-    sides = brackets.withColumnsRenamed({c: f"{c}_b" for c in keys})
-    if not by:
-        sides = F.broadcast(sides)  # one row per point
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_b"))
-    # values inside a bracket are kept; of those below and above it, their count and the one next to it
-    place = F.when(F.col("__v") < F.col("low"), -1).when(F.col("__v") > F.col("high"), 1).otherwise(0)
-    slot = F.when(place == 0, F.col("__v"))
-    counted = (
-        values.join(sides, cond)
-        .select(*keys, "point", "__n", place.alias("__place"), slot.alias("__slot"), "__v", "__rows")
-        .groupBy(*keys, "point", "__n", "__place", "__slot")
-        .agg(F.sum("__rows").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
-    )
-    upto = Window.partitionBy(*keys, "point").orderBy("__place", F.col("__slot").asc_nulls_first())
-    ranked = counted.withColumn("__upto", F.sum("__c").over(upto))
-    target = (F.col("__n") - 1) * F.col("point")
-    lower, upper = F.floor(target), F.ceil(target)
-    first, last = F.col("__upto") - F.col("__c"), F.col("__upto") - 1
-    known = lambda rank: (
-        F.when((F.col("__place") == 0) & (first <= rank) & (rank <= last), F.col("__slot"))
-        .when((F.col("__place") < 0) & (rank == last), F.col("__most"))
-        .when((F.col("__place") > 0) & (rank == first), F.col("__least"))
-    )
-    at = lambda rank: F.max(known(rank))
-    picked = ranked.groupBy(*keys, "point", "__n").agg(at(lower).alias("__lo"), at(upper).alias("__hi"))
-    share = target - F.floor(target)
-    # the sketch guarantees both ranks lie in the bracket or next to it; a breach must not pass as a result
-    exact = F.when(
-        F.col("__lo").isNull() | F.col("__hi").isNull(),
-        F.raise_error(F.lit("percentile rank outside its bracket")).cast("double"),
-    ).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share)
-    return picked.select(
-        *[F.col(key).alias(c) for c, key in zip(by, keys)], "point", exact.alias("percentile")
+    data = df.select(*group_keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counts = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    bits = max(1, accuracy.bit_length() - 1)
+    levels = [counts.withColumn("__b", order_key(F.col("__v") + F.lit(0.0)))]
+    for _ in range((63 + bits) // bits - 1):
+        wider = levels[-1].select(*keys, F.shiftright("__b", bits).alias("__b"), "__c")
+        levels.append(wider.groupBy(*keys, "__b").agg(F.sum("__c").alias("__c")))
+
+    def holding(rows: DataFrame, part: list[str], rank: str) -> DataFrame:
+        """The brackets of each part that hold the rank, which is counted from their start from then on."""
+        upto = F.sum("__c").over(Window.partitionBy(*part).orderBy("__b"))
+        found = rows.withColumn("__upto", upto).withColumn("__rank", F.col(rank) - (F.col("__upto") - F.col("__c")))
+        return found.where((F.col("__rank") >= 0) & (F.col("__rank") < F.col("__c")))
+
+    n = F.sum("__c").over(Window.partitionBy(*keys))
+    target = (F.col("__n") - 1) * F.col("__p")
+    asked = levels[-1].withColumn("__n", n).withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")))
+    asked = asked.select("*", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("__p"))
+    asked = asked.select("*", F.inline(F.array(
+        F.struct(F.lit(0).alias("__side"), F.floor(target).alias("__ask")), F.struct(F.lit(1).alias("__side"), F.ceil(target).alias("__ask")),
+    )))
+    asked = asked.withColumn("__rank", F.col("__ask") - (F.col("__upto") - F.col("__c")))
+    asked = asked.where((F.col("__rank") >= 0) & (F.col("__rank") < F.col("__c")))
+    about = ["__p", "__side", "__n"]
+    for level in reversed(levels[:-1]):
+        sides = asked.select(*[F.col(k).alias(f"{k}_a") for k in keys], F.col("__b").alias("__in"), *about, F.col("__rank").alias("__ask"))
+        same = F.shiftright("__b", bits) == F.col("__in")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_a"))
+        asked = holding(level.join(sides, same), [*keys, "__p", "__side"], "__ask")
+    ends = asked.groupBy(*keys, "__p", "__n").agg(
+        F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__lo"), F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__hi")
     )
+    exact = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (target - F.floor(target))
+    return ends.select(*[F.col(key).alias(c) for c, key in zip(by, keys)], F.col("__p").alias("point"), exact.alias("percentile"))
 
 
 def top_causes(violations: DataFrame, cause: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:

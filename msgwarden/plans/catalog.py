@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
 from ..functions import pii, rules as R, wording
@@ -18,7 +19,7 @@ from ..operators import (
 )
 from ..operators.guardrails import CheckSettings
 from ..session import prepare
-from ..sources import readers
+from ..sources import readers, scans
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -790,6 +791,27 @@ def lines_of_annotations(spark, d):
     return readers.annotation_lines(I.ANNOTATION_LINES.frame(spark, d), "line").select("case_id", "annotator_a", "annotator_b", "notes")
 
 
+@query
+def records_of_split_lines(spark, d):
+    """A CSV file with line breaks in quotes, of which records lie in several splits."""
+    lines = I.SPLIT_LINES.frame(spark, d).unionByName(I.ends(spark, ("doc_id,text,lang\r",), ("",)))
+    records = scans.csv_records(lines).where(~F.col("first"))
+    return readers.csv_fields(records, "record", T.StructType.fromDDL("doc_id bigint, text string, lang string"))
+
+
+@query
+def items_of_split_document(spark, d):
+    """The list of one JSON document, of which items lie in several splits."""
+    pieces = I.SPLIT_ITEMS.frame(spark, d).unionByName(I.ends(spark, I.ITEMS_BEFORE, I.ITEMS_AFTER))
+    return readers.annotated_items(pieces).select("case_id", "annotator_a", "notes")
+
+
+@query
+def pairs_of_split_document(spark, d):
+    pieces = I.SPLIT_ITEMS.frame(spark, d).unionByName(I.ends(spark, I.ITEMS_BEFORE, I.ITEMS_AFTER))
+    return readers.pairs_of(pieces)
+
+
 @query
 def lines_of_scores(spark, d):
     rows = readers.score_lines(I.SCORE_LINES.frame(spark, d), "line")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import read_table
 
@@ -28,6 +29,31 @@ class Derived:
         return table(spark, sf_dir, self.table).selectExpr(*self.columns)
 
 
+@dataclass(frozen=True)
+class Split:
+    """Lines of one file as splits hold them: each row of a table gives the pieces of the text `whole`, cut at `at`.
+
+    The row's number `row` and the piece's place make the split, `wide` pieces or the rest of the row each.
+    """
+
+    table: str
+    row: str
+    whole: str
+    at: str
+    wide: int
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = table(spark, sf_dir, self.table).select(F.expr(self.row).alias("row"), F.posexplode(F.split(F.expr(self.whole), self.at)).alias("pos", "value"))
+        return parts.selectExpr("'f' AS file", f"row * 3 + least(pos div {self.wide}, 2) AS block", "row * 1000000 + pos AS place", "value")
+
+
+def ends(spark: SparkSession, before: tuple[str, ...], after: tuple[str, ...]) -> DataFrame:
+    """Lines before and after those of a :class:`Split`."""
+    far = 1 << 60
+    rows = [("f", -far, i, v) for i, v in enumerate(before)] + [("f", far, i, v) for i, v in enumerate(after)]
+    return spark.createDataFrame(rows, "file string, block long, place long, value string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, dealt to as many tasks as the setting `msgwarden.spread` asks for, if it is set."""
     spread = spark.conf.get("msgwarden.spread", None)
@@ -231,6 +257,19 @@ SCORE_LINES = Derived(
     ),
 )
 
+# One CSV file of documents whose texts hold quoted line breaks, as the lines of its splits; a record may cross splits.
+BROKEN_TEXT = "replace(replace(text, '. ', '.' || chr(10)), ' e', ' \"e\"' || chr(10) || chr(10))"
+SPLIT_LINES = Split("documents", "doc_id", f"CAST(doc_id AS STRING) || ',\"' || replace({BROKEN_TEXT}, '\"', '\"\"') || '\",' || lang || chr(13)", "\n", 4)
+
+# One JSON document with a list of items, cut before its closing braces; strings hold braces, quotes and escapes.
+_ITEM = (
+    "'{\"case_id\": \"' || CAST(doc_id AS STRING) || '\", \"human_scores\": {\"annotator_a\": ' || CAST(n_chars % 6 AS STRING)"
+    " || '}, \"notes\": \"' || source || '}, {' || chr(92) || '\"[' || chr(92) || chr(92) || '\"'"
+)
+SPLIT_ITEMS = Split("documents", "doc_id", f"',' || chr(10) || {_ITEM}", "[}]", 1)
+ITEMS_BEFORE = ('{"made": "a', 'b{", "meta": {"items": [{"case_id": "no"', "]", ', "n": [1], "items": [{"case_id":"first"')
+ITEMS_AFTER = ('], "pairs": [{"case_id":"p"', ', {"case_id": "q", "llm_score": 4', '], "items2": [{"case_id":"no"', "]", "\n")
+
 # Turns of conversations, of which some hold a phone number; the turn stands in for the phase.
 TURNS = Derived(
     "conversations",

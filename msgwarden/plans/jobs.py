@@ -25,7 +25,7 @@ def run_guardrails(
     out: str,
     schema_path: str | None = None,
     settings: CheckSettings = CheckSettings(),
-    multi_line: bool = True,
+    multi_line: bool | str = True,
 ) -> DataFrame:
     """Checks every case, writes the nested and the flat report, returns the batch report."""
     prepare(spark)
@@ -51,7 +51,7 @@ def score_judge_answers(
     rubric_path: str | None = None,
     runs_path: str | None = None,
     cases_path: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     dataset_sha256: str | None = None,
 ) -> DataFrame:
     """Scores the judge's answers (id, answer) to the cases, writes the score table and, when
@@ -101,7 +101,7 @@ def run_regression(
     scores_b: str,
     out: str,
     count_failures_in: str = "all",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     reports_ab: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Compares two score tables of one frozen dataset, writes and returns the record.

@@ -496,6 +496,10 @@ SQL: dict[str, str] = {
       CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 90 AS INT) END AS max_words, 'x,y' AS no_go_terms FROM documents""",
     "lines_of_annotations": """SELECT CAST(doc_id AS STRING) AS case_id, CAST(n_chars % 6 AS DOUBLE) AS annotator_a,
       CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id % 6 AS DOUBLE) END AS annotator_b, source AS notes FROM documents""",
+    "records_of_split_lines": f"SELECT doc_id, {I.BROKEN_TEXT} AS text, lang FROM documents",
+    "items_of_split_document": """SELECT CAST(doc_id AS STRING) AS case_id, CAST(n_chars % 6 AS DOUBLE) AS annotator_a, source || '}, {"[' || chr(92) AS notes FROM documents
+      UNION ALL SELECT 'first', NULL, NULL""",
+    "pairs_of_split_document": """SELECT 'p' AS case_id, CAST(NULL AS DOUBLE) AS llm_score, CAST(NULL AS DOUBLE) AS human_score UNION ALL SELECT 'q', 4.0e0, NULL""",
     "lines_of_scores": """SELECT CAST(doc_id AS STRING) AS case_id, CASE doc_id % 6 WHEN 0 THEN 'PARSE_FAILED' WHEN 1 THEN NULL ELSE (n_chars % 6) || '.5' END AS final_score,
       CASE WHEN doc_id % 6 > 1 THEN n_chars % 6 + 0.5e0 END AS score, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS passed FROM documents""",
     "rows_of_score_files": f"""SELECT doc_id, CASE WHEN failed THEN 'PARSE_FAILED' ELSE 'number' END AS final_score, CASE WHEN NOT failed THEN round(final, 9) END AS score,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import float_of
+from .scans import csv_records, json_items, placed_lines
 
 CASES = "id string, phase string, input string, expected_output string, max_words int, no_go_terms string"
 CASES_FROZEN = "id string, phase string, input string, expected_output string, max_words string, no_go_terms string"
@@ -18,8 +19,7 @@ _ITEM = (
     "struct<case_id:string,model_scores:map<string,string>,model_passed:map<string,boolean>,"
     "parse_failed:map<string,boolean>,human_scores:map<string,string>,notes:string>"
 )
-ANNOTATIONS = f"items array<{_ITEM}>"
-PAIRS = "pairs array<struct<case_id:string,llm_score:double,human_score:double>>"
+_PAIR = "case_id string, llm_score double, human_score double"
 
 
 def read_table(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
@@ -38,26 +38,36 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("escape", '"').csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool | str = True) -> DataFrame:
     """A CSV table with header and quoted fields; columns are matched by name.
 
-    Columns of ``schema`` that the files lack are left out, others are kept as strings.
-    ``multi_line`` allows line breaks in quoted fields but makes every file one task; turn
-    it off for large files whose texts hold none.
+    Columns of ``schema`` that the files lack are left out, others are kept as strings. Line breaks in quoted fields are
+    allowed, and a file is still read by as many tasks as it has splits. ``multi_line`` False reads files without such
+    breaks, which takes no exchange; "whole" reads each file in one task, for many small ones or for quotes in the
+    middle of fields that have none around them.
     """
     declared = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
     names = csv_columns(spark, path)
     typed = T.StructType([T.StructField(n, declared.get(n, T.StringType())) for n in names])
+    if multi_line is True:
+        records = csv_records(placed_lines(spark, path)).where(~F.col("first"))
+        return csv_fields(records, "record", typed)
     return (
         spark.read.schema(typed)
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("multiLine", multi_line == "whole")
         .csv(path)
     )
 
 
-def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def csv_fields(records: DataFrame, record: str, typed: T.StructType) -> DataFrame:
+    """The fields of CSV records, which may hold quoted line breaks, in the order of ``typed``."""
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in typed)
+    return records.select(F.from_csv(F.col(record), F.lit(schema), {"escape": '"', "multiLine": "true"}).alias("c")).select("c.*")
+
+
+def read_cases(spark: SparkSession, path: str, multi_line: bool | str = True) -> DataFrame:
     return read_csv(spark, path, CASES, multi_line)
 
 
@@ -100,7 +110,7 @@ def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, RUBRIC)
 
 
-def read_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, multi_line: bool | str = True) -> DataFrame:
     """A score table; ``final_score`` stays text because it may say that parsing failed.
 
     Files that name the column ``weighted_final_score`` are read alike.
@@ -115,10 +125,16 @@ def read_scores(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated cases, one row each, with the scores of both annotators as numbers."""
-    document = spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path)
-    items = document.select(F.explode("items").alias("item")).select("item.*")
-    return annotator_scores(items)
+    """Annotated cases, one row each, with the scores of both annotators as numbers.
+
+    They are the list ``items`` of a JSON document, which is read by as many tasks as it has splits.
+    """
+    return annotated_items(placed_lines(spark, path, "}"))
+
+
+def annotated_items(pieces: DataFrame) -> DataFrame:
+    """:func:`read_annotations` for documents that are already in a table, as the pieces before each closing brace."""
+    return annotation_lines(json_items(pieces, "items"), "item")
 
 
 def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -136,8 +152,12 @@ def annotator_scores(items: DataFrame) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    document = spark.read.schema(PAIRS).option("multiLine", True).json(path)
-    return document.select(F.explode("pairs").alias("p")).select("p.*")
+    """The list ``pairs`` of a JSON document, read as :func:`read_annotations` reads."""
+    return pairs_of(placed_lines(spark, path, "}"))
+
+
+def pairs_of(pieces: DataFrame) -> DataFrame:
+    return json_items(pieces, "pairs").select(F.from_json("item", _PAIR).alias("p")).select("p.*")
 
 
 def read_json_document(spark: SparkSession, path: str) -> dict:
