@@ -67,6 +67,19 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def _digest_sums(df: DataFrame, digest: str, keys: list[str], *more: Column) -> DataFrame:
+    """Rows and the sums of the eight numbers of a hexadecimal digest, per group; they may be added up further."""
+    parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    zero = F.lit(0).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(p), zero).alias(f"__s{i}") for i, p in enumerate(parts)], *more
+    )
+
+
+def _digest_of_sums() -> Column:
+    return F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"__s{i}").cast("string") for i in range(8)]), 256)
+
+
 def row_fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Fingerprint of a table that depends neither on row order nor on its files.
 
@@ -74,19 +87,53 @@ def row_fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[st
     count make up the fingerprint. Sums are partial before the shuffle, so any size works.
     """
     keys = by or []
-    parts = [
-        F.conv(F.substring("__hash", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)
-    ]
     hashed = df.select(*keys, row_hash(columns or df.columns).alias("__hash"))
-    zero = F.lit(0).cast("decimal(38,0)")
-    sums = hashed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.coalesce(F.sum(p), zero).cast("string").alias(f"__s{i}") for i, p in enumerate(parts)],
-    )
-    digest = F.sha2(
-        F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"__s{i}") for i in range(8)]), 256
-    )
-    return sums.select(*keys, "n_rows", digest.alias("fingerprint"))
+    return _digest_sums(hashed, "__hash", keys).select(*keys, "n_rows", _digest_of_sums().alias("fingerprint"))
+
+
+def manifest_rows(
+    spark: SparkSession, datasets: dict[str, tuple[str | None, DataFrame]], by: str = "phase", columns: list[str] | None = None
+) -> DataFrame:
+    """What is frozen of each dataset, one row per thing: name, part, key, n, digest.
+
+    Parts are ``file`` (key: path below the dataset's, n: bytes, digest: SHA-256), ``group`` (key: value of ``by``, n: rows,
+    digest: fingerprint of its rows over ``columns``) and ``all`` (the same of the whole table). ``datasets`` maps a name to
+    its path, None for a table without files, and its table, which is read once. Digests are sums, partial before the
+    shuffle, and those of the whole are the sums of the groups'; nothing is gathered, however many files and groups there are.
+    """
+    out = None
+    for name, (path, df) in datasets.items():
+        hashed = df.select(F.col(by).cast("string").alias("key"), row_hash(columns or df.columns).alias("__hash"))
+        groups = _digest_sums(hashed, "__hash", ["key"])
+        sums = [F.coalesce(F.sum(f"__s{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"__s{i}") for i in range(8)]
+        whole = groups.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *sums).withColumn("key", F.lit(None).cast("string"))
+        made = [
+            d.select(F.lit(name).alias("name"), F.lit(part).alias("part"), "key", F.col("n_rows").alias("n"), _digest_of_sums().alias("digest"))
+            for d, part in ((groups, "group"), (whole, "all"))
+        ]
+        if path is not None:
+            below = F.element_at(F.split(F.col("path"), F.lit(path.rstrip("/")), 2), -1)
+            files = file_hashes(spark, path)
+            made.append(files.select(F.lit(name).alias("name"), F.lit("file").alias("part"), below.alias("key"), F.col("length").alias("n"), F.col("sha256").alias("digest")))
+        for d in made:
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What differs between two manifests (:func:`manifest_rows`, stored or made now): name, part, key, change, n_old, n_new.
+
+    ``change`` is added, removed or changed; things that are alike are left out. Things meet by name, part and key, one row each.
+    """
+    same = F.col("o.name").eqNullSafe(F.col("n.name")) & F.col("o.part").eqNullSafe(F.col("n.part")) & F.col("o.key").eqNullSafe(F.col("n.key"))
+    both = old.alias("o").join(new.alias("n"), same, "full")
+    change = (
+        F.when(F.col("o.name").isNull(), "added").when(F.col("n.name").isNull(), "removed")
+        .when(~(F.col("o.n").eqNullSafe(F.col("n.n")) & F.col("o.digest").eqNullSafe(F.col("n.digest"))), "changed")
+    )
+    first = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
+    rows = both.select(first("name"), first("part"), first("key"), change.alias("change"), F.col("o.n").alias("n_old"), F.col("n.n").alias("n_new"))
+    return rows.where("change IS NOT NULL")
 
 
 def manifest(
@@ -94,21 +141,15 @@ def manifest(
 ) -> DataFrame:
     """One row per dataset: name, path, sha256, frozen_at, n_rows and rows per group.
 
-    ``datasets`` maps a name to its file path and its table. A path of several files has
-    the SHA-256 of its files' digests in path order.
+    ``datasets`` maps a name to its file path and its table. A path of several files has a digest made from sums of its
+    files' digests, whatever their order. The record holds all groups, so it is for tables of few; :func:`manifest_rows` is
+    for any.
     """
     rows = []
     for name, (path, df) in datasets.items():
-        files = file_hashes(spark, path).agg(
-            F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("f"),
-            F.count_if(F.col("sha256").isNull()).alias("open"),
-        )
-        whole = F.when(
-            F.col("open") == 0,
-            F.when(F.size("f") == 1, F.col("f")[0]["sha256"]).otherwise(
-                F.sha2(F.array_join(F.transform("f", lambda x: x["sha256"]), "|"), 256)
-            ),
-        )
+        one, missing = F.max("sha256").alias("__one"), F.count_if(F.col("sha256").isNull()).alias("__open")
+        files = _digest_sums(file_hashes(spark, path), "sha256", [], one, missing)
+        whole = F.when(F.col("__open") == 0, F.when(F.col("n_rows") == 1, F.col("__one")).otherwise(_digest_of_sums()))
         split = (
             df.groupBy(F.col(by).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
             .agg(

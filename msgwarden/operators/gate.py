@@ -41,8 +41,9 @@ def _code(checks: Column, output_mode: Column) -> Column:
     return F.when(F.size(checks["pii_hits"]) > 0, 2).when(invalid, 1).otherwise(0)
 
 
-def _reason(code: str) -> Column:
-    return F.when(F.col(code) == 2, "PII").when(F.col(code) == 1, "JSON-invalid").alias("reason")
+def _reason(code: str | Column) -> Column:
+    code = F.col(code) if isinstance(code, str) else code
+    return F.when(code == 2, "PII").when(code == 1, "JSON-invalid").alias("reason")
 
 
 def gate_rows(cases: DataFrame, text: str, settings: CheckSettings = CheckSettings()) -> DataFrame:
@@ -54,6 +55,12 @@ def gate_rows(cases: DataFrame, text: str, settings: CheckSettings = CheckSettin
     return with_hard_fail(usable, text, settings, "__code").select(*usable.columns, _reason("__code"))
 
 
+def decided(checked: DataFrame) -> DataFrame:
+    """Stored checks with ``reason``: why the row is held back, NULL where it goes on. For checks that were stored together
+    with what is to be passed on, so that nothing is joined."""
+    return checked.select("*", _reason(_code(F.col("checks"), F.col("output_mode"))))
+
+
 def gate(cases: DataFrame, checked: DataFrame, text: str, order: str | None = None) -> DataFrame:
     """Cases that go on: no error text and no hard failure. Unchecked cases pass.
 

@@ -178,7 +178,7 @@ def check_length(df: DataFrame, text: str, settings: CheckSettings) -> DataFrame
 def check_json(df: DataFrame, text: str, schema: dict) -> DataFrame:
     """The frame with ``json``: passed, errors (rule codes)."""
     df = df.withColumn("__json", jsoncheck.parse_json(F.col(text)))
-    df = df.withColumn("__errors", jsoncheck.schema_errors("__json", schema))
+    df = jsoncheck.with_schema_errors(df, "__json", schema, "__errors")
     result = F.struct((F.size("__errors") == 0).alias("passed"), F.col("__errors").alias("errors"))
     return settled(df.withColumn("json", result).drop("__json", "__errors"), ["json"])
 
@@ -189,10 +189,11 @@ def check_cases(
     case_id: str = "id",
     phase: str = "phase",
     settings: CheckSettings = CheckSettings(),
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """All checks of one message per row, as the nested result record.
 
-    Columns: case_id, phase, output_mode, word_count, checks, severity. Checks that are not
+    Columns: case_id, phase, output_mode, word_count, checks, severity, and those of ``extra`` as they are. Checks that are not
     asked for count as passed.
     """
     source = df.select(
@@ -200,6 +201,7 @@ def check_cases(
         F.col(phase).alias("phase") if phase in df.columns else F.lit("unknown").alias("phase"),
         F.col(text).alias("__text"),
         *_row_columns(settings),
+        *extra,
     )
     df, scan = with_scan(source, "__text")
     found = {r.label: f"__pii_{r.label}" for r in settings.pii_rules}
@@ -219,7 +221,8 @@ def check_cases(
     errors = F.array().cast("array<string>")
     if settings.json_schema is not None:
         df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
-        errors = jsoncheck.schema_errors("__json", settings.json_schema)
+        df = jsoncheck.with_schema_errors(df, "__json", settings.json_schema, "__codes")
+        errors = F.col("__codes")
     policy = F.col("__nogo")
     if settings.policy_labels is not None:
         policy = F.filter(policy, lambda h: h["key"].isin(list(settings.policy_labels)))
@@ -247,6 +250,7 @@ def check_cases(
         F.lit(settings.output_mode).alias("output_mode"),
         F.col("__words").alias("word_count"),
         checks.alias("checks"),
+        *extra,
     )
     df = df.withColumn("severity", severity(F.col("checks")))
     return settled(df, ["word_count", "checks", "severity"])
@@ -328,7 +332,8 @@ def case_summary(
     valid = F.lit(True)
     if settings.json_schema is not None:
         df = df.withColumn("__json", jsoncheck.parse_json(F.col("__text")))
-        valid = F.size(jsoncheck.schema_errors("__json", settings.json_schema)) == 0
+        df = jsoncheck.with_schema_errors(df, "__json", settings.json_schema, "__codes")
+        valid = F.size("__codes") == 0
     df = df.withColumns(
         {"json_valid": valid, "length_ok": wording.over_by(F.col("word_count"), _limit(settings)) == 0}
     )
@@ -355,9 +360,10 @@ def with_hard_fail(df: DataFrame, text: str, settings: CheckSettings = CheckSett
     invalid = F.lit(False)
     if settings.json_schema is not None and settings.output_mode == "json":
         df = df.withColumn("__json", jsoncheck.parse_json(F.col(text)))
-        invalid = F.size(jsoncheck.schema_errors("__json", settings.json_schema)) > 0
+        df = jsoncheck.with_schema_errors(df, "__json", settings.json_schema, "__codes")
+        invalid = F.size("__codes") > 0
     code = F.when(F.col("__pii"), 2).when(invalid, 1).otherwise(0)
-    return settled(without_scan(df.withColumn(out, code)).drop("__pii", "__json"), [out])
+    return settled(without_scan(df.withColumn(out, code)).drop("__pii", "__json", "__codes"), [out])
 
 
 def mask_frame(

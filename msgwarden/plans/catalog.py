@@ -519,6 +519,14 @@ def gate_json_in_one_pass(spark, d):
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def gate_of_stored_checks(spark, d):
+    """Checks beside what is passed on, as the live chain stores them."""
+    usable = gate.without_errors(_generated(spark, d), "expected_output")
+    checked = guardrails.check_cases(usable, case_id="case_id", settings=CheckSettings(max_words=120), extra=("doc_id",))
+    return gate.decided(checked).select("case_id", "phase", "doc_id", "severity", "reason")
+
+
 @query
 def gate_of_repeated_checks(spark, d):
     """Checks of conversations: every case has one per turn; the last turn decides, or any."""
@@ -767,6 +775,26 @@ def freeze_manifest(spark, d):
     return made.select("name", "sha256", "frozen_at", "n_rows", split.alias("split"))
 
 
+def _other_version(docs):
+    """The documents with some texts changed, some rows gone, a source of another name and one in two rows more."""
+    text = F.when(F.col("doc_id") % 401 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    source = F.when(F.col("source") == "src3", "src03").otherwise(F.col("source"))
+    kept = docs.where("doc_id % 503 <> 7").select("doc_id", text.alias("text"), "lang", source.alias("source"))
+    return kept.unionByName(kept.where("source = 'src5' AND doc_id % 2 = 0"))
+
+
+@query
+def manifest_rows(spark, d):
+    return freeze.manifest_rows(spark, {"documents": (None, I.table(spark, d, "documents"))}, "source", ["doc_id", "text", "lang"])
+
+
+@query
+def manifest_changes(spark, d):
+    docs = I.table(spark, d, "documents")
+    old, new = (freeze.manifest_rows(spark, {"documents": (None, t)}, "source", ["doc_id", "text", "lang"]) for t in (docs, _other_version(docs)))
+    return freeze.manifest_changes(old, new)
+
+
 # --- what readers make of lines, and what writers make of rows -----------------------------
 @query
 def freeze_manifest_counts(spark, d):

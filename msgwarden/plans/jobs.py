@@ -33,6 +33,10 @@ def run_guardrails(
     if schema_path is not None:
         settings = replace(settings, json_schema=readers.read_json_document(spark, schema_path))
     checked = guardrails.check_cases(readers.check_input(cases), text="text", settings=settings)
+    return _written_reports(spark, checked, out)
+
+
+def _written_reports(spark: SparkSession, checked: DataFrame, out: str) -> DataFrame:
     detailed, flat = writers.report_paths(out)
     writers.write_json(checked, detailed)
     stored = spark.read.schema(checked.schema).json(detailed)
@@ -149,18 +153,21 @@ def run_chain(
     max_words: int = 120,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Checks generated texts (id, phase, input, output), holds hard failures back and scores
-    the rest. Returns the batch report, the held back cases and the run summary."""
+    the rest. Returns the batch report, the held back cases and the run summary.
+
+    Checks are stored beside the texts they are of, at ``out``/gated, so that each text is searched once and the gate is a
+    filter of that table: neither texts nor ids are joined."""
+    prepare(spark)
     usable = gate.without_errors(generated, "output")
-    report = run_guardrails(
-        spark,
-        usable.withColumnRenamed("output", "expected_output"),
-        f"{out}/checks",
-        settings=CheckSettings(max_words=max_words),
+    checked = guardrails.check_cases(
+        usable.withColumn("__checked", F.col("output")), "__checked", settings=CheckSettings(max_words=max_words), extra=("input", "output")
     )
-    detailed, _ = writers.report_paths(f"{out}/checks")
-    shape = guardrails.check_cases(readers.check_input(usable), text="text").schema
-    checked = spark.read.schema(shape).json(detailed)
-    cases = generated.withColumnRenamed("id", "case_id")
-    passed_on = gate.gate(cases, checked, "output").withColumnRenamed("case_id", "id")
+    place = f"{out}/gated"
+    checked.write.mode("overwrite").parquet(place)
+    stored = spark.read.schema(checked.schema).parquet(place)
+    report = _written_reports(spark, stored.drop("input", "output"), f"{out}/checks")
+    rows = gate.decided(stored)
+    passed_on = rows.where("reason IS NULL").select(F.col("case_id").alias("id"), "input", "output")
     summary = score_judge_answers(spark, passed_on, answers, f"{out}/scores", run_id, variant)
-    return report, gate.skipped(cases, checked, "output"), summary
+    held = rows.where("reason IS NOT NULL").select("case_id", "phase", "input", "output", "reason")
+    return report, held, summary

@@ -286,14 +286,25 @@ _TWO_SCORES = """SELECT doc_id, lang, (doc_id * 7 + n_chars) % 11 * 5e-1 AS a,
   (doc_id * 7 + n_chars + doc_id % 3) % 11 * 5e-1 AS b FROM documents"""
 
 
-def _fingerprint(cols: tuple[str, ...], by: str = "") -> str:
+def _fingerprint(cols: tuple[str, ...], by: str = "", table: str = "documents") -> str:
     parts = ", ".join(
         f"coalesce(CAST(length(CAST({c} AS STRING)) AS STRING) || ':' || CAST({c} AS STRING), '-')" for c in cols
     )
     sums = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS STRING)" for i in range(8))
     head = f"{by}, " if by else ""
     return f"""SELECT {head}count(*) AS n_rows, sha256(concat_ws('|', CAST(count(*) AS STRING), {sums})) AS fingerprint
-      FROM (SELECT {head}sha256(concat_ws('|', {parts})) AS h FROM documents){' GROUP BY ' + by if by else ''}"""
+      FROM (SELECT {head}sha256(concat_ws('|', {parts})) AS h FROM {table}){' GROUP BY ' + by if by else ''}"""
+
+
+def _manifest(table: str) -> str:
+    cols = ("doc_id", "text", "lang")
+    return f"""SELECT 'documents' AS name, 'group' AS part, source AS key, n_rows AS n, fingerprint AS digest FROM ({_fingerprint(cols, 'source', table)})
+      UNION ALL SELECT 'documents', 'all', NULL, n_rows, fingerprint FROM ({_fingerprint(cols, '', table)})"""
+
+
+_OTHER = """(WITH k AS (SELECT doc_id, CASE WHEN doc_id % 401 = 3 THEN text || '!' ELSE text END AS text, lang, CASE source WHEN 'src3' THEN 'src03' ELSE source END AS source
+  FROM documents WHERE doc_id % 503 <> 7) SELECT * FROM k UNION ALL SELECT * FROM k WHERE source = 'src5' AND doc_id % 2 = 0)"""
+_CHANGE = "CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN o.n <> n.n OR o.digest <> n.digest THEN 'changed' END"
 
 
 def _generated() -> str:
@@ -433,6 +444,8 @@ SQL: dict[str, str] = {
     "gate_passed": f"SELECT case_id, phase FROM ({_USABLE_CASES}) WHERE pii_hits_total = 0",
     "gate_skipped": f"SELECT case_id, phase, 'PII' AS reason FROM ({_USABLE_CASES}) WHERE pii_hits_total > 0",
     "gate_in_one_pass": f"SELECT case_id, phase, CASE WHEN pii_hits_total > 0 THEN 'PII' END AS reason FROM ({_USABLE_CASES})",
+    "gate_of_stored_checks": f"""SELECT case_id, phase, CAST(case_id AS BIGINT) AS doc_id, severity, CASE WHEN pii_hits_total > 0 THEN 'PII' END AS reason
+      FROM ({_USABLE_CASES})""",
     "gate_json_in_one_pass": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
       WHEN len(errors) > 0 THEN 'JSON-invalid' END AS reason FROM ({I.REPLIES.sql}) r JOIN ({_REPLY_ERRORS}) e USING (c_custkey)) GROUP BY reason""",
     "gate_of_repeated_checks": """SELECT rule, case_id, 'PII' AS reason FROM (
@@ -488,6 +501,10 @@ SQL: dict[str, str] = {
       FROM ({I.SCORES_A.sql}) a JOIN ({I.SCORES_B.sql}) b USING (case_id) ORDER BY md5('7|' || a.case_id), a.case_id LIMIT 30""",
     "row_fingerprint": _fingerprint(("doc_id", "text", "lang")),
     "row_fingerprint_by_lang": _fingerprint(("doc_id", "text"), "lang"),
+    "manifest_rows": _manifest("documents"),
+    "manifest_changes": f"""SELECT coalesce(o.name, n.name) AS name, coalesce(o.part, n.part) AS part, coalesce(o.key, n.key) AS key, {_CHANGE} AS change,
+      o.n AS n_old, n.n AS n_new FROM ({_manifest('documents')}) o FULL JOIN ({_manifest(_OTHER)}) n
+      ON o.name = n.name AND o.part = n.part AND o.key IS NOT DISTINCT FROM n.key WHERE {_CHANGE} IS NOT NULL""",
     "freeze_manifest_counts": """SELECT 'documents' AS name, '2025-01-01T00:00:00Z' AS frozen_at, CAST(sum(n) AS BIGINT) AS n_rows,
       string_agg(lang || '=' || n, '; ' ORDER BY lang) AS split FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""",
     "lines_of_cases": """SELECT CAST(doc_id AS STRING) AS id, lang AS phase, lang || ', "' || source || '"' AS input, 'out ' || source AS expected_output,
