@@ -82,8 +82,21 @@ class Search:
         for _, _, _, node in before.values():
             self._drop(node)
         self._insert()
+        self._prune()
         self._forget()
 
+    def _prune(self) -> None:
+        """Drops survivors that cannot win any more, which would keep the oldest edits open for ever.
+
+        What follows a system turn may as well follow an answer, so that way must be the better one; and so may what follows
+        nothing, but for a system turn, which would have to be deleted instead.
+        """
+        answer = self.ways[ASSISTANT]
+        if START in self.ways and self.ways[START][0] > answer[0] + DELETE_COST:
+            self._drop(self.ways.pop(START)[3])
+        if SYSTEM in self.ways and self.ways[SYSTEM][:3] > answer[:3]:
+            self._drop(self.ways.pop(SYSTEM)[3])
+
     def _insert(self) -> None:
         """Ways that go on by turns without text, until none is better than what is known."""
         changed = True

@@ -50,7 +50,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
             struct(0 AS half, substring(word, lo + 1, q) AS piece, lo + q AS lo, hi AS hi),
             struct(1 AS half, substring(word, lo + q + 1, r - q) AS piece, lo AS lo, lo + q AS hi))"""
     )
-    sized = rows.withColumn("r", F.expr("hi - lo")).withColumn("q", F.expr("r div 2"))
+    sized = rows.withColumn("r", F.expr("hi - lo")).withColumn("q", F.expr("int(r div 2)"))
     cut = sized.select("word", "path", "r", F.explode(halves).alias("c"))
     return cut.select("word", F.xxhash64("path", "r", "c.half", "c.piece").alias("path"), "c.lo", "c.hi", "r")
 
