@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,10 +18,12 @@ from .common import id_and_text, texts
 
 #: Sharpness of the distribution: pieces weigh 1 / rank to this power.
 SHARPNESS = 1.0
-#: Characters of a run without a space that share a lattice; longer runs are cut there.
+#: Chunks of more characters are worked on alone, a character at a time.
 RUN = 4096
-#: Characters whose lattices are held at once.
+#: Characters whose lattices are built at once, and chunks drawn at once.
 BLOCK = 400_000
+#: Edges of lattices remembered from one block of texts to the next.
+REMEMBERED = 3_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -33,17 +36,66 @@ def _uniform(seeds: np.ndarray, chunks: np.ndarray, step: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class Lattices(dict):
+    """Numbers of the chunks whose lattices are known, by the chunk without its first space; new ones queue in `fresh`.
+
+    A lattice is its nodes, each the first of the edges that end there; an edge holds its piece (-1 less the code point of
+    a spelled character), the node it comes from (-1: the chunk's start), and the share of the node's sum up to it.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.edges, self.nodes = 0, 0
+        self.share, self.piece, self.origin = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.first, self.end = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        if len(word) >= RUN:
+            return -1
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def add(self, share: np.ndarray, piece: np.ndarray, origin: np.ndarray, first: np.ndarray, end: np.ndarray, number: int) -> None:
+        """The lattices of the chunks from `number` on: edges, nodes, and the last node of each chunk."""
+        self.share, self.piece = _put(self.share, self.edges, share), _put(self.piece, self.edges, piece)
+        self.origin = _put(self.origin, self.edges, np.where(origin < 0, -1, origin + self.nodes))
+        self.first, self.end = _put(self.first, self.nodes, first + self.edges), _put(self.end, number, end + self.nodes)
+        self.edges, self.nodes = self.edges + len(share), self.nodes + len(first)
+
+
+def _put(room: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """`room` with `values` at `at`, in a larger array if they do not fit."""
+    if at + len(values) > len(room):
+        room = np.concatenate([room[:at], np.zeros(max(len(values), at), room.dtype)])
+    room[at : at + len(values)] = values
+    return room
+
+
+def chunk_keys(text: str) -> list[str]:
+    """The chunks of a text with a space before it, each without its first space: runs of spaces with the word after them."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
+        return [chunk[1:] for chunk in re.findall(" +[^ ]*", " " + text)]
+    return text.split(" ")
+
+
 class PieceSampler:
     """Samples segmentations of texts by forward filtering and backward sampling.
 
     A text is read with a space before it. Pieces hold spaces at their start only, so its lattice falls apart into chunks,
-    a run of spaces with the word after it. All chunks of a block of texts are worked on together: pieces are found by
-    walking their trie from every character at once, forward sums go from character to character, and backward steps
-    are drawn for all chunks that are not yet done. Characters that are no piece are spelled in byte pieces; that
-    includes the model's own mark for a space, so decoding gives back every text as it was.
+    a run of spaces with the word after it. Forward sums depend on the chunk alone, so the lattice of a chunk is built once
+    and remembered, up to a bound: pieces of all new chunks are found by walking their trie from every character at once,
+    and sums go from character to character. Backward steps are drawn for all chunks of a block of texts that are not yet
+    done. A very long chunk keeps the sums of its characters only, and finds the pieces once more on the way back.
+    Characters that are no piece are spelled in byte pieces; that includes the model's own mark for a space, so decoding
+    gives back every text as it was.
     """
 
     def __init__(self, model_path: str, sharpness: float = SHARPNESS):
+        self.lattices = Lattices()
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.bytes_of: list[bytes] = []
         ids: dict[str, int] = {}
@@ -63,6 +115,7 @@ class PieceSampler:
         ranks = sorted(ids, key=lambda p: (-model.get_score(ids[p]), ids[p]))
         weight = lambda rank: -sharpness * math.log(rank + 2)
         self.pieces = {p: (ids[p], weight(r)) for r, p in enumerate(ranks)}
+        self.longest = max(map(len, self.pieces), default=1)
         self.byte_weight = weight(len(ranks))
         self.weights = np.zeros(len(self.bytes_of))
         for i, w in self.pieces.values():
@@ -112,10 +165,25 @@ class PieceSampler:
             found.append((at[hit], np.full(len(hit), length), self.ends[node[hit]].astype(np.int64)))
         return tuple(np.concatenate(x) for x in zip(*reversed(found)))  # a stable sort by end keeps long pieces first
 
-    def _draw(self, chars: np.ndarray, begin: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(chunk, piece) in reading order for chunks that begin at `begin` in `chars`."""
+    def _learn(self) -> None:
+        """Builds the lattices of the chunks that are new, in blocks."""
+        words, known = self.lattices.fresh, self.lattices
+        number, low = len(known) - len(words), 0
+        while low < len(words):
+            high, held = low, 0
+            while high < len(words) and (high == low or held + len(words[high]) < BLOCK):
+                held += len(words[high]) + 1
+                high += 1
+            known.add(*self._lattices(words[low:high]), number + low)
+            low = high
+        words.clear()
+
+    def _lattices(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Shares, pieces and origins of edges, first edges of nodes, and last nodes, for all chunks of `words`."""
+        chars = np.frombuffer("".join(" " + w for w in words).encode("utf-32-le"), np.uint32)
         n = len(chars)
-        size = np.diff(np.append(begin, n))
+        size = np.array([len(w) + 1 for w in words])
+        begin = np.cumsum(size) - size
         origin, stop = np.repeat(begin, size), np.repeat(begin + size, size)
         start, length, piece = self._edges(chars, stop)
         depth = start - origin[start] + length
@@ -144,22 +212,61 @@ class PieceSampler:
         for k in range(1, int(rank.max()) + 1):
             later = np.flatnonzero(rank == k)
             share[later] += share[later - 1]
-        last = np.append(node_first[1:], len(end)) - 1
-        share[last] = 1.0
-        node, open_, step, drawn = node_of[begin + size], np.arange(len(begin)), 0, []
+        share[np.append(node_first[1:], len(end)) - 1] = 1.0
+        return share, piece, np.where(opening, -1, node_of[start]), node_first, node_of[begin + size]
+
+    def _draw(self, chunks: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces per chunk, and all pieces in reading order, for chunks by number."""
+        known = self.lattices
+        node, open_, step, drawn = known.end[chunks], np.arange(len(chunks)), 0, []
+        counts = np.zeros(len(chunks), np.int64)
         while len(open_):
             u = _uniform(seeds[open_], places[open_], step)
-            edge = node_first[node]
-            short = np.flatnonzero(share[edge] <= u)
+            edge = known.first[node]
+            short = np.flatnonzero(known.share[edge] <= u)
             while len(short):
                 edge[short] += 1
-                short = short[share[edge[short]] <= u[short]]
-            drawn.append((open_, piece[edge], np.full(len(open_), -step)))
-            going = ~opening[edge]
-            node, open_, step = node_of[start[edge[going]]], open_[going], step + 1
-        chunk, ids, steps = (np.concatenate(x) for x in zip(*drawn))
-        order = np.lexsort((steps, chunk))
-        return chunk[order], ids[order]
+                short = short[known.share[edge[short]] <= u[short]]
+            drawn.append((open_, known.piece[edge]))
+            node, step = known.origin[edge], step + 1
+            done = node < 0
+            counts[open_[done]] = step
+            open_, node = open_[~done], node[~done]
+        ids, last = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - 1
+        for step, (owner, pieces) in enumerate(drawn):
+            ids[last[owner] - step] = pieces
+        return counts, ids
+
+    def _draw_long(self, word: str, seed: np.uint64, place: int) -> np.ndarray:
+        """The same for one very long chunk: sums of its characters are kept, pieces are looked up both ways."""
+        text, pieces, spelt = " " + word, self.pieces, self.byte_weight
+
+        def ending(end: int) -> list[tuple]:
+            """(piece, weight, start) of the pieces that end there, the longest first."""
+            found = []
+            for start in range(max(0, end - self.longest), end):
+                piece = pieces.get(text[start:end])
+                if piece is not None:
+                    found.append((*piece, start))
+                elif start == end - 1:
+                    found.append((-1 - ord(text[start]), spelt * len(text[start].encode()), start))
+            return found
+
+        sums = array("d", [0.0])
+        for end in range(1, len(text) + 1):
+            values = [weight + sums[start] for _, weight, start in ending(end)]
+            top = max(values)
+            sums.append(top + math.log(math.fsum(math.exp(v - top) for v in values)))
+        at, step, drawn = len(text), 0, []
+        while at:
+            (u,) = _uniform(np.array([seed]), np.array([place], np.uint64), step)
+            for piece, weight, start in ending(at):
+                u -= math.exp(weight + sums[start] - sums[at])
+                if u < 0:
+                    break
+            drawn.append(piece)
+            at, step = start, step + 1
+        return np.array(drawn[::-1], np.int32)
 
     def _spelled(self, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same with byte pieces in place of spelled characters."""
@@ -176,36 +283,42 @@ class PieceSampler:
 
     def sample(self, batch: list[str], seeds: list[int]) -> list[np.ndarray]:
         """Piece ids of every text; a text's depend on it and its seed only."""
-        chars = np.frombuffer("".join(" " + t if t else "" for t in batch).encode("utf-32-le"), np.uint32)
-        if not len(chars):
-            return [np.zeros(0, np.int32) for _ in batch]
-        sizes = np.array([len(t) + 1 if t else 0 for t in batch])
-        texts_at = np.cumsum(sizes) - sizes
-        space = chars == 32
-        starts = np.concatenate([[True], space[1:] & ~space[:-1]])
-        starts[texts_at[sizes > 0]] = True
-        begin = np.flatnonzero(starts)
-        length = np.diff(np.append(begin, len(chars)))
-        parts = -(-length // RUN)
-        if (parts > 1).any():
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin = np.repeat(begin, parts) + nth * RUN
-        filled = np.flatnonzero(sizes > 0)
-        owner = filled[np.searchsorted(texts_at[filled], begin, side="right") - 1]
-        place = np.arange(len(begin)) - np.searchsorted(begin, texts_at)[owner]
-        seed = np.array(seeds, np.uint64)[owner]
-        owners, found, low = [], [], 0
-        while low < len(begin):
-            high = max(low + 1, int(np.searchsorted(begin, begin[low] + BLOCK)))
-            stop = begin[high] if high < len(begin) else len(chars)
-            chunk, ids = self._draw(chars[begin[low] : stop], begin[low:high] - begin[low], seed[low:high], place[low:high].astype(np.uint64))
-            own, ids = self._spelled(owner[low:high][chunk], ids)
+        if self.lattices.edges > REMEMBERED:
+            self.lattices = Lattices()
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for first, words, owner, place in self._chunks(batch):
+            chunks = np.fromiter(map(self.lattices.__getitem__, words), np.int64, len(words))
+            self._learn()
+            seed, place = np.array(seeds[first:], np.uint64)[owner - first], place.astype(np.uint64)
+            short = np.flatnonzero(chunks >= 0)
+            counts, ids = np.zeros(len(words), np.int64), None
+            counts[short], ids = self._draw(chunks[short], seed[short], place[short])
+            long_ = {i: self._draw_long(words[i], seed[i], place[i]) for i in np.flatnonzero(chunks < 0).tolist()}
+            for i, own in long_.items():
+                at = int(counts[:i].sum())
+                counts[i], ids = len(own), np.concatenate([ids[:at], own, ids[at:]])
+            own, ids = self._spelled(np.repeat(owner, counts), ids)
             owners.append(own)
-            found.append(ids.astype(np.int32))
-            low = high
+            found.append(ids)
         cuts = np.searchsorted(np.concatenate(owners), np.arange(1, len(batch)))
         return np.split(np.concatenate(found), cuts)
 
+    def _chunks(self, batch: list[str]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """The chunks of the texts, about `BLOCK` at a time: the first text, chunks, their texts, their places in those."""
+        words, owner, place, first = [], [], [], 0
+        for i, text in enumerate(batch):
+            keys = chunk_keys(text)
+            for low in range(0, len(keys), BLOCK):
+                part = keys[low : low + BLOCK]
+                words += part
+                owner.append(np.full(len(part), i))
+                place.append(np.arange(low, low + len(part)))
+                if len(words) >= BLOCK:
+                    yield first, words, np.concatenate(owner), np.concatenate(place)
+                    words, owner, place, first = [], [], [], i
+        if words:
+            yield first, words, np.concatenate(owner), np.concatenate(place)
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
@@ -222,7 +335,7 @@ def sample_pieces(
 
     The draw depends on the row's id, its text and `seed`, not on partitions or other rows; equal rows get equal pieces.
     A null or empty text has none; a null id is an id like others; other columns are ignored; an empty table gives no
-    rows. Runs without a space of over `RUN` characters are cut there. One narrow pass over few texts at a time.
+    rows. A run without a space, however long, is one lattice. One narrow pass over few texts at a time.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
