@@ -7,7 +7,7 @@ depend on partitioning. Only the run aggregate shuffles, and only partial sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -121,6 +121,62 @@ def score_answers(
     return settled(rows.select(*df.columns, *out), out)
 
 
+#: Criteria of all versions of a rubric table together; they are sent to every task.
+MOST_CRITERIA = 100_000
+
+
+def rubric_versions(table: DataFrame, version: str = "version") -> DataFrame:
+    """One row per version of a rubric table (version, criterion, weight): its criteria in their order, as in :func:`rubric_of`."""
+    known = F.array(*[F.lit(c) for c, _ in fixed.RUBRIC_WEIGHTS])
+    place = F.coalesce(F.nullif(F.array_position(known, F.col("criterion")), F.lit(0)), F.lit(len(fixed.RUBRIC_WEIGHTS) + 1))
+    item = F.struct(place.alias("place"), "criterion", F.col("weight").cast("double").alias("weight"))
+    packed = table.groupBy(F.col(version).alias("__version")).agg(F.sort_array(F.collect_list(item)).alias("__criteria"))
+    size = F.sum(F.size("__criteria")).over(Window.partitionBy())
+    checked = F.when(size > MOST_CRITERIA, F.raise_error(F.lit(f"more than {MOST_CRITERIA} criteria")).cast(packed.schema["__criteria"].dataType))
+    return packed.withColumn("__criteria", checked.otherwise(F.col("__criteria")))
+
+
+def score_by_rubrics(
+    df: DataFrame, rubrics: DataFrame, answer: str = "answer", version: str = "version", pass_score: float = fixed.PASS_SCORE
+) -> DataFrame:
+    """:func:`score_answers` where every row names the version of the rubric that it is scored by.
+
+    ``rubrics`` is a table (version, criterion, weight) and stays one: its versions are sent to the tasks, up to a stated
+    size, and each row takes its own criteria, so a query does not grow with them and new versions need no new query.
+    An answer whose version is unknown fails.
+    """
+    versions = F.broadcast(rubric_versions(rubrics))
+    rows = df.join(versions, F.col(version).eqNullSafe(F.col("__version")), "left")
+    rows = rows.withColumn("__v", parse_json(F.col(answer))).withColumn("__kind", F.expr(kind("__v")))
+    rows = _with(rows, {"__refused": f"__criteria IS NULL OR {_REFUSED}", "__members": "try_variant_get(__v, '$', 'map<string,variant>')"})
+    read = "named_struct('criterion', c.criterion, 'weight', c.weight, 'value', try_element_at(__members, c.criterion))"
+    rows = _with(rows, {"__read": f"transform(coalesce(__criteria, array()), c -> {read})"})
+    taken = f"IF({kind('c.value')} = 'object', {at('c.value', ('score',))}, NULL)"
+    fields = f"named_struct('criterion', c.criterion, 'weight', c.weight, 'there', c.value IS NOT NULL, 'object', {kind('c.value')} = 'object', 'raw', {taken}, 'why', {at('c.value', ('reason',))})"
+    rows = _with(rows, {"__fields": f"transform(__read, c -> {fields})"})
+    score = f"CASE WHEN c.object THEN {_score('c.raw', kind('c.raw'))} END"
+    reason = f"IF({kind('c.why')} = 'string', try_variant_get(c.why, '$', 'string'), NULL)"
+    rows = _with(rows, {"__scored": f"transform(__fields, c -> named_struct('criterion', c.criterion, 'score', {score}, 'reason', {reason}, 'weight', c.weight, 'there', c.there))"})
+    rows = _with(rows, {"__bad": "array_position(transform(__scored, c -> c.there AND c.score IS NULL), true)"})
+    open_ = "__kind = 'object' AND (__bad = 0 OR i + 1 < __bad) AND c.there"
+    rows = _with(rows, {"__kept": f"filter(__scored, (c, i) -> coalesce({open_}, false))"})
+    written = f"coalesce(c.reason RLIKE {quoted(_WRITTEN)} AND c.reason <> {quoted(fixed.DEFAULT_REASON)}, false)"
+    rows = _with(rows, {
+        "failed_judge_parse": f"__refused OR NOT forall(__kept, c -> {written})",
+        "__total": "aggregate(__kept, 0.0D, (a, c) -> a + c.score * c.weight)", "__weight": "aggregate(__kept, 0.0D, (a, c) -> a + c.weight)",
+    })
+    listed = f"CAST(transform(__kept, c -> struct(c.criterion, c.score, c.reason, c.weight)) AS {SCORES_TYPE})"
+    raw = f"IF({_OWN_ERROR}, coalesce({at('__v', ('raw_response',), 'string')}, ''), {name(answer)})"
+    rows = _with(rows, {
+        "criterion_scores": f"IF(failed_judge_parse, CAST(array() AS {SCORES_TYPE}), {listed})",
+        "weighted_final_score": "CASE WHEN NOT failed_judge_parse THEN IF(__weight > 0, __total / __weight, 0.0D) END",
+        "raw_response": f"IF(failed_judge_parse, {raw}, '')",
+    })
+    rows = rows.withColumn("passed", at_least(F.col("weighted_final_score"), pass_score))
+    out = ["criterion_scores", "weighted_final_score", "passed", "failed_judge_parse", "raw_response"]
+    return settled(rows.select(*df.columns, *out), out)
+
+
 def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({column: F.expr(e) for column, e in columns.items()})
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fixed
 from ..functions import pii, rules as R, wording
 from ..operators import (
-    agreement, freeze, gate, guardrails, judging, metadata, regression, reports, runs,
+    agreement, freeze, gate, guardrails, judging, metadata, regression, reports, ruletables, runs,
 )
 from ..operators.guardrails import CheckSettings
 from ..session import prepare
@@ -410,6 +410,17 @@ def _judged(spark, d, shift="0"):
     return judging.score_answers(I.answers(shift).frame(spark, d))
 
 
+@query
+def judge_by_rubric(spark, d):
+    """Answers of one run scored by two versions of a rubric, which is a table."""
+    rows = I.answers().frame(spark, d).withColumn("version", F.when(F.col("lang") == "en", "v1").when(F.col("doc_id") % 31 == 0, "none").otherwise("v2"))
+    rubrics = spark.createDataFrame([(v, c, w) for v, rubric in I.RUBRICS.items() for c, w in rubric], "version string, criterion string, weight double")
+    judged = judging.score_by_rubrics(rows, rubrics)
+    flat = F.array_join(F.transform("criterion_scores", lambda c: F.concat(c["criterion"], F.lit("="), F.coalesce(c["reason"], F.lit("")))), ";")
+    shown = judged.select("doc_id", "version", flat.alias("reasons"), F.col("weighted_final_score").alias("final"), "passed", "failed_judge_parse", "raw_response")
+    return _round(shown, "final")
+
+
 @query
 def prompt_column(spark, d):
     template = "INPUT:\n{input_text}\nOUTPUT:\n{model_output}\nJSON: {\"a\": {}}"
@@ -482,6 +493,17 @@ def run_log(spark, d):
     )
 
 
+@query
+def rule_table_hits(spark, d):
+    """Two rules for every pair of neighbouring words of the benchmark, searched in all documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = I.table(spark, d, "benchmark").select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).where("i > 0 AND i < size(w)")
+    pairs = pairs.selectExpr("w[i - 1] AS a", "w[i] AS b").distinct()
+    near = pairs.selectExpr("a || ' ' || b AS rule", "'(?i)' || a || '[ ]' || b AS pattern", "a AS literal")
+    rules = near.union(pairs.selectExpr("b || ', ' || a", "'(?i)' || b || ',[ ]' || a", "b"))
+    return ruletables.rule_hits(I.table(spark, d, "documents"), rules, "doc_id", "text")
+
+
 # --- gate --------------------------------------------------------------------------------
 def _generated(spark, d):
     text = F.when(F.col("doc_id") % 29 == 0, F.concat(F.lit("ERROR: "), F.col("expected_output")))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..sources.readers import read_table
 
 
@@ -162,6 +163,13 @@ def answers(shift: str = "0") -> Derived:
     return Derived("documents", ("doc_id", "lang", f"{answer(shift)} AS answer"))
 
 
+#: Versions of a rubric: the known one, and one of fewer criteria, other weights and a criterion that no answer has.
+RUBRICS = {
+    "v1": fixed.RUBRIC_WEIGHTS,
+    "v2": (("policy_safety", 0.5), ("structure_brevity", 0.25), ("extra", 2.0), ("absent", 1.0)),
+}
+
+
 # A score per document and variant as score files hold it.
 def score_text(factor: int, shift: int) -> str:
     tenths = f"((doc_id * {factor} + n_chars) % 40 + {shift})"

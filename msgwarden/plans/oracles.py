@@ -174,9 +174,9 @@ _CAUSES = f"""SELECT case_id, phase, 'pii:' || type AS cause FROM ({_grouped(MES
 CRITERIA = fixed.RUBRIC_WEIGHTS
 
 
-def _judged(shift: str = "0") -> str:
+def _judged(shift: str = "0", criteria=CRITERIA) -> str:
     read = []
-    for i, (c, _) in enumerate(CRITERIA):
+    for i, (c, _) in enumerate(criteria):
         p = f"'$.{c}'"
         score = (
             f"CASE WHEN json_type(j, '$.{c}.score') IS NULL THEN 0.0"
@@ -196,15 +196,15 @@ def _judged(shift: str = "0") -> str:
         f" (SELECT *, CASE WHEN json_valid(answer) THEN CAST(answer AS JSON) END AS j FROM ({I.answers(shift).sql}))"
     )
     kept = []
-    for i in range(len(CRITERIA)):
+    for i in range(len(criteria)):
         bad = " OR ".join(f"(there{k} AND s{k} IS NULL)" for k in range(i + 1))
         kept.append(f"(what = 'OBJECT' AND there{i} AND NOT ({bad})) AS k{i}")
     two = f"SELECT *, {', '.join(kept)} FROM ({one})"
     unexplained = " OR ".join(
-        f"(k{i} AND coalesce(trim(r{i}) = '' OR r{i} = {q(fixed.DEFAULT_REASON)}, true))" for i in range(len(CRITERIA))
+        f"(k{i} AND coalesce(trim(r{i}) = '' OR r{i} = {q(fixed.DEFAULT_REASON)}, true))" for i in range(len(criteria))
     )
-    total = " + ".join(["0.0e0"] + [f"CASE WHEN k{i} THEN s{i} * {w}e0 ELSE 0.0e0 END" for i, (_, w) in enumerate(CRITERIA)])
-    weight = " + ".join(["0.0e0"] + [f"CASE WHEN k{i} THEN {w}e0 ELSE 0.0e0 END" for i, (_, w) in enumerate(CRITERIA)])
+    total = " + ".join(["0.0e0"] + [f"CASE WHEN k{i} THEN s{i} * {w}e0 ELSE 0.0e0 END" for i, (_, w) in enumerate(criteria)])
+    weight = " + ".join(["0.0e0"] + [f"CASE WHEN k{i} THEN {w}e0 ELSE 0.0e0 END" for i, (_, w) in enumerate(criteria)])
     failed = (
         "(what NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') OR (what = 'OBJECT' AND json_exists(j, '$.error') AND json_exists(j, '$.parse_error'))"
         f" OR (what = 'VARCHAR' AND contains(answer, 'parse_error')) OR {unexplained})"
@@ -215,6 +215,21 @@ def _judged(shift: str = "0") -> str:
       THEN coalesce(json_extract_string(j, '$.raw_response'), '') ELSE answer END ELSE '' END AS raw FROM ({three})"""
 
 
+def _by_rubric() -> str:
+    rows = "CASE WHEN lang = 'en' THEN 'v1' WHEN doc_id % 31 = 0 THEN 'none' ELSE 'v2' END"
+    parts = []
+    for version, criteria in (*I.RUBRICS.items(), ("none", I.RUBRICS["v1"])):
+        unknown = version == "none"
+        criteria = sorted(criteria, key=lambda c: (CRITERIA.index(c) if c in CRITERIA else [n for n, _ in CRITERIA].index(c[0]) if c[0] in dict(CRITERIA) else 99, c[0]))
+        shown = " || ".join(["''"] + [f"CASE WHEN k{i} THEN ';' || '{c}=' || coalesce(r{i}, '') ELSE '' END" for i, (c, _) in enumerate(criteria)])
+        raw = """CASE WHEN what = 'OBJECT' AND json_exists(j, '$.error') AND json_exists(j, '$.parse_error')
+            THEN coalesce(json_extract_string(j, '$.raw_response'), '') ELSE answer END"""
+        parts.append(f"""SELECT doc_id, '{version}' AS version, {"''" if unknown else f"CASE WHEN failed THEN '' ELSE ltrim({shown}, ';') END"} AS reasons,
+          {'CAST(NULL AS DOUBLE)' if unknown else 'round(final, 9)'} AS final, {'false' if unknown else 'coalesce(final >= 3.5, false)'} AS passed,
+          {'true' if unknown else 'failed'} AS failed_judge_parse, {raw if unknown else 'raw'} AS raw_response FROM ({_judged('0', criteria)}) WHERE {rows} = '{version}'""")
+    return " UNION ALL ".join(parts)
+
+
 def _long(shift: str = "0") -> str:
     return " UNION ALL ".join(
         f"SELECT doc_id, {q(c)} AS criterion, s{i} AS score, r{i} AS reason, CAST({w} AS DOUBLE) AS weight FROM ({_judged(shift)}) WHERE k{i} AND NOT failed"
@@ -428,6 +443,13 @@ SQL: dict[str, str] = {
     "judge_report": "SELECT doc_id, round(final, 9) AS final_score, coalesce(final >= 3.5, false) AS passed, failed AS failed_judge_parse, CASE WHEN failed THEN substr(raw, 1, 500) END AS raw_response, "
     + ", ".join(f"CASE WHEN k{i} AND NOT failed THEN s{i} END AS {c}_score, CASE WHEN k{i} AND NOT failed THEN r{i} END AS {c}_reason" for i, (c, _) in enumerate(CRITERIA))
     + f" FROM ({_judged()})",
+    "judge_by_rubric": _by_rubric(),
+    "rule_table_hits": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+        p AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+        r AS (SELECT a || ' ' || b AS rule, a || '[ ]' || b AS pattern, a AS literal FROM p UNION ALL SELECT b || ', ' || a, b || ',[ ]' || a, b FROM p),
+        d AS (SELECT doc_id, lower(text) AS text, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS literal FROM documents)
+      SELECT doc_id, rule, n FROM (SELECT doc_id, rule, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS n FROM d JOIN r USING (literal)
+        WHERE contains(text, rule)) WHERE n > 0""",
     "judge_summary": _run_summary("lang"),
     "judge_acceptance": _run_summary(),
     "score_histogram": f"SELECT criterion, CAST(floor(score) AS BIGINT) AS bucket, count(*) AS n FROM ({_long()}) GROUP BY ALL",
