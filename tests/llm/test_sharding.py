@@ -54,3 +54,31 @@ def test_map_versions(spark, tmp_path):
     assert len(old) == len(new) == 500 and {new[k] for k in old if new[k] != old[k]} == {4}
     loads = [r.b for r in two.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
     assert len(loads) == 5 and max(loads) - min(loads) < 120
+
+
+def test_a_stored_map_is_followed_and_edited(spark, tmp_path):
+    shape, path = "doc_id long, text string", str(tmp_path / "map")
+    first = spark.createDataFrame([(i, "word " * (i % 40)) for i in range(3000)], shape)
+    more = first.union(spark.createDataFrame([(i, "more " * 900) for i in range(3000, 3400)], shape))
+    where = lambda df, **how: {r.doc_id: (r.shard, r.map_version) for r in s.shard_documents(df, 4, slots=512, map_path=path, **how).collect()}
+    one = where(first)
+    assert where(first) == one and {v for _, v in one.values()} == {1} and s.versions(spark, path) == {1: 4}
+    two = where(more)  # no row of a known slot moves
+    known = {r.vslot for r in s.stored_map(spark, path, 1).collect()}
+    slot = {r.doc_id: r.vslot for r in s.digests(more, slots=512).collect()}
+    assert all(two[i][0] == one[i][0] for i in one) and set(slot.values()) - known <= {slot[i] for i in two if i >= 3000}
+    last = max(s.versions(spark, path))
+    three = where(more, rebalance=True)  # moves, but by a new version
+    assert {v for _, v in three.values()} == {last + 1} and where(more) == three
+
+    def spread(found):
+        size, loads = {r.doc_id: r["size"] for r in s.digests(more).collect()}, [0] * 5
+        for i, (shard, _) in found.items():
+            loads[shard] += size[i]
+        return loads
+
+    balanced = spread(three)[:4]
+    assert max(balanced) - min(balanced) <= 30_000 and sum(three[i][0] != two[i][0] for i in two) < 1700
+    grown = {r.doc_id: r.shard for r in s.shard_documents(more, 5, slots=512, map_path=path).collect()}
+    assert {grown[i] for i in grown if grown[i] != three[i][0]} == {4} and set(s.versions(spark, path).values()) == {4, 5}
+    assert set(s.stored_map(spark, path, 1).toPandas().shards) == {4}  # old versions stay
