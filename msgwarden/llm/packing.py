@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from .common import id_and_text, texts
+from .common import id_and_text, texts, written
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of one training step; sequences of one tier are dealt to steps of this many.
 STEP_TOKENS = 1 << 17
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
-    " tier int, step_group long"
+    " tier int, part int, nth long"
 )
 _NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 _TYPES = [{"long": pa.int64(), "int": pa.int32()}[field.split()[1]] for field in SCHEMA.split(", ")]
@@ -30,13 +32,12 @@ class TierPacker:
     following shorter documents before their own tiers get any.
     """
 
-    def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int):
-        self.tiers, self.next_id, self.step_tokens = tuple(sorted(tiers)), first_id, step_tokens
+    def __init__(self, tiers: tuple[int, ...], part: int):
+        self.tiers, self.part, self.next_id = tuple(sorted(tiers)), part, part << 32
         self.longest = self.tiers[-1]
         self.open = {t: [] for t in self.tiers}
         self.filled = dict.fromkeys(self.tiers, 0)
-        self.steps = dict.fromkeys(self.tiers, 0)
-        self.first_id = first_id
+        self.closed = dict.fromkeys(self.tiers, 0)
         self.rows: list[tuple] = []
 
     def add(self, doc: tuple, total: int) -> None:
@@ -55,17 +56,16 @@ class TierPacker:
             self.filled[tier] += length
             start += length
             if self.filled[tier] == tier:
-                self._close(tier, tier)
+                self._close(tier)
 
-    def _close(self, tier: int, size: int) -> None:
-        step = self.first_id + self.steps[tier] // self.step_tokens * len(self.tiers) + self.tiers.index(tier)
-        self.steps[tier] += size
+    def _close(self, tier: int) -> None:
         offset = 0
         for (doc_id, ids, total), start, length in self.open[tier]:
             crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-            self.rows.append((doc_id, start, length, crc, total, self.next_id, offset, tier, step))
+            self.rows.append((doc_id, start, length, crc, total, self.next_id, offset, tier, self.part, self.closed[tier]))
             offset += length
         self.next_id += 1
+        self.closed[tier] += 1
         self.open[tier], self.filled[tier] = [], 0
 
     def finish(self) -> None:
@@ -87,7 +87,7 @@ class TierPacker:
                 if taken < length:
                     rest.insert(0, (doc, start + taken, length - taken))
                 need -= taken
-            self._close(tier, size)
+            self._close(tier)
 
     def taken(self) -> pa.RecordBatch:
         columns = zip(*self.rows) if self.rows else [[] for _ in _NAMES]
@@ -113,13 +113,17 @@ def pack(
 
     One narrow pass: each partition packs its own rows, holding one open window per tier, and numbers its sequences from
     partition number * 2^32. Every sequence is full but one per partition at most (under the smallest tier, to be padded
-    to the longest). Steps take `step_tokens` of one tier, so that all full steps cost the same.
+    to the longest). The pieces, a few numbers each, are stored; then `step_group` deals the sequences of each tier, in the
+    order of partitions, to steps of `step_tokens`. How many sequences a partition has of a tier is one row of a small
+    table, whose running sums say where its sequences stand among all; so all steps cost the same, but for the last of
+    each tier.
     """
     end = end_id.to_bytes(4, "little")
+    tiers = tuple(sorted(tiers))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        packer = TierPacker(tiers, TaskContext.get().partitionId() << 32, step_tokens)
+        packer = TierPacker(tiers, TaskContext.get().partitionId())
         for ids, batch in texts(batches):
             for doc_id, text in zip(ids, batch):
                 tokens = encode(text) + end
@@ -128,4 +132,9 @@ def pack(
         packer.finish()
         yield packer.taken()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    pieces = written(id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA))
+    held = pieces.where("offset = 0").groupBy("tier", "part").agg(F.count(F.lit(1)).alias("own"))
+    before = held.select("tier", "part", (F.sum("own").over(W.partitionBy("tier").orderBy("part")) - F.col("own")).alias("before"))
+    index = F.array_position(F.array(*[F.lit(t) for t in tiers]), F.col("tier")) - 1
+    step = F.expr(f"(before + nth) div greatest(1, {step_tokens} div tier)") * len(tiers) + index
+    return pieces.join(before, ["tier", "part"]).select(*_NAMES[:8], step.alias("step_group"))

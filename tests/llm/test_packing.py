@@ -80,3 +80,14 @@ def test_tiers_and_steps(spark):
     for r in rows:
         steps[r.step_group] = steps.get(r.step_group, 0) + r.length
     assert max(steps.values()) == 4096 and sum(v != 4096 for v in steps.values()) <= len(TIERS)
+
+
+def test_steps_over_many_partitions(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('w ', int(20 + pmod(id * 37, 900))) text").repartition(9)
+    rows = pack(docs, bpe_encoder, step_tokens=4096).collect()
+    steps = {}
+    for r in rows:
+        steps.setdefault((r.tier, r.step_group), set()).add(r.sequence_id)
+    assert len({g for _, g in steps}) == len(steps)  # a step holds one tier
+    short = [(t, g) for (t, g), found in steps.items() if len(found) * t != 4096]
+    assert len({t for t, _ in short}) == len(short)  # one step of a tier at most
