@@ -139,7 +139,7 @@ def tree(page: str) -> Node:
                 if open_[i].tag == tag:
                     cut(i)
                     break
-                if open_[i].tag in (CELL if tag in BLOCKS else BLOCKS) and tag not in OF_TABLE:
+                if open_[i].tag in (CELL if tag in BLOCKS or tag == "select" else BLOCKS) and tag not in OF_TABLE:
                     break
             continue
         # a head that comes after other content is ignored, as is a second one
@@ -274,6 +274,11 @@ def _number(value: str | None, default: int, most: int = 1000) -> int:
     return min(most, max(1, int(value))) if value and re.fullmatch(r"\s*\d{1,9}\s*", value) else default
 
 
+def _list_box(attrs: dict[str, str]) -> bool:
+    """Whether a select shows all its options."""
+    return "multiple" in attrs or _number(attrs.get("size"), 1) > 1
+
+
 def render(root: Node) -> str:
     """The visible text: blocks on lines of their own, list items marked and indented, table cells in columns."""
     out = Writer()
@@ -324,8 +329,11 @@ def render(root: Node) -> str:
                     options.append(c)
                 elif isinstance(c, Node) and c.tag not in HIDDEN:
                     below += reversed(c.children)
-            children = [c for c in options if "selected" in c.attrs][:1] or options[:1]
-            children = children[0].children if children else []
+            if not _list_box(attrs):
+                children = [c for c in options if "selected" in c.attrs][:1] or options[:1]
+                children = children[0].children if children else []
+        elif tag == "optgroup" and attrs.get("label"):
+            children = [attrs["label"], *children]
         elif tag in APART and foreign:
             children = [x for c in children for x in (c, " ")]
         as_is = as_is or tag in ("pre", "textarea", "xmp")

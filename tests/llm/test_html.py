@@ -121,3 +121,15 @@ def test_edges(spark):
     assert sorted((r.page_id or 0, r.text) for r in rows if r.page_id not in (5, 6)) == [(0, "n"), (1, ""), (2, ""), (3, "s"), (3, "s"), (4, "x")]
     assert max(r.n_chars for r in rows if r.page_id == 5) < 3_000_000
     assert h.extract(df.limit(0)).collect() == []
+
+
+def test_list_boxes_show_all_options():
+    def text(page):
+        return h.render(h.tree(page))
+
+    options = "<option>a<option>b<option selected>c"
+    assert text(f"<select>{options}</select>") == "c" and text("<select><option>a<option>b</select> tail") == "a tail"
+    for attribute in ("multiple", "size=3", 'size=" 2 "'):
+        assert text(f"<p>x<select {attribute}>{options}</select>y").split() == ["x", "a", "b", "c", "y"]
+    assert text(f"<select size=1>{options}</select>") == text(f"<select size=x>{options}</select>") == "c"
+    assert text("<select multiple><optgroup label=G><option>a<option hidden>b</optgroup><option>c</select>").split() == ["G", "a", "c"]
