@@ -108,11 +108,12 @@ def format_paths(nodes: DataFrame, paths: int | None = 1) -> DataFrame:
 
     Returns tree, path_rank, path_score, the formatted `text` and `loss`: the places (start, length, in code points) of
     the assistants' texts in it. `node` is unique; a parent that is null or absent makes a root; nodes on a circle have
-    no root and belong to no path; a null score counts 0, a null text or role is empty; an empty table gives no rows.
+    no root and belong to no path; a null score counts 0, a null text or role is empty; an empty table gives no rows; other
+    columns are ignored.
 
     Turns are formatted one by one before they meet; what meets in one task is one conversation, which is one row.
     """
-    nodes = nodes.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
+    nodes = nodes.select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     head = F.concat(F.lit(HEAD_START), escaped(F.col("role")), F.lit(HEAD_END))
     turns = nodes.select("node", head.alias("head"), escaped(F.col("text")).alias("body"), F.coalesce(F.col("role") == TRAINED_ROLE, F.lit(False)).alias("trained"))
     pieces = best_paths(nodes, paths).join(turns, "node")

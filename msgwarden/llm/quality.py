@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -115,9 +114,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text passes; a null text does not."""
 
-    @F.pandas_udf("boolean")
-    def passes(column: pd.Series) -> pd.Series:
-        pack = zstandard.ZstdCompressor(level=LEVEL)
-        return pd.Series([text is not None and measure(text, pack)[6] for text in column], dtype=bool)
+    @F.arrow_udf("boolean")
+    def passes(column: pa.Array) -> pa.Array:
+        pack, found = zstandard.ZstdCompressor(level=LEVEL), []
+        for start in range(0, len(column), 256):  # only so many texts exist as Python strings
+            found += [text is not None and bool(measure(text, pack)[6]) for text in column.slice(start, 256).to_pylist()]
+        return pa.array(found, pa.bool_())
 
     return docs.where(passes(col(text_col).cast("string")))

@@ -66,3 +66,11 @@ def test_trees(spark):
     df = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double")
     got = chat.format_paths(df, paths=3).collect()
     assert sorted((r.tree, r.path_rank, round(r.path_score, 9), digest(chat.turns_of(r.text))) for r in got) == sorted(expected)
+
+
+def test_forests_with_other_columns(spark):
+    nodes = spark.createDataFrame([(1, 1, None, "user", "q", 1.0, 5, "x"), (1, 2, 1, "assistant", "a", 2.0, 6, "y")],
+                                  "tree long, node long, parent long, role string, text string, score double, known int, head string")
+    (row,) = chat.format_paths(nodes).collect()
+    assert "q" in row.text and len(row.loss) == 1
+    assert chat.format_paths(nodes.limit(0)).collect() == []
