@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import col, shared_folder, written
 
 LENGTH, GRAM = 200, 64
-#: Bytes hashed at a time, windows of a segment at most, bytes indexed at a time, bytes of one hash indexed together.
+#: Bytes hashed at a time, windows of a segment at most, bytes indexed at a time, bytes of one hash that are not divided.
 BLOCK, LONGEST, INDEXED, CROWDED = 1 << 21, 4096, 1 << 20, 900_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -253,7 +253,9 @@ class Repeats:
         name = f"llm_{uuid.uuid4().hex}"
         rows = texts.repartition(buckets, "t1", "t2").write.bucketBy(buckets, "t1", "t2").sortBy("t1", "t2")
         rows.option("path", f"{shared_folder(self.spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-        return self.spark.table(name)
+        stored = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only; the files are in a folder of their own
+        return stored
 
     def _repeated_hashes(self) -> DataFrame:
         """Per text, its segments whose hash is met twice or more in the corpus."""
@@ -274,7 +276,7 @@ class Repeats:
                     ["h", "t1", "t2", "start", "windows", "many"],
                 )
 
-        all_segments = self.texts.select("t1", "t2", "raw").mapInArrow(run, "h long, t1 long, t2 long, start long, windows long, many boolean")
+        all_segments = written(self.texts.select("t1", "t2", "raw").mapInArrow(run, "h long, t1 long, t2 long, start long, windows long, many boolean"))
         met = all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("h")
         again = all_segments.join(met, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "start", "windows")).alias("segments"))
         return again
@@ -302,11 +304,7 @@ class Repeats:
         """Per text, the ranges of window starts whose window occurs elsewhere: (t1, t2, spans)."""
         cut = self._cut("h long, segment binary, n long", lambda h, segment, copies, *_: (h, segment, copies))
         distinct = written(cut.groupBy("h", "segment").agg(F.sum("n").alias("n")))
-        sizes = distinct.groupBy("h").agg(F.sum(F.length("segment")).alias("bytes"))
-        sized = distinct.join(sizes, "h")
-        quiet = sized.where(F.col("bytes") <= self.crowded).select("h", "segment", "n")
-        crowded = sized.where(F.col("bytes") > self.crowded).select("h", "segment", "n")
-        marked = self._indexed(quiet).union(self._counted(crowded))
+        marked = self._marked(distinct)
         places = self._cut(
             "s1 long, s2 long, t1 long, t2 long, start long", lambda h, segment, _, t1, t2, start: (*_segment_key(h, segment), t1, t2, start)
         )
@@ -354,28 +352,81 @@ class Repeats:
             if held:
                 yield spans(held)
 
-        return quiet.repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
+        return quiet.select("h", "segment", "n").repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
 
-    def _counted(self, crowded: DataFrame) -> DataFrame:
-        """The same for a hash with too many segments for one task: windows are counted by a 128-bit hash."""
-        length = self.length
+    def _crowded(self, distinct: DataFrame) -> DataFrame | None:
+        """The hashes of `distinct` whose segments are too many bytes for one index, if there are any."""
+        sizes = distinct.groupBy("h").agg(F.sum(F.length("segment")).alias("bytes"), F.count(F.lit(1)).alias("members"))
+        found = written(sizes.where((F.col("bytes") > self.crowded) & (F.col("members") > 1)).select("h"))
+        return None if found.isEmpty() else found
+
+    def _marked(self, distinct: DataFrame) -> DataFrame:
+        """(s1, s2, spans): windows of the segments `distinct` (h, segment, n) that occur elsewhere, by the run index.
+
+        Segments of a crowded hash are divided by where their windows hold its gram: windows of one half of the places all
+        have the same bytes around it, so by the hash of those they part into groups, whose segments are shorter and often
+        the same. What is still crowded is divided again; after at most eight rounds, a group holds one window. What is
+        found in the parts goes back to the segments they were cut from.
+        """
+        crowded = self._crowded(distinct)
+        if crowded is None:
+            return self._indexed(distinct)
+        found, rounds, whole = [self._indexed(distinct.join(crowded, "h", "left_anti"))], [], True
+        while crowded is not None:
+            parts = written(self._divided(distinct.join(crowded, "h", "left_semi"), whole))
+            rounds.append(parts.select("c1", "c2", "p1", "p2", "shift"))
+            distinct, whole = written(parts.groupBy("h", "segment", "at", "low", "high").agg(F.sum("n").alias("n"))), False
+            crowded = self._crowded(distinct)
+            found.append(self._indexed(distinct if crowded is None else distinct.join(crowded, "h", "left_anti")))
+        marked = found.pop()
+        moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("shift")).alias("start"), (s["end"] + F.col("shift")).alias("end")))
+        while rounds:
+            back = marked.join(rounds.pop(), (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
+            marked = found.pop().union(back.select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), moved.alias("spans")))
+        return marked
+
+    def _divided(self, crowded: DataFrame, whole: bool) -> DataFrame:
+        """Segments cut in two: windows that hold the gram of their hash at one of the places `low` to `high`, for either half.
+
+        `at` is where the gram stands in the part. A window's gram is the first one with the hash, so equal windows hold it
+        at the same place. `h`: the hash of the bytes that all windows with these places hold around the gram. `p1`, `p2` and
+        `c1`, `c2` are the keys of the segment and the part, which begins `shift` bytes into it.
+        """
+        length, gram = self.length, self.gram
+        kinds = "h long, segment binary, at int, low int, high int, n long, c1 long, c2 long, p1 long, p2 long, shift long"
+        types = {"long": _LONG, "int": pa.int32(), "binary": pa.binary()}
+        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in kinds.split(", ")])
+
+        def runs(h: int, segment: bytes) -> Iterator[tuple[int, int, int]]:
+            """First and last window, and place of the gram they hold first."""
+            hashes, windows, before = _hashes(np.frombuffer(segment, np.uint8), gram).view(np.int64), len(segment) - length + 1, -1
+            for at in np.flatnonzero(hashes == h).tolist():
+                first, last = max(before + 1, at - length + gram), min(at, windows - 1)
+                if first <= last:
+                    yield first, last, at
+                before = at
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for h, segment, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    data = np.frombuffer(segment, np.uint8)
-                    a, b = _hashes(data, length), _hashes(data, length, 0x5851F42D4C957F2D)
-                    s1, s2 = _segment_key(h, segment)
-                    full = lambda v, k=len(a): pa.array(np.full(k, v, np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), full(s1), full(s2), pa.array(np.arange(len(a))), full(n)],
-                        ["w1", "w2", "s1", "s2", "place", "n"],
-                    )
-
-        windows = crowded.mapInArrow(run, "w1 long, w2 long, s1 long, s2 long, place long, n long")
-        again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("met")).where("met > 1").select("w1", "w2")
-        span = F.struct(F.col("place").alias("start"), (F.col("place") + 1).alias("end"))
-        return windows.join(again, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list(span).alias("spans"))
+                for begin in range(0, batch.num_rows, 512):
+                    out = []
+                    for r in batch.slice(begin, 512).to_pylist():
+                        segment, parent = r["segment"], _segment_key(r["h"], r["segment"])
+                        low, high = (0, length - gram) if whole else (r["low"], r["high"])
+                        middle = (low + high) // 2
+                        for first, last, at in runs(r["h"], segment) if whole else [(0, len(segment) - length, r["at"])]:
+                            for a, b in ((low, middle), (middle + 1, high)):
+                                x, y = max(a, at - last), min(b, at - first)
+                                if x <= y:
+                                    part = segment[at - y : at - x + length]
+                                    around = segment[at - a : at + length - b]
+                                    h = xxhash.xxh64_intdigest(around, a << 32 | b)
+                                    h -= h >> 63 << 64
+                                    out.append((h, part, y, a, b, r["n"], *_segment_key(h, part), *parent, at - y))
+                    columns = list(zip(*out)) or [()] * len(schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        return crowded.mapInArrow(run, kinds)
 
     def finished(self, columns: str, schema: pa.Schema, row) -> DataFrame:
         """t1, t2 and `row(bytes, begins, ends)` of every text of `length` bytes or more; begins and ends of removed runs."""

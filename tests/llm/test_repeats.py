@@ -59,13 +59,27 @@ def test_query(spark, sf_dir):
 
 
 def test_corpora(spark):
-    for seed, settings in ((1, {}), (2, {"longest": 37}), (3, {"crowded": 600})):
+    for seed, settings in ((1, {}), (2, {"longest": 37}), (3, {"crowded": 600}), (4, {"crowded": 0}), (5, {"crowded": 0, "longest": 61})):
         docs = corpus(seed, 50)
         df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_bytes int").repartition(3)
         assert got(r.repeats(df, length=50, gram=16, **settings)) == plain(docs, 50)
     assert r.repeats(df.limit(0)).collect() == []
 
 
+def test_a_passage_in_many_surroundings(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, docs = letters(90), []
+    for i in range(300):  # the passage is cut here and there, so that strings end in it and go on beyond it together
+        a, b = rng.choice([0, 0, 0, rng.randrange(30)]), rng.choice([90, 90, 90, rng.randrange(60, 90)])
+        docs.append((i, letters(rng.randrange(60)) + rng.choice(["", "xy", "xyz", "zzzzzzzz"]) + passage[a:b] + rng.choice(["", "uv", "uvw"]) + letters(rng.randrange(60))))
+    docs += [(400 + i, "a" * (70 + i % 5) + letters(3)) for i in range(40)]  # the same gram at every place
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for crowded in (r.CROWDED, 2000, 0):
+        assert got(r.repeats(df, length=50, gram=16, crowded=crowded)) == plain(docs, 50)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
 def test_long_texts_are_read_in_parts(spark, monkeypatch):
     docs = corpus(4, 50)
     rows = [(i, (t or "").encode()) for i, t in docs]
