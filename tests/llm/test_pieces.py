@@ -91,8 +91,10 @@ def test_remembered_lattices_change_nothing(sampler, monkeypatch):
         assert [f.tolist() for f in other.sample(batch, seeds)] == [f.tolist() for f in sampler.sample(batch, seeds)]
 
 
-def test_rows_follow_the_distribution_of_whole_texts(spark, sampler):
+def test_rows_follow_the_distribution_of_whole_texts(spark):
     """The operator's rows of one short text of several chunks, against all its segmentations."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sampler = p.PieceSampler(model, 0.1)
 
     def all_paths(text):
         if not text:
@@ -106,7 +108,7 @@ def test_rows_follow_the_distribution_of_whole_texts(spark, sampler):
 
     paths = {ids: math.exp(w) for ids, w in all_paths(" it is")}
     total, n = sum(paths.values()), 20_000
-    rows = p.sample_pieces(spark.range(n).selectExpr("id AS doc_id", "'it is' AS text"), public_tokenizers.path("piece_bpe_32k.model"), seed=5)
+    rows = p.sample_pieces(spark.range(n).selectExpr("id AS doc_id", "'it is' AS text"), model, seed=5, sharpness=0.1)
     seen = Counter(tuple(r.ids) for r in rows.collect())
     assert sum(seen.values()) == n and seen.keys() <= paths.keys() and len(seen) > 5
     for ids, w in paths.items():
