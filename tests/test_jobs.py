@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from msgwarden.functions import fixed_values as fixed
 from msgwarden.functions.rules import NOGO_RULES, PII_RULES
-from msgwarden.operators import agreement, freeze, runs
+from msgwarden.operators import agreement, freeze, gate, guardrails, judging, ruletables, runs
 from msgwarden.operators.guardrails import CheckSettings
 from msgwarden.plans import jobs
 from msgwarden.plans.inputs import REPLY_SCHEMA
@@ -178,6 +178,74 @@ def test_hashes_inventory_and_manifest(spark, cases, tmp_path):
     assert (row.sha256, row.n_rows) == (digest, 3) and row.split == {"followup": 1, "intro": 1, "meeting": 1}
 
 
+def test_manifests_of_files_and_groups(spark, tmp_path):
+    def store(name, rows):
+        (tmp_path / name).mkdir()
+        for k in range(4):
+            lines = [json.dumps(dict(zip(("id", "phase", "n"), r))) for r in rows[10 * k : 10 * k + 10]]
+            write(tmp_path / name / f"{k}.json", "\n".join(lines))
+        table = spark.read.schema("id string, phase string, n int").json(str(tmp_path / name))
+        return freeze.manifest_rows(spark, {"d": (str(tmp_path / name), table)})
+
+    rows = [(f"{i:02}", "ab"[i % 2], i) for i in range(40)]
+    one, same = store("one", rows), store("two", rows)
+    assert freeze.manifest_changes(one, same).collect() == []
+    other = store("three", [*rows[:-2], ("38", "a", 99), ("40", "c", 1)])
+    found = {(r.part, r.key, r.change) for r in freeze.manifest_changes(one, other).collect()}
+    assert {x for x in found if x[0] != "file"} == {("group", "a", "changed"), ("group", "b", "changed"), ("group", "c", "added"), ("all", None, "changed")}
+    assert {x[2] for x in found if x[0] == "file"} == {"changed"} and len([x for x in found if x[0] == "file"]) == 1
+    kept = str(tmp_path / "kept")
+    one.write.parquet(kept)
+    assert freeze.manifest_changes(spark.read.parquet(kept), one).collect() == []
+    lost = freeze.manifest_changes(one, one.where("part = 'file' OR key = 'a'")).collect()
+    assert {(r.key, r.change, r.n_new) for r in lost} == {("b", "removed", None), (None, "removed", None)}
+    several = freeze.manifest(spark, {"d": (str(tmp_path / "one"), spark.read.schema("phase string").json(str(tmp_path / "one")))}, "x").first()
+    again = freeze.manifest(spark, {"d": (str(tmp_path / "two"), spark.read.schema("phase string").json(str(tmp_path / "two")))}, "x").first()
+    assert several.sha256 == again.sha256 and several.n_rows == 40
+
+
+def test_stored_checks_meet_their_cases_without_an_exchange(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("CAST(id AS STRING) AS case_id", "'p' AS phase", "IF(id % 5 = 0, 'bel 06-12345678', 'Kunt u bellen?') AS output")
+    checks = guardrails.check_cases(rows, "output", "case_id", settings=CheckSettings(cta_required=False))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cases = writers.store_by_case(rows, "cases_by_case", str(tmp_path / "cases"), 4)
+        checked = writers.store_by_case(checks, "checks_by_case", str(tmp_path / "checks"), 4)
+        passed, held = gate.gate(cases, checked, "output"), gate.skipped(cases, checked, "output")
+        for df, n in ((passed, 1600), (held, 400)):
+            assert df.count() == n
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert gate.gate(rows, checks, "output").exceptAll(passed).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS cases_by_case")
+        spark.sql("DROP TABLE IF EXISTS checks_by_case")
+
+
+def test_rule_tables_of_any_size(spark):
+    docs = spark.createDataFrame([(1, "Geld terug, geld weg"), (2, "niets"), (3, None), (None, "GELD")], "id int, text string")
+    rules = spark.createDataFrame([("r1", "(?i)geld", "Geld"), ("r2", "(?i)geld terug", "terug"), ("r3", "n[a-z]+s", None), ("r4", "weg", "elders")], "rule string, pattern string, literal string")
+    wanted = {(1, "r1", 2), (1, "r2", 1), (2, "r3", 1), (None, "r1", 1)}
+    for sent in (10, 2):
+        assert {tuple(r) for r in ruletables.rule_hits(docs, rules, "id", "text", sent).collect()} == wanted
+
+
+def test_rubrics_as_a_table(spark):
+    rubric = (("style_match", 0.3), ("policy_safety", 0.3), ("own", 1.0))
+    answers = ['{"style_match": {"score": 4, "reason": "x"}, "own": {"score": "2", "reason": "y"}}', '{"own": 3}', '{"own": {"score": 3}}', "x", "[]", "{}", None,
+               '{"style_match": {"score": null, "reason": "x"}, "own": {"score": 2, "reason": "y"}}', '{"error": 1, "parse_error": 2, "raw_response": "r"}']
+    df = spark.createDataFrame([(i, a, "v") for i, a in enumerate(answers)], "id int, answer string, version string")
+    table = spark.createDataFrame([("v", c, w) for c, w in reversed(rubric)] + [("w", "z", 1.0)], "version string, criterion string, weight double")
+    one = judging.score_answers(df, "answer", rubric).orderBy("id").collect()
+    assert judging.score_by_rubrics(df, table).orderBy("id").collect() == one
+    lost = judging.score_by_rubrics(df.withColumn("version", F.lit("absent")), table)
+    assert lost.where("failed_judge_parse AND weighted_final_score IS NULL AND NOT passed").count() == len(answers)
+    many = spark.range(judging.MOST_CRITERIA + 1).selectExpr("'v' AS version", "CAST(id AS STRING) AS criterion", "1D AS weight")
+    with pytest.raises(Exception, match="criteria"):
+        judging.score_by_rubrics(df, many).collect()
+
+
 def test_row_fingerprint(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("t"))
     mark = freeze.row_fingerprint(df).first()
