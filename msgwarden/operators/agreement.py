@@ -92,6 +92,11 @@ def kappa_report(df: DataFrame, a: str, b: str, min_pairs: int = fixed.MIN_KAPPA
     )
 
 
+def agreement_record(report: DataFrame) -> DataFrame:
+    """What of a :func:`kappa_report` is written: its figures, if there were enough pairs for any."""
+    return report.where("status = 'ok'").drop("status")
+
+
 def within_one(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Pairs, share within one point and mean absolute error, per group or overall."""
     gap = F.abs(F.col(a).cast("double") - F.col(b).cast("double"))

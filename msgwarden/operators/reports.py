@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.barrier import settled
 
 
 def batch_report(summary: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -90,7 +91,8 @@ def percentiles(
     """
     keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
     group_keys = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("__all")]
-    data = df.select(*group_keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    data = settled(df.select(*group_keys, F.col(value).cast("double").alias("__v")), ["__v"])  # the value is worked out once
+    data = data.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     counts = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     bits = max(1, accuracy.bit_length() - 1)
     levels = [counts.withColumn("__b", order_key(F.col("__v") + F.lit(0.0)))]

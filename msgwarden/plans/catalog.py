@@ -633,6 +633,12 @@ def regression_bootstrap(spark, d):
     return _round(regression.bootstrap(paired, 50), "mean_delta")
 
 
+@query
+def bootstrap_of_deltas(spark, d):
+    paired = regression.by_case(I.SCORES_A.frame(spark, d), I.SCORES_B.frame(spark, d))
+    return _round(regression.bootstrap_of_deltas(paired, 50), "mean_delta")
+
+
 @query
 def run_deltas(spark, d):
     rows = regression.both(I.SCORES_A.frame(spark, d), I.SCORES_B.frame(spark, d))
@@ -898,6 +904,28 @@ def rows_of_nested_files(spark, d):
     )
 
 
+@query
+def rows_of_agreement_files(spark, d):
+    """The record that the agreement job writes, as its text holds it."""
+    record = agreement.agreement_record(agreement.kappa_report(_two_scores(spark, d), "a", "b"))
+    text = record.select(F.to_json(F.struct(*record.columns), {"ignoreNullFields": "false"}).alias("record"))
+    get = lambda path, kind: F.try_variant_get(F.try_parse_json("record"), path, kind)
+    shown = text.select(
+        get("$.n_pairs", "bigint").alias("n_pairs"), F.array_join(get("$.labels", "array<string>"), ",").alias("labels"),
+        get("$.observed_agreement", "double").alias("observed_agreement"), get("$.cohens_kappa", "double").alias("cohens_kappa"),
+        get("$.targets.agreement_pct", "string").alias("target_agreement"), F.contains("record", F.lit("status")).alias("has_status"),
+    )
+    return _round(shown, "observed_agreement", "cohens_kappa")
+
+
+@query
+def run_table_deltas(spark, d):
+    """Two runs as the run table holds them, compared."""
+    table = runs.mask_record(runs.batch_record(_judged(spark, d), "1", "V1").unionByName(runs.batch_record(_judged(spark, d, "1"), "2", "V2")))
+    metrics = ["total_cases", "passed_cases", "parse_failed_cases", "average_score"]
+    return _round(regression.run_deltas(table, "1", "2", metrics), "average_score_delta")
+
+
 @query
 def rows_of_regression_files(spark, d):
     compared = regression.compare(I.SCORES_A.frame(spark, d), I.SCORES_B.frame(spark, d), ("V1", "V2"))

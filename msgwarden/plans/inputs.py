@@ -278,13 +278,13 @@ SPLIT_ITEMS = Split("documents", "doc_id", f"',' || chr(10) || {_ITEM}", "[}]",
 ITEMS_BEFORE = ('{"made": "a', 'b{", "meta": {"items": [{"case_id": "no"', "]", ', "n": [1], "items": [{"case_id":"first"')
 ITEMS_AFTER = ('], "pairs": [{"case_id":"p"', ', {"case_id": "q", "llm_score": 4', '], "items2": [{"case_id":"no"', "]", "\n")
 
-# Turns of conversations, of which some hold a phone number; the turn stands in for the phase.
+# Turns of conversations, some of them followed by a phone number; the turn stands in for the phase.
 TURNS = Derived(
     "conversations",
     (
         "conv_id",
         "CAST(turn AS STRING) AS role",
-        "'beurt ' || CAST(turn AS STRING) || CASE WHEN (conv_id + turn) % 3 = 0 THEN ' bel 06-12345678' ELSE '' END AS line",
+        "text || CASE WHEN (conv_id + turn) % 3 = 0 THEN ' bel 06-12345678' ELSE '' END AS line",
     ),
 )
 

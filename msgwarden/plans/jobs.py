@@ -139,7 +139,7 @@ def run_agreement(spark: SparkSession, annotations: str, out: str) -> DataFrame:
     row = report.first()
     report = spark.createDataFrame([row], report.schema)
     if row["status"] == "ok":
-        writers.write_json(report.drop("status"), out)
+        writers.write_json(agreement.agreement_record(report), out)
     return report
 
 

@@ -7,7 +7,7 @@ a text in which such letters are replaced by ``_``, which occurs in none of the
 from __future__ import annotations
 
 from ..functions import fixed_values as fixed
-from ..operators.regression import poisson_limits
+from ..operators.regression import EXACT_UP_TO, MOST_DRAWN, poisson_limits
 from . import inputs as I
 
 
@@ -286,6 +286,20 @@ def _bootstrap(replicates: int, seed: int = 7) -> str:
             SELECT delta, md5('{seed}|' || case_id) AS m FROM ({_BY_CASE}) WHERE delta IS NOT NULL)))) GROUP BY replicate"""
 
 
+def _bootstrap_of_deltas(replicates: int, seed: int = 7) -> str:
+    part = "CAST('0x' || substr(m, {at}, 8) AS BIGINT) % 2147483647"
+    u = "(((h{a} + r * h{b}) % 2147483647) + 0.5e0) / 2147483647e0"
+    return f"""WITH RECURSIVE g AS (SELECT CAST(round(delta * 1e9) AS BIGINT) AS d, count(*) AS n FROM ({_BY_CASE}) WHERE delta IS NOT NULL GROUP BY 1),
+      h AS (SELECT d, n, {', '.join(f"{part.format(at=1 + 8 * i)} AS h{i}" for i in range(4))} FROM (SELECT *, md5('{seed}|' || d) AS m FROM g)),
+      x AS (SELECT d, n, r, {u.format(a=0, b=1)} AS u, {u.format(a=2, b=3)} AS v FROM (SELECT *, unnest(range(1, {replicates + 1})) AS r FROM h)),
+      c AS (SELECT n, 0 AS k, exp(-n::DOUBLE) AS p, exp(-n::DOUBLE) AS c FROM (SELECT DISTINCT n FROM g WHERE n <= {EXACT_UP_TO})
+        UNION ALL SELECT n, k + 1, p * n / (k + 1), c + p * n / (k + 1) FROM c WHERE k < {MOST_DRAWN}),
+      few AS (SELECT d, r, (SELECT count(*) FROM c WHERE c.n = x.n AND c.c <= x.u AND c.k < {MOST_DRAWN}) AS w FROM x WHERE n <= {EXACT_UP_TO}),
+      z AS (SELECT d, r, n::DOUBLE AS n, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM x WHERE n > {EXACT_UP_TO}),
+      w AS (SELECT * FROM few UNION ALL SELECT d, r, greatest(0, CAST(floor(n + z * sqrt(n) + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n)) + 0.5) AS BIGINT)) FROM z)
+      SELECT r AS replicate, CAST(sum(w) AS BIGINT) AS weight, round(CASE WHEN sum(w) > 0 THEN sum(d / 1e9 * w) / sum(w) END, 9) AS mean_delta FROM w GROUP BY r"""
+
+
 def _kappa(pairs: str) -> str:
     return f"""WITH p AS (SELECT CAST(round_even(a, 0) AS BIGINT) AS a, CAST(round_even(b, 0) AS BIGINT) AS b FROM ({pairs}) WHERE a IS NOT NULL AND b IS NOT NULL),
       t AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*) AS po FROM p),
@@ -470,9 +484,9 @@ SQL: dict[str, str] = {
       FROM ({_USABLE_CASES})""",
     "gate_json_in_one_pass": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
       WHEN len(errors) > 0 THEN 'JSON-invalid' END AS reason FROM ({I.REPLIES.sql}) r JOIN ({_REPLY_ERRORS}) e USING (c_custkey)) GROUP BY reason""",
-    "gate_of_repeated_checks": """SELECT rule, case_id, 'PII' AS reason FROM (
-      SELECT 'last' AS rule, conv_id AS case_id, max_by((conv_id + turn) % 3 = 0, turn) AS fails FROM conversations GROUP BY conv_id
-      UNION ALL SELECT 'any', conv_id, max((conv_id + turn) % 3 = 0) FROM conversations GROUP BY conv_id) WHERE fails""",
+    "gate_of_repeated_checks": f"""WITH t AS (SELECT conv_id, CAST(role AS BIGINT) AS turn, {' OR '.join(f"len({_found(t, 'line')}) > 0" for t in TYPES)} AS fails FROM ({I.TURNS.sql}))
+      SELECT rule, case_id, 'PII' AS reason FROM (SELECT 'last' AS rule, conv_id AS case_id, max_by(fails, turn) AS fails FROM t GROUP BY conv_id
+      UNION ALL SELECT 'any', conv_id, max(fails) FROM t GROUP BY conv_id) WHERE fails""",
     "gate_json_mode": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {' OR '.join(f"len({_found(t, 'reply')}) > 0" for t in TYPES)} THEN 'PII'
       WHEN len(errors) > 0 THEN 'JSON-invalid' END AS reason FROM ({I.REPLIES.sql}) r JOIN ({_REPLY_ERRORS}) e USING (c_custkey)) WHERE reason IS NOT NULL GROUP BY reason""",
     "first_cases": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 5",
@@ -492,6 +506,7 @@ SQL: dict[str, str] = {
       (SELECT 'A' AS v, * FROM ({_long('0')}) UNION ALL SELECT 'B', * FROM ({_long('1')})) GROUP BY criterion""",
     "regression_medians": _percentiles(f"SELECT variant, score FROM ({BOTH}) WHERE score IS NOT NULL", "score", "variant", (0.5,)),
     "regression_bootstrap": _bootstrap(50),
+    "bootstrap_of_deltas": _bootstrap_of_deltas(50),
     "run_deltas": f"""SELECT round((b.p - a.p), 9) AS pass_rate_delta, round(b.s - a.s, 9) AS average_score_delta, b.f - a.f AS parse_failed_cases_delta FROM
       (SELECT count(*) FILTER (passed) / count(*) AS p, avg(score) AS s, count(*) FILTER (failed) AS f FROM ({BOTH}) WHERE variant = 'A') a,
       (SELECT count(*) FILTER (passed) / count(*) AS p, avg(score) AS s, count(*) FILTER (failed) AS f FROM ({BOTH}) WHERE variant = 'B') b""",
@@ -546,6 +561,10 @@ SQL: dict[str, str] = {
     "rows_of_summary_files": f"""SELECT case_id || ',' || severity || ',' || word_count || ',' || pii_hits_total || ',' || cta_present || ',' || length_ok AS record
       FROM ({CASES})""",
     "rows_of_nested_files": f"SELECT case_id, cta_present, CAST(over_by AS BIGINT) AS length_over_by, severity FROM ({CASES})",
+    "rows_of_agreement_files": f"""SELECT n_pairs, labels, observed_agreement, cohens_kappa, {q(fixed.TARGET_AGREEMENT)} AS target_agreement, false AS has_status FROM ({_kappa(_TWO_SCORES)})""",
+    "run_table_deltas": f"""SELECT b.n - a.n AS total_cases_delta, b.p - a.p AS passed_cases_delta, b.f - a.f AS parse_failed_cases_delta, round(b.s - a.s, 9) AS average_score_delta
+      FROM (SELECT count(*) AS n, count(*) FILTER (final >= 3.5) AS p, count(*) FILTER (failed) AS f, coalesce(avg(final), 0) AS s FROM ({_judged('0')})) a,
+        (SELECT count(*) AS n, count(*) FILTER (final >= 3.5) AS p, count(*) FILTER (failed) AS f, coalesce(avg(final), 0) AS s FROM ({_judged('1')})) b""",
     "rows_of_regression_files": f"""SELECT name_a, round_even(avg_b, 3) AS avg_b, parse_failure_delta, meets_promotion_threshold FROM ({_compared('')})""",
     "judge_inputs": "SELECT CAST(doc_id AS STRING) AS id, '' AS input, md5(text) AS output_md5 FROM documents",
 }

@@ -368,3 +368,18 @@ def test_repeated_scores_count_once(spark):
     human = frame(spark, [("1", "c", 3.0)] * 3 + [("2", "c", 4.0), ("3", "c", 1.0)], "case_id string, criterion string, score double")
     row = agreement.calibration(judge, human).first()
     assert (row.n_pairs, row.within_one, row.mae) == (2, 0.5, 2.0)
+
+
+def test_bootstrap_of_deltas_is_distributed_as_that_of_cases(spark):
+    import numpy as np
+
+    for n in (3, 40, 4000):  # few equal deltas, drawn exactly, and many
+        paired = spark.range(6 * n).selectExpr("CAST(id AS STRING) AS case_id", "IF(id = 0, NULL, CAST(id % 3 AS DOUBLE) / 10 - 0.1) AS delta")
+        of_cases, of_deltas = (f(paired, 1500).toPandas() for f in (regression.bootstrap, regression.bootstrap_of_deltas))
+        assert len(of_deltas) == 1500
+        for column in ("weight", "mean_delta"):
+            a, b = of_cases[column].astype(float), of_deltas[column].astype(float)
+            spread = a.std() / np.sqrt(1500)
+            assert abs(a.mean() - b.mean()) < 6 * spread and 0.85 < a.std() / b.std() < 1.18
+            grid = np.quantile(np.concatenate([a, b]), np.linspace(0.02, 0.98, 25))
+            assert max(abs((a <= x).mean() - (b <= x).mean()) for x in grid) < 0.075
