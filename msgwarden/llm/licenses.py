@@ -126,7 +126,7 @@ def scan(
 
 
 def scan_sql() -> str:
-    """The same scan for DuckDB, over string grams in place of hashes."""
+    """The same scan for DuckDB, over string grams in place of hashes; a stretch is joined with the hits it reaches back to."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     grams = ", ".join(f"({t}, {quoted(label)}, {n}, {i}, {quoted(words)})" for t, label, n, i, words in gram_rows())
     phrase = "CASE " + " ".join(
@@ -151,12 +151,16 @@ steps AS (
   SELECT *, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {GAP} AS INT), 0) AS apart
   FROM diagonals),
 merged AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM steps),
-spans AS (
-  SELECT r, label, grams, count(DISTINCT place) / grams AS coverage, max(pos) - min(pos) + {GRAM} AS length
-  FROM hits JOIN merged USING (r, template, diagonal) GROUP BY r, template, label, grams, span),
+held AS (
+  SELECT r, template, label, grams, place, pos, span, greatest(0, CAST(floor({STRETCH} * (grams + {GRAM - 1})) AS BIGINT) - {GRAM}) AS reach
+  FROM hits JOIN merged USING (r, template, diagonal)),
+stretches AS (
+  SELECT e.r, e.label, count(DISTINCT b.place) / e.grams AS coverage
+  FROM (SELECT DISTINCT r, template, label, grams, pos, span, reach FROM held) e
+  JOIN held b ON b.r = e.r AND b.template = e.template AND b.span = e.span AND b.pos BETWEEN e.pos - e.reach AND e.pos
+  GROUP BY e.r, e.template, e.label, e.grams, e.span, e.pos),
 copies AS (
-  SELECT r, list_sort(list(DISTINCT label)) AS labels, max(coverage) AS score FROM spans
-  WHERE coverage >= {COVERAGE} AND length <= {STRETCH} * (grams + {GRAM - 1}) GROUP BY r)
+  SELECT r, list_sort(list(DISTINCT label)) AS labels, max(coverage) AS score FROM stretches WHERE coverage >= {COVERAGE} GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(bases, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(bases, []), coalesce(labels, [])))), ',') AS labels,

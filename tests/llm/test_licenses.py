@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 from msgwarden.llm import licenses as lic
 from msgwarden.llm.catalog import SQL, op10_license_scan
 from msgwarden.llm.license_texts import NOTICES
@@ -38,8 +40,8 @@ def test_copies_and_edges(spark):
     assert lic.scan(df.limit(0)).collect() == []
 
 
-def test_copies_close_together(spark):
-    """Each notice twice, three and forty times, next to one another and with words between."""
+def test_copies_close_together(spark, tmp_path):
+    """Each notice twice, three and forty times, next to one another and with words between; operator and SQL."""
     docs = []
     for label, text in NOTICES:
         for between in (" ", " one two ", " 2025 a b c d e f g h i "):
@@ -51,7 +53,12 @@ def test_copies_close_together(spark):
         ("", 0.0, " ".join("reserved rights all" for _ in range(30))),
         ("mit", 0.0, "Released under the x x x x x x x x MIT License under the x x x x x x x x license"),
     ]
-    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(docs)], "doc_id long, text string")).collect()}
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(df).collect()}
     assert len(got) == len(docs)
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.execute(lic.scan_sql()).fetchall()) == sorted(tuple(r) for r in got.values())
     for i, (label, score, text) in enumerate(docs):
         assert label in got[i].labels.split(",") and got[i].score == score, (label, text[:80], got[i])
