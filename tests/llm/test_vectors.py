@@ -89,3 +89,19 @@ def test_doubles_and_labels_keep_their_type(spark):
     assert got == plain(data[:41]) | {100 + i: (1, 100 + i // 2 * 2) for i in range(6)} | {200: (0, 200)}
     wide = spark.createDataFrame([(1, [1.0, 0.0], 2**40), (2, [1.0, 0.0], 2**40), (3, [1.0, 0.0], 2**40 + 2**32)], "vec_id long, embedding array<float>, label long")
     assert sorted((r.vec_id, r.n_links) for r in v.near_vectors(wide).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_query_finds_planted_links(spark, tmp_path):
+    """The query over a table of the given shape with near vectors planted in it, in chains, groups and alone."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3000, 64))
+    rows = [(i, x, i % 7) for i, x in enumerate(base)]
+    for k in range(2500):
+        of = rng.integers(0, 300) if k % 2 else len(rows) - 1
+        i, x, label = rows[of]
+        rows.append((len(rows), x + rng.standard_normal(64) * np.linalg.norm(x) / 8 * rng.choice([0.0, 0.1, 0.19, 0.21, 0.3]), label))
+    data = [(int(i), [float(np.float32(y)) for y in x], int(label)) for i, x, label in rows]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op8_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    wanted = plain(data)
+    assert sum(n for n, _ in wanted.values()) > 3000 and got == wanted
