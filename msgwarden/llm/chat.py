@@ -8,11 +8,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, kept
+from .common import col, kept, written
 
 #: The template: a head that names the role, the text, an end.
 HEAD_START, HEAD_END, TURN_END = "<|", "|>\n", "</s>\n"
@@ -41,17 +42,31 @@ def reply_chain(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, te
         col(conv_col).cast("long").alias("tree"), col(turn_col).alias("turn"), col(role_col).cast("string").alias("role"),
         col(text_col).cast("string").alias("text"),
     )
-    placed = kept(picked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("before"))
-    nodes = placed.withColumn("part", part).join(starts, "part").select(
-        "tree", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("node"), "role", "text"
-    )
-    former = nodes.select(F.col("tree").alias("former_tree"), F.col("node").alias("parent"), (F.col("node") + 1).alias("node"))
-    same = F.col("tree").eqNullSafe(F.col("former_tree"))
-    return nodes.join(former, "node", "left").select("tree", "node", F.when(same, F.col("parent")).alias("parent"), "role", "text")
+    dealt = picked.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "role", "text")
+    shape = "tree long, role string, text string, goes_on boolean"
+    placed = written(dealt.mapInArrow(_goes_on, shape).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    # one row for each range: how many rows come before it, and the tree of the last of them
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("at", "tree")).alias("last"))
+    along = W.orderBy("part")
+    starts = sizes.select("part", (F.sum("rows").over(along) - F.col("rows")).alias("before"), F.lag("last").over(along).alias("former"))
+    nodes = placed.join(F.broadcast(starts), "part").withColumn("node", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+    crossing = F.col("former").isNotNull() & F.col("tree").eqNullSafe(F.col("former.tree"))
+    return nodes.select("tree", "node", F.when(F.coalesce("goes_on", crossing), F.col("node") - 1).alias("parent"), "role", "text")
+
+
+def _goes_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with whether they are of the tree of the row before; null for the first, which has none here."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        trees = batch.column(0)
+        before = pa.concat_arrays([trees[:1] if last is None else last, trees[:-1]])
+        alike = pc.or_(pc.fill_null(pc.equal(trees, before), False), pc.and_(pc.is_null(trees), pc.is_null(before)))
+        if last is None:
+            alike = pa.concat_arrays([pa.nulls(1, pa.bool_()), alike[1:]])
+        last = trees[-1:]
+        yield pa.RecordBatch.from_arrays([*batch.columns, alike], ["tree", "role", "text", "goes_on"])
 
 
 def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
