@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import settled
+
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Rules sent to every task; a larger table is joined without the texts.
 SENT = 50_000
@@ -12,7 +14,7 @@ SENT = 50_000
 
 def tokens(text: Column) -> Column:
     """The distinct words of a text in lower case, and the empty one, which stands for rules without a literal."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     return F.array_distinct(F.concat(F.array(F.lit("")), found))
 
 
@@ -20,18 +22,27 @@ def rule_hits(docs: DataFrame, rules: DataFrame, key: str, text: str, sent: int
     """key, rule, n: how often each rule's pattern is found in each text, where it is.
 
     ``rules`` (rule, pattern, literal) is an index from literal to rule: a word in lower case that every match of the
-    pattern needs, whole, or null for none. Only rules whose literal a text holds are tried on it, so the cost follows the
-    rules that may match and not the size of the table. Up to ``sent`` rules are sent to the tasks, and texts are searched
-    where they are read. For more, words and rules meet without the texts, which are then joined once with the rules to try.
+    pattern needs, whole, or null for none; it may have ``also``, a list of further strings in lower case that a match needs.
+    Only rules whose literal a text holds are tried on it, so the cost follows the rules that may match and not the size
+    of the table; further strings are looked for before the pattern is. Up to ``sent`` rules are sent to the tasks, and texts are
+    searched where they are read. For more, words and rules meet without the texts, which are then joined once with the
+    rules to try.
     """
-    index = rules.select("rule", "pattern", F.lower(F.coalesce("literal", F.lit(""))).alias("__token"))
+    also = F.coalesce("also", F.array().cast("array<string>")) if "also" in rules.columns else F.array().cast("array<string>")
+    index = rules.select("rule", "pattern", F.lower(F.coalesce("literal", F.lit(""))).alias("__token"), also.alias("__also"))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull())
     few = index.limit(sent + 1).count() <= sent
-    if few:
-        tried = rows.select("*", F.explode(tokens(F.col("__text"))).alias("__token")).join(F.broadcast(index), "__token")
+    rows = settled(rows.withColumn("__low", F.lower("__text")), ["__low"])  # once a text, not once a word of it
+    holds = lambda strings: F.forall(strings, lambda w: F.contains("__low", w))
+    if few:  # one row for a text and word, with all rules of the word, until it is known which are likely
+        rule = F.struct("rule", "pattern", "__also")
+        by_word = F.broadcast(index.groupBy("__token").agg(F.collect_list(rule).alias("__rules")))
+        met = rows.select("*", F.explode(tokens(F.col("__low"))).alias("__token")).join(by_word, "__token")
+        chosen = met.withColumn("__rules", F.filter("__rules", lambda r: holds(r["__also"]))).where(F.size("__rules") > 0)
+        likely = chosen.select("__key", "__text", F.inline("__rules"))
     else:
-        placed = rows.select("__key", F.explode(tokens(F.col("__text"))).alias("__token"))
-        tried = placed.join(index, "__token").select("__key", "rule", "pattern").distinct()
-        tried = tried.withColumnRenamed("__key", "__own").join(rows, F.col("__own").eqNullSafe(F.col("__key")))
-    n = F.regexp_count("__text", F.col("pattern")).cast("bigint")
-    return tried.where(F.regexp_like("__text", F.col("pattern"))).select(F.col("__key").alias(key), "rule", n.alias("n"))
+        placed = rows.select("__key", F.explode(tokens(F.col("__low"))).alias("__token"))
+        met = placed.join(index, "__token").groupBy(F.col("__key").alias("__own"), "rule", "pattern").agg(F.first("__also").alias("__also"))
+        likely = met.join(rows, F.col("__own").eqNullSafe(F.col("__key"))).where(holds(F.col("__also")))
+    n = F.regexp_count("__text", F.col("pattern")).cast("bigint").alias("n")
+    return settled(likely.select(F.col("__key").alias(key), "rule", n), ["n"]).where("n > 0")

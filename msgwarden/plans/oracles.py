@@ -460,7 +460,8 @@ SQL: dict[str, str] = {
     "judge_by_rubric": _by_rubric(),
     "rule_table_hits": """WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
         p AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
-        r AS (SELECT a || ' ' || b AS rule, a || '[ ]' || b AS pattern, a AS literal FROM p UNION ALL SELECT b || ', ' || a, b || ',[ ]' || a, b FROM p),
+        l AS (SELECT a, b, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS literal FROM p),
+        r AS (SELECT a || ' ' || b AS rule, a || '[ ]' || b AS pattern, literal FROM l UNION ALL SELECT b || ', ' || a, b || ',[ ]' || a, literal FROM l),
         d AS (SELECT doc_id, lower(text) AS text, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS literal FROM documents)
       SELECT doc_id, rule, n FROM (SELECT doc_id, rule, CAST(len(regexp_extract_all(text, pattern)) AS BIGINT) AS n FROM d JOIN r USING (literal)
         WHERE contains(text, rule)) WHERE n > 0""",

@@ -229,6 +229,8 @@ def test_rule_tables_of_any_size(spark):
     wanted = {(1, "r1", 2), (1, "r2", 1), (2, "r3", 1), (None, "r1", 1)}
     for sent in (10, 2):
         assert {tuple(r) for r in ruletables.rule_hits(docs, rules, "id", "text", sent).collect()} == wanted
+        needed = rules.withColumn("also", F.when(F.col("rule") == "r1", F.array(F.lit("weg"))))
+        assert {tuple(r) for r in ruletables.rule_hits(docs, needed, "id", "text", sent).collect()} == wanted - {(None, "r1", 1)}
 
 
 def test_rubrics_as_a_table(spark):
