@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.barrier import settled
 
 TOKEN = r"[\p{L}\p{N}_]+"
+GAP = r"[^\p{L}\p{N}_]+"
+#: Two neighbouring words of a text and what stands between them, and the three characters or more around the gap.
+SEAM, PLACE = TOKEN + GAP + TOKEN, TOKEN[:-1] + GAP + TOKEN[:-1]
 #: Rules sent to every task; a larger table is joined without the texts.
 SENT = 50_000
 
@@ -18,13 +21,43 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), found))
 
 
+def with_seams(rows: DataFrame) -> DataFrame:
+    """The rows with ``__words`` of ``__low`` and ``__seams``, its distinct pairs of neighbouring words with the gap between."""
+    words = F.regexp_extract_all("__low", F.lit(TOKEN), F.lit(0))
+    rows = settled(rows.withColumns({"__words": words, "__gaps": F.split("__low", TOKEN, -1)}), ["__words", "__gaps"])
+    pairs = F.transform("__words", lambda w, i: F.concat(w, F.get("__gaps", i + 1), F.get("__words", i + 1)))
+    rows = rows.withColumn("__seams", F.array_distinct(F.filter(pairs, lambda s: s.isNotNull())))
+    return settled(rows.drop("__gaps"), ["__seams"])
+
+
+def _by_seam(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The texts with the rules whose ``__seam`` they hold, each rule once, at the place where the text first has it.
+
+    Words of a rule may be parts of a text's words at its ends, so ``bathe cat`` holds ``he ca``. What costs a search of the
+    text is settled after the join, or it would run for every rule with the same characters around the gap.
+    """
+    edge, place = GAP[:-1], lambda c: F.regexp_extract(c, PLACE, 0)
+    rows = with_seams(rows.withColumn("__wide", F.concat(F.lit("\0"), "__low", F.lit("\0"))))
+    placed = rows.withColumn("__own", F.explode("__seams")).drop("__seams")
+    placed = settled(placed.withColumn("__place", place("__own")), ["__place"])
+    index = F.broadcast(rules.withColumn("__at", place("__seam")))
+    met = placed.join(index, (F.col("__place") == F.col("__at")) & F.contains("__own", "__seam"))
+    before, width = F.instr("__low", F.col("__seam")) - F.instr("__own", F.col("__seam")), F.length("__own")
+    around = F.substring("__wide", before + 1, width + 2)  # the first place, with a character on both sides
+    met = settled(met.withColumn("__around", around), ["__around", "__token"])
+    first = (F.substring("__around", F.lit(2), width) == F.col("__own")) & F.col("__around").rlike(f"\\A{edge}(?s:.*){edge}\\z")
+    met = met.where(first).where((F.col("__token") == "") | F.array_contains("__words", F.col("__token")))
+    return settled(met, ["__also"])
+
+
 def rule_hits(docs: DataFrame, rules: DataFrame, key: str, text: str, sent: int = SENT) -> DataFrame:
     """key, rule, n: how often each rule's pattern is found in each text, where it is.
 
     ``rules`` (rule, pattern, literal) is an index from literal to rule: a word in lower case that every match of the
     pattern needs, whole, or null for none; it may have ``also``, a list of further strings in lower case that a match needs.
     Only rules whose literal a text holds are tried on it, so the cost follows the rules that may match and not the size
-    of the table; further strings are looked for before the pattern is. Up to ``sent`` rules are sent to the tasks, and texts are
+    of the table; further strings are looked for before the pattern is. A rule with one that spans two words is found by
+    those two as neighbours, since both words alone stand in many texts. Up to ``sent`` rules are sent to the tasks, and texts are
     searched where they are read. For more, words and rules meet without the texts, which are then joined once with the
     rules to try.
     """
@@ -34,12 +67,18 @@ def rule_hits(docs: DataFrame, rules: DataFrame, key: str, text: str, sent: int
     few = index.limit(sent + 1).count() <= sent
     rows = settled(rows.withColumn("__low", F.lower("__text")), ["__low"])  # once a text, not once a word of it
     holds = lambda strings: F.forall(strings, lambda w: F.contains("__low", w))
-    if few:  # one row for a text and word, with all rules of the word, until it is known which are likely
+    if few:
+        inner = F.filter(F.transform("__also", lambda w: F.regexp_extract(w, SEAM, 0)), lambda s: s != "")
+        index = index.withColumn("__seam", F.get(inner, F.lit(0)))
+        paired = _by_seam(rows, index.where(F.col("__seam").isNotNull())).where(holds(F.col("__also")))
+        index = index.where(F.col("__seam").isNull())
+        # one row for a text and word, with all rules of the word, until it is known which are likely
         rule = F.struct("rule", "pattern", "__also")
         by_word = F.broadcast(index.groupBy("__token").agg(F.collect_list(rule).alias("__rules")))
         met = rows.select("*", F.explode(tokens(F.col("__low"))).alias("__token")).join(by_word, "__token")
         chosen = met.withColumn("__rules", F.filter("__rules", lambda r: holds(r["__also"]))).where(F.size("__rules") > 0)
         likely = chosen.select("__key", "__text", F.inline("__rules"))
+        likely = likely.drop("__also").union(paired.select("__key", "__text", "rule", "pattern"))
     else:
         placed = rows.select("__key", F.explode(tokens(F.col("__low"))).alias("__token"))
         met = placed.join(index, "__token").groupBy(F.col("__key").alias("__own"), "rule", "pattern").agg(F.first("__also").alias("__also"))

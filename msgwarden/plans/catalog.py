@@ -495,13 +495,13 @@ def run_log(spark, d):
 
 @query
 def rule_table_hits(spark, d):
-    """Two rules for every pair of neighbouring words of the benchmark, searched in all documents by the longer word."""
+    """Two rules for every pair of neighbouring words of the benchmark, searched in all documents that have the longer word."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     pairs = I.table(spark, d, "benchmark").select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).where("i > 0 AND i < size(w)")
     pairs = pairs.selectExpr("w[i - 1] AS a", "w[i] AS b").distinct()
-    rare, other = "IF(length(a) >= length(b), a, b) AS literal", "array(IF(length(a) >= length(b), b, a)) AS also"  # long words are rare
-    near = pairs.selectExpr("a || ' ' || b AS rule", "'(?i)' || a || '[ ]' || b AS pattern", rare, other)
-    rules = near.union(pairs.selectExpr("b || ', ' || a", "'(?i)' || b || ',[ ]' || a", rare, other))
+    rare = "IF(length(a) >= length(b), a, b) AS literal"  # long words are rare
+    near = pairs.selectExpr("a || ' ' || b AS rule", "'(?i)' || a || '[ ]' || b AS pattern", rare, "array(a || ' ' || b) AS also")
+    rules = near.union(pairs.selectExpr("b || ', ' || a", "'(?i)' || b || ',[ ]' || a", rare, "array(b || ', ' || a)"))
     return ruletables.rule_hits(I.table(spark, d, "documents"), rules, "doc_id", "text")
 
 

@@ -4,6 +4,7 @@ import csv
 import hashlib
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,25 @@ def test_rule_tables_of_any_size(spark):
         assert {tuple(r) for r in ruletables.rule_hits(docs, needed, "id", "text", sent).collect()} == wanted - {(None, "r1", 1)}
 
 
+def test_rules_of_two_words_meet_neighbours_only(spark):
+    words = [f"w{i:03d}x" for i in range(120)]
+    texts = [(1, " ".join(words)), (2, "bathe cat, the\U0001f680cat THE CAT the cat"), (3, "he cat\0he cat"), (4, "y lado, y lo the"), (5, None), (5, "cat")]
+    docs = spark.createDataFrame([*texts, texts[1]], "id int, text string")
+    pairs = [(a, b) for a in words[::3] for b in words[::2] if a != b] + [("he", "cat"), ("the", "cat"), ("y", "l")]
+    rows = [(f"{a} {b}", f"(?i){a}[ ]{b}", None if a == "y" else max(a, b, key=len), [f"{a} {b}"]) for a, b in pairs]
+    rules = spark.createDataFrame(rows, "rule string, pattern string, literal string, also array<string>")
+    wanted = [
+        (i, rule, len(found)) for i, text in [*texts, texts[1]] if text for rule, pattern, literal, also in rows
+        if also[0] in text.lower() and (literal is None or literal in re.findall(r"\w+", text.lower())) and (found := re.findall(pattern, text))
+    ]
+    for sent in (10_000, 10):
+        got = ruletables.rule_hits(docs.where("id <> 2") if sent == 10 else docs, rules, "id", "text", sent).collect()
+        assert sorted(map(tuple, got)) == sorted(w for w in wanted if sent > 10 or w[0] != 2)
+    low = docs.where("id = 1").selectExpr("id AS __key", "text AS __text", "lower(text) AS __low")
+    index = rules.selectExpr("rule", "pattern", "coalesce(literal, '') AS __token", "also AS __also", "also[0] AS __seam")
+    assert ruletables._by_seam(low, index).count() == sum(b == words[words.index(a) + 1] for a, b in pairs[:-3])
+
+
 def test_rubrics_as_a_table(spark):
     rubric = (("style_match", 0.3), ("policy_safety", 0.3), ("own", 1.0))
     answers = ['{"style_match": {"score": 4, "reason": "x"}, "own": {"score": "2", "reason": "y"}}', '{"own": 3}', '{"own": {"score": 3}}', "x", "[]", "{}", None,
