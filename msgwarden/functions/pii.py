@@ -84,12 +84,15 @@ def _running_starts(found: str, gaps: str) -> str:
         " (s, b) -> struct(s.pos + aggregate(b, 0, (n, x) -> n + x.gap + x.len) AS pos,"
         f" concat(s.blocks, array({inner}.starts)) AS blocks))"
     )
-    return f"flatten({done}.blocks)"
+    return f"CASE WHEN size({found}) = 1 THEN array(length(get({gaps}, 0))) ELSE flatten({done}.blocks) END"
 
 
 def type_gaps(scan: Scan, rule: Rule, found: str) -> str:
-    """Pieces between the candidates of one type, where there are any."""
-    return f"CASE WHEN size({found}) > 0 THEN {scan.gaps(rule)} END"
+    """Pieces before and between the candidates of one type, where there are any."""
+    match = f"get({found}, 0)"
+    before = f"array(substring({scan.text}, 1, instr({scan.text}, {match}) - 1))"
+    alone = f"WHEN size({found}) = 1 AND {scan.once(match)} THEN {before}" if rule.group == 0 else ""
+    return f"CASE {alone} WHEN size({found}) > 0 THEN {scan.gaps(rule)} END"
 
 
 def _type_hits(rule: Rule, rank: int, found: str, gaps: str, bsn_rule: str) -> str:

@@ -36,18 +36,23 @@ class Rule:
     equivalent: str | None = None
     predicate: str | None = None
 
-    def java(self, exact: bool) -> str:
+    def java(self, exact: bool | None) -> str:
         return to_java(self.equivalent or self.pattern, self.ignore_case, exact)
 
-    def java_predicate(self, exact: bool) -> str:
+    def java_predicate(self, exact: bool | None) -> str:
         """Pattern found in the same texts as ``java``, though not at the same places."""
         return to_java(self.predicate or self.equivalent or self.pattern, self.ignore_case, exact)
 
-    def body(self, exact: bool) -> str:
+    def body(self, exact: bool | None) -> str:
         """Pattern for the inside of an alternation, with its own case flag."""
         inner = java_body(self.equivalent or self.pattern, exact)
         return f"(?{'i' if self.ignore_case else '-i'}:{inner})"
 
+    @property
+    def ascii(self) -> bool:
+        """Whether ASCII texts can be searched without Unicode tables; a letter such as U+017F would match an ASCII one."""
+        return all(p is None or p.isascii() for p in (self.pattern, self.equivalent, self.predicate))
+
     @property
     def bounded(self) -> bool:
         return r"\b" in self.pattern
@@ -169,7 +174,7 @@ CTA_RULES = tuple(
 
 # Characters beyond ASCII that a case-insensitive match folds to i, s or k.
 _FOLDING = ("ı", "ſ", "\u212a", "İ")
-SCAN_COLUMNS = ("__lower", "__folds", "__digits", "__odd")
+SCAN_COLUMNS = ("__lower", "__folds", "__digits", "__odd", "__ascii")
 
 
 def odd_words(text: str) -> str:
@@ -196,6 +201,7 @@ def scan_facts(text: str) -> dict[str, Column]:
         "__folds": f"length({t}) < octet_length({t}) AND {folds}",
         "__digits": f"{t} RLIKE {quoted(DIGIT_PROBE)}",
         "__odd": odd_words(t),
+        "__ascii": f"length({t}) = octet_length({t})",
     }
     return {column: F.expr(e) for column, e in facts.items()}
 
@@ -226,11 +232,11 @@ class Scan:
     def text(self) -> str:
         return name(self.column)
 
-    def pick(self, rule: Rule, make: Callable[[bool], str]) -> str:
-        """``make(exact)`` with the fast boundaries where the text allows them."""
-        if not rule.bounded:
-            return make(False)
-        return f"CASE WHEN __odd THEN {make(True)} ELSE {make(False)} END"
+    def pick(self, rule: Rule, make: Callable[[bool | None], str]) -> str:
+        """``make(exact)`` with the fast boundaries where the text allows them, for ASCII texts without Unicode tables."""
+        cases = [f"WHEN __ascii THEN {make(None)}"] if rule.ascii else []
+        cases += [f"WHEN __odd THEN {make(True)}"] if rule.bounded else []
+        return f"CASE {' '.join(cases)} ELSE {make(False)} END" if cases else make(False)
 
     def candidate(self, rule: Rule) -> str:
         """Condition without which ``rule`` cannot match."""
@@ -263,6 +269,10 @@ class Scan:
         """The pieces of the text between the matches."""
         return self.pick(rule, lambda exact: pieces(self.text, rule.java(exact)))
 
+    def once(self, match: str) -> str:
+        """Whether the text holds a string at one place only, which is then where a search has found it."""
+        return f"(locate({match}, {self.text}, instr({self.text}, {match}) + 1) = 0)"
+
     def first(self, rule: Rule) -> str:
         """Place of the first match, for comparison with those of other rules in the text."""
         return self.pick(rule, lambda exact: f"regexp_instr({self.text}, {quoted(rule.java(exact))})")
