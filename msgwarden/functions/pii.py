@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
 from .regex import EXACT_BOUNDARY, java_body
-from .rules import PII_RULES, Rule, Scan, maybe_pii, odd_words, pieces
+from .rules import PII_RULES, Rule, Scan, maybe_pii, odd_words
 from .sqltext import any_of, quoted, total
 
 GROUPED_TYPE = "array<struct<type:string,matches:array<string>>>"
@@ -126,11 +126,16 @@ def hit_list(
 
 
 def _first_start(scan: Scan, rule: Rule, found: str) -> str:
-    if not _is_bsn(rule):
-        return scan.first(rule)
-    # candidates that fail the checksum may come before: look for the first valid number
-    edge = quoted(EXACT_BOUNDARY)
-    return f"regexp_instr({scan.text}, concat('(?U)', {edge}, get({found}, 0), {edge}))"
+    match = f"get({found}, 0)"
+    searched = scan.first(rule)
+    if _is_bsn(rule):
+        # candidates that fail the checksum may come before: look for the first valid number
+        edge = quoted(EXACT_BOUNDARY)
+        searched = f"regexp_instr({scan.text}, concat('(?U)', {edge}, {match}, {edge}))"
+    if rule.group != 0:
+        return searched
+    # beyond ASCII, the two kinds of search may count characters differently
+    return f"CASE WHEN __ascii AND {scan.once(match)} THEN instr({scan.text}, {match}) ELSE {searched} END"
 
 
 def grouped_hits(scan: Scan, found: dict[str, str], rules: tuple[Rule, ...] = PII_RULES) -> str:
@@ -161,10 +166,18 @@ def violations(grouped: str) -> str:
 
 
 def _weave(text: str, pattern: str, token: str) -> str:
-    """The text with every match ``m`` of ``pattern`` replaced by ``token``."""
+    """The text with every match ``m`` of ``pattern`` replaced by ``token``.
+
+    One search puts a NUL before and behind each match, after which every second piece is one; not so in a text with NULs.
+    """
+    nul, p = quoted("\0"), quoted(pattern)
+    marked = f"split(regexp_replace({text}, {p}, {quoted(chr(0) + '$0' + chr(0))}), {nul}, -1)"
+    once = f"array_join(transform({marked}, (m, i) -> IF(i % 2 = 1, {token}, m)), '')"
     tokens = f"transform(regexp_extract_all({text}, {quoted(pattern)}, 0), m -> {token})"
+    gaps = f"split({text}, {p}, -1)"
     return (
-        f"array_join(zip_with({pieces(text, pattern)}, {tokens}, (g, t) -> concat(g, coalesce(t, ''))), '')"
+        f"CASE WHEN contains({text}, {nul}) THEN array_join(zip_with({gaps}, {tokens}, (g, t) -> concat(g, coalesce(t, ''))), '')"
+        f" ELSE {once} END"
     )
 
 
@@ -175,12 +188,12 @@ def _mask_one(scan: Scan, rule: Rule, bsn_rule: str) -> str:
     return scan.pick(rule, lambda exact: _weave(scan.text, rule.java(exact), token))
 
 
-def any_type(rules: tuple[Rule, ...], exact: bool) -> str:
+def any_type(rules: tuple[Rule, ...], exact: bool | None) -> str:
     """Alternation of all types, in type order."""
-    return "(?Ud)" + "|".join(rule.body(exact) for rule in rules)
+    return ("(?d)" if exact is None else "(?Ud)") + "|".join(rule.body(exact) for rule in rules)
 
 
-def _token_of(rules: tuple[Rule, ...], bsn_rule: str) -> str:
+def _token_of(rules: tuple[Rule, ...], bsn_rule: str, unicode: str = "U") -> str:
     """The token for a match ``m`` of the alternation of all types.
 
     Which type a match has follows from the match alone: the patterns are tried in type order
@@ -189,7 +202,7 @@ def _token_of(rules: tuple[Rule, ...], bsn_rule: str) -> str:
     cases = []
     for rule in rules:
         inside = java_body(rule.pattern.replace(r"\b", ""))
-        whole = f"(?{'i' if rule.ignore_case else ''}Ud)\\A(?:{inside})\\z"
+        whole = f"(?{'i' if rule.ignore_case else ''}{unicode}d)\\A(?:{inside})\\z"
         mask = quoted(rule.mask)
         if _is_bsn(rule):
             mask = f"IF({bsn_rule_sql('m', bsn_rule)}, {mask}, m)"
@@ -197,10 +210,13 @@ def _token_of(rules: tuple[Rule, ...], bsn_rule: str) -> str:
     return f"CASE {' '.join(cases)} ELSE m END"
 
 
-def _mask_any(text: str, odd: str, rules: tuple[Rule, ...], bsn_rule: str) -> str:
-    token = _token_of(rules, bsn_rule)
+def _mask_any(text: str, odd: str, rules: tuple[Rule, ...], bsn_rule: str, plain: str | None = None) -> str:
+    """``plain``: a condition that only ASCII texts meet."""
+    token, fast = _token_of(rules, bsn_rule), ""
+    if plain is not None and all(r.ascii for r in rules):
+        fast = f"WHEN {plain} THEN {_weave(text, any_type(rules, None), _token_of(rules, bsn_rule, ''))} "
     return (
-        f"CASE WHEN {odd} THEN {_weave(text, any_type(rules, True), token)}"
+        f"CASE {fast}WHEN {odd} THEN {_weave(text, any_type(rules, True), token)}"
         f" ELSE {_weave(text, any_type(rules, False), token)} END"
     )
 
@@ -220,7 +236,7 @@ def mask_text(
     ones = " ".join(
         f"WHEN {present[r.label]} THEN {_mask_one(scan, r, bsn_rule)}" for r in rules
     )
-    mixed = _mask_any(scan.text, "__odd", rules, bsn_rule)
+    mixed = _mask_any(scan.text, "__odd", rules, bsn_rule, "__ascii")
     return f"CASE WHEN {kinds} > 1 THEN {mixed} {ones} ELSE {scan.text} END"
 
 
