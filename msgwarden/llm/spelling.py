@@ -43,6 +43,12 @@ def counted(words: DataFrame, least: int = 5, times: int = 3) -> DataFrame:
     return long_.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times)
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that sorts both sides and sends neither whole: words stored compressed and rows of an explode are sized far too
+    low, and the driver would gather what passes for a small table."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _chunks(rows: DataFrame) -> DataFrame:
     """The halves of what is left of each word, from `lo` to `hi`, and what is left beside them."""
     halves = F.expr(
@@ -92,12 +98,12 @@ def near_pairs(words: DataFrame, most: int = PAIRS) -> DataFrame:
     while True:
         mine = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("mine"), F.min("r").alias("r"))
         theirs = grams.groupBy("path").agg(F.count(F.lit(1)).alias("theirs"))
-        crowded = written(mine.join(theirs, "path").where((F.col("mine") * F.col("theirs") > most) & (F.col("r") > 1)).select("path"))
+        crowded = written(_sorted_join(mine, theirs, "path").where((F.col("mine") * F.col("theirs") > most) & (F.col("r") > 1)).select("path"))
         split = not crowded.isEmpty()
         left, right = (d.join(crowded, "path", "left_anti") if split else d for d in (chunks, grams))
         a, b = left.select("path", F.col("word").alias("a")), right.select("path", F.col("word").alias("b"))
         ordered = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-        met = a.join(b, "path").where(ordered & F.expr(_ONE_EDIT)).select("a", "b")
+        met = _sorted_join(a, b, "path").where(ordered & F.expr(_ONE_EDIT)).select("a", "b")
         found = met if found is None else found.union(met)
         if not split:
             return found.distinct()
@@ -111,7 +117,7 @@ def followed(forms: DataFrame) -> DataFrame:
     at = written(forms.select("word", F.col("form").alias("root")))
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = written(at.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        step = written(_sorted_join(at, on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = step.select("word", "root")
         if step.where("moved").isEmpty():
             return at
@@ -130,9 +136,9 @@ def variants(words: DataFrame, times: int = 2, most: int = PAIRS) -> DataFrame:
     words = words.select("word", "n").where(F.col("word").isNotNull())
     pairs = near_pairs(words.select("word"), most)
     both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
-    others = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    others = _sorted_join(both, words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = others.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), "other")).alias("best"))
-    joined = words.join(best, "word", "left").withColumn("taken", -F.col("best.n") >= F.col("n") * times)
+    joined = _sorted_join(words, best, "word", "left").withColumn("taken", -F.col("best.n") >= F.col("n") * times)
     formed = written(
         joined.select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -140,7 +146,7 @@ def variants(words: DataFrame, times: int = 2, most: int = PAIRS) -> DataFrame:
         )
     )
     roots = followed(formed.where("form IS NOT NULL").select("word", "form"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _sorted_join(formed, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 97, least: int = 5, times: int = 3) -> DataFrame:

@@ -93,6 +93,16 @@ def test_chains_are_followed_to_the_last(spark):
     assert {r[2] for r in rows} == {"b" * 12} and set(rows) == plain(words)
 
 
+def test_no_words_are_sent_whole(spark, monkeypatch):
+    words = alike(3, 60, "ab", 3, 9)
+    plans, keep = [], s.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(s, "written", lambda df: keep(plan(df)))
+    got = plan(s.variants(s.written(spark.createDataFrame(list(words.items()), "word string, n long"))))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not [p for p in plans if "Broadcast" in p]
+    assert set(rows_of(got)) == plain(words)
+
+
 def test_edges(spark):
     texts = [
         (1, "Hello HELLO hello. hallo ÀÉÎ àéî"), (1, "Hello HELLO hello. hallo ÀÉÎ àéî"), (None, "hallo hallo-hallo 1hallo2 Strasse"), (2, None), (3, ""),
