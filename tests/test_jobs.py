@@ -253,6 +253,25 @@ def test_rules_of_two_words_meet_neighbours_only(spark):
     assert ruletables._by_seam(low, index).count() == sum(b == words[words.index(a) + 1] for a, b in pairs[:-3])
 
 
+def test_strings_are_counted_where_they_meet_the_text(spark):
+    texts = [(1, "the the the, the the. he the the"), (2, "He the THE theK the Kit"), (3, "bathe cat, the cat; İ the cat \\E"), (4, "kit kat KIT kat Kit kat"),
+             (None, "the\ncat the  cat the cat"), (5, "a a a a\na a, a a"), (6, "cats"), (7, "the " * 50), (8, None)]
+    rows = [("the the", "(?i)the[ ]the", "the"), ("he the", "(?i)he[ ]the", "the"), ("e cat", "(?i)e cat", "cat"), ("kit kat", "(?i)kit[ ]kat", "kat"), ("a a", "(?i)a a", "a"), ("the cat", "the cat", "cat"), ("a, a", "(?i)a,[ ]a", None)]
+    rows = [(*r, [r[0]]) for r in rows] + [("gap", r"(?i)the\s+cat", "cat", ["cat the"]), ("both", "cat", "cat", ["the cat", "bathe", "\\e"]), ("none", None, "cat", ["the cat"]), ("null", "cat", "cat", ["the cat", None])]
+    docs = spark.createDataFrame([*texts, *texts[:2]], "id int, text string")
+    rules = spark.createDataFrame([*rows, rows[0]], "rule string, pattern string, literal string, also array<string>")
+    wanted = [
+        (i, rule, n) for i, text in [*texts, *texts[:2]] if text for rule, pattern, literal, also in [*rows, rows[0]] if pattern and None not in also
+        and all(a in text.lower() for a in also) and (literal is None or literal in re.findall(r"\w+", text.lower())) and (n := len(re.findall(pattern, text, re.A)))
+    ]
+    assert sorted(map(str, ruletables.rule_hits(docs, rules, "id", "text").collect())) == sorted(f"Row(id={i}, rule={r!r}, n={n})" for i, r, n in wanted)
+    # what is exploded is added up in the same generated code, or the rows of a text would pile up with copies of it
+    rows = docs.selectExpr("id AS __key", "text AS __text", "lower(text) AS __low")
+    found = ruletables._by_seam(rows, rules.selectExpr("rule", "pattern", "coalesce(literal, '') AS __token", "also AS __also", "also[0] AS __seam"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["__key", "rule", "n"] and "lambdafunction" not in plan[: plan.index("posexplode")]
+
+
 def test_rubrics_as_a_table(spark):
     rubric = (("style_match", 0.3), ("policy_safety", 0.3), ("own", 1.0))
     answers = ['{"style_match": {"score": 4, "reason": "x"}, "own": {"score": "2", "reason": "y"}}', '{"own": 3}', '{"own": {"score": 3}}', "x", "[]", "{}", None,
